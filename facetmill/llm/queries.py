@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import source_mix, suffix_dedup, token_counts
+from . import decontaminate, fingerprints, source_mix, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_source_mix": source_mix.query,
+    "op8_decontaminate": decontaminate.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_token_counts": token_counts.query,
 }
 
 ORACLES = {
     "op3_source_mix": source_mix.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }

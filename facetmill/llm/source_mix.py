@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small, documents, materialize
 
 PASSES = 3  # no document is taken more often
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 MAX_SOURCES_BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
