@@ -1,8 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and blocks, in DataFrame functions only.
 
-Paragraphs are lines; a section is PER_SECTION paragraphs; a paragraph's leaves are blocks of code points (short
-paragraphs have short blocks, so that a small edit leaves something in common).  Every node is a hash of its
-children's hashes: the root is equal for equal texts, a differing section names the differing paragraphs, and these
+Paragraphs are lines; a section is PER_SECTION paragraphs; a paragraph's leaves are blocks of code points.  Every node is a hash of its
+children's hashes (a paragraph's leaves are finer at its start, so that short texts have several): the root is equal for equal texts, a differing section names the differing paragraphs, and these
 the differing blocks.  The fingerprint spells the tree:
 
     root:section=leaf.leaf|leaf.leaf;section=...        (sections by ;  paragraphs by |  leaves by .)
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import documents, materialize, partitions
 
 PER_SECTION = 8
-BLOCKS = ((32, 4), (160, 8))  # paragraphs below so many code points: blocks of so many
-BLOCK = 32
+#: Blocks of a paragraph: from code point, to code point, size.  Cuts depend on the place alone, so an edit spoils nothing before it.
+BLOCKS = ((1, 8, 4), (9, 32, 8), (33, 1 << 30, 32))
 
 
 def _hex(col, digits: int):
@@ -39,11 +38,7 @@ def tree(text):
     """Struct (leaves by paragraph, hash of the whole) of a text column."""
     paragraphs = F.split(text, "\n")
     cut = lambda p, size: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-
-    def blocks(p):
-        (tiny, a), (short, b) = BLOCKS
-        return F.when(F.length(p) < tiny, cut(p, a)).when(F.length(p) < short, cut(p, b)).otherwise(cut(p, BLOCK))
-
+    blocks = lambda p: F.concat(*[cut(F.substring(p, a, b - a + 1), size) for a, b, size in BLOCKS])
     leaves = F.transform(paragraphs, lambda p: F.transform(blocks(p), lambda b: _hex(F.xxhash64(b), 8)))
     return F.struct(leaves.alias("by_paragraph"), F.sha2(text, 256).alias("whole"))
 
