@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, source_mix, suffix_dedup, token_counts
+from . import decontaminate, fingerprints, jaccard_join, source_mix, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_source_mix": source_mix.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op8_decontaminate": decontaminate.query,
     "op9_fingerprints": fingerprints.query,
     "op10_token_counts": token_counts.query,
