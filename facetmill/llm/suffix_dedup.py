@@ -11,13 +11,14 @@ bytes with a hash of the anchor, a hash of the run's whole bytes, and its place.
 Sort.  Spark samples splitters and range-partitions the runs by leading bytes; each bucket is sorted locally by
 multikey quicksort (leading bytes, then the run's bytes, then place) and neighbours are compared: a run equal to an
 earlier one is repeated whole.  Runs that share an anchor but differ, and the runs of an anchor at either end of a
-bucket, which may go on in the next bucket, are compared window by window in a second round by 128-bit hashes.
+bucket, which may go on in the next bucket, are compared window by window in a second round by 128-bit hashes (a run's own
+equality is judged by 128 bits as well: 64 of the anchor's group, 64 of its bytes).
 
 Hot strings: what repeats inside one input batch is settled there and rides along under a random key, so that a
 string in a third of all rows reaches a bucket once for each input batch at most.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows that repeat a doc_id count as one
-place, each of them gets a result; a null doc_id sorts first; extra columns are ignored.
+place, each of them gets a result; rows with a null doc_id lose nothing, but stand first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ from . import rolling as R
 from .rolling import U
 from .shared import documents, materialize, partitions
 
-LENGTH, ANCHOR = 100, 20
+LENGTH, ANCHOR = 100, 32
 CHUNK = 1 << 19  # starts that are hashed at once
-RUNS = "g long, h long, doc_id long, place long, n int"  # n < 0: known to be a repeat
-FOUND = "doc_id long, place long, n int, kind int"  # kind 1: repeat, 2: to be compared by window
-WINDOWS = "h1 long, h2 long, doc_id long, place long, n int"
+# A run of n windows from byte `start` on is start * 256 + n; ~run (a negative number): known to be a repeat
+RUNS = "g long, h long, doc_id long, run long"
+FOUND = "doc_id long, run long, kind int"  # kind 1: repeat, 2: to be compared by window
+WINDOWS = "h1 long, h2 long, doc_id long, run long"
 
 
 def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
@@ -146,39 +148,39 @@ def run_rows(length: int, anchor: int):
             if not len(doc):
                 continue
             (group, content), again = settle_locally([group, content], doc, start)
-            n = np.where(again, -n, n).astype(np.int32)
+            packed = start * 256 + n
+            packed = np.where(again, ~packed, packed)
             for i in range(0, len(doc), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (R.signed(group ^ U(1 << 63)), R.signed(content), doc, start, n)], names=["g", "h", "doc_id", "place", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (R.signed(group ^ U(1 << 63)), R.signed(content), doc, packed)], names=["g", "h", "doc_id", "run"])
 
     return run
 
 
 def compare_bucket(batches):
     """One bucket of the suffix array: sort, compare neighbours, and name what must be compared by window."""
-    g, h, doc, place, n = R.table_of(batches, "ghdpn")
+    g, h, doc, packed = R.table_of(batches, "ghdr")
+    known = packed < 0
+    yield from found_rows(doc[known], ~packed[known], 1)
+    g, h, doc, packed = [x[~known] for x in (g, h, doc, packed)]
     if len(g):
-        known = n < 0
-        yield from found_rows(doc[known], place[known], -n[known], np.ones(int(known.sum()), np.int32))
-        g, h, doc, place, n = [x[~known] for x in (g, h, doc, place, n)]
-    if len(g):
-        order = multikey_quicksort([g, h, doc, place])
-        g, h, doc, place, n = [x[order] for x in (g, h, doc, place, n)]
+        order = multikey_quicksort([g, h, doc, packed])
+        g, h, doc, packed = [x[order] for x in (g, h, doc, packed)]
         same_g, same = equal_to_previous(g), equal_to_previous(g, h)
-        repeat = earlier_twin(same, doc, place)
+        repeat = earlier_twin(same, doc, packed)
         head = np.flatnonzero(~same_g)
         mixed = np.logical_or.reduceat(same_g & ~same, head)
         mixed[0] = mixed[-1] = True  # their anchor may go on across the bucket's boundary
         mixed = np.repeat(mixed, np.diff(np.r_[head, len(g)]))
-        kind = np.where(repeat, 1, np.where(mixed & ~same, 2, 0)).astype(np.int32)
-        keep = kind > 0
-        yield from found_rows(doc[keep], place[keep], n[keep], kind[keep])
+        yield from found_rows(doc[repeat], packed[repeat], 1)
+        unsure = mixed & ~same
+        yield from found_rows(doc[unsure], packed[unsure], 2)
 
 
-def found_rows(doc, place, n, kind):
+def found_rows(doc: np.ndarray, packed: np.ndarray, kind: int):
     for i in range(0, len(doc), 200_000):
-        s = slice(i, i + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[s], pa.int64()), pa.array(place[s], pa.int64()), pa.array(n[s].astype(np.int32)), pa.array(kind[s])], names=["doc_id", "place", "n", "kind"])
+        d = doc[i : i + 200_000]
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(packed[i : i + 200_000], pa.int64()), pa.array(np.full(len(d), kind, np.int32))], names=["doc_id", "run", "kind"])
 
 
 def window_rows(length: int):
@@ -203,36 +205,53 @@ def window_rows(length: int):
                 doc, place = np.repeat(doc_ids[own], size)[ok], (np.repeat(start, size) + within)[ok]
                 h, again = settle_locally(h, doc, place)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(R.signed(h[0])), pa.array(R.signed(h[1])), pa.array(doc), pa.array(place), pa.array(np.where(again, -1, 1).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "place", "n"],
+                    [pa.array(R.signed(h[0])), pa.array(R.signed(h[1])), pa.array(doc), pa.array(np.where(again, ~(place * 256 + 1), place * 256 + 1))],
+                    names=["h1", "h2", "doc_id", "run"],
                 )
 
     return run
 
 
 def compare_windows(batches):
-    h1, h2, doc, place, n = R.table_of(batches, "12dpn")
+    h1, h2, doc, packed = R.table_of(batches, "12dr")
+    known = packed < 0
+    repeats = [(doc[known], ~packed[known])]
+    h1, h2, doc, packed = [x[~known] for x in (h1, h2, doc, packed)]
     if len(h1):
-        order = multikey_quicksort([h1, h2, doc, place])
-        h1, h2, doc, place, n = [x[order] for x in (h1, h2, doc, place, n)]
-        repeat = earlier_twin(equal_to_previous(h1, h2), doc, place) | (n < 0)
-        order = np.lexsort([place[repeat], doc[repeat]])
-        doc, place = doc[repeat][order], place[repeat][order]
-        yield from found_rows(doc, place, np.ones(len(doc), np.int32), np.ones(len(doc), np.int32))
+        order = multikey_quicksort([h1, h2, doc, packed])
+        h1, h2, doc, packed = [x[order] for x in (h1, h2, doc, packed)]
+        repeat = earlier_twin(equal_to_previous(h1, h2), doc, packed)
+        repeats.append((doc[repeat], packed[repeat]))
+    doc, packed = [np.concatenate(x) for x in zip(*repeats)]
+    yield from found_rows(*merged(doc, packed), 1)
+
+
+def merged(doc: np.ndarray, packed: np.ndarray, most: int = 255):
+    """Single windows that stand next to each other as runs of up to so many."""
+    order = np.lexsort([packed, doc])
+    doc, start = doc[order], packed[order] >> 8
+    if not len(doc):
+        return doc, packed
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]
+    head = np.flatnonzero(new)
+    since = start - np.repeat(start[head], np.diff(np.r_[head, len(start)]))
+    new |= (since % most == 0) & np.r_[True, start[1:] != start[:-1]]
+    head = np.flatnonzero(new)
+    last = np.r_[head[1:], len(start)] - 1
+    return doc[head], start[head] * 256 + (start[last] - start[head] + 1)
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, runs): runs of repeated windows, each as start * 256 + number of windows."""
+    """(doc_id, runs) of the documents with repeats."""
     spark = docs.sparkSession
     n = partitions(spark)
     buckets = docs.select("doc_id", "text").mapInArrow(run_rows(length, anchor), RUNS).repartitionByRange(n, "g", "h")
     found = materialize(buckets.mapInArrow(compare_bucket, FOUND))
-    packed = (F.col("place") * 256 + F.col("n")).alias("run")
-    unsure = found.where("kind = 2").groupBy("doc_id").agg(F.collect_list(packed).alias("runs"))
+    unsure = found.where("kind = 2").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
     windows = docs.select("doc_id", "text").join(unsure, "doc_id")
     again = windows.select("doc_id", "text", "runs").mapInArrow(window_rows(length), WINDOWS).repartition(n, "h1", "h2").mapInArrow(compare_windows, FOUND)
     every = found.where("kind = 1").unionByName(again)
-    return every.groupBy("doc_id").agg(F.collect_list(packed).alias("runs"))
+    return every.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
 def removed_mask(size: int, packed: np.ndarray, length: int) -> np.ndarray:
