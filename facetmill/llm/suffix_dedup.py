@@ -11,8 +11,8 @@ bytes with a hash of the anchor, a hash of the run's whole bytes, and its place.
 Sort.  Spark samples splitters and range-partitions the runs by leading bytes; each bucket is sorted locally by
 multikey quicksort (leading bytes, then the run's bytes, then place) and neighbours are compared: a run equal to an
 earlier one is repeated whole.  Runs that share an anchor but differ, and the runs of an anchor at either end of a
-bucket, which may go on in the next bucket, are compared window by window in a second round by 128-bit hashes (a run's own
-equality is judged by 128 bits as well: 64 of the anchor's group, 64 of its bytes).
+bucket, which may go on in the next bucket, are compared window by window in a second round: their bytes meet by anchor, or,
+where an anchor has very many different runs, their windows meet by hash.  Bytes are equal if 128 bits of hash are.
 
 Hot strings: what repeats inside one input batch is settled there and rides along under a random key, so that a
 string in a third of all rows reaches a bucket once for each input batch at most.
@@ -38,8 +38,10 @@ LENGTH, ANCHOR = 100, 32
 CHUNK = 1 << 19  # starts that are hashed at once
 # A run of n windows from byte `start` on is start * 256 + n; ~run (a negative number): known to be a repeat
 RUNS = "g long, h long, doc_id long, run long"
-FOUND = "doc_id long, run long, kind int"  # kind 1: repeat, 2: to be compared by window
-WINDOWS = "h1 long, h2 long, doc_id long, run long"
+# kind 1: repeat; 2: to be compared with its group; 3: the same, in a group that is large or may lie in several buckets
+FOUND = "doc_id long, run long, g long, kind int"
+SECOND = "g long, h long, doc_id long, run long, bytes binary"
+LARGE_GROUP = 20_000
 
 
 def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
@@ -161,7 +163,7 @@ def compare_bucket(batches):
     """One bucket of the suffix array: sort, compare neighbours, and name what must be compared by window."""
     g, h, doc, packed = R.table_of(batches, "ghdr")
     known = packed < 0
-    yield from found_rows(doc[known], ~packed[known], 1)
+    yield from found_rows(doc[known], ~packed[known], g[known], 1)
     g, h, doc, packed = [x[~known] for x in (g, h, doc, packed)]
     if len(g):
         order = multikey_quicksort([g, h, doc, packed])
@@ -169,22 +171,38 @@ def compare_bucket(batches):
         same_g, same = equal_to_previous(g), equal_to_previous(g, h)
         repeat = earlier_twin(same, doc, packed)
         head = np.flatnonzero(~same_g)
-        mixed = np.logical_or.reduceat(same_g & ~same, head)
-        mixed[0] = mixed[-1] = True  # their anchor may go on across the bucket's boundary
-        mixed = np.repeat(mixed, np.diff(np.r_[head, len(g)]))
-        yield from found_rows(doc[repeat], packed[repeat], 1)
-        unsure = mixed & ~same
-        yield from found_rows(doc[unsure], packed[unsure], 2)
+        size = np.diff(np.r_[head, len(g)])
+        wide = np.add.reduceat((~same).astype(np.int64), head) > LARGE_GROUP
+        wide[0] = wide[-1] = True  # their anchor may go on across the bucket's boundary
+        mixed = np.repeat(wide | np.logical_or.reduceat(same_g & ~same, head), size)
+        wide = np.repeat(wide, size)
+        yield from found_rows(doc[repeat], packed[repeat], g[repeat], 1)
+        for kind, rows in ((2, mixed & ~same & ~wide), (3, mixed & ~same & wide)):
+            yield from found_rows(doc[rows], packed[rows], g[rows], kind)
 
 
-def found_rows(doc: np.ndarray, packed: np.ndarray, kind: int):
+def found_rows(doc: np.ndarray, packed: np.ndarray, g: np.ndarray, kind: int):
     for i in range(0, len(doc), 200_000):
         d = doc[i : i + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(packed[i : i + 200_000], pa.int64()), pa.array(np.full(len(d), kind, np.int32))], names=["doc_id", "run", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(packed[i : i + 200_000], pa.int64()), pa.array(g[i : i + 200_000], pa.int64()), pa.array(np.full(len(d), kind, np.int32))], names=["doc_id", "run", "g", "kind"])
 
 
-def window_rows(length: int):
-    """Every window of the runs that are to be compared, by two hashes."""
+def pieces(raw: np.ndarray, begin: np.ndarray, size: np.ndarray):
+    """raw[begin : begin + size] laid end to end, with each byte's place within its piece."""
+    ends = np.cumsum(size)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    return raw[np.repeat(begin, size) + within], within
+
+
+def windows_of(data: np.ndarray, within: np.ndarray, n: np.ndarray, size: np.ndarray, length: int):
+    """Two hashes of every window of pieces, the window's piece, and its place in it."""
+    at = np.flatnonzero(within < np.repeat(n, size))
+    h1, h2 = (R.substring_hash(R.prefix_sums(data, seed), at, at + length) for seed in (1, 2))
+    return h1, h2, np.repeat(np.arange(len(size)), size)[at], within[at]
+
+
+def second_rows(length: int):
+    """What the second round needs of the runs in doubt: their bytes, or every window's hashes where the group is large."""
 
     def run(batches):
         for batch in batches:
@@ -192,38 +210,71 @@ def window_rows(length: int):
             doc_ids = R.ids(batch.column(0))
             lists = batch.column(2)
             at = np.asarray(lists.offsets, np.int64)
-            packed = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+            packed, g, kind = (lists.values.field(f).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for f in ("run", "g", "kind"))
             row = np.repeat(np.arange(len(doc_ids)), np.diff(at))
             for i in range(0, len(packed), 40_000):
-                start, n, own = packed[i : i + 40_000] >> 8, packed[i : i + 40_000] & 255, row[i : i + 40_000]
-                size = n + length - 1
-                ends = np.cumsum(size)
-                within = np.arange(ends[-1]) - np.repeat(ends - size, size)
-                data = raw[np.repeat(offsets[own] + start, size) + within]
-                ok = np.flatnonzero(within < np.repeat(n, size))
-                h = [R.substring_hash(R.prefix_sums(data, seed), ok, ok + length) for seed in (1, 2)]
-                doc, place = np.repeat(doc_ids[own], size)[ok], (np.repeat(start, size) + within)[ok]
-                h, again = settle_locally(h, doc, place)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(R.signed(h[0])), pa.array(R.signed(h[1])), pa.array(doc), pa.array(np.where(again, ~(place * 256 + 1), place * 256 + 1))],
-                    names=["h1", "h2", "doc_id", "run"],
-                )
+                s = slice(i, i + 40_000)
+                few = kind[s] == 2
+                run_, own, group = packed[s][few], row[s][few], g[s][few]
+                size = (run_ & 255) + length - 1
+                data, _ = pieces(raw, offsets[own] + (run_ >> 8), size)
+                content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.zeros(len(group), np.int64)), pa.array(doc_ids[own]), pa.array(run_), content], names=["g", "h", "doc_id", "run", "bytes"])
+                run_, own = packed[s][~few], row[s][~few]
+                if len(run_):
+                    start, n = run_ >> 8, run_ & 255
+                    size = n + length - 1
+                    h1, h2, piece, place = windows_of(*pieces(raw, offsets[own] + start, size), n, size, length)
+                    doc, place = doc_ids[own][piece], start[piece] + place
+                    (h1, h2), again = settle_locally([h1, h2], doc, place)
+                    place = place * 256 + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(R.signed(h1)), pa.array(R.signed(h2)), pa.array(doc), pa.array(np.where(again, ~place, place)), pa.nulls(len(doc), pa.binary())], names=["g", "h", "doc_id", "run", "bytes"])
 
     return run
 
 
-def compare_windows(batches):
-    h1, h2, doc, packed = R.table_of(batches, "12dr")
-    known = packed < 0
-    repeats = [(doc[known], ~packed[known])]
-    h1, h2, doc, packed = [x[~known] for x in (h1, h2, doc, packed)]
-    if len(h1):
+def compare_windows(length: int, most_bytes: int = 16_000_000):
+    """Second round: windows of the runs of one group against each other."""
+
+    def repeats(h1, h2, doc, packed):
+        if not len(h1):
+            return doc, packed
         order = multikey_quicksort([h1, h2, doc, packed])
         h1, h2, doc, packed = [x[order] for x in (h1, h2, doc, packed)]
         repeat = earlier_twin(equal_to_previous(h1, h2), doc, packed)
-        repeats.append((doc[repeat], packed[repeat]))
-    doc, packed = [np.concatenate(x) for x in zip(*repeats)]
-    yield from found_rows(*merged(doc, packed), 1)
+        return doc[repeat], packed[repeat]
+
+    def run(batches):
+        contents, hashed = [], []
+        for b in batches:
+            plain = np.asarray(b.column(4).is_null())
+            hashed.append([b.column(i).to_numpy(zero_copy_only=False)[plain] for i in range(4)])
+            contents.append(b.filter(pa.array(~plain)))
+        found = []
+        if hashed:
+            h1, h2, doc, packed = [np.concatenate(x) for x in zip(*hashed)]
+            known = packed < 0
+            found += [(doc[known], ~packed[known]), repeats(*(x[~known] for x in (h1, h2, doc, packed)))]
+            table = pa.Table.from_batches(contents).combine_chunks().sort_by("g")
+            g, doc, packed = (table.column(c).to_numpy() for c in ("g", "doc_id", "run"))
+            size = (packed & 255) + length - 1
+            ends = np.cumsum(size)
+            last = np.r_[g[1:] != g[:-1], True] if len(g) else np.zeros(0, bool)
+            begin = 0
+            while begin < len(g):  # whole groups, of about so many bytes together
+                enough = np.flatnonzero(last[begin:] & (ends[begin:] - ends[begin] >= most_bytes))
+                end = begin + enough[0] + 1 if len(enough) else len(g)
+                s = slice(begin, end)
+                raw, offsets = R.text_bytes(table.column("bytes").slice(begin, end - begin))
+                data, within = pieces(raw, offsets[:-1], size[s])
+                h1, h2, piece, place = windows_of(data, within, packed[s] & 255, size[s], length)
+                found.append(repeats(h1, h2, doc[s][piece], ((packed[s] >> 8)[piece] + place) * 256 + 1))
+                begin = end
+        if found:
+            doc, packed = merged(*[np.concatenate(x) for x in zip(*found)])
+            yield from found_rows(doc, packed, np.zeros(len(doc), np.int64), 1)
+
+    return run
 
 
 def merged(doc: np.ndarray, packed: np.ndarray, most: int = 255):
@@ -247,9 +298,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     n = partitions(spark)
     buckets = docs.select("doc_id", "text").mapInArrow(run_rows(length, anchor), RUNS).repartitionByRange(n, "g", "h")
     found = materialize(buckets.mapInArrow(compare_bucket, FOUND))
-    unsure = found.where("kind = 2").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    windows = docs.select("doc_id", "text").join(unsure, "doc_id")
-    again = windows.select("doc_id", "text", "runs").mapInArrow(window_rows(length), WINDOWS).repartition(n, "h1", "h2").mapInArrow(compare_windows, FOUND)
+    unsure = found.where("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("run", "g", "kind")).alias("runs"))
+    texts = docs.select("doc_id", "text").join(unsure, "doc_id").select("doc_id", "text", "runs")
+    again = texts.mapInArrow(second_rows(length), SECOND).repartition(n, "g").mapInArrow(compare_windows(length), FOUND)
     every = found.where("kind = 1").unionByName(again)
     return every.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
