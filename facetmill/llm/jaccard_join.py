@@ -1,6 +1,8 @@
 """N-gram Jaccard self-join by PartEnum signatures.
 
-A document is the set of its distinct word shingles.  Sets fall into bands of size such that two sets with a Jaccard
+A document is the set of its distinct word shingles.  Two sets can only reach the threshold t if each has at least the
+share t of its shingles in other sets; a count of shared shingles leaves aside all that do not (it may count too
+many, by 32-bit collisions inside a bucket of hashes, never too few).  The others are joined.  Sets fall into bands of size such that two sets with a Jaccard
 similarity of at least the threshold lie in one band or in neighbouring ones; within such a pair of bands the
 threshold means a Hamming distance of at most k.  The feature domain (64-bit shingle hashes) is cut into n1 parts of n2
 subparts, n1 = k // (k2 + 1) + 1: in at least one part two such sets differ in at most k2 subparts, so they agree on
@@ -35,8 +37,9 @@ from .shared import documents, materialize, partitions
 from .suffix_dedup import text_slices
 
 NO_ID = -(1 << 63)
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 2_000_000
 INFO = "doc_id long, n_shingles long, s1 long, s2 long"
+SHINGLES = "part int, docs binary, owners binary, hashes binary"
 SIGNED = "sig long, a long, b long"  # b: the other end of an edge that is known already, else null
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -145,17 +148,68 @@ def info_rows(size: int):
     return run
 
 
-def signature_rows(size: int, threshold: Fraction, n2: int, k2: int):
+def shingle_rows(size: int, parts: int):
+    """The shingles of a slice of documents, packed by hash bucket: documents, owner of each hash, low half of each hash."""
+
+    def run(batches):
+        for batch in batches:
+            for piece, row, h in sets_of(batch, size):
+                part = ((h >> U(32)) * U(parts)) >> U(32)
+                order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+                low, owner = h[order].astype(np.uint32), row[order].astype(np.uint32)
+                cuts = np.searchsorted(part[order], np.arange(parts + 1).astype(U))
+                docs = R.ids(piece.column(0))
+                found = []
+                for p in np.flatnonzero(np.diff(cuts)):
+                    own, index = np.unique(owner[cuts[p] : cuts[p + 1]], return_inverse=True)
+                    found.append((p, docs[own].tobytes(), index.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes(), low[cuts[p] : cuts[p + 1]].tobytes()))
+                if found:
+                    p, d, o, x = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(c, pa.binary()) for c in (d, o, x))], names=["part", "docs", "owners", "hashes"])
+
+    return run
+
+
+def shared_rows(batches):
+    """(doc_id, n): how many of the document's shingles in this task's buckets another document has as well."""
+    buckets: dict[int, list] = {}
+    for batch in batches:
+        for part, docs, owners, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            low = np.frombuffer(hashes, np.uint32)
+            buckets.setdefault(part, []).append((np.frombuffer(docs, np.int64), np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(low) else np.uint32), low))
+    for part in sorted(buckets):
+        blobs = buckets.pop(part)
+        docs = np.concatenate([d for d, _, _ in blobs])
+        base = np.r_[0, np.cumsum([len(d) for d, _, _ in blobs])]
+        owner = np.concatenate([o.astype(np.int64) + b for (_, o, _), b in zip(blobs, base)])
+        low = np.concatenate([x for _, _, x in blobs])
+        order = np.argsort(low)
+        low = low[order]
+        twin = low[1:] == low[:-1]
+        shared = owner[order[np.r_[False, twin] | np.r_[twin, False]]]
+        n = np.bincount(shared, minlength=len(docs))
+        some = np.flatnonzero(n)
+        for i in range(0, len(some), 500_000):
+            s = some[i : i + 500_000]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[s]), pa.array(n[s].astype(np.int64))], names=["doc_id", "n"])
+
+
+def signature_rows(threshold: Fraction, n2: int, k2: int, most: int = 1 << 20):
     def run(batches):
         bands = Bands(threshold, n2, k2)
         for batch in batches:
-            for part, row, h in sets_of(batch, size):
-                if not len(row):
-                    continue
-                doc = R.ids(part.column(0))
-                found = list(bands.signatures(row, h))
-                docs, sig = doc[np.concatenate([r for r, _ in found])], np.concatenate([s for _, s in found])
-                sig, a, b = settle(sig, docs)
+            doc = R.ids(batch.column(0))
+            sets = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+            begin = 0
+            while begin < len(sets):
+                end, n = begin, 0
+                while end < len(sets) and n < most:
+                    n += len(sets[end])
+                    end += 1
+                row = np.repeat(np.arange(begin, end), [len(x) for x in sets[begin:end]])
+                found = list(bands.signatures(row, np.concatenate(sets[begin:end])))
+                begin = end
+                sig, a, b = settle(np.concatenate([x for _, x in found]), doc[np.concatenate([r for r, _ in found])])
                 for i in range(0, len(sig), 500_000):
                     s = slice(i, i + 500_000)
                     yield pa.RecordBatch.from_arrays([pa.array(R.signed(sig[s])), pa.array(a[s]), pa.array(b[s])], names=["sig", "a", "b"])
@@ -294,15 +348,19 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     classes = info.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     classes = materialize(classes)
 
-    signed = texts.mapInArrow(signature_rows(words, t, n2, k2), SIGNED).repartition(n, "sig")
-    stars_ = signed.mapInArrow(star_rows, "a long, b long")
-    groups = connected_components(stars_)
-    members = groups.join(classes, groups["node"] == classes["rep"]).select("component", "rep", "copies", "n")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks")).where("m > 1")
-    members = materialize(members.join(sizes, "component").select("rep", "component", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")))
-
-    candidates = texts.join(members, texts["doc_id"] == members["rep"]).select("doc_id", "text", "component", "copies", "blocks", "block")
-    sets = candidates.mapInArrow(set_rows(words), "doc_id long, component long, copies long, blocks int, block int, shingles binary")
+    # only sets with enough shingles that other sets have can link
+    counted = texts.mapInArrow(shingle_rows(words, n), SHINGLES).repartition(n, "part").mapInArrow(shared_rows, "doc_id long, n long")
+    counted = counted.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    able = counted.join(classes, counted["doc_id"] == classes["rep"]).where(F.col("shared") * t.denominator >= F.col("n") * t.numerator).select("rep", "copies")
+    candidates = texts.join(able, texts["doc_id"] == able["rep"]).select("doc_id", "text", "copies")
+    sets = materialize(candidates.mapInArrow(set_rows(words), "doc_id long, copies long, shingles binary"))
+
+    # what shares a signature, directly or by others, is compared
+    signed = sets.select("doc_id", "shingles").mapInArrow(signature_rows(t, n2, k2), SIGNED).repartition(n, "sig")
+    groups = connected_components(signed.mapInArrow(star_rows, "a long, b long"))
+    members = sets.join(groups, sets["doc_id"] == groups["node"])
+    sizes = members.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / F.lit(8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sets = members.join(sizes, "component").select("component", "doc_id", "copies", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("component", "block", other, "doc_id", "copies", "shingles").select(
         "component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "doc_id", "block", "copies", "shingles"

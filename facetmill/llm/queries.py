@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, jaccard_join, source_mix, suffix_dedup, token_counts
+from . import decontaminate, fingerprints, html_text, jaccard_join, language_id, quality, source_mix, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_source_mix": source_mix.query,
     "op4_jaccard_join": jaccard_join.query,
+    "op5_url_filter": url_filter.query,
+    "op6_language_id": language_id.query,
+    "op7_html_text": html_text.query,
     "op8_decontaminate": decontaminate.query,
     "op9_fingerprints": fingerprints.query,
     "op10_token_counts": token_counts.query,
