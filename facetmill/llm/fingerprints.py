@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .shared import documents, materialize, partitions
 
 PER_SECTION = 8
+NO_ID = -(1 << 63)
 #: Blocks of a paragraph: from code point, to code point, size.  Cuts depend on the place alone, so an edit spoils nothing before it.
-BLOCKS = ((1, 8, 4), (9, 32, 8), (33, 1 << 30, 32))
+BLOCKS = ((1, 8, 4), (9, 32, 8), (33, 1 << 30, 64))
 
 
 def _hex(col, digits: int):
@@ -39,13 +40,13 @@ def tree(text):
     paragraphs = F.split(text, "\n")
     cut = lambda p, size: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     blocks = lambda p: F.concat(*[cut(F.substring(p, a, b - a + 1), size) for a, b, size in BLOCKS])
-    leaves = F.transform(paragraphs, lambda p: F.transform(blocks(p), lambda b: _hex(F.xxhash64(b), 8)))
+    leaves = F.transform(paragraphs, lambda p: F.transform(blocks(p), lambda b: F.xxhash64(b).bitwiseAND(0x7FFFFFFF).cast("int")))
     return F.struct(leaves.alias("by_paragraph"), F.sha2(text, 256).alias("whole"))
 
 
 def spelled(parts):
     """The tree of hashed leaves, spelled out."""
-    rows = F.transform(parts["by_paragraph"], lambda p: F.array_join(p, "."))
+    rows = F.transform(parts["by_paragraph"], lambda p: F.array_join(F.transform(p, lambda h: F.lower(F.hex(h))), "."))
     n = F.greatest(F.ceil(F.size(rows) / F.lit(PER_SECTION)).cast("int"), F.lit(1))
     sections = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(rows, i * PER_SECTION + 1, PER_SECTION), "|"))
     named = F.transform(sections, lambda s: F.concat(_hex(F.xxhash64(s), 16), F.lit("="), s))
@@ -65,41 +66,43 @@ def likeness(same_root, a, b):
     return F.when(same_root, F.lit(1.0)).when((F.size(a) > 0) & (F.size(b) > 0), share).otherwise(F.lit(0.0))
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """(key, next_key): for every distinct key (doc_id, version) the next one in descending order, the first again after the last."""
-    spark = rows.sparkSession
-    desc = [F.col("doc_id").desc_nulls_last(), F.col("version").desc()]
-    placed = materialize(rows.select("doc_id", "version").distinct().repartitionByRange(partitions(spark), *desc).withColumn("range", F.spark_partition_id()))
-    head = placed.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "version")).alias("head"))
-    ring = W.partitionBy(F.lit(0)).orderBy("range")
-    heads = head.select(
-        "range",
-        F.coalesce(F.lead("head").over(ring), F.first("head").over(ring)).alias("follows"),
-    )
+def neighbours(keys: DataFrame) -> DataFrame:
+    """For every key (doc_id, version) the next one in descending order, next_id and next_version; the first again after the last."""
+    desc = [F.col("doc_id").desc(), F.col("version").desc()]
+    placed = materialize(keys.repartitionByRange(partitions(keys.sparkSession), *desc).withColumn("range", F.spark_partition_id()))
+    head = placed.groupBy("range").agg(F.max(F.struct("doc_id", "version")).alias("head"))
+    ring = W.partitionBy(F.lit(0)).orderBy("range")  # a row for each range
+    heads = head.select("range", F.coalesce(F.lead("head").over(ring), F.min_by("head", "range").over(W.partitionBy(F.lit(0)))).alias("follows"))
     inside = W.partitionBy("range").orderBy(*desc)
     pairs = placed.withColumn("following", F.lead(F.struct("doc_id", "version")).over(inside)).join(F.broadcast(heads), "range")
-    after = F.coalesce(F.col("following"), F.struct(F.col("follows.doc_id").alias("doc_id"), F.col("follows.version").alias("version")))
-    return pairs.select("doc_id", "version", after["doc_id"].alias("next_id"), after["version"].alias("next_version"))
+    after = F.coalesce("following", "follows")
+    return pairs.select("doc_id", "version", "n_chars", after["doc_id"].alias("next_id"), after["version"].alias("next_version"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"), F.length(text).cast("long").alias("n_chars"))
-    keys = rows.select("doc_id", "version", "n_chars").distinct()
-    near = neighbours(keys)
-    take = F.floor(F.col("n_chars") / 3).cast("int")
-    asked = near.join(keys, near["doc_id"].eqNullSafe(keys["doc_id"]) & (near["version"] == keys["version"])).select(
-        near["doc_id"].alias("_d"), near["version"].alias("_v"), "next_id", "next_version", take.alias("take")
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("version"), F.length(text).cast("long").alias("n_chars"), text.alias("text")
+    )
+    keys = materialize(rows.groupBy("doc_id", "version").agg(F.min("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies")))
+    asked = neighbours(keys.drop("copies")).select(
+        F.col("next_id").alias("doc_id"), F.col("next_version").alias("version"), F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.floor(F.col("n_chars") / 3).cast("int").alias("take")
     )
-    one = rows.select("doc_id", "version", "text")
-    given = asked.join(one, F.col("next_id").eqNullSafe(one["doc_id"]) & (F.col("next_version") == one["version"])).select(
-        "_d", "_v", "take", F.substring(F.col("text"), F.lit(1), F.col("take")).alias("tail"), leaves_of(tree(F.col("text"))).alias("next_leaves"), F.sha2("text", 256).alias("next_sha")
+    # both joins take the texts by the same key, so Spark shuffles them once
+    given = rows.join(asked, ["doc_id", "version"]).select(
+        F.col("_d").alias("doc_id"),
+        F.col("_v").alias("version"),
+        "take",
+        F.substring(F.col("text"), F.lit(1), F.col("take")).alias("tail"),
+        leaves_of(tree(F.col("text"))).alias("next_leaves"),
+        F.sha2("text", 256).alias("next_sha"),
     )
-    given = given.dropDuplicates(["_d", "_v"])
-    both = rows.join(given, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["version"] == F.col("_v")))
+    if keys.agg(F.max("copies")).first()[0] not in (None, 1):  # a neighbour that stands in several equal rows gives the same each time
+        given = given.dropDuplicates(["doc_id", "version"])
+    both = rows.join(given, ["doc_id", "version"])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("take")).cast("int")), F.col("tail"))
-    both = both.select("doc_id", "n_chars", "text", edited.alias("edited"), "next_leaves", "next_sha")
+    both = both.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "text", edited.alias("edited"), "next_leaves", "next_sha")
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_leaves", "next_sha", tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"))
     both = both.select("*", spelled(F.col("a")).alias("fingerprint"), spelled(F.col("b")).alias("edited_fingerprint"), leaves_of(F.col("a")).alias("la"), leaves_of(F.col("b")).alias("lb"))
     return both.select(
