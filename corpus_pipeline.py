@@ -1,11 +1,78 @@
-"""A training-data pipeline; stages follow as their operators are built."""
+"""A training-data pipeline over `documents`: five stages, each one of the operators in facetmill.llm.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of `documents`; the
+last one adds the mix.  run() applies them in order; between two stages the documents are written to the shared folder.
+
+    quality       documents whose expected top-grade tail is below one half go (poor or toxic)
+    near copies   of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest doc_id stays
+    repeats       byte strings of 100 bytes that also start earlier are cut out; documents left blank by that go
+    benchmark     documents of which at least one word in twenty lies in a benchmark window go
+    mix           sources are drawn to target weights; documents that the mix does not take go
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from facetmill.llm import decontaminate, jaccard_join, quality, source_mix, suffix_dedup
+from facetmill.llm.shared import materialize
+
+NEAR_WORDS, NEAR_THRESHOLD = 5, "0.8"
+
+
+def _key(name: str = "doc_id"):
+    return F.coalesce(F.col(name).cast("long"), F.lit(jaccard_join.NO_ID))
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of documents to a table of doc_id (null matches null)."""
+    return docs.join(ids.select(_key().alias("_id")).distinct(), _key() == F.col("_id"), how)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = materialize(jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_THRESHOLD))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = _with_ids(docs, first, "left_semi")
+    if first.count() != first.select("doc_id").distinct().count():  # rows that repeat a doc_id: one stays
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    had = F.col("text").rlike(r"\S")
+    cut = suffix_dedup.without_repeats(docs.withColumn("_had", had)).where(F.col("text").isNull() | ~F.col("_had") | F.col("text").rlike(r"\S"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut.select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _with_ids(docs, judged.where("contaminated"), "left_anti")
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = source_mix.mix(docs).where("taken > 0").select(_key().alias("_id"), "size", "source_size", "target", "taken").dropDuplicates(["_id"])
+    return docs.join(taken, _key() == F.col("_id")).drop("_id")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("mixing sources", mix_stage),
+]
+
+#: The classifier is learnt, so SQL cannot say the result; tests/llm compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -61,7 +61,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataF
     prefix = broadcast_if_small(rare.select("word").distinct(), n_small)
     places = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("place", "word")).join(prefix, "word", "left_semi")
     places = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    w = docs.select("doc_id", words(F.col("text")).alias("w"), F.xxhash64("text").alias("version")).join(places.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    w = docs.join(places.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")  # the text moves, not its words
+    w = w.select("doc_id", words(F.col("text")).alias("w"), F.xxhash64("text").alias("version"), "places")
     around = F.transform(
         "places",
         lambda p: F.struct(
