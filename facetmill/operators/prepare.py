@@ -257,7 +257,7 @@ def describe_columns(df: DataFrame, itemset_columns: list[str], constants: dict[
             said = f"whole numbers from {low} to {top}"
         elif number:
             said = f"numbers from {low:.2f} to {top:.2f}"
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             said = f"dates from {low:%Y-%m-%d} to {top:%Y-%m-%d}"
         elif isinstance(f.dataType, T.BooleanType):
             said = f"boolean with the values {', '.join(sorted(five))}"
