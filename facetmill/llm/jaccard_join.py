@@ -39,7 +39,8 @@ from .suffix_dedup import text_slices
 NO_ID = -(1 << 63)
 BLOCK_SHINGLES = 2_000_000
 INFO = "doc_id long, n_shingles long, s1 long, s2 long"
-SHINGLES = "part int, docs binary, owners binary, hashes binary"
+SHINGLES = "part int, slice long, docs binary, owners binary, hashes binary"
+COUNTS = "slice long, docs binary, counts binary"
 SIGNED = "sig long, a long, b long"  # b: the other end of an edge that is known already, else null
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,39 +160,49 @@ def shingle_rows(size: int, parts: int):
                 low, owner = h[order].astype(np.uint32), row[order].astype(np.uint32)
                 cuts = np.searchsorted(part[order], np.arange(parts + 1).astype(U))
                 docs = R.ids(piece.column(0))
+                name = int(R.signed(R.mix(docs.view(U)).sum(dtype=U, keepdims=True))[0])
                 found = []
                 for p in np.flatnonzero(np.diff(cuts)):
                     own, index = np.unique(owner[cuts[p] : cuts[p + 1]], return_inverse=True)
-                    found.append((p, docs[own].tobytes(), index.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes(), low[cuts[p] : cuts[p + 1]].tobytes()))
+                    found.append((p, name, docs[own].tobytes(), index.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes(), low[cuts[p] : cuts[p + 1]].tobytes()))
                 if found:
-                    p, d, o, x = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(c, pa.binary()) for c in (d, o, x))], names=["part", "docs", "owners", "hashes"])
+                    p, n, d, o, x = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (d, o, x))], names=["part", "slice", "docs", "owners", "hashes"])
 
     return run
 
 
 def shared_rows(batches):
-    """(doc_id, n): how many of the document's shingles in this task's buckets another document has as well."""
+    """For each slice of documents, how many shingles in this task's buckets another document has as well, packed by document."""
     buckets: dict[int, list] = {}
     for batch in batches:
-        for part, docs, owners, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, name, docs, owners, hashes in zip(*(c.to_pylist() for c in batch.columns)):
             low = np.frombuffer(hashes, np.uint32)
-            buckets.setdefault(part, []).append((np.frombuffer(docs, np.int64), np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(low) else np.uint32), low))
+            buckets.setdefault(part, []).append((name, np.frombuffer(docs, np.int64), np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(low) else np.uint32), low))
     for part in sorted(buckets):
         blobs = buckets.pop(part)
-        docs = np.concatenate([d for d, _, _ in blobs])
-        base = np.r_[0, np.cumsum([len(d) for d, _, _ in blobs])]
-        owner = np.concatenate([o.astype(np.int64) + b for (_, o, _), b in zip(blobs, base)])
-        low = np.concatenate([x for _, _, x in blobs])
+        base = np.r_[0, np.cumsum([len(d) for _, d, _, _ in blobs])]
+        owner = np.concatenate([o.astype(np.int64) + b for (_, _, o, _), b in zip(blobs, base)])
+        low = np.concatenate([x for _, _, _, x in blobs])
         order = np.argsort(low)
         low = low[order]
         twin = low[1:] == low[:-1]
-        shared = owner[order[np.r_[False, twin] | np.r_[twin, False]]]
-        n = np.bincount(shared, minlength=len(docs))
-        some = np.flatnonzero(n)
-        for i in range(0, len(some), 500_000):
-            s = some[i : i + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[s]), pa.array(n[s].astype(np.int64))], names=["doc_id", "n"])
+        n = np.bincount(owner[order[np.r_[False, twin] | np.r_[twin, False]]], minlength=base[-1]).astype(np.uint32)
+        rows = [(name, docs[some].tobytes(), own[some].tobytes()) for (name, docs, _, _), a, b in zip(blobs, base, base[1:]) if (some := (own := n[a:b]) > 0).any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["slice", "docs", "counts"])
+
+
+def summed_rows(batches):
+    """(doc_id, shared): the counts of a slice's documents over all buckets."""
+    slices: dict[int, list] = {}
+    for batch in batches:
+        for name, docs, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            slices.setdefault(name, []).append((np.frombuffer(docs, np.int64), np.frombuffer(counts, np.uint32)))
+    for blobs in slices.values():
+        docs, at = np.unique(np.concatenate([d for d, _ in blobs]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([c for _, c in blobs]))
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(n.astype(np.int64))], names=["doc_id", "shared"])
 
 
 def signature_rows(threshold: Fraction, n2: int, k2: int, most: int = 1 << 20):
@@ -349,8 +360,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     classes = materialize(classes)
 
     # only sets with enough shingles that other sets have can link
-    counted = texts.mapInArrow(shingle_rows(words, n), SHINGLES).repartition(n, "part").mapInArrow(shared_rows, "doc_id long, n long")
-    counted = counted.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    counted = texts.mapInArrow(shingle_rows(words, n), SHINGLES).repartition(n, "part").mapInArrow(shared_rows, COUNTS)
+    counted = counted.repartition(n, "slice").mapInArrow(summed_rows, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     able = counted.join(classes, counted["doc_id"] == classes["rep"]).where(F.col("shared") * t.denominator >= F.col("n") * t.numerator).select("rep", "copies")
     candidates = texts.join(able, texts["doc_id"] == able["rep"]).select("doc_id", "text", "copies")
     sets = materialize(candidates.mapInArrow(set_rows(words), "doc_id long, copies long, shingles binary"))
