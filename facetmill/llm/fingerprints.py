@@ -82,14 +82,12 @@ def neighbours(keys: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("version"), F.length(text).cast("long").alias("n_chars"), text.alias("text")
-    )
-    keys = materialize(rows.groupBy("doc_id", "version").agg(F.min("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("copies")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    keys = materialize(rows.groupBy("doc_id", "version").agg(F.min(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("copies")))
     asked = neighbours(keys.drop("copies")).select(
         F.col("next_id").alias("doc_id"), F.col("next_version").alias("version"), F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.floor(F.col("n_chars") / 3).cast("int").alias("take")
     )
-    # both joins take the texts by the same key, so Spark shuffles them once
+    # both joins take the same columns by the same key, so Spark shuffles the texts once
     given = rows.join(asked, ["doc_id", "version"]).select(
         F.col("_d").alias("doc_id"),
         F.col("_v").alias("version"),
@@ -100,7 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     if keys.agg(F.max("copies")).first()[0] not in (None, 1):  # a neighbour that stands in several equal rows gives the same each time
         given = given.dropDuplicates(["doc_id", "version"])
-    both = rows.join(given, ["doc_id", "version"])
+    both = rows.join(given, ["doc_id", "version"]).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("take")).cast("int")), F.col("tail"))
     both = both.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "text", edited.alias("edited"), "next_leaves", "next_sha")
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_leaves", "next_sha", tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"))
