@@ -25,7 +25,7 @@ def _key(name: str = "doc_id"):
 
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of documents to a table of doc_id (null matches null)."""
-    return docs.join(ids.select(_key().alias("_id")).distinct(), _key() == F.col("_id"), how)
+    return docs.join(ids.select(_key().alias("__kept_id")).distinct(), _key() == F.col("__kept_id"), how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     had = F.col("text").rlike(r"\S")
-    cut = suffix_dedup.without_repeats(docs.withColumn("_had", had)).where(F.col("text").isNull() | ~F.col("_had") | F.col("text").rlike(r"\S"))
+    cut = suffix_dedup.without_repeats(docs.withColumn("__had_text", had)).where(F.col("text").isNull() | ~F.col("__had_text") | F.col("text").rlike(r"\S"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut.select(*docs.columns)
 
 
@@ -53,8 +53,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = source_mix.mix(docs).where("taken > 0").select(_key().alias("_id"), "size", "source_size", "target", "taken").dropDuplicates(["_id"])
-    return docs.join(taken, _key() == F.col("_id")).drop("_id")
+    taken = source_mix.mix(docs).where("taken > 0").select(_key().alias("__kept_id"), "size", "source_size", "target", "taken").dropDuplicates(["__kept_id"])
+    return docs.drop("size", "source_size", "target", "taken").join(taken, _key() == F.col("__kept_id")).drop("__kept_id")
 
 
 STAGES = [

@@ -94,6 +94,8 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """Score of one word for each language, relative to the best; 1 letter in 3 or so is evidence of its own."""
+        if not self.langs:
+            return np.zeros(0, np.float32)
         s = self.log[gram_ids(word)].sum(axis=0) / 4
         s = np.where(self.allowed[script_of(word[0])], s, s.min() - 10)
         return s - s.max()

@@ -318,7 +318,8 @@ def with_removed(docs: DataFrame, fn, schema: str, columns: list[str], length: i
     """Join the repeated runs to the documents and hand each batch, with its runs, to fn."""
     runs = repeated_runs(docs, length)
     rows = docs.select(*columns)
-    joined = rows.join(runs.withColumnRenamed("doc_id", "_doc"), rows["doc_id"] == F.col("_doc"), "left").select(*columns, "runs")
+    runs = runs.select(F.col("doc_id").alias("__repeats_of"), F.col("runs").alias("__repeats"))
+    joined = rows.join(runs, rows["doc_id"] == F.col("__repeats_of"), "left").select(*columns, "__repeats")
     return joined.mapInArrow(fn, schema)
 
 
