@@ -50,7 +50,8 @@ def constant_columns(df: DataFrame) -> list[str]:
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
-    return df.select(*[quoted(c) for c in df.columns if c not in set(constant_columns(df))])
+    found = set(constant_columns(df))
+    return df.select(*[quoted(c) for c in df.columns if c not in found])
 
 
 def unique_columns(df: DataFrame, row_id: str | None = None) -> list[str]:
@@ -71,7 +72,8 @@ def unique_columns(df: DataFrame, row_id: str | None = None) -> list[str]:
 
 
 def drop_unique_columns(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    return df.select(*[quoted(c) for c in df.columns if c not in set(unique_columns(df, row_id))])
+    found = set(unique_columns(df, row_id))
+    return df.select(*[quoted(c) for c in df.columns if c not in found])
 
 
 def prepare_data(df: DataFrame, row_id: str | None = None) -> DataFrame:
