@@ -10,8 +10,8 @@ some n2 - k2 subparts.  The hash of the contents of each choice of n2 - k2 subpa
 sufficiently similar sets share one.
 
 What shares a signature is joined to a candidate group (a star for each signature, then connected components).  The
-sets of a group are compared exactly, in blocks of bounded size; each pair of blocks is a task of its own, so a large
-group is split.  Links give the components.
+sets of a group that are of like size are compared exactly, in blocks of bounded size; each pair of blocks is a group of
+rows of its own, so a large group is split.  Links give the components.
 
 Hot groups: equal sets are one class, represented by its smallest doc_id; a signature is reduced to one row for each
 input batch before the shuffle.
@@ -22,6 +22,7 @@ one shingle; rows that repeat a doc_id count as one node; a null doc_id is the s
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 from itertools import combinations
 
@@ -131,7 +132,7 @@ class Bands:
 
 
 def sets_of(batch: pa.RecordBatch, size: int):
-    for part in text_slices(batch):
+    for part in text_slices(batch, 2_000_000):
         raw, offsets = R.text_bytes(part.column(1))
         yield part, *shingle_hashes(raw, offsets, size)
 
@@ -308,17 +309,18 @@ def link_rows(threshold: Fraction):
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches):
-        for key, table in groups_of(batches, 3):
-            doc, block, copies = (table.column(c).to_numpy() for c in ("doc_id", "block", "copies"))
+        for key, table in groups_of(batches, 4):
+            doc, block, side, copies = (table.column(c).to_numpy() for c in ("doc_id", "block", "side", "copies"))
             sets = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
-            a, b, n = compare(doc, block, copies, sets, key[1] == key[2], num, den)
+            a, b, n = compare(doc, block, side, copies, sets, key[2] == key[3], num, den)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     return run
 
 
-def compare(doc, block, copies, sets, within: bool, num: int, den: int):
+def compare(doc, block, side, copies, sets, within: bool, num: int, den: int):
+    """Edges and numbers of links; two sets of side 1 meet in the next band, two of one block in that block's own task."""
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
     _, feature, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_inverse=True, return_counts=True)
@@ -337,7 +339,7 @@ def compare(doc, block, copies, sets, within: bool, num: int, den: int):
         begin, n = first[f], first[f + 1] - first[f]
         at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         common = np.bincount(listed[at], minlength=len(sets))
-        linked = (den * common >= num * (size[i] + size - common)) & (doc != doc[i])
+        linked = (den * common >= num * (size[i] + size - common)) & (doc != doc[i]) & ((side == 0) | (side[i] == 0))
         if not within:
             linked &= block != block[i]
         links[i] = copies[linked].sum()
@@ -369,14 +371,18 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     # what shares a signature, directly or by others, is compared
     signed = sets.select("doc_id", "shingles").mapInArrow(signature_rows(t, n2, k2), SIGNED).repartition(n, "sig")
     groups = connected_components(signed.mapInArrow(star_rows, "a long, b long"))
-    members = sets.join(groups, sets["doc_id"] == groups["node"])
-    sizes = members.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / F.lit(8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sets = members.join(sizes, "component").select("component", "doc_id", "copies", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "shingles")
+    # and of a group only sets of like size: of one band (side 0), or one of it and one of the next (side 1)
+    width = math.log(t.denominator / t.numerator) * 1.0001
+    band = F.floor(F.log(F.length("shingles") / F.lit(8)) / F.lit(width)).cast("int")
+    sides = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("side")), F.struct((band - 1).alias("band"), F.lit(1).alias("side"))))
+    members = sets.join(groups, sets["doc_id"] == groups["node"]).select("component", "doc_id", "copies", "shingles", sides.alias("x")).select("*", "x.band", "x.side").where("band >= 0")
+    sizes = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.min("side").alias("low"), F.ceil(F.sum(F.length("shingles")) / F.lit(8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
+    placed = members.join(sizes.where("m > 1 and low = 0"), ["component", "band"]).select("component", "band", "side", "doc_id", "copies", "blocks", block, "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("component", "block", other, "doc_id", "copies", "shingles").select(
-        "component", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "doc_id", "block", "copies", "shingles"
-    )
-    keyed = pairs.repartition(n, "component", "b1", "b2").sortWithinPartitions("component", "b1", "b2", "doc_id")
+    pairs = placed.select("*", other).select("component", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "doc_id", "block", "side", "copies", "shingles")
+    key = ["component", "band", "b1", "b2"]
+    keyed = pairs.repartition(n, *key).sortWithinPartitions(*key, "doc_id")
     links = materialize(keyed.mapInArrow(link_rows(t), "a long, b long, n long"))
 
     found = connected_components(links.select("a", "b"))
