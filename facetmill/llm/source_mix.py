@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), id_col: str = "doc_id
         placed.where(F.col("size") > 0)
         .withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(PASSES)])))
         .withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("upto")) / F.col("target"))
-        .withColumn("band", F.floor(F.least(F.col("finish"), F.lit(float(2 * PASSES))) * n_ranges))
+        .withColumn("band", F.floor(F.least(F.col("finish"), F.lit(float(2 * PASSES))) * (8 * n_ranges)))
     )
     bands = entries.groupBy("band").agg(F.sum("size").alias("band_size"))
     so_far = W.partitionBy(F.lit(0)).orderBy("band").rowsBetween(W.unboundedPreceding, -1)
