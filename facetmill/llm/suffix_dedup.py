@@ -233,7 +233,7 @@ def second_rows(length: int):
     return run
 
 
-def compare_windows(length: int, most_bytes: int = 16_000_000):
+def compare_windows(length: int, most_bytes: int = 4_000_000):
     """Second round: windows of the runs of one group against each other."""
 
     def repeats(h1, h2, doc, packed):
