@@ -1,11 +1,12 @@
 """Main text of web pages by site-template removal.
 
-Every block element outside a page's article is hashed as a subtree (tag, class, text, children).  Spark counts the
-pages of each host that hold each subtree; subtrees on many pages of their host are the site's template and are deleted.
-What is noise on any site goes as well: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments, by element, role and class name.  Nothing inside an article is deleted for being repeated.
+Every block element with text, inside an article or not, is hashed as a subtree (tag, class, text, children).  Spark counts
+on how many differing pages of its host each subtree stands (pages whose body without noise has equal text, such as copies of one
+page, count once); subtrees on at least MIN_PAGES differing pages and MIN_SHARE of the host's are the site's template and are deleted,
+in articles as well.  What is noise on any site goes too: menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments, by element, role and class name.
 
-The text is that of the page's articles, else of its main element, else of what is left of the body: character
+The text is that of the articles among what is left, else of the main element, else of the whole body: character
 references are decoded, white space inside a block becomes one blank, blocks are joined by one line break.
 
 Defined cases: null or empty html gives an empty text; unclosed and crossing tags are read as far as possible; pages
@@ -24,7 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import broadcast_if_small, materialize
+
 MIN_PAGES, MIN_SHARE = 5, 0.05
+MAX_BROADCAST = 200_000
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
@@ -128,31 +132,31 @@ class Page:
             out[i] = xxhash.xxh64_intdigest("\x1f".join(p for p in parts if p))
         return out
 
-    def roots(self) -> list[bool]:
-        """Whether each element stands in the page's main part: its articles, else its main element, else anywhere in the body."""
+    def roots(self, template: set[int]) -> list[bool]:
+        """Whether each element stands in the main part of what the site's template and noise leave: articles, else the main element, else the body."""
+        h = self.hashes() if template else ()
         article = self.inside(lambda i: self.tag[i] == "article")
-        gone = self.inside(lambda i: self.noise(i, article[i]))
+        gone = self.inside(lambda i: self.noise(i, article[i]) or (bool(template) and self.tag[i] in BLOCKS and h[i] in template))
         for own in (lambda i: self.tag[i] == "article", lambda i: self.tag[i] == "main" or "role=main" in self.name[i]):
             if any(own(i) and not gone[i] for i in range(1, len(gone))):
                 return [r and not g for r, g in zip(self.inside(own), gone)]
         return [not g for g in gone]
 
     def template_hashes(self) -> set[int]:
-        """Subtrees that may belong to the site's template: block elements neither in an article nor around one."""
-        fixed = [t in ("article", "main") for t in self.tag]
-        for i in range(len(fixed) - 1, 0, -1):
-            fixed[self.parent[i]] = fixed[self.parent[i]] or fixed[i]
-        article = self.inside(lambda i: self.tag[i] in ("article", "main"))
-        h = self.hashes()
-        return {h[i] for i in range(1, len(h)) if self.tag[i] in BLOCKS and self.tag[i] not in ("html", "body") and not fixed[i] and not article[i]}
+        """Subtrees that may belong to the site's template: all block elements with text, inside an article or not."""
+        h, full = self.hashes(), [False] * len(self.tag)
+        for i in range(len(full) - 1, -1, -1):
+            full[i] = any(full[x] if isinstance(x, int) else x.strip() for x in self.items[i])
+        return {h[i] for i in range(1, len(h)) if full[i] and self.tag[i] in BLOCKS and self.tag[i] not in ("html", "body")}
+
+    def content(self) -> int:
+        """Hash of the whole body's text without noise: pages that differ in it differ."""
+        article = self.inside(lambda i: self.tag[i] == "article")
+        gone = self.inside(lambda i: self.noise(i, article[i]))
+        return xxhash.xxh64_intdigest(" ".join("".join(text or " " for node, text in self.order if not gone[node]).split()))
 
     def text(self, template: set[int]) -> str:
-        keep = self.roots()
-        if template:
-            h = self.hashes()
-            article = self.inside(lambda i: self.tag[i] in ("article", "main"))
-            gone = self.inside(lambda i: h[i] in template and not article[i])
-            keep = [k and not g for k, g in zip(keep, gone)]
+        keep = self.roots(template)
         blocks: list[list[str]] = [[]]
         block_of = [0] * len(self.tag)
         for i in range(1, len(block_of)):
@@ -160,6 +164,8 @@ class Page:
         now = -1
         for node, text in self.order:
             if not keep[node]:
+                if self.tag[node] in BLOCKS:  # what stands before and after a deleted block is not one line
+                    now = -1
                 continue
             if block_of[node] != now or (not text and self.tag[node] in BLOCKS):
                 now = block_of[node]
@@ -176,33 +182,64 @@ def host_of(url):
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
+def signed(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, np.uint64).view(np.int64))
+
+
+def site_hashes(host: str, page: Page) -> list[int]:
+    """The page's subtrees as subtrees of this host; the first stands for the page itself."""
+    site = xxhash.xxh64_intdigest(host)
+    return [site, *(h ^ site for h in page.template_hashes())]
+
+
 def subtree_rows(batches):
     for batch in batches:
-        ids, hosts, hashes = [], [], []
-        for page, host, source in zip(*(c.to_pylist() for c in batch.columns)):
-            found = Page(source).template_hashes() if source else ()
-            ids += [page] * len(found)
+        found = [h for host, source in zip(*(c.to_pylist() for c in batch.columns)) if source for h in site_hashes(host, Page(source))]
+        yield pa.RecordBatch.from_arrays([signed(found)], names=["hash"])
+
+
+def page_subtree_rows(batches):
+    """The subtrees again, with their page and the hash of its content."""
+    for batch in batches:
+        ids, hosts, hashes, contents, whole = [], [], [], [], []
+        for page_id, host, source in zip(*(c.to_pylist() for c in batch.columns)):
+            page = Page(source) if source else None
+            found = site_hashes(host, page) if page else []
+            ids += [page_id] * len(found)
             hosts += [host] * len(found)
             hashes += found
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["page_id", "host", "hash"])
+            contents += [page.content()] * len(found) if page else []
+            whole += [i == 0 for i in range(len(found))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), signed(hashes), signed(contents), pa.array(whole, pa.bool_())], names=["page_id", "host", "hash", "content", "whole"])
 
 
 def text_rows(batches):
     for batch in batches:
-        texts = [Page(source).text({x & (1 << 64) - 1 for x in template or ()}) if source else "" for source, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = []
+        for host, source, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            site = xxhash.xxh64_intdigest(host)
+            texts.append(Page(source).text({x & (1 << 64) - 1 ^ site for x in template or ()}) if source else "")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def site_templates(hosted: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """(page_id, template): the subtrees of each page that belong to its site's template."""
+    often = hosted.select("host", "html").mapInArrow(subtree_rows, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    often = broadcast_if_small(materialize(often.select("hash")), MAX_BROADCAST)
+    # only what stands on enough pages at all is counted by differing pages
+    found = materialize(hosted.mapInArrow(page_subtree_rows, "page_id long, host string, hash long, content long, whole boolean").join(often, "hash"))
+    seen = found.groupBy("host", "hash", "whole").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages)
+    sizes = seen.where("whole").select("host", F.col("n").alias("pages"))
+    template = seen.where("not whole").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("hash")
+    template = broadcast_if_small(materialize(template), MAX_BROADCAST)
+    return found.where("not whole").join(template, "hash").groupBy("page_id").agg(F.collect_set("hash").alias("template"))
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    hosted = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    subtrees = hosted.mapInArrow(subtree_rows, "page_id long, host string, hash long")
-    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = subtrees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    template = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
-    own = subtrees.join(template, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("template"))
-    joined = pages.join(own.withColumnRenamed("page_id", "_p"), F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "template")
+    hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    own = site_templates(hosted.select("page_id", "host", "html"), min_pages, min_share)
+    joined = hosted.join(own.withColumnRenamed("page_id", "_p"), F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "host", "html", "template")
     return joined.mapInArrow(text_rows, EXTRACTED)
 
 

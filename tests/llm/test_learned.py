@@ -108,6 +108,19 @@ def test_templates(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_in_articles(spark):
+    box = "<div class='x7'><p>By the editors</p><p>Write to us</p></div>"
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div>before {i}{box}after</div></article><div>elsewhere {i}</div></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(12)] + [(20 + i, f"http://b.org/{i}", page(7)) for i in range(9)] + [(40, "http://c.org/", page(40))]
+    rows += [(60 + i, f"http://d.org/{i}", f"<body><article><p>teaser</p></article><div>own {i}</div><p>and {i}</p></body>") for i in range(6)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    text = {r.page_id: r.text for r in got.collect()}
+    assert all(text[i] == f"Title {i}\nbefore {i}\nafter" for i in range(12))  # the box goes, and does not join what stands around it
+    whole = "Title {0}\nbefore {0}\nBy the editors\nWrite to us\nafter"
+    assert {text[20 + i] for i in range(9)} == {whole.format(7)} and text[40] == whole.format(40)  # copies of one page count once
+    assert text[60] == "own 0\nand 0"  # an article that recurs is template: what is left decides
+
+
 def test_url_rules(spark):
     urls = ["http://x.net/a", "http://www.Example.NET/en/1?q", "https://example.com/de/2", "http://a.org/fr/", "http://a.org/frx", "http://example.net?x", "nothing", None, "http://com/zz#a/b", "ftp://u.org/a/fr/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, urls[0]])], "page_id long, url string").withColumn("path", F.lit("clash"))
