@@ -86,7 +86,8 @@ def correlated_column_groups(df: DataFrame, row_id: str) -> list[list[str]]:
 
     A part is a value of a text column or a two-valued number or boolean, seen as its set of rows; equal sets have equal
     fingerprints (count, sum and xor of row hashes) and are confirmed by an exact count of rows in which both or none
-    hold.  Other numeric pairs are judged by Pearson's r.
+    hold; where the first pair of parts of two columns is not confirmed, all their parts are counted.  Only one pair of
+    parts for each pair of columns reaches the driver.  Other numeric pairs are judged by Pearson's r.
     """
     fields = [f for f in df.schema.fields if f.name in _plain(df) and f.name != row_id]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
@@ -97,24 +98,32 @@ def correlated_column_groups(df: DataFrame, row_id: str) -> list[list[str]]:
     limits = df.agg(*[x for i, c in enumerate(numbers) for x in (F.min(as_number[c]).alias(f"a{i}"), F.max(as_number[c]).alias(f"b{i}"), F.approx_count_distinct(as_number[c], 0.01).alias(f"d{i}"), F.count(as_number[c]).alias(f"n{i}"))], F.count(F.lit(1)).alias("n")).first()
     two = [c for i, c in enumerate(numbers) if limits[f"d{i}"] == 2 and limits[f"n{i}"] == limits["n"]]
     high = {c: limits[f"b{numbers.index(c)}"] for c in two}
-    holds = F.array(
-        *[F.struct(F.lit(c).alias("col"), quoted(c).alias("val")) for c in text],
-        *[F.struct(F.lit(c).alias("col"), F.when(as_number[c] == high[c], F.lit("high")).alias("val")) for c in two],
-    )
+    part_of = {c: quoted(c) for c in text} | {c: F.when(as_number[c] == high[c], F.lit("high")) for c in two}
+    holds = F.array(*[F.struct(F.lit(c).alias("col"), v.alias("val")) for c, v in part_of.items()])
     pairs: set[tuple[str, str]] = set()
     if text or two:
         row = F.xxhash64(quoted(row_id).cast("string"))
         cells = df.select(row.alias("h"), F.explode(holds).alias("x")).select("h", "x.col", "x.val").where("val is not null")
         prints = cells.groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).where(F.col("n") < limits["n"])
-        same = prints.groupBy("n", "s", "x").agg(F.array_sort(F.collect_set(F.struct("col", "val"))).alias("parts")).where("size(parts) > 1")
-        found = {(p["col"], p["val"]) for r in same.limit(10_000).collect() for p in r["parts"]}
-        together = [[tuple(p) for p in r["parts"]] for r in same.limit(10_000).collect()] if found else []
+        # of parts with equal fingerprints one a column, and of those one pair of parts for each pair of columns: at most c * c
+        firsts = prints.groupBy("n", "s", "x", "col").agg(F.min("val").alias("val"))
+        same = firsts.groupBy("n", "s", "x").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("parts")).where("size(parts) > 1")
+        couples = F.expr("flatten(transform(parts, (a, i) -> transform(slice(parts, i + 2, size(parts)), b -> named_struct('a', a, 'b', b))))")
+        likely = same.select(F.explode(couples).alias("p")).groupBy("p.a.col", "p.b.col").agg(F.min("p").alias("p")).select("p").collect()
+        checks = sorted((tuple(r["p"]["a"]), tuple(r["p"]["b"])) for r in likely)
         is_part = lambda p: F.coalesce((as_number[p[0]] == high[p[0]]) if p[0] in high else (quoted(p[0]) == p[1]), F.lit(False))
-        checks = [(a, b) for g in together for a, b in zip(g, g[1:]) if a[0] != b[0]]
         for i in range(0, len(checks), 200):
             part = checks[i : i + 200]
             off = df.agg(*[F.coalesce(F.sum((is_part(a) != is_part(b)).cast("long")), F.lit(0)).alias(f"c{j}") for j, (a, b) in enumerate(part)]).first()
             pairs |= {(a[0], b[0]) for j, (a, b) in enumerate(part) if off[f"c{j}"] == 0}
+        # where that pair only looks equal, all parts of the two columns are counted
+        rest = [(a[0], b[0]) for a, b in checks if (a[0], b[0]) not in pairs]
+        if rest:
+            met = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), part_of[a].alias("a_val"), F.lit(b).alias("b"), part_of[b].alias("b_val")) for a, b in rest]))
+            both = df.select(met.alias("x")).select("x.*").where("a_val is not null and b_val is not null").groupBy("a", "a_val", "b", "b_val").agg(F.count(F.lit(1)).alias("n"))
+            for end in ("a", "b"):
+                both = both.join(prints.select(F.col("col").alias(end), F.col("val").alias(f"{end}_val"), "n"), [end, f"{end}_val", "n"])
+            pairs |= {(r["a"], r["b"]) for r in both.select("a", "b").distinct().collect()}
     numeric = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
     for i in range(0, len(numeric), 200):
         part = numeric[i : i + 200]

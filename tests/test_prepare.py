@@ -33,6 +33,18 @@ def test_correlated(spark, table):
     assert "u2" not in kept.columns and unknown == ["kn"]
 
 
+def test_correlated_beside_many_values(spark, monkeypatch):
+    rest = lambda i, side: F.concat(F.lit(side), (F.col("id") % (7 + 2 * i + (side == "b"))).cast("string"))
+    few = [F.when(F.col("id").isin(i, i + 10), "two").otherwise(rest(i, side)).alias(f"p{i}_{side}") for i in range(6) for side in "ab"]
+    df = spark.range(40_000).select("id", F.concat(F.lit("l"), "id").alias("left"), F.concat(F.lit("r"), "id").alias("right"), *few)
+    want = [["left", "right"], *[[f"p{i}_a", f"p{i}_b"] for i in range(6)]]
+    assert P.correlated_column_groups(df, "id") == want
+    small = spark.createDataFrame([(i, "a" if i < 2 else "b" if i < 4 else f"u{i}", "x" if i in (1, 2) else "z" if i < 2 or i == 5 else None, "m" if i in (2, 3) else None) for i in range(8)], "id int, s string, t string, u string")
+    want = P.correlated_column_groups(small, "id")
+    monkeypatch.setattr(P.F, "xxhash64", lambda *c: F.lit(1).cast("long"))  # all parts of equal size look equal
+    assert P.correlated_column_groups(small, "id") == want == [["s", "u"]]
+
+
 def test_buckets(spark):
     df = spark.createDataFrame([(i, dt.datetime(2021, m, 5, h)) for i, (m, h) in enumerate([(1, 6), (4, 12), (7, 21), (10, 22)])] + [(9, None)], "id int, t timestamp")
     bucket = lambda kind: [r.t for r in P.bucket_datetime(df, "t", kind).orderBy("id").collect()]
