@@ -17,7 +17,8 @@ Hot groups: equal sets are one class, represented by its smallest doc_id; a sign
 input batch before the shuffle.
 
 Defined cases: null or wordless text has no shingles and links with nothing; a text of fewer words than a shingle is
-one shingle; rows that repeat a doc_id count as one node; a null doc_id is the smallest node; extra columns are ignored.
+one shingle; rows that repeat a doc_id count as one node; rows without a doc_id are one node for each text, below the others, and a
+component whose smallest node is one has a null component_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ from .suffix_dedup import text_slices
 
 NO_ID = -(1 << 63)
 BLOCK_SHINGLES = 2_000_000
-INFO = "doc_id long, n_shingles long, s1 long, s2 long"
+INFO = "doc_id long, unnamed boolean, n_shingles long, s1 long, s2 long"
 SHINGLES = "part int, slice long, docs binary, owners binary, hashes binary"
 COUNTS = "slice long, docs binary, counts binary"
-SIGNED = "sig long, a long, b long"  # b: the other end of an edge that is known already, else null
+SIGNED = "sig long, a long, b long, known boolean"  # known: a and b are an edge already, else a has the signature
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -145,7 +146,7 @@ def info_rows(size: int):
                 sums = [np.zeros(part.num_rows, U) for _ in range(2)]
                 for s, seed in zip(sums, (0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)):
                     np.add.at(s, row, R.mix(h * U(seed)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), *(pa.array(R.signed(s)) for s in sums)], names=["doc_id", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *(pa.array(R.signed(s)) for s in sums)], names=["doc_id", "unnamed", "n_shingles", "s1", "s2"])
 
     return run
 
@@ -221,10 +222,10 @@ def signature_rows(threshold: Fraction, n2: int, k2: int, most: int = 1 << 20):
                 row = np.repeat(np.arange(begin, end), [len(x) for x in sets[begin:end]])
                 found = list(bands.signatures(row, np.concatenate(sets[begin:end])))
                 begin = end
-                sig, a, b = settle(np.concatenate([x for _, x in found]), doc[np.concatenate([r for r, _ in found])])
+                sig, a, b, known = settle(np.concatenate([x for _, x in found]), doc[np.concatenate([r for r, _ in found])])
                 for i in range(0, len(sig), 500_000):
                     s = slice(i, i + 500_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(R.signed(sig[s])), pa.array(a[s]), pa.array(b[s])], names=["sig", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(R.signed(sig[s])), pa.array(a[s]), pa.array(b[s]), pa.array(known[s])], names=["sig", "a", "b", "known"])
 
     return run
 
@@ -250,14 +251,14 @@ def settle(sig: np.ndarray, doc: np.ndarray):
     other = ~head & (doc != first)
     a, b = distinct_edges(doc[other], first[other])
     spread = R.mix(a.view(U) * U(0x9E3779B97F4A7C15) + b.view(U))
-    nothing = np.full(int(head.sum()), NO_ID)
-    return np.concatenate([sig[head], spread]), np.concatenate([doc[head], a]), np.concatenate([nothing, b])
+    n = int(head.sum())
+    return np.concatenate([sig[head], spread]), np.concatenate([doc[head], a]), np.concatenate([np.zeros(n, np.int64), b]), np.repeat([False, True], [n, len(a)])
 
 
 def star_rows(batches):
     """Edges from the smallest document of each signature to its others."""
-    sig, a, b = R.table_of(batches, "sab")
-    known = b != NO_ID
+    sig, a, b, known = R.table_of(batches, ["sig", "a", "b", "known"])
+    known = known.astype(bool)
     edges = [distinct_edges(a[known], b[known])]
     sig, doc = sig[~known], a[~known]
     order = np.lexsort([doc, sig])
@@ -356,8 +357,13 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the other rows that it links with."""
     t = Fraction(threshold)
     n = partitions(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    info = materialize(texts.mapInArrow(info_rows(words), INFO))
+    key = F.col(id_col).cast("long")
+    node = F.coalesce(key, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 16))  # rows without an id are told apart by text
+    rows = docs.select(node.alias("doc_id"), F.col(text_col).alias("text"), key.isNull().alias("unnamed"))
+    texts = rows.select("doc_id", "text")
+    info = materialize(rows.mapInArrow(info_rows(words), INFO))
+    unnamed = info.where("unnamed").select(F.col("doc_id").alias("_unnamed")).distinct()
+    some_unnamed = not unnamed.isEmpty()
     classes = info.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     classes = materialize(classes)
 
@@ -365,7 +371,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     counted = texts.mapInArrow(shingle_rows(words, n), SHINGLES).repartition(n, "part").mapInArrow(shared_rows, COUNTS)
     counted = counted.repartition(n, "slice").mapInArrow(summed_rows, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     able = counted.join(classes, counted["doc_id"] == classes["rep"]).where(F.col("shared") * t.denominator >= F.col("n") * t.numerator).select("rep", "copies")
-    candidates = texts.join(able, texts["doc_id"] == able["rep"]).select("doc_id", "text", "copies")
+    single = rows.where("not unnamed").unionByName(rows.where("unnamed").dropDuplicates(["doc_id"])) if some_unnamed else texts
+    candidates = single.join(able, single["doc_id"] == able["rep"]).select("doc_id", "text", "copies")
     sets = materialize(candidates.mapInArrow(set_rows(words), "doc_id long, copies long, shingles binary"))
 
     # what shares a signature, directly or by others, is compared
@@ -390,13 +397,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     ends = classes.join(found, classes["rep"] == found["node"], "left").join(counts, classes["rep"] == counts["a"], "left")
     ends = ends.select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = info.join(ends, ["s1", "s2"], "left")
-    real = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(
-        real(F.col("doc_id")).alias("doc_id"),
+    out = out.select(
+        F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"),
         "n_shingles",
-        real(F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce("component_id", info["doc_id"]).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+    if some_unnamed:  # a component of which the smallest node has no id has none either
+        out = out.join(unnamed, out["component_id"] == unnamed["_unnamed"], "left").select("doc_id", "n_shingles", F.when(F.col("_unnamed").isNull(), F.col("component_id")).alias("component_id"), "n_links")
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,19 @@ def test_jaccard_blocks_and_cases(spark, docs, rows, empty, monkeypatch):
     assert sorted(str(r.component_id) for r in jaccard_join.jaccard_components(some).collect()) == ["9", "None", "None", "None"]
 
 
+def test_jaccard_null_ids(spark):
+    """Documents without an id inside groups of near copies; each text without one is a node of its own."""
+    near = lambda seed: [" ".join([*(f"w{seed}x{i}" for i in range(100)), *(["end"] * k)]) for k in range(4)]
+    a, b, c = near(1), near(2), near(3)
+    rows = [(-900, a[0]), (5, a[1]), (7, a[2]), (-900, a[0]), (-800, b[0]), (9, b[1]), (-700, "alone here now"), (11, c[0]), (12, c[1]), (-600, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))).coalesce(1)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard_join.jaccard_components(df).collect())
+    want = brute.components([(i, t) for i, (_, t) in enumerate(rows)])
+    name = lambda i: str(rows[i][0] if rows[i][0] > 0 else None)
+    assert got == sorted((name(i), n, name(k), links) for i, (n, k, links) in want.items())
+    assert sum(g[3] for g in got) > 10
+
+
 def test_signatures_meet():
     """Every pair at the threshold shares a signature, whatever its sizes."""
     from fractions import Fraction
