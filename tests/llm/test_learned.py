@@ -1,5 +1,6 @@
 """Learnt operators by held-out accuracy, page operators by worked cases, and the pipeline by stages."""
 
+import collections
 import itertools
 import random
 
@@ -64,11 +65,49 @@ def test_quality_cases(spark):
 
 
 def test_viterbi_against_all_paths():
+    """Every path of thousands of random texts, several walked at once; two other languages that share one switch included."""
     r = np.random.default_rng(0)
-    for _ in range(200):
-        s = r.normal(size=(int(r.integers(1, 7)), 3)) * 3
-        value = lambda p: sum(s[i, x] for i, x in enumerate(p)) - 2 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023,E731
-        assert abs(max(map(value, itertools.product(range(3), repeat=len(s)))) - value(language_id.best_path(s, 2.0))) < 1e-9
+    for _ in range(1500):
+        sizes = r.integers(0, 7, 3)
+        s, switch = r.normal(size=(sizes.sum(), 3)) * 3, float(r.choice([0.5, 2.0, 5.0]))
+        path = language_id.best_paths(s, sizes, switch)
+        for end, n in [(e, n) for e, n in zip(np.cumsum(sizes), sizes) if n]:
+            own, got = s[end - n : end], path[end - n : end]
+            paths = np.array(list(itertools.product(range(3), repeat=int(n)))).reshape(-1, n)
+            values = own[np.arange(n), paths].sum(axis=1) - switch * (paths[:, 1:] != paths[:, :-1]).sum(axis=1)
+            value = own[np.arange(n), got].sum() - switch * (got[1:] != got[:-1]).sum()
+            assert abs(values.max() - value) < 1e-9
+    assert language_id.best_paths(np.array([[0, 20, -30], [0, -30, 20.0]]), np.array([2]), 25.0).tolist() == [1, 2]
+
+
+def test_language_model_by_hand(spark):
+    """The counts behind the model do not depend on partitions, and the scores follow from them."""
+    r = random.Random(6)
+    texts = [(i, k, " ".join(r.choice(w) for _ in range(r.randint(1, 90)))) for i in range(40) for k, w in (("a", ["the", "cat", "sat", "ǆ"]), ("b", ["кот", "сел", "the"]))]
+    taught = spark.createDataFrame([*texts, (99, None, "no say"), (98, "a", None)], "key long, lang string, text string")
+    one, many = language_id.learn(taught.coalesce(1)), language_id.learn(taught.repartition(50))
+    assert one.langs == ["a", "b"] and (one.log == many.log).all() and (one.allowed == many.allowed).all()
+    seen = {k: collections.Counter(w for _, x, t in texts if x == k for w in t.lower().split()) for k in "ab"}
+    totals = [sum((1 + int(np.log2(n))) * sum(len(w) + 3 - m for m in (1, 2, 3, 4)) for w, n in seen[k].items()) for k in "ab"]
+    p = np.exp(one.log.astype(float))
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-4) and np.allclose(p.min(axis=0), [0.5 / (t + 0.5 * language_id.GRAMS) for t in totals])
+    s = one.scores(["кот", "cat"])
+    assert s[0, 1] == s[1, 0] == 0 and s[0, 0] < -5 and s[1, 1] < -5
+
+
+def test_language_cases(spark):
+    """Long texts, words cut at a piece's end, an empty table, extra columns, equal scores."""
+    taught = spark.createDataFrame([(i, k, t) for i in range(20) for k, t in (("en", "the cat and the dog"), ("de", "der hund und die katze"))], "key long, lang string, text string")
+    model = language_id.learn(taught)
+    long = "the cat and the dog " * 60_000 + "der hund und die katze " * 30_000
+    cases = [(1, long, False), (2, "x" * 2_500_000, True), (3, "² ³", False), (None, "der hund", None)]
+    docs = spark.createDataFrame(cases, "doc_id long, text string, held_out boolean").withColumn("score", F.lit(7)).withColumn("spans", F.lit("clash"))
+    out = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert [(s.begin, s.end, s.lang) for s in out[1].spans] == [(0, 300_000, "en"), (300_000, 450_000, "de")] and out[1].lang_pred == "en"
+    assert len(out[2].spans) == 1 and out[3].lang_pred == "und" and out[3].score == 0 and out[None].lang_pred == "de"
+    assert language_id.predict(docs.where("false"), model).count() == 0
+    tie = language_id.learn(spark.createDataFrame([(1, k, "same words here") for k in ("q", "p")], taught.schema))
+    assert language_id.predict(docs.where("doc_id is null"), tie).first().lang_pred == "p"
 
 
 def test_languages(spark, sf):
