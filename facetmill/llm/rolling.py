@@ -65,6 +65,27 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def byte_words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, in the order of the bytes (a view; the last 7 places have none)."""
+    return np.ndarray(max(0, len(data) - 7), ">u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers by their distance to the least one, in as few bytes each as do."""
+    base = int(x.min())
+    span = int(x.max()) - base
+    width = next(w for w in (0, 1, 2, 4, 8) if span < 1 << (8 * w))
+    rest = (x.view(U) - np.array([base], np.int64).view(U)).astype(f"u{width}") if width else np.zeros(0, np.uint8)
+    return base.to_bytes(8, "little", signed=True) + bytes([width]) + rest.tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    base, width = int.from_bytes(blob[:8], "little", signed=True), blob[8]
+    if not width:
+        return np.full(n, base, np.int64)
+    return (np.frombuffer(blob, f"u{width}", n, 9).astype(U) + np.array([base], np.int64).view(U)).view(np.int64)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

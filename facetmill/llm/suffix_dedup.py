@@ -5,20 +5,25 @@ earlier in the same one.  Every byte of a repeat goes.
 
 Suffixes.  Of every window only one suffix is looked at, the one at its anchor: the leftmost ANCHOR-byte string of
 least hash in it.  Equal windows have equal anchors at equal places, so no match is lost, while only about one
-position in forty is an anchor.  Neighbouring windows with one anchor form a run; a run travels as its anchor's leading
-bytes with a hash of the anchor, a hash of the run's whole bytes, and its place.
+position in thirty-five is an anchor.  Neighbouring windows with one anchor form a run.  A run travels with the suffix's
+leading WORDS * 8 bytes, a hash of all its bytes, and its place.
 
-Sort.  Spark samples splitters and range-partitions the runs by leading bytes; each bucket is sorted locally by
-multikey quicksort (leading bytes, then the run's bytes, then place) and neighbours are compared: a run equal to an
-earlier one is repeated whole.  Runs that share an anchor but differ, and the runs of an anchor at either end of a
-bucket, which may go on in the next bucket, are compared window by window in a second round: their bytes meet by anchor, or,
-where an anchor has very many different runs, their windows meet by hash.  Bytes are equal if 128 bits of hash are.
+Sort.  Splitters (leading bytes and hash) are sampled from some documents; every input batch sorts its suffixes by
+multikey quicksort and deals them, cut at the splitters, to their ranges.  Each range is sorted locally by multikey
+quicksort again: leading bytes, then the hash that stands for the bytes that follow, then place; neighbours are compared, and a run equal to an earlier one is repeated whole.
+Suffixes that agree in their leading bytes but not in the rest go to a second round, in which all their windows are
+sorted by all their bytes (multikey: eight at a time, only what is still equal looks on) and neighbours are compared over LENGTH bytes.
 
-Hot strings: what repeats inside one input batch is settled there and rides along under a random key, so that a
-string in a third of all rows reaches a bucket once for each input batch at most.
+Boundaries.  A splitter may fall among suffixes with equal leading bytes, as it does where one string is very frequent.
+The groups at either side of such a boundary, and those with more than LARGE_GROUP differing runs, are compared window by
+window across ranges: their windows meet by hash (128 bits stand for the bytes), no group meets in one task.
 
-Defined cases: null text is empty; texts shorter than LENGTH lose nothing; rows that repeat a doc_id count as one
-place, each of them gets a result; rows with a null doc_id lose nothing, but stand first; extra columns are ignored.
+Hot strings: of what repeats inside one input batch only the first goes to a range, so that a string in a third of all
+rows reaches it once for each input batch at most.
+
+Defined cases: null text is empty; texts shorter than LENGTH lose nothing, and longer ones are looked at whole, however long; rows that repeat
+a doc_id count as one place if their texts are equal, each of them gets a result; if not, they stand in order of a hash of their text; rows with
+a null doc_id stand first, as rows of one id; equal strings: all but the first go; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +37,20 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .rolling import U
-from .shared import documents, materialize, partitions
+from .shared import documents, materialize, partitions, with_row_key
 
 LENGTH, ANCHOR = 100, 32
+WORDS = 3  # words of 8 leading bytes of a suffix that travel
 CHUNK = 1 << 19  # starts that are hashed at once
-# A run of n windows from byte `start` on is start * 256 + n; ~run (a negative number): known to be a repeat
-RUNS = "g long, h long, doc_id long, run long"
-# kind 1: repeat; 2: to be compared with its group; 3: the same, in a group that is large or may lie in several buckets
-FOUND = "doc_id long, run long, g long, kind int"
-SECOND = "g long, h long, doc_id long, run long, bytes binary"
+SAMPLED = 20  # documents sampled for the splitters, for each range; it decides on the ranges' balance only
 LARGE_GROUP = 20_000
+KEY = ["__id", "__version"]  # what tells documents apart, see shared.with_row_key
+# A run of n windows from byte `start` on is start * 256 + n
+PACKED = "range int, n int, repeat boolean, lead binary, content binary, id binary, version binary, start binary, size binary"
+# kind 1: repeat; 2: to be compared with its group; 3: the same, in a group that is large or lies in several ranges
+FOUND = "__id long, __version long, run long, g long, kind int"
+# kind 0: a run with its bytes; 1: a window, of which h is a second hash; 2: a window known to be a repeat
+SECOND = "g long, h long, kind int, __id long, __version long, run long, bytes binary"
 
 
 def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
@@ -65,12 +74,6 @@ def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return out
 
 
-def earlier_twin(same: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """In sorted rows: equal in key to the row before (same) and standing later than the first of its group."""
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    return same & ((doc != doc[first]) | (place != place[first]))
-
-
 def equal_to_previous(*columns: np.ndarray) -> np.ndarray:
     same = np.ones(len(columns[0]), bool)
     same[:1] = False
@@ -79,8 +82,32 @@ def equal_to_previous(*columns: np.ndarray) -> np.ndarray:
     return same
 
 
+def later_twin(same: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """In sorted rows: equal to the row before (same) and standing later than the first of its group."""
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return same & np.logical_or.reduce([p != p[first] for p in place])
+
+
+def sorted_by_bytes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings data[at : at + length], and whether each is equal to the one before: multikey, 8 bytes at a time."""
+    words = R.byte_words(data)
+    word = words[at]
+    order = np.argsort(word, kind="stable")
+    same = equal_to_previous(word[order])
+    for level in [*range(8, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        if not len(tied):
+            break
+        mine = order[tied]
+        word, group = words[at[mine] + level], np.cumsum(~same[tied])
+        by = np.lexsort([word, group])
+        order[tied], word = mine[by], word[by]
+        same[tied] &= np.r_[False, word[1:] == word[:-1]]
+    return order, same
+
+
 def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """(row, start, windows, group word, content hash) of each run of windows that share an anchor."""
+    """(row, start, windows, leading words, content hash) of each run of windows that share an anchor."""
     out = []
     w = length - anchor + 1
     for c in range(0, max(0, len(raw) - length + 1), CHUNK):
@@ -104,14 +131,11 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
             continue
         stop = np.flatnonzero(valid & np.r_[head[1:] | ~valid[1:], True]) + 1
         row = np.searchsorted(offsets, start + c, side="right") - 1
-        a = at[start]
-        lead = np.zeros(len(a), U)
-        for i in range(4):
-            lead = (lead << U(8)) | data[a + i].astype(U)
-        group = (lead << U(32)) | (grams[a] >> U(32))
-        out.append((row, start + c - offsets[row], stop - start, group, R.substring_hash(p, start, stop + length - 1)))
+        words = R.byte_words(data)
+        lead = [words[at[start] + 8 * i] for i in range(WORDS)]
+        out.append((row, start + c - offsets[row], stop - start, *lead, R.substring_hash(p, start, stop + length - 1)))
     if not out:
-        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U)]
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, *[U] * (WORDS + 1))]
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -129,62 +153,124 @@ def text_slices(batch: pa.RecordBatch, most: int = 8_000_000):
         yield batch.slice(begin)
 
 
-def settle_locally(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
-    """Of rows with equal keys in one batch, those after the first are repeats for sure: they get a random key."""
-    order = np.lexsort([place, doc, *keys[::-1]])
-    again = np.zeros(len(order), bool)
-    again[order] = earlier_twin(equal_to_previous(*[k[order] for k in keys]), doc[order], place[order])
-    spread = R.mix(doc.view(U) * U(0x9E3779B97F4A7C15) + place.view(U))
-    return [np.where(again, R.mix(spread + U(i)), k) for i, k in enumerate(keys)], again
+def sorted_runs(batch: pa.RecordBatch, length: int, anchor: int):
+    """A slice (id, text, version): its runs in suffix order (keys; id, version, start, windows) and whether an earlier one of the slice is equal."""
+    raw, offsets = R.text_bytes(batch.column(1))
+    row, start, n, *keys = runs_of(raw, offsets, length, anchor)
+    doc, version = (R.ids(batch.column(i))[row] for i in (0, 2))
+    order = multikey_quicksort([*keys, doc, version, start])
+    keys, place = [k[order] for k in keys], [x[order] for x in (doc, version, start)]
+    return keys, [*place, n[order]], later_twin(equal_to_previous(*keys), *place)
 
 
-def run_rows(length: int, anchor: int):
+def sampled_rows(length: int, anchor: int, each: int = 4):
+    """Keys of some suffixes of every slice, evenly spaced in suffix order."""
+
     def run(batches):
         for whole in batches:
-            found = []
             for batch in text_slices(whole):
-                raw, offsets = R.text_bytes(batch.column(1))
-                row, start, n, group, content = runs_of(raw, offsets, length, anchor)
-                found.append((R.ids(batch.column(0))[row], start, n, group, content))
-            doc, start, n, group, content = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, U)] * 2
-            if not len(doc):
-                continue
-            (group, content), again = settle_locally([group, content], doc, start)
-            packed = start * 256 + n
-            packed = np.where(again, ~packed, packed)
-            for i in range(0, len(doc), 200_000):
-                s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (R.signed(group ^ U(1 << 63)), R.signed(content), doc, packed)], names=["g", "h", "doc_id", "run"])
+                keys, _, again = sorted_runs(batch, length, anchor)
+                keys = [k[~again] for k in keys]
+                step = max(1, len(keys[0]) // (each * batch.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(k[step // 2 :: step].view(np.int64)) for k in keys], names=[f"k{i}" for i in range(len(keys))])
 
     return run
 
 
-def compare_bucket(batches):
-    """One bucket of the suffix array: sort, compare neighbours, and name what must be compared by window."""
-    g, h, doc, packed = R.table_of(batches, "ghdr")
-    known = packed < 0
-    yield from found_rows(doc[known], ~packed[known], g[known], 1)
-    g, h, doc, packed = [x[~known] for x in (g, h, doc, packed)]
-    if len(g):
-        order = multikey_quicksort([g, h, doc, packed])
-        g, h, doc, packed = [x[order] for x in (g, h, doc, packed)]
-        same_g, same = equal_to_previous(g), equal_to_previous(g, h)
-        repeat = earlier_twin(same, doc, packed)
-        head = np.flatnonzero(~same_g)
-        size = np.diff(np.r_[head, len(g)])
-        wide = np.add.reduceat((~same).astype(np.int64), head) > LARGE_GROUP
-        wide[0] = wide[-1] = True  # their anchor may go on across the bucket's boundary
-        mixed = np.repeat(wide | np.logical_or.reduceat(same_g & ~same, head), size)
-        wide = np.repeat(wide, size)
-        yield from found_rows(doc[repeat], packed[repeat], g[repeat], 1)
-        for kind, rows in ((2, mixed & ~same & ~wide), (3, mixed & ~same & wide)):
-            yield from found_rows(doc[rows], packed[rows], g[rows], kind)
-
-
-def found_rows(doc: np.ndarray, packed: np.ndarray, g: np.ndarray, kind: int):
+def splitters(texts: DataFrame, n: int, length: int, anchor: int) -> np.ndarray:
+    """(n - 1, WORDS + 1) keys that cut the suffixes into about equal ranges, from about SAMPLED * n documents."""
+    total = texts.count()
+    share = int(min(1.0, SAMPLED * n / max(1, total)) * (1 << 30))
+    some = texts.where(F.pmod(F.xxhash64(*KEY), F.lit(1 << 30)) < share).select("__id", "text", "__version")
+    found = some.mapInArrow(sampled_rows(length, anchor), ", ".join(f"k{i} long" for i in range(WORDS + 1))).toArrow()  # some 80 n rows
+    keys = [c.to_numpy().view(U) for c in found.columns]
+    order = np.lexsort(keys[::-1])
+    at = order[np.arange(1, n) * len(order) // n] if len(order) else order
+    return np.stack([k[at] for k in keys], axis=1) if len(at) else np.zeros((0, WORDS + 1), U)
+
+
+def cut_at(splits: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Where in sorted rows each range begins and ends."""
+    cuts = [0]
+    for split in splits:
+        a, b = 0, len(keys[0])
+        for k, word in zip(keys, split):
+            a, b = a + np.searchsorted(k[a:b], word, side="left"), a + np.searchsorted(k[a:b], word, side="right")
+        cuts.append(int(a))
+    return np.array([*cuts, len(keys[0])])
+
+
+def run_rows(splits: np.ndarray, length: int, anchor: int):
+    """The runs of every slice, dealt to the ranges and packed."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in text_slices(whole):
+                keys, place, again = sorted_runs(batch, length, anchor)
+                rows = []
+                known = [x[again] for x in place]
+                if len(known[0]):  # what is repeated for sure rides along, under any range
+                    rows.append(((int(known[0][0]) * 31 + int(known[2][0])) % (len(splits) + 1), len(known[0]), True, b"", b"", *map(R.packed, known)))
+                keys, place = [k[~again] for k in keys], [x[~again] for x in place]
+                cuts = cut_at(splits, keys)
+                for i in np.flatnonzero(np.diff(cuts)):
+                    s = slice(cuts[i], cuts[i + 1])
+                    lead = np.stack([k[s] for k in keys[:-1]], axis=1).astype(">u8")
+                    rows.append((int(i), int(cuts[i + 1] - cuts[i]), False, lead.tobytes(), keys[-1][s].tobytes(), *(R.packed(x[s]) for x in place)))
+                if rows:
+                    kinds = [pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["range", "n", "repeat", "lead", "content", "id", "version", "start", "size"])
+
+    return run
+
+
+def compare_range(splits: np.ndarray):
+    """One range of the suffix array: sort, compare neighbours, and name what must be compared by window."""
+
+    def run(batches):
+        ranges: dict[int, list] = {}
+        for batch in batches:
+            for at, n, repeat, lead, content, *place in zip(*(c.to_pylist() for c in batch.columns)):
+                doc, version, start, size = (R.unpacked(x, n) for x in place)
+                if repeat:
+                    yield from found_rows(doc, version, start * 256 + size, np.zeros(n, np.int64), 1)
+                else:
+                    ranges.setdefault(at, []).append((*np.frombuffer(lead, ">u8").reshape(n, -1).astype(U).T, np.frombuffer(content, U), doc, version, start, size))
+        for at in sorted(ranges):
+            *keys, doc, version, start, size = [np.concatenate(x) for x in zip(*ranges.pop(at))]
+            order = multikey_quicksort([*keys, doc, version, start])
+            keys, (doc, version, start, size) = [k[order] for k in keys], [x[order] for x in (doc, version, start, size)]
+            same_lead, same = equal_to_previous(*keys[:-1]), equal_to_previous(*keys)
+            repeat = later_twin(same, doc, version, start)
+            head = np.flatnonzero(~same_lead)
+            wide = np.add.reduceat((~same).astype(np.int64), head) > LARGE_GROUP
+            for end, split in ((0, at - 1), (-1, at)):  # a group that the splitter cuts goes on in the next range
+                if 0 <= split < len(splits) and all(k[end] == word for k, word in zip(keys[:-1], splits[split])):
+                    wide[end] = True
+            count = np.diff(np.r_[head, len(order)])
+            mixed = np.repeat(wide | np.logical_or.reduceat(same_lead & ~same, head), count)
+            wide = np.repeat(wide, count)
+            g, packed = R.signed(group_word(keys[:-1])), start * 256 + size
+            yield from found_rows(doc[repeat], version[repeat], packed[repeat], g[repeat], 1)
+            for kind, rows in ((2, mixed & ~same & ~wide), (3, mixed & ~same & wide)):
+                yield from found_rows(doc[rows], version[rows], packed[rows], g[rows], kind)
+
+    return run
+
+
+def group_word(lead: list[np.ndarray]) -> np.ndarray:
+    """One word that names the leading bytes, to bring their runs together."""
+    g = R.mix(lead[0])
+    for k in lead[1:]:
+        g = R.mix(g * U(0xA24BAED4963EE407) + k)
+    return g
+
+
+def found_rows(doc, version, packed, g, kind: int):
     for i in range(0, len(doc), 200_000):
-        d = doc[i : i + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(packed[i : i + 200_000], pa.int64()), pa.array(g[i : i + 200_000], pa.int64()), pa.array(np.full(len(d), kind, np.int32))], names=["doc_id", "run", "g", "kind"])
+        s = slice(i, i + 200_000)
+        n = len(doc[s])
+        yield pa.RecordBatch.from_arrays([pa.array(x[s], pa.int64()) for x in (doc, version, packed, g)] + [pa.array(np.full(n, kind, np.int32))], names=["__id", "__version", "run", "g", "kind"])
 
 
 def pieces(raw: np.ndarray, begin: np.ndarray, size: np.ndarray):
@@ -194,21 +280,25 @@ def pieces(raw: np.ndarray, begin: np.ndarray, size: np.ndarray):
     return raw[np.repeat(begin, size) + within], within
 
 
-def windows_of(data: np.ndarray, within: np.ndarray, n: np.ndarray, size: np.ndarray, length: int):
-    """Two hashes of every window of pieces, the window's piece, and its place in it."""
+def windows_of(within: np.ndarray, n: np.ndarray, size: np.ndarray):
+    """Where the windows of pieces begin, the piece of each, and its place in it."""
     at = np.flatnonzero(within < np.repeat(n, size))
-    h1, h2 = (R.substring_hash(R.prefix_sums(data, seed), at, at + length) for seed in (1, 2))
-    return h1, h2, np.repeat(np.arange(len(size)), size)[at], within[at]
+    return at, np.repeat(np.arange(len(size)), size)[at], within[at]
 
 
 def second_rows(length: int):
-    """What the second round needs of the runs in doubt: their bytes, or every window's hashes where the group is large."""
+    """What the second round needs of the runs in doubt: their bytes, or every window's hashes where the group is wide."""
+
+    def rows(kind, g, h, doc, version, run, content=None):
+        n = len(g)
+        kinds = pa.array(kind if isinstance(kind, np.ndarray) else np.full(n, kind, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), kinds, pa.array(doc), pa.array(version), pa.array(run), pa.nulls(n, pa.binary()) if content is None else content], names=["g", "h", "kind", "__id", "__version", "run", "bytes"])
 
     def run(batches):
         for batch in batches:
-            raw, offsets = R.text_bytes(batch.column(1))
-            doc_ids = R.ids(batch.column(0))
-            lists = batch.column(2)
+            raw, offsets = R.text_bytes(batch.column("text"))
+            doc_ids, versions = (R.ids(batch.column(c)) for c in KEY)
+            lists = batch.column("__runs")
             at = np.asarray(lists.offsets, np.int64)
             packed, g, kind = (lists.values.field(f).to_numpy(zero_copy_only=False)[at[0] : at[-1]] for f in ("run", "g", "kind"))
             row = np.repeat(np.arange(len(doc_ids)), np.diff(at))
@@ -219,16 +309,20 @@ def second_rows(length: int):
                 size = (run_ & 255) + length - 1
                 data, _ = pieces(raw, offsets[own] + (run_ >> 8), size)
                 content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.zeros(len(group), np.int64)), pa.array(doc_ids[own]), pa.array(run_), content], names=["g", "h", "doc_id", "run", "bytes"])
+                yield rows(0, group, np.zeros(len(group), np.int64), doc_ids[own], versions[own], run_, content)
                 run_, own = packed[s][~few], row[s][~few]
                 if len(run_):
                     start, n = run_ >> 8, run_ & 255
                     size = n + length - 1
-                    h1, h2, piece, place = windows_of(*pieces(raw, offsets[own] + start, size), n, size, length)
-                    doc, place = doc_ids[own][piece], start[piece] + place
-                    (h1, h2), again = settle_locally([h1, h2], doc, place)
-                    place = place * 256 + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(R.signed(h1)), pa.array(R.signed(h2)), pa.array(doc), pa.array(np.where(again, ~place, place)), pa.nulls(len(doc), pa.binary())], names=["g", "h", "doc_id", "run", "bytes"])
+                    data, within = pieces(raw, offsets[own] + start, size)
+                    begin, piece, place = windows_of(within, n, size)
+                    h1, h2 = (R.substring_hash(R.prefix_sums(data, seed), begin, begin + length) for seed in (1, 2))
+                    doc, version, place = doc_ids[own][piece], versions[own][piece], start[piece] + place
+                    order = np.lexsort([place, version, doc, h2, h1])
+                    h1, h2, doc, version, place = (x[order] for x in (h1, h2, doc, version, place))
+                    again = later_twin(equal_to_previous(h1, h2), doc, version, place)
+                    spread = R.mix(doc.view(U) * U(0x9E3779B97F4A7C15) + place.view(U))  # a repeat for sure goes anywhere
+                    yield rows(np.where(again, 2, 1).astype(np.int32), R.signed(np.where(again, spread, h1)), R.signed(h2), doc, version, place * 256 + 1)
 
     return run
 
@@ -236,73 +330,83 @@ def second_rows(length: int):
 def compare_windows(length: int, most_bytes: int = 4_000_000):
     """Second round: windows of the runs of one group against each other."""
 
-    def repeats(h1, h2, doc, packed):
-        if not len(h1):
-            return doc, packed
-        order = multikey_quicksort([h1, h2, doc, packed])
-        h1, h2, doc, packed = [x[order] for x in (h1, h2, doc, packed)]
-        repeat = earlier_twin(equal_to_previous(h1, h2), doc, packed)
-        return doc[repeat], packed[repeat]
+    def repeats(same, doc, version, packed):
+        again = later_twin(same, doc, version, packed)
+        return doc[again], version[again], packed[again]
+
+    def by_bytes(data, at, doc, version, packed):
+        order, same = sorted_by_bytes(data, at, length)
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        mine = order[tied]
+        by = np.lexsort([packed[mine], version[mine], doc[mine], np.cumsum(~same[tied])])
+        mine = mine[by]
+        return repeats(same[tied], doc[mine], version[mine], packed[mine])
 
     def run(batches):
-        contents, hashed = [], []
+        contents, hashed, found = [], [], []
         for b in batches:
-            plain = np.asarray(b.column(4).is_null())
-            hashed.append([b.column(i).to_numpy(zero_copy_only=False)[plain] for i in range(4)])
-            contents.append(b.filter(pa.array(~plain)))
-        found = []
-        if hashed:
-            h1, h2, doc, packed = [np.concatenate(x) for x in zip(*hashed)]
-            known = packed < 0
-            found += [(doc[known], ~packed[known]), repeats(*(x[~known] for x in (h1, h2, doc, packed)))]
-            table = pa.Table.from_batches(contents).combine_chunks().sort_by("g")
-            g, doc, packed = (table.column(c).to_numpy() for c in ("g", "doc_id", "run"))
-            size = (packed & 255) + length - 1
-            ends = np.cumsum(size)
-            last = np.r_[g[1:] != g[:-1], True] if len(g) else np.zeros(0, bool)
-            begin = 0
-            while begin < len(g):  # whole groups, of about so many bytes together
-                enough = np.flatnonzero(last[begin:] & (ends[begin:] - ends[begin] >= most_bytes))
-                end = begin + enough[0] + 1 if len(enough) else len(g)
-                s = slice(begin, end)
-                raw, offsets = R.text_bytes(table.column("bytes").slice(begin, end - begin))
-                data, within = pieces(raw, offsets[:-1], size[s])
-                h1, h2, piece, place = windows_of(data, within, packed[s] & 255, size[s], length)
-                found.append(repeats(h1, h2, doc[s][piece], ((packed[s] >> 8)[piece] + place) * 256 + 1))
-                begin = end
-        if found:
-            doc, packed = merged(*[np.concatenate(x) for x in zip(*found)])
-            yield from found_rows(doc, packed, np.zeros(len(doc), np.int64), 1)
+            kind = b.column("kind").to_numpy()
+            columns = [b.column(c).to_numpy() for c in ("g", "h", *KEY, "run")]
+            hashed.append([x[kind == 1] for x in columns])
+            found.append([x[kind == 2] for x in columns[2:]])
+            contents.append(b.filter(pa.array(kind == 0)))
+        if not hashed:
+            return
+        h1, h2, doc, version, packed = [np.concatenate(x) for x in zip(*hashed)]
+        if len(h1):
+            order = multikey_quicksort([h1, h2, doc, version, packed])
+            h1, h2, doc, version, packed = [x[order] for x in (h1, h2, doc, version, packed)]
+            found.append(repeats(equal_to_previous(h1, h2), doc, version, packed))
+        table = pa.Table.from_batches(contents).combine_chunks().sort_by("g")
+        g, doc, version, packed = (table.column(c).to_numpy() for c in ("g", *KEY, "run"))
+        size = (packed & 255) + length - 1
+        ends = np.cumsum(size)
+        last = np.r_[g[1:] != g[:-1], True] if len(g) else np.zeros(0, bool)
+        begin = 0
+        while begin < len(g):  # whole groups, of about so many bytes together
+            enough = np.flatnonzero(last[begin:] & (ends[begin:] - ends[begin] >= most_bytes))
+            end = begin + enough[0] + 1 if len(enough) else len(g)
+            s = slice(begin, end)
+            raw, offsets = R.text_bytes(table.column("bytes").slice(begin, end - begin))
+            data, within = pieces(raw, offsets[:-1], size[s])
+            at, piece, place = windows_of(within, packed[s] & 255, size[s])
+            found.append(by_bytes(data, at, doc[s][piece], version[s][piece], ((packed[s] >> 8)[piece] + place) * 256 + 1))
+            begin = end
+        doc, version, packed = merged(*[np.concatenate(x) for x in zip(*found)])
+        yield from found_rows(doc, version, packed, np.zeros(len(doc), np.int64), 1)
 
     return run
 
 
-def merged(doc: np.ndarray, packed: np.ndarray, most: int = 255):
+def merged(doc: np.ndarray, version: np.ndarray, packed: np.ndarray, most: int = 255):
     """Single windows that stand next to each other as runs of up to so many."""
-    order = np.lexsort([packed, doc])
-    doc, start = doc[order], packed[order] >> 8
+    order = np.lexsort([packed, version, doc])
+    doc, version, start = doc[order], version[order], packed[order] >> 8
     if not len(doc):
-        return doc, packed
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]
+        return doc, version, packed
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] > start[:-1] + 1)]
     head = np.flatnonzero(new)
     since = start - np.repeat(start[head], np.diff(np.r_[head, len(start)]))
     new |= (since % most == 0) & np.r_[True, start[1:] != start[:-1]]
     head = np.flatnonzero(new)
     last = np.r_[head[1:], len(start)] - 1
-    return doc[head], start[head] * 256 + (start[last] - start[head] + 1)
-
-
-def repeated_runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, runs) of the documents with repeats."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    buckets = docs.select("doc_id", "text").mapInArrow(run_rows(length, anchor), RUNS).repartitionByRange(n, "g", "h")
-    found = materialize(buckets.mapInArrow(compare_bucket, FOUND))
-    unsure = found.where("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("run", "g", "kind")).alias("runs"))
-    texts = docs.select("doc_id", "text").join(unsure, "doc_id").select("doc_id", "text", "runs")
-    again = texts.mapInArrow(second_rows(length), SECOND).repartition(n, "g").mapInArrow(compare_windows(length), FOUND)
+    return doc[head], version[head], start[head] * 256 + (start[last] - start[head] + 1)
+
+
+def with_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """The rows with a column __repeats: the runs of repeated windows of each, null without one."""
+    n = partitions(docs.sparkSession)
+    keyed = with_row_key(docs)
+    texts = keyed.select("__id", "text", "__version")
+    splits = splitters(texts, n, length, anchor)
+    dealt = texts.mapInArrow(run_rows(splits, length, anchor), PACKED).repartitionById(n, "range")
+    found = materialize(dealt.mapInArrow(compare_range(splits), FOUND))
+    # both joins take the same columns by the same key, so Spark shuffles the texts once
+    unsure = found.where("kind > 1").groupBy(*KEY).agg(F.collect_list(F.struct("run", "g", "kind")).alias("__runs"))
+    again = keyed.join(unsure, KEY).select(*docs.columns, *KEY, "__runs").mapInArrow(second_rows(length), SECOND)
+    again = again.repartition(n, "g").mapInArrow(compare_windows(length), FOUND)
     every = found.where("kind = 1").unionByName(again)
-    return every.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    return keyed.join(every.groupBy(*KEY).agg(F.collect_list("run").alias("__repeats")), KEY, "left").select(*docs.columns, "__repeats")
 
 
 def removed_mask(size: int, packed: np.ndarray, length: int) -> np.ndarray:
@@ -314,15 +418,6 @@ def removed_mask(size: int, packed: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(cover[:size]) > 0
 
 
-def with_removed(docs: DataFrame, fn, schema: str, columns: list[str], length: int = LENGTH) -> DataFrame:
-    """Join the repeated runs to the documents and hand each batch, with its runs, to fn."""
-    runs = repeated_runs(docs, length)
-    rows = docs.select(*columns)
-    runs = runs.select(F.col("doc_id").alias("__repeats_of"), F.col("runs").alias("__repeats"))
-    joined = rows.join(runs, rows["doc_id"] == F.col("__repeats_of"), "left").select(*columns, "__repeats")
-    return joined.mapInArrow(fn, schema)
-
-
 def digest_rows(length: int):
     def run(batches):
         for batch in batches:
@@ -350,7 +445,7 @@ def digest_rows(length: int):
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_removed(docs, digest_rows(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id", "text"], length)
+    return with_repeats(docs, length).mapInArrow(digest_rows(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_text_rows(length: int):
@@ -373,8 +468,7 @@ def kept_text_rows(length: int):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated bytes cut out of their text; a character cut in half goes whole."""
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_removed(docs, kept_text_rows(length), ddl, docs.columns, length)
+    return with_repeats(docs, length).mapInArrow(kept_text_rows(length), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,61 @@ def test_repeats_cases(spark, docs, empty):
     assert kept.columns == clashing(docs).columns and kept.count() == docs.count()
 
 
+def test_repeats_of_one_id(spark, docs, rows):
+    """Rows of one id (or none) with differing texts are documents of their own, in order of their text's hash; equal rows are one place."""
+    r = random.Random(9)
+    texts = [t for _, t, *_ in rows] + ["ab" * 300, "ab" * 120, "ab" * 300]
+    some = [(None if i % 5 == 0 else i // 9, t) for i, t in enumerate(texts)] + [(1, texts[0])] * 2 + [(None, texts[1])] * 2
+    r.shuffle(some)
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+    version = {x.text: x.v for x in df.select("text", F.xxhash64("text").alias("v")).collect()}
+    key = lambda d, t: (-1 if d is None else d, version[t])
+    want = brute.repeats({key(d, t): t for d, t in some}.items())
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(df).collect())
+    assert got == sorted((str(d), *want[key(d, t)]) for d, t in some)
+
+
+def test_repeats_across_boundaries(spark, monkeypatch):
+    """One passage in every document, in differing surroundings, so that splitters fall among suffixes with equal leading bytes."""
+    import numpy as np
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 30))) + passage[r.randint(0, 60) :] + " " + " ".join(word() for _ in range(20))) for i in range(120)]
+    whole = suffix_dedup.splitters
+    found = []
+    monkeypatch.setattr(suffix_dedup, "splitters", lambda texts, n, *rest: found.append(whole(texts, 400, *rest)) or found[0])
+    got = by_id(suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    lead = found[0][:, :-1]
+    assert np.all(lead[1:] == lead[:-1], axis=1).sum() > 5 and got == brute.repeats(rows)
+
+
+def test_repeats_in_a_long_text(spark):
+    r = random.Random(2)
+    long = "".join(r.choice("abcd \n") for _ in range(1_200_000))
+    rows = [(1, long[5_000:5_400]), (2, long), (3, long[900_000:])]
+    got = by_id(suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed", "n_spans")
+    assert got == {1: (0, 0), 2: (400, 1), 3: (300_000, 1)}
+
+
+def test_sorted_by_bytes_and_packing():
+    import numpy as np
+
+    from facetmill.llm import rolling
+
+    r = np.random.default_rng(4)
+    data = np.r_[r.integers(97, 99, 3000), r.integers(97, 99, 60).repeat(1), np.tile(r.integers(0, 256, 40), 20)].astype(np.uint8)
+    for length in (32, 100, 37):
+        at = r.permutation(len(data) - length + 1)
+        order, same = suffix_dedup.sorted_by_bytes(data, at, length)
+        strings = [data[a : a + length].tobytes() for a in at[order]]
+        assert strings == sorted(strings) and same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
+    for x in ([5], [-(1 << 63), (1 << 63) - 1, 0], [7, 7], [1000, 1255], [0, 70_000], [-3, 1 << 40]):
+        x = np.array(x, np.int64)
+        assert rolling.unpacked(rolling.packed(x), len(x)).tolist() == x.tolist()
+
+
 def test_multikey_quicksort():
     import numpy as np
 
