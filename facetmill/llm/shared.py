@@ -41,17 +41,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
-def with_row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __id, the id (null as the smallest), and __version, which tells rows of one id with differing texts apart.
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", version=None) -> DataFrame:
+    """docs with __id, the id (null as the smallest), and __version, which tells rows of one id with differing contents apart.
 
-    __version is a hash of the text where an id is null or stands in several rows, else 0; equal rows have equal keys.
+    __version is a hash (of the text, unless another is given) where an id stands in several rows, else 0; equal rows have equal keys.
     """
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
     several = materialize(keyed.groupBy("__id").count().where("count > 1").select(F.col("__id").alias("__several")))  # reads the ids only
     if several.isEmpty():
         return keyed.withColumn("__version", F.lit(0).cast("long"))
     keyed = keyed.join(broadcast_if_small(several, 1_000_000), F.col("__id") == F.col("__several"), "left")
-    version = F.when(F.col("__several").isNotNull(), F.xxhash64(text_col)).otherwise(F.lit(0)).cast("long")
+    version = F.when(F.col("__several").isNotNull(), F.xxhash64("text") if version is None else version).otherwise(F.lit(0)).cast("long")
     return keyed.withColumn("__version", version).drop("__several")
 
 

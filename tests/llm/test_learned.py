@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -131,11 +132,50 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><
 
 
 def test_page_text():
-    assert html_text.Page(PAGE).text(set()) == "T <b&\nOne two three x\nFour five\nsix\nseven\n1 2\n3"
-    assert html_text.Page("<p>plain<div class='ad'>x</div> tail").text(set()) == "plain\ntail"
-    assert html_text.Page("").text(set()) == "" and html_text.Page("<").text(set()) == "<"
+    assert html_text.Page(PAGE).text() == "T <b&\nOne two three x\nFour five\nsix\nseven\n1 2\n3"
+    assert html_text.Page("<p>plain<div class='ad'>x</div> tail").text() == "plain\ntail"
+    assert html_text.Page("").text() == "" and html_text.Page("<").text() == "<"
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    assert html_text.Page(deep).text(set()) == "x"
+    assert html_text.Page(deep).text() == "x"
+    assert html_text.Page("<p title='a > b' id=don't>it's<br/>so<!-- no --> <?php no ?>x</P>y").text() == "it's so x\ny"
+    assert html_text.Page('<p>a<b title="c>d').text() == "ad"
+    assert html_text.Page("<p>a<TITLE>no</title >b<div data-class='ad'>c</div></x></p>").text() == "ab\nc"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, "<span>" * 80_000 + "<h1>" * 80_000, "<p><body>" + "<span>" * 80_000 + "<h1>" * 80_000, "<a title=\">\" " * 100_000, "<a href='" * 100_000 + ">", "<title" * 150_000, "<title>" + "</title" * 150_000]
+    + ["<!--" * 200_000, "<a<b" * 250_000 + ">", "</b>" * 100_000 + "<b>" * 100_000, "<li><b>" * 100_000, "&amp" * 200_000, "<p class=\"" * 90_000],
+)
+def test_broken_pages_take_linear_time(page):
+    """Pages of about 1 MB that end no tag, quote or element."""
+    began = time.process_time()
+    whole = html_text.Page(page)
+    whole.text()
+    whole.block_hashes()
+    assert time.process_time() - began < 15
+
+
+def test_template_counts_by_hand(spark):
+    """Subtrees by host against a count over the pages, with copies, pages without a host or html, repeated and missing ids."""
+    r = random.Random(12)
+    lines = [f"<p class=c{i}>line {i}</p>" for i in range(6)] + ["<p> </p>", "<ul><li>x<li>y</ul>"]
+    rows = [(r.randrange(60), f"http://h{r.randrange(4)}.org/" if r.random() < 0.9 else None, "".join(r.choice(lines) for _ in range(r.randint(0, 5))) + r.choice(["", "<div>own</div>"])) for _ in range(150)]
+    rows += [(None, "http://h1.org/", "<p>a</p>"), (3, "http://h1.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    pages = [(html_text.Page(h), u) for _, u, h in rows if h is not None]
+    on, whole = collections.defaultdict(set), collections.defaultdict(set)
+    for p, u in pages:
+        whole[u].add(p.content())
+        for h in set(p.block_hashes()) - {0}:
+            on[u, h].add(p.content())
+    want = collections.Counter()
+    for p, u in pages:
+        gone = [k for k, h in enumerate(p.block_hashes()) if h and len(on[u, h]) >= 3 and len(on[u, h]) >= 0.4 * len(whole[u])]
+        want[p.text(gone)] += 1
+    want[""] += 1
+    got = collections.Counter(x.text for x in html_text.extract(df, 3, 0.4).collect())
+    assert got == want and any(html_text.Page(h).text() not in got for _, _, h in rows if h)
 
 
 def test_templates(spark):
