@@ -216,7 +216,7 @@ def test_mined_rules_against_all_combinations(spark):
     for _ in range(200):
         t = sorted({r.choice(["a", "b", "c"]), r.choice(["d", "e"]), r.choice(["f", "g", "h", "i"])})
         rows.append((t, "block" if "a" in t and "d" in t or "i" in t else "allow"))
-    got = {(tuple(x.antecedent), x.verdict): (round(x.confidence, 6), round(x.support, 6)) for x in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8).collect()}
+    got = {(tuple(x.antecedent), x.verdict): (round(x.confidence, 6), round(x.support, 6)) for x in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8, 1).collect()}
     every = {}
     for k in (1, 2, 3):
         for c in itertools.combinations("abcdefghi", k):
@@ -229,6 +229,47 @@ def test_mined_rules_against_all_combinations(spark):
     assert got == want
 
 
+def test_mining_takes_long_paths(spark):
+    """URLs that share 30 path parts: undecided ones would have 2 ** 30 combinations."""
+    began = time.time()
+    deep = "/".join(f"part{i}" for i in range(30))
+    urls = [(f"http://a{i}.com/x{i}", "block" if i % 2 else "allow") for i in range(60)] + [(f"http://b{i}.com/{deep}", "block" if i % 2 else "allow") for i in range(40)]
+    labels = spark.createDataFrame(urls, "url string, verdict string")
+    pages = spark.createDataFrame([(1, f"http://c.com/{deep}"), (2, "http://a1.com/x1"), (3, f"http://c.com/{'x/' * 20_000}y")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.listed_rules(spark).where("false"), labels).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "allow"} and time.time() - began < 60
+
+
+def test_url_verdicts_by_hand(spark):
+    """Which mined rule judges each URL, against all rules tried on all URLs."""
+    r = random.Random(5)
+    url = lambda: f"http://{r.choice(['www', 'm', 'blog'])}.{r.choice(['cat', 'dog', 'cow'])}.{r.choice(['com', 'co.uk'])}/{r.choice(['win', 'news', '2024'])}/{r.choice(['a', 'b', 'c'])}{r.choice(['', '?id=3', '?casino=1&x'])}"
+    bad = lambda u: "casino" in u or ("win" in u and "cat" in u) or "2024/a" in u
+    taught = sorted({url() for _ in range(300)})
+    labels = spark.createDataFrame([(u, "block" if bad(u) else "allow") for u in taught], "url string, verdict string")
+    pages = spark.createDataFrame([(i, url()) for i in range(200)] + [(900, "http://x.org/"), (901, None)], "page_id long, url string")
+    tokens = labels.select(url_filter.tokens(F.col("url")).alias("tokens"), "verdict")
+    rules = [(x.confidence, x.support, len(x.antecedent), " ".join(x.antecedent), x.verdict, set(x.antecedent)) for x in url_filter.mine(tokens).collect()]
+    held = {x.page_id: set(x.t) for x in pages.select("page_id", url_filter.tokens(F.col("url")).alias("t")).collect()}
+    got = {x.page_id: (x.verdict, x.mined_rule) for x in url_filter.filter_urls(pages, url_filter.listed_rules(spark).where("false"), labels).collect()}
+    for page, t in held.items():
+        fits = [x for x in rules if x[5] <= t]
+        assert got[page] == (max(fits)[4], max(fits)[3]) if fits else got[page] == ("allow", None)
+    right = [got[x.page_id][0] == ("block" if bad(x.url) else "allow") for x in pages.where("page_id < 900").collect()]
+    assert sum(right) / len(right) > 0.95
+
+
+def test_url_held_out(spark, sf):
+    """The rules mined from three quarters of the URLs that listed rules judge say the same of the other quarter."""
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    listed = url_filter.filter_urls(pages, url_filter.listed_rules(spark)).where("rule is not null").select("page_id", "url", F.col("verdict").alias("listed"))
+    part = F.pmod(F.xxhash64("url"), F.lit(4))
+    labels = listed.where(part > 0).select("url", F.col("listed").alias("verdict")).distinct()
+    said = url_filter.filter_urls(listed.where(part == 0), url_filter.listed_rules(spark).where("false"), labels).join(listed, "page_id")
+    right, n = said.agg(F.avg((F.col("verdict") == F.col("listed")).cast("double")), F.count(F.lit(1))).first()
+    assert n > 20 and right > 0.9
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
