@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -55,6 +56,21 @@ def with_row_key(docs: DataFrame, id_col: str = "doc_id", version=None) -> DataF
     return keyed.withColumn("__version", version).drop("__several")
 
 
+def sums_before(df: DataFrame, order: list, columns: dict[str, str]) -> DataFrame:
+    """df with new columns: the sum of an existing one over all rows that stand before in this order, which should have no ties.
+
+    Rows are range-partitioned; only one row for each range passes through one task.
+    """
+    spark = df.sparkSession
+    placed = materialize(df.repartitionByRange(partitions(spark), *order).withColumn("__range", F.spark_partition_id()))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__{name}") for name, c in columns.items()])
+    ranges = ranges.select("__range", *[before(W.partitionBy(F.lit(0)).orderBy("__range"), f"__{name}").alias(f"__{name}") for name in columns])
+    inside = W.partitionBy("__range").orderBy(*order)
+    placed = placed.select("*", *[before(inside, c).alias(name) for name, c in columns.items()])
+    return placed.join(F.broadcast(ranges), "__range").select(*df.columns, *[(F.col(f"__{name}") + F.col(name)).alias(name) for name in columns])
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, so that other letters keep their code points."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

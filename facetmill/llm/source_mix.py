@@ -2,15 +2,18 @@
 
 Every document gets a place in a shuffled order of its source (order of md5 of its id).  Its virtual finish time is the number of the
 source's words up to and with it, divided by the source's target; a further pass over the source adds the whole
-source's size.  All (document, pass) entries are range-sorted by finish time over all sources and taken while the
+source's size.  All (document, pass) entries stand in order of finish time over all sources and are taken while the
 running total of words stays within the budget.
 
-Running sums never run over one whole source or the whole table: entries fall into ranges of about
-ROWS_PER_RANGE rows, ranges are summed first, and only the few range totals are accumulated.
+The global order is sorted by ranges.  Fixed ranges of finish time are summed first; those before the one in which the budget
+ends are taken whole, those after it not at all, and only the entries of that one are range-sorted and cut.
 
-Defined cases: null or wordless text has size 0 and is never taken; a null source is one source, last in order; equal
-finish times go by source, then md5 of the id, then id; rows with one id are separate documents, all of them or none get
-equal places by size and text; an empty table gives an empty result.
+Running sums never run over one whole source or the whole table: rows fall into ranges of about ROWS_PER_RANGE rows, ranges into
+groups of RANGES_PER_GROUP, and sums go from groups to ranges to rows; orders over all sources or entries go by sampled ranges.
+
+Defined cases: null or wordless text has size 0 and is never taken; texts of any length count whole; a null source is one source, last in order; equal
+finish times go by source, then md5 of the id, then id; rows with one id are separate documents, which stand in order of size,
+all equal rows being alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, documents, materialize
+from .shared import broadcast_if_small, documents, materialize, sums_before
 
 PASSES = 3  # no document is taken more often
-ROWS_PER_RANGE = 4_000
-MAX_SOURCES_BROADCAST = 100_000
+ROWS_PER_RANGE, RANGES_PER_GROUP = 4_000, 1_000
+FINISH_RANGES, LAST_FINISH = 4_096, 2.0  # the budget ends near a finish time of 1; what lies beyond LAST_FINISH is one more range
+MAX_BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,79 +37,71 @@ def source_targets(sizes: DataFrame, weights: list[float] = (1, 2, 3), cap: int
     Sources by code point, null last, get the weights in turn.  Targets share the sum of all sizes by weight; a
     target above cap times its source's size is held there and the rest is shared again.  In closed form: with the
     sources in order of cap * size / weight, the first j are held where the level that is left to the others,
-    (total - held) / (weight of the others), is above their own ratio.  One row per source goes through one task.
+    (total - held) / (weight of the others), is above their own ratio.
     """
-    order = W.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.col("source"))
     table = F.array(*[F.lit(float(w)) for w in weights])
-    s = sizes.select("source", "source_size", F.element_at(table, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).alias("weight"))
+    named = [F.col("source").isNull(), F.col("source")]
+    s = sums_before(sizes.select("source", "source_size", F.lit(1).alias("one")), named, {"index": "one"})
+    s = s.select("source", "source_size", F.element_at(table, (F.col("index") % len(weights) + 1).cast("int")).alias("weight"))
     s = s.withColumn("most", F.lit(cap) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
-    by_ratio = W.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").isNull(), "source")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(F.lit(0))
-    s = (
-        s.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("held", F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("held")) / F.col("left"))
-        .withColumn("free", F.col("level") <= F.col("ratio"))
-    )
-    level = F.min(F.when(F.col("free"), F.struct("ratio", F.col("source").isNull(), "source", "level"))).over(every)["level"]
-    s = s.withColumn("final", level)
+    s = sums_before(s, [F.col("ratio"), *named], {"held": "most", "lighter": "weight"})
+    total = s.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    s = s.crossJoin(F.broadcast(total)).withColumn("level", (F.col("total") - F.col("held")) / (F.col("weights") - F.col("lighter")))  # one row
+    free = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", named[0].alias("none"), "source", "level")))["level"]
+    s = s.crossJoin(F.broadcast(s.agg(free.alias("final"))))  # one row
     target = F.when(F.col("final").isNull() | (F.col("ratio") < F.col("final")), F.col("most").cast("double")).otherwise(F.col("final") * F.col("weight"))
-    return s.select("source", "weight", "source_size", target.alias("target"))
+    return materialize(s.select("source", "weight", "source_size", target.alias("target")))
 
 
-def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row."""
+def placed_rows(docs: DataFrame, weights: list[float], id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Each row with its size, its source's size and target, and `upto`: the words of its source up to and with it."""
     key = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = materialize(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            key.alias("key"),
-        )
-    )
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
     n_ranges = max(1, rows.count() // ROWS_PER_RANGE)
-    rows = rows.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n_ranges))
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n_ranges)
+    rows = rows.withColumn("part", part).withColumn("many", F.floor(part / RANGES_PER_GROUP))
+
+    # words before each range of each source, in order of the key: of the groups before its group, and of the ranges before it in the group
+    parts = rows.groupBy("source", "many", "part").agg(F.sum("size").alias("words"))
+    before = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = parts.groupBy("source", "many").agg(F.sum("words").alias("words")).select(F.col("source").alias("s"), F.col("many").alias("m"), before(W.partitionBy("source").orderBy("many")).alias("earlier"))
+    parts = parts.select("source", "many", "part", before(W.partitionBy("source", "many").orderBy("part")).alias("inside"))
+    parts = parts.join(groups, parts["source"].eqNullSafe(groups["s"]) & (F.col("many") == F.col("m"))).select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("earlier") + F.col("inside")).alias("before"))
 
-    # words before each range of each source, in order of the key
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    along = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(along), F.lit(0)).alias("before"))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    offsets = parts.join(broadcast_if_small(targets, MAX_SOURCES_BROADCAST), parts["source"].eqNullSafe(targets["source"])).select(
-        parts["source"], "part", "before", "source_size", "target"
-    )
+    offsets = parts.join(broadcast_if_small(targets, MAX_BROADCAST_ROWS), parts["s"].eqNullSafe(targets["source"])).select("s", "p", "before", "source_size", "target")
     within = W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.withColumn("upto", F.sum("size").over(within)).withColumn("copy", F.row_number().over(W.partitionBy("source", "part").orderBy("key", "doc_id", "size")))
-    placed = materialize(
-        summed.join(offsets, summed["source"].eqNullSafe(offsets["source"]) & (summed["part"] == offsets["part"])).select(
-            "doc_id", summed["source"], "size", "key", "copy", "source_size", "target", (F.col("before") + F.col("upto")).alias("upto")
-        )
-    )
-
-    # one entry for each pass; the range sort over all sources
-    entries = (
-        placed.where(F.col("size") > 0)
-        .withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(PASSES)])))
-        .withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("upto")) / F.col("target"))
-        .withColumn("band", F.floor(F.least(F.col("finish"), F.lit(float(2 * PASSES))) * (8 * n_ranges)))
-    )
-    bands = entries.groupBy("band").agg(F.sum("size").alias("band_size"))
-    so_far = W.partitionBy(F.lit(0)).orderBy("band").rowsBetween(W.unboundedPreceding, -1)
-    budget = rows.agg(F.sum("size").alias("budget"))
-    bands = bands.select("band", F.coalesce(F.sum("band_size").over(so_far), F.lit(0)).alias("earlier")).join(F.broadcast(budget), F.lit(True)).where(F.col("earlier") < F.col("budget"))
-    sort = W.partitionBy("band").orderBy("finish", F.col("source").isNull(), "source", "key", "doc_id", "copy").rowsBetween(W.unboundedPreceding, 0)
-    taken = (
-        entries.join(bands, "band")
-        .withColumn("total", F.col("earlier") + F.sum("size").over(sort))
-        .where(F.col("total") <= F.col("budget"))
-        .groupBy(F.col("source").alias("s"), F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("copy").alias("c"))
-        .agg(F.sum("size").alias("words"))
-    )
-    same = placed["source"].eqNullSafe(F.col("s")) & (F.col("key") == F.col("k")) & placed["doc_id"].eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))
-    return placed.join(taken, same, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    summed = rows.withColumn("upto", F.sum("size").over(within))
+    placed = summed.join(offsets, summed["source"].eqNullSafe(offsets["s"]) & (F.col("part") == F.col("p")))
+    return placed.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("upto")).alias("upto"), F.monotonically_increasing_id().alias("row"))
+
+
+def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for every row."""
+    placed = materialize(placed_rows(docs, weights, id_col, text_col, source_col))
+    finish = lambda i: (F.lit(i) * F.col("source_size") + F.col("upto")) / F.col("target")
+    at = lambda f: F.least(F.floor(f * (FINISH_RANGES / LAST_FINISH)), F.lit(FINISH_RANGES)).cast("int")
+
+    # in which range of finish times the budget ends: at most FINISH_RANGES + 1 sums
+    budget = placed.agg(F.sum("size")).first()[0] or 0
+    some = placed.where(F.col("size") > 0)
+    counted = some.select("size", F.explode(F.array(*[at(finish(i)) for i in range(PASSES)])).alias("range")).groupBy("range").agg(F.sum("size").alias("words"))
+    spent, last = 0, FINISH_RANGES + 1
+    for r in sorted(counted.collect(), key=lambda r: r["range"]):
+        if spent + r["words"] > budget:
+            last = r["range"]
+            break
+        spent += r["words"]
+
+    # its entries in order, cut where the budget ends
+    entries = some.select("row", "size", "source", "key", "doc_id", F.explode(F.array(*[finish(i) for i in range(PASSES)])).alias("finish")).where(at(F.col("finish")) == last)
+    sort = [F.col("finish"), F.col("source").isNull(), F.col("source"), F.col("key"), F.col("doc_id"), F.col("size"), F.col("row")]
+    taken = sums_before(entries, sort, {"earlier": "size"}).where(F.col("earlier") + F.col("size") + spent <= budget)
+    taken = materialize(taken.groupBy(F.col("row").alias("r")).agg(F.sum("size").alias("words")))
+    sure = sum((F.when(at(finish(i)) < last, F.col("size")).otherwise(0) for i in range(1, PASSES)), F.when(at(finish(0)) < last, F.col("size")).otherwise(0))
+    words = F.when(F.col("size") > 0, sure + F.coalesce("words", F.lit(0))).otherwise(0)
+    return placed.join(broadcast_if_small(taken, MAX_BROADCAST_ROWS), F.col("row") == F.col("r"), "left").select("doc_id", "size", "source_size", "target", words.cast("long").alias("taken"), "source")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,5 +124,5 @@ p AS (SELECT d.*, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.sour
 e AS (SELECT p.*, pass, (pass * source_size + upto)::DOUBLE / target AS finish FROM p, (VALUES (0), (1), (2)) v(pass) WHERE size > 0),
 g AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, key, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
 k AS (SELECT doc_id, sum(size)::BIGINT AS words FROM g WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id)
-SELECT p.doc_id, p.source, p.size, p.source_size, p.target, coalesce(k.words, 0)::BIGINT AS taken FROM p LEFT JOIN k ON p.doc_id = k.doc_id
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(k.words, 0)::BIGINT AS taken, p.source FROM p LEFT JOIN k ON p.doc_id = k.doc_id
 """
