@@ -5,12 +5,17 @@ adjacent pair, takes for each sequence its lowest rank, merges every occurrence
 (left to right, without overlap) and compacts the array; sequences without a mergeable pair are done.  What is
 left of each is its token count.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results; extra columns
-of the input are ignored; a text of any length is counted whole.
+A very long pre-token has thousands of different ranks to go through, so going over all of it each round would take
+quadratic time.  Those longer than LONG are merged by rank as well, all occurrences of a pair at once, but on linked
+places: the places of each rank wait in a list of their own, and a round looks at that list and its neighbours only.
+
+Defined cases: null or empty text has 0 bytes and 0 tokens; an empty table gives an empty result; of equal pairs that overlap the left one merges; repeated rows give repeated results; extra columns
+of the input are ignored; a text of any length is counted whole, in about linear time.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 from .shared import documents
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_REMEMBERED = 400_000  # pre-tokens whose counts a task keeps; then it starts anew
+_REMEMBERED, _LETTERS = 400_000, 20_000_000  # runs, and their characters, whose counts a task keeps; then it starts anew
+LONG = 512  # bytes of a pre-token from which on it is merged on linked places
 
 
 def byte_symbols() -> dict[int, str]:
@@ -56,11 +62,9 @@ class Merger:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((self.key[at] == key) & (a >= 0) & (b >= 0), self.rank[at], len(self.key))
 
-    def count(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word; a byte outside the vocabulary counts none, as the library drops unknown symbols."""
-        none = len(self.key)
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each byte, and the word it belongs to; bytes outside the vocabulary are left out."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        counts = np.zeros(len(words), np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         owner = np.repeat(np.arange(len(words)), lengths)
         ends = np.cumsum(lengths)
@@ -68,7 +72,73 @@ class Merger:
         full = lengths > 0
         sym[ends[full] - 1] = self.last[data[ends[full] - 1]]
         known = sym >= 0
-        sym, owner = sym[known], owner[known]
+        return sym[known], owner[known]
+
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """Tokens of each word; a byte outside the vocabulary counts none, as the library drops unknown symbols."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self.count_short(words)
+        counts = self.count_short([b"" if len(w) > LONG else w for w in words])
+        counts[long] = [self.count_long(words[i]) for i in long]
+        return counts
+
+    def count_long(self, word: bytes) -> int:
+        """Tokens of one long word: the lowest rank first, all its places at once, on a list of linked places."""
+        none = len(self.key)
+        sym, _ = self.symbols([word])
+        n = len(sym)
+        if n < 2:
+            return n
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, none)  # of the pair that starts at each place; none where no pair does
+        rank[: n - 1] = self.ranks(sym[:-1], sym[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """List places under the rank of their pair."""
+            at = at[rank[at] < none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.r_[True, rank[at[1:]] != rank[at[:-1]]][: len(at)])
+            for a, b in zip(cut, [*cut[1:], len(at)]):
+                r = int(rank[at[a]])
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(at[a:b])
+
+        wait(np.arange(n - 1))
+        left = n
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]  # the others have changed since
+            if not len(at):
+                continue
+            # in a run of neighbouring places (a pair such as "a a" in "aaaa") only every second one merges
+            new_run = np.r_[True, after[at[:-1]] != at[1:]]
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.made[r]
+            rank[gone] = none
+            follow = after[gone]
+            after[at] = follow
+            inner = follow < n
+            before[follow[inner]] = at[inner]
+            left -= len(at)
+            rank[at] = none
+            rank[at[inner]] = self.ranks(sym[at[inner]], sym[follow[inner]])
+            prior = before[at]
+            prior = prior[prior >= 0]
+            rank[prior] = self.ranks(sym[prior], sym[after[prior]])
+            wait(np.unique(np.r_[at, prior]))
+        return left
+
+    def count_short(self, words: list[bytes]) -> np.ndarray:
+        none = len(self.key)
+        counts = np.zeros(len(words), np.int64)
+        sym, owner = self.symbols(words)
         while len(sym) > 1:
             rank = np.full(len(sym), none)
             same = owner[1:] == owner[:-1]
@@ -117,8 +187,19 @@ def normalized(text: str) -> str:
     return text.lower()
 
 
-def count_texts(texts: list[str], path: str, remembered: dict[str, int]) -> list[int]:
-    """Tokens of each text.  remembered: counts of runs between blanks, which no pre-token crosses."""
+class Remembered(dict):
+    """Counts of runs between blanks, which no pre-token crosses; `letters` is the length of them all."""
+
+    letters = 0
+
+    def tidy(self) -> None:
+        if len(self) > _REMEMBERED or self.letters > _LETTERS:
+            self.clear()
+            self.letters = 0
+
+
+def count_texts(texts: list[str], path: str, remembered: Remembered) -> list[int]:
+    """Tokens of each text."""
     merger, split, special = load(path)
     words: list[list[str]] = []
     extra: list[int] = []
@@ -126,8 +207,7 @@ def count_texts(texts: list[str], path: str, remembered: dict[str, int]) -> list
         parts = special.split(text) if "<|" in text else [text]
         extra.append(len(parts) - 1)
         words.append([w for part in parts for w in normalized(part).replace("\n", " ").split(" ")])
-    if len(remembered) > _REMEMBERED:
-        remembered.clear()
+    remembered.tidy()
     new = list(set().union(*words).difference(remembered))
     for i in range(0, len(new), 100_000):
         runs = new[i : i + 100_000]
@@ -135,6 +215,7 @@ def count_texts(texts: list[str], path: str, remembered: dict[str, int]) -> list
         distinct = list(set().union(*pieces))
         count = dict(zip(distinct, merger.count([w.encode() for w in distinct]).tolist()))
         remembered.update((w, sum(map(count.__getitem__, p))) for w, p in zip(runs, pieces))
+        remembered.letters += sum(map(len, runs))
     get = remembered.__getitem__
     return [n + sum(map(get, ws)) for n, ws in zip(extra, words)]
 
@@ -155,7 +236,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; narrow: no shuffle."""
 
     def run(batches):
-        remembered: dict[str, int] = {}
+        remembered = Remembered()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n_tokens: list[int] = []

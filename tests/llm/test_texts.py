@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,21 @@ def test_token_counts(spark, docs, rows, empty):
     got = by_id(token_counts.token_counts(clashing(table), path), "n_tokens", "n_bytes", "over_limit")
     assert {d: x[0] for d, x in got.items()} == want and all(x[2] == (x[0] > 2048) for x in got.values())
     assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_long_runs_of_letters():
+    """Long pre-tokens: equal to the library and to the merging of short ones, in about linear time."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, merger = Tokenizer.from_file(path), token_counts.load(path)[0]
+    r = random.Random(11)
+    words = ["".join(r.choice(a) for _ in range(r.randint(1, 150))) for a in ("ab", "aab", "etaoinsrhl", "aé日x", "abcdefghijklmnopqrstuvwxyz") for _ in range(80)]
+    want = [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert [merger.count_long(w.encode()) for w in words] == want == merger.count_short([w.encode() for w in words]).tolist()
+    long = ["".join(r.choice(a) for _ in range(n)) for a, n in (("etaoinsrhldu", 1_000_000), ("a", 300_001), ("xy日", 100_000))]
+    began = time.process_time()
+    got = token_counts.count_texts([*long, "", "a b"], path, token_counts.Remembered())
+    assert time.process_time() - began < 20
+    assert got == [len(library.encode(w, add_special_tokens=False).ids) for w in [*long, "", "a b"]]
