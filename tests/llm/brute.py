@@ -3,8 +3,11 @@
 import collections
 import hashlib
 import re
+import struct
 from fractions import Fraction
 
+import xxhash
+
 
 def repeats(rows, length=100):
     """doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)."""
@@ -104,3 +107,48 @@ def mixed(rows, weights=(1, 2, 3), cap=3):
             break
         taken[d] += size[d]
     return {d: (size[d], total[s], target[s], taken[d]) for d, _, s in rows}
+
+
+def _chained(words):
+    """Spark's hash of an array of longs."""
+    h = 42
+    for x in words:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def merkle(text):
+    """(fingerprint, leaves by paragraph as they are spelled, root)."""
+    leaves = []
+    for p in text.split("\n"):
+        blocks = [p[:8][i : i + 4] for i in range(0, len(p[:8]), 4)] + [p[8:32][i : i + 8] for i in range(0, len(p[8:32]), 8)] + [p[32:][i : i + 32] for i in range(0, len(p[32:]), 32)]
+        leaves.append([xxhash.xxh64_intdigest(b.encode(), seed=42) for b in blocks])
+    signed = [[x - (1 << 64) if x >> 63 else x for x in p] for p in leaves]
+    paragraphs = [_chained(p) for p in signed]
+    sections = [_chained(paragraphs[i : i + 8]) for i in range(0, len(paragraphs), 8)]
+    root = hashlib.sha256(";".join(map(str, sections)).encode()).hexdigest()[:32]
+    short = [[x & 0x7FFFFFFF for x in p] for p in leaves]
+    rows = [f"{h & (1 << 64) - 1:016x}~" + ".".join(f"{x:x}" for x in p) for h, p in zip(paragraphs, short)]
+    named = [f"{h & (1 << 64) - 1:016x}=" + "|".join(rows[8 * i : 8 * i + 8]) for i, h in enumerate(sections)]
+    return f"{root}:" + ";".join(named), short, root
+
+
+def alike(a, b):
+    """Likeness of two merkle() results."""
+    if a[2] == b[2]:
+        return 1.0
+    x, y = ([h for p in t[1] for h in p] for t in (a, b))
+    if not x or not y:
+        return 0.0
+    return max(2 * sum(p == q for p, q in zip(x, y)) / (len(x) + len(y)), 2 * len(set(x) & set(y)) / (len(set(x)) + len(set(y))))
+
+
+def differing(a, b):
+    """(section, paragraph, block) where the leaves of two merkle() results differ."""
+    out = []
+    for p in range(max(len(a[1]), len(b[1]))):
+        x, y = (t[1][p] if p < len(t[1]) else None for t in (a, b))
+        if x != y:
+            at = [k for k in range(max(len(x or ()), len(y or ()))) if (x or ())[k : k + 1] != (y or ())[k : k + 1]]
+            out += [(p // 8, p, k) for k in at or [0]]
+    return out

@@ -221,34 +221,40 @@ def test_mix(spark, docs, rows, empty):
 
 
 def test_fingerprints(spark, docs, rows, empty):
+    """Every column against a tree built by hand."""
+    more = [(10_000 + i, t) for i, t in enumerate(["\n" * 20, "long line " * 30_000, "a\nb\n" * 40, "a\nb\n" * 39 + "a\nc\n", "\n", "tail\n"])]
+    rows = [r[:2] for r in rows] + more
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     got = {r.doc_id: r for r in fingerprints.fingerprints(clashing(docs)).collect()}
     order = sorted(rows, reverse=True)
-    for i, (d, text, *_) in enumerate(order):
+    for i, (d, text) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
         n, k = len(text), len(text) // 3
         edited = text[: n - k] + after[:k]
-        r = got[d]
+        r, a, b = got[d], brute.merkle(text), brute.merkle(edited)
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint == r.edited_fingerprint) == (text == edited) and 0 <= r.near_next <= 1
-        if n > 60:
-            assert r.near_edited >= 0.3
-    prints = {}
-    for d, text, *_ in rows:
-        prints.setdefault(got[d].fingerprint, set()).add(text or "")
-    assert all(len(x) == 1 for x in prints.values())
+        assert (r.fingerprint, r.edited_fingerprint) == (a[0], b[0]) and (a[2] == b[2]) == (text == edited)
+        assert abs(r.near_edited - brute.alike(a, b)) < 1e-9 and abs(r.near_next - brute.alike(a, brute.merkle(after))) < 1e-9
+        where = brute.differing(a, b)
+        assert (r.n_differing, r.first_differing) == (len(where), ".".join(map(str, where[0])) if where else "")
+    assert len({got[d].fingerprint.split(":")[0] for d, _ in rows}) == len({t or "" for _, t in rows})  # roots differ as texts do
     assert fingerprints.fingerprints(empty).count() == 0
-    some = spark.createDataFrame([(5, "same"), (5, "same"), (None, "x")], "doc_id long, text string")
-    assert fingerprints.fingerprints(some).count() == 3
+    some = spark.createDataFrame([(5, "same"), (5, "same"), (None, "x"), (5, "other")], "doc_id long, text string")
+    assert fingerprints.fingerprints(some).count() == 4
     one = fingerprints.fingerprints(spark.createDataFrame([(5, "same")], "doc_id long, text string")).first()
     assert one.near_next == 1.0
 
 
 def test_differing_blocks(spark):
+    """Edits are located from the fingerprints alone."""
     lines = [f"paragraph number {i} of the text" for i in range(20)]
-    changed = [x if i != 9 else "another one" for i, x in enumerate(lines)]
-    df = spark.createDataFrame([("\n".join(lines), "\n".join(changed))], "a string, b string")
-    fp = df.select(fingerprints.spelled(fingerprints.tree(F.col("a"))).alias("a"), fingerprints.spelled(fingerprints.tree(F.col("b"))).alias("b"))
-    assert [(x.section, x.paragraph) for x in fp.select(fingerprints.differing_blocks(F.col("a"), F.col("b")).alias("d")).first().d] == [(1, 9)]
+    changed = [x if i != 9 else x.replace("number 9", "number x") for i, x in enumerate(lines)]
+    longer = [*lines, "one more", ""]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(x)) for x in (changed, longer, lines)], "a string, b string")
+    fp = df.select(*[fingerprints.spelled(fingerprints.tree(F.col(c))).alias(c) for c in "ab"])
+    got = [[tuple(x) for x in r.d] for r in fp.select(fingerprints.differing_blocks(fingerprints.parsed(F.col("a")), fingerprints.parsed(F.col("b"))).alias("d")).collect()]
+    assert got == [[(1, 9, 3)], [(2, 20, 0), (2, 20, 1), (2, 21, 0)], []]
+    assert got == [brute.differing(brute.merkle("\n".join(lines)), brute.merkle("\n".join(x))) for x in (changed, longer, lines)]
 
 
 def test_token_counts(spark, docs, rows, empty):
