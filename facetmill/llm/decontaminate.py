@@ -9,9 +9,9 @@ document (positional and length bound) and are verified word by word over the wi
 The text is read three times: to count the benchmark's words, to find prefix words, and to verify.  What moves between
 the tasks is the places of rare words and, once, the text.
 
-Defined cases: null, empty or wordless text has no words, no hits and is clean; a wordless item has no window; equal
-items each count; rows with one doc_id share their hits only if their texts are equal; an empty benchmark leaves every
-document clean; extra columns are ignored.
+Defined cases: null, empty or wordless text has no words, no hits and is clean; texts of any length are looked at whole; a wordless item has no window; equal
+items each count; of equally rare words the first by code point is a window's prefix; a share of exactly one in SHARE is contaminated; rows with one doc_id, or none, share their hits only if their texts are equal; an empty benchmark leaves every
+document clean, an empty table of documents gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, broadcast_if_small, documents, materialize
+from .shared import NO_ID, ascii_lower, broadcast_if_small, documents, materialize
 
 WINDOW = 13
 SHARE = 20  # contaminated: at least one word in so many is hit
@@ -84,7 +84,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataF
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return judged_rows(docs, items, window, share).drop("version")
+
+
+def judged_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """judge() with the version of each row, xxhash64 of its text, which tells rows of one doc_id apart."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     sizes, found = hits(docs, items.select("item_id", "text"), window)
     key = ["doc_id", "version"]
     found = materialize(found)
@@ -97,7 +102,8 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     out = sizes.join(both, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("version").eqNullSafe(F.col("_v")), "left")
     n = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select(
-        "doc_id",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        "version",
         "n_words",
         n.alias("n_hit"),
         F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"),

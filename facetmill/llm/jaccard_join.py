@@ -13,12 +13,13 @@ What shares a signature is joined to a candidate group (a star for each signatur
 sets of a group that are of like size are compared exactly, in blocks of bounded size; each pair of blocks is a group of
 rows of its own, so a large group is split.  Links give the components.
 
-Hot groups: equal sets are one class, represented by its smallest doc_id; a signature is reduced to one row for each
-input batch before the shuffle.
+Hot groups: equal sets are one class, represented by its smallest node; a signature is reduced to one row for each
+input batch before the shuffle; within a pair of blocks, shingles that most sets have are compared by the sets that lack them, so
+near copies cost what they differ in, not what they share.
 
-Defined cases: null or wordless text has no shingles and links with nothing; a text of fewer words than a shingle is
-one shingle; rows that repeat a doc_id count as one node; rows without a doc_id are one node for each text, below the others, and a
-component whose smallest node is one has a null component_id; extra columns are ignored.
+Defined cases: null, empty or wordless text has no shingles and links with nothing; a text of fewer words than a shingle is
+one shingle; texts of any length are taken whole; a similarity equal to the threshold links; rows that repeat a doc_id, or have none, are told apart by text, equal ones count as one node;
+component_id is the smallest doc_id of the component, null only if none of its rows has one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ from pyspark.sql import functions as F
 from . import rolling as R
 from .components import connected_components
 from .rolling import U
-from .shared import documents, materialize, partitions
+from .shared import NO_ID, documents, materialize, partitions, with_row_key
 from .suffix_dedup import text_slices
 
-NO_ID = -(1 << 63)
 BLOCK_SHINGLES = 2_000_000
-INFO = "doc_id long, unnamed boolean, n_shingles long, s1 long, s2 long"
+INFO = "doc_id long, __id long, __version long, n_shingles long, s1 long, s2 long"
 SHINGLES = "part int, slice long, docs binary, owners binary, hashes binary"
+KEY = ["__id", "__version"]
 COUNTS = "slice long, docs binary, counts binary"
 SIGNED = "sig long, a long, b long, known boolean"  # known: a and b are an edge already, else a has the signature
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -146,7 +147,7 @@ def info_rows(size: int):
                 sums = [np.zeros(part.num_rows, U) for _ in range(2)]
                 for s, seed in zip(sums, (0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)):
                     np.add.at(s, row, R.mix(h * U(seed)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *(pa.array(R.signed(s)) for s in sums)], names=["doc_id", "unnamed", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n.astype(np.int64)), *(pa.array(R.signed(s)) for s in sums)], names=["doc_id", "__id", "__version", "n_shingles", "s1", "s2"])
 
     return run
 
@@ -320,50 +321,69 @@ def link_rows(threshold: Fraction):
     return run
 
 
+def minority(owner: np.ndarray, feature: np.ndarray, n_sets: int):
+    """(owner, feature) such that each feature is listed for at most half of the sets: a feature of more of them is listed for those that lack it.
+
+    With it the number of sets' common features: frequent - lacking[i] - lacking[j] + features listed for both.
+    """
+    count = np.bincount(feature)
+    often = np.flatnonzero(2 * count > n_sets)
+    place = np.full(len(count), -1)
+    place[often] = np.arange(len(often))
+    mine = place[feature] >= 0
+    present = np.zeros(n_sets * len(often), bool)  # at most twice the pairs given
+    present[owner[mine] * len(often) + place[feature[mine]]] = True
+    absent = np.flatnonzero(~present)
+    lacks = absent // max(1, len(often))
+    return np.r_[owner[~mine], lacks], np.r_[feature[~mine], often[absent % max(1, len(often))]], len(often), np.bincount(lacks, minlength=n_sets)
+
+
 def compare(doc, block, side, copies, sets, within: bool, num: int, den: int):
-    """Edges and numbers of links; two sets of side 1 meet in the next band, two of one block in that block's own task."""
+    """Edges that join the sets, and numbers of links; two sets of side 1 meet in the next band, two of one block in that block's own task."""
+    n_sets = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(n_sets), size)
     _, feature, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, U), return_inverse=True, return_counts=True)
     shared = count[feature] > 1
-    owner, feature = owner[shared], feature[shared]
-    own_at = np.searchsorted(owner, np.arange(len(sets) + 1))
-    order = np.argsort(feature, kind="stable")
-    listed = owner[order]
-    first = np.r_[0, np.cumsum(np.bincount(feature, minlength=len(count)))]
-    label, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    owner, feature, frequent, lacking = minority(owner[shared], feature[shared], n_sets)
+    _, feature = np.unique(feature, return_inverse=True)
+    by_owner = np.argsort(owner, kind="stable")
+    owner, feature = owner[by_owner], feature[by_owner]
+    own_at = np.searchsorted(owner, np.arange(n_sets + 1))
+    listed = owner[np.argsort(feature, kind="stable")]
+    first = np.r_[0, np.cumsum(np.bincount(feature))]
+    label, links = np.arange(n_sets), np.zeros(n_sets, np.int64)
     a, b = [], []
-    for i in range(len(sets)):
+    for i in range(n_sets):
         f = feature[own_at[i] : own_at[i + 1]]
-        if not len(f):
-            continue
         begin, n = first[f], first[f + 1] - first[f]
-        at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        common = np.bincount(listed[at], minlength=len(sets))
+        at = np.repeat(begin - np.r_[0, np.cumsum(n)][:-1], n) + np.arange(n.sum())
+        common = np.bincount(listed[at], minlength=n_sets) + frequent - lacking[i] - lacking
         linked = (den * common >= num * (size[i] + size - common)) & (doc != doc[i]) & ((side == 0) | (side[i] == 0))
         if not within:
             linked &= block != block[i]
         links[i] = copies[linked].sum()
-        for j in np.flatnonzero(linked & (label != label[i])):
-            if label[j] != label[i]:
-                a.append(doc[i])
-                b.append(doc[j])
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        apart = np.flatnonzero(linked & (label != label[i]))
+        if len(apart):  # one edge to each group that this set joins
+            names, one = np.unique(label[apart], return_index=True)
+            a += [doc[i]] * len(one)
+            b += doc[apart[one]].tolist()
+            label[np.isin(label, np.r_[names, label[i]])] = min(names[0], label[i])
     some = links > 0
-    return np.r_[a, doc[some]], np.r_[b, doc[some]], np.r_[np.zeros(len(a), np.int64), links[some]]
+    return np.r_[np.array(a, np.int64), doc[some]], np.r_[np.array(b, np.int64), doc[some]], np.r_[np.zeros(len(a), np.int64), links[some]]
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9", n2: int = 3, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the other rows that it links with."""
+def joined_rows(docs: DataFrame, words: int = 3, threshold: str = "0.9", n2: int = 3, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__id, __version, n_shingles, component, component_id, n_links) of every row, by shared.with_row_key; component names rows that links join."""
     t = Fraction(threshold)
     n = partitions(docs.sparkSession)
-    key = F.col(id_col).cast("long")
-    node = F.coalesce(key, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 16))  # rows without an id are told apart by text
-    rows = docs.select(node.alias("doc_id"), F.col(text_col).alias("text"), key.isNull().alias("unnamed"))
+    keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    several = F.col("__version") != 0  # of one id, or without one: nodes of their own, below all ids
+    node = F.when(several, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(*KEY), 2)).otherwise(F.col("__id"))
+    rows = keyed.select(node.alias("doc_id"), "text", *KEY)
     texts = rows.select("doc_id", "text")
     info = materialize(rows.mapInArrow(info_rows(words), INFO))
-    unnamed = info.where("unnamed").select(F.col("doc_id").alias("_unnamed")).distinct()
-    some_unnamed = not unnamed.isEmpty()
+    odd = not info.where((F.col("__version") != 0) | (F.col("__id") == NO_ID)).isEmpty()
     classes = info.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     classes = materialize(classes)
 
@@ -371,7 +391,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     counted = texts.mapInArrow(shingle_rows(words, n), SHINGLES).repartition(n, "part").mapInArrow(shared_rows, COUNTS)
     counted = counted.repartition(n, "slice").mapInArrow(summed_rows, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     able = counted.join(classes, counted["doc_id"] == classes["rep"]).where(F.col("shared") * t.denominator >= F.col("n") * t.numerator).select("rep", "copies")
-    single = rows.where("not unnamed").unionByName(rows.where("unnamed").dropDuplicates(["doc_id"])) if some_unnamed else texts
+    single = texts.dropDuplicates(["doc_id"]) if odd else texts
     candidates = single.join(able, single["doc_id"] == able["rep"]).select("doc_id", "text", "copies")
     sets = materialize(candidates.mapInArrow(set_rows(words), "doc_id long, copies long, shingles binary"))
 
@@ -396,16 +416,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9",
     counts = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("n_links"))
     ends = classes.join(found, classes["rep"] == found["node"], "left").join(counts, classes["rep"] == counts["a"], "left")
     ends = ends.select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = info.join(ends, ["s1", "s2"], "left")
-    out = out.select(
-        F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"),
-        "n_shingles",
-        F.coalesce("component_id", info["doc_id"]).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
-    if some_unnamed:  # a component of which the smallest node has no id has none either
-        out = out.join(unnamed, out["component_id"] == unnamed["_unnamed"], "left").select("doc_id", "n_shingles", F.when(F.col("_unnamed").isNull(), F.col("component_id")).alias("component_id"), "n_links")
-    return out
+    out = info.join(ends, ["s1", "s2"], "left").select(*KEY, "n_shingles", F.coalesce("component_id", info["doc_id"]).alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    if not odd:
+        return out.withColumn("component_id", F.col("component"))
+    out = materialize(out)
+    smallest = out.where(F.col("__id") != NO_ID).groupBy("component").agg(F.min("__id").alias("component_id"))
+    return out.join(smallest, "component", "left")
+
+
+def jaccard_components(docs: DataFrame, words: int = 3, threshold: str = "0.9", n2: int = 3, k2: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the other rows that it links with."""
+    return joined_rows(docs, words, threshold, n2, k2, id_col, text_col).select(F.nullif("__id", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,10 @@ Fitting uses at most MAX_LABELLED labelled rows, drawn by a hash of doc_id.  The
 task runs a few passes over its shard from the common weights, and the driver averages the SHARDS results.  Scoring is
 one narrow pass over all documents.
 
-Defined cases: null text is the empty text and is scored by its bins alone; labels with a null quality and toxic, or
-without a document, teach nothing; of several labels of a document the lowest grade counts; without any labels every
-document is kept with tail probability 1; repeated rows give repeated results; columns of the input pass through
-`select_documents`, extra ones included.
+Defined cases: null text is the empty text and is scored by its bins alone; texts of any length are read whole; labels with a null quality and toxic, or
+without a document, teach nothing; of several labels of a document the lowest grade counts, and every row of its id teaches; without any labels every
+document is kept with tail probability 1; a tail equal to KEEP_TAIL keeps; an empty table gives an empty result; repeated rows give repeated results, and
+a null doc_id is scored like any other; columns of the input pass through `select_documents`, extra ones included.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ MAX_LABELLED = 24_000
 SHARDS, ROUNDS, PASSES = 8, 5, 4
 FEATURES = 1 << 17
 MIN_DOCUMENTS = 4  # a feature in fewer labelled documents gets no weight
-MIN_Z = 4.0  # nor one whose documents' mean grade lies within so many standard errors of the overall mean
+MIN_Z = 4.0  # nor one whose documents' mean grade lies within so many standard errors of the overall mean;
+MOST_TELLING = 16  # where no feature passes, as with few labels, so many that lie farthest from it get one
 STEM = 5
 KEEP_TAIL = 0.5
 GRADES = 3
@@ -169,9 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
     mean = sum(g * n for g, n in share.items()) / total
     spread = (sum(g * g * n for g, n in share.items()) / total - mean**2) ** 0.5
     told = rows.select("grade", F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean"))
-    told = told.where((F.col("n") >= MIN_DOCUMENTS) & (F.abs(F.col("mean") - mean) * F.sqrt("n") >= MIN_Z * spread)).select("f")
+    told = told.where(F.col("n") >= min(MIN_DOCUMENTS, total)).select("f", (F.abs(F.col("mean") - mean) * F.sqrt("n")).alias("z"))
     useful = np.zeros(FEATURES, bool)
-    useful[[r.f for r in told.collect()]] = True  # at most FEATURES numbers
+    found = told.where(F.col("z") >= MIN_Z * spread).select("f").collect()  # at most FEATURES numbers
+    found = found or told.where("z > 0").orderBy(F.round("z", 9).desc(), "f").limit(MOST_TELLING).collect()
+    useful[[r.f for r in found]] = True
     above = [min(1 - 1e-3, max(1e-3, sum(share.get(g, 0) for g in range(k, GRADES)) / total)) for k in (1, 2)]
     t = [-np.log(p / (1 - p)) for p in above]
     weights, cuts = np.zeros(FEATURES, np.float32), np.array([t[0], np.log(max(t[1] - t[0], 0.05))])

@@ -53,11 +53,11 @@ def source_targets(sizes: DataFrame, weights: list[float] = (1, 2, 3), cap: int
     return materialize(s.select("source", "weight", "source_size", target.alias("target")))
 
 
-def placed_rows(docs: DataFrame, weights: list[float], id_col: str, text_col: str, source_col: str) -> DataFrame:
+def placed_rows(docs: DataFrame, weights: list[float], id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
     """Each row with its size, its source's size and target, and `upto`: the words of its source up to and with it."""
     key = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *keep))
     n_ranges = max(1, rows.count() // ROWS_PER_RANGE)
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * n_ranges)
     rows = rows.withColumn("part", part).withColumn("many", F.floor(part / RANGES_PER_GROUP))
@@ -74,12 +74,12 @@ def placed_rows(docs: DataFrame, weights: list[float], id_col: str, text_col: st
     within = W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     summed = rows.withColumn("upto", F.sum("size").over(within))
     placed = summed.join(offsets, summed["source"].eqNullSafe(offsets["s"]) & (F.col("part") == F.col("p")))
-    return placed.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("upto")).alias("upto"), F.monotonically_increasing_id().alias("row"))
+    return placed.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("upto")).alias("upto"), F.monotonically_increasing_id().alias("row"), *keep)
 
 
-def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for every row."""
-    placed = materialize(placed_rows(docs, weights, id_col, text_col, source_col))
+def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = []) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for every row, and the columns of docs named in keep."""
+    placed = materialize(placed_rows(docs, weights, id_col, text_col, source_col, keep))
     finish = lambda i: (F.lit(i) * F.col("source_size") + F.col("upto")) / F.col("target")
     at = lambda f: F.least(F.floor(f * (FINISH_RANGES / LAST_FINISH)), F.lit(FINISH_RANGES)).cast("int")
 
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), id_col: str = "doc_id
     taken = materialize(taken.groupBy(F.col("row").alias("r")).agg(F.sum("size").alias("words")))
     sure = sum((F.when(at(finish(i)) < last, F.col("size")).otherwise(0) for i in range(1, PASSES)), F.when(at(finish(0)) < last, F.col("size")).otherwise(0))
     words = F.when(F.col("size") > 0, sure + F.coalesce("words", F.lit(0))).otherwise(0)
-    return placed.join(broadcast_if_small(taken, MAX_BROADCAST_ROWS), F.col("row") == F.col("r"), "left").select("doc_id", "size", "source_size", "target", words.cast("long").alias("taken"), "source")
+    return placed.join(broadcast_if_small(taken, MAX_BROADCAST_ROWS), F.col("row") == F.col("r"), "left").select("doc_id", "size", "source_size", "target", words.cast("long").alias("taken"), "source", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,20 @@ def repeats(rows, length=100):
     return out
 
 
+def without_repeats(rows, length=100):
+    """doc_id -> text without the bytes of repeats()."""
+    seen, out = set(), {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(b[i : i + length])
+        out[d] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
 def shingles(text, size):
     w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()

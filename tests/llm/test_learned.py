@@ -2,8 +2,10 @@
 
 import collections
 import itertools
+import math
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -56,6 +58,38 @@ def test_quality(spark):
     assert kept.columns == ["doc_id", "text", "grade"] and 0 < kept.count() < docs.count()
 
 
+def test_quality_scores(spark, sf):
+    """The scores of documents against the model's formula, features made one by one."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights, cuts = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(7), labels)
+    assert np.allclose(weights, again[0]) and np.allclose(cuts, again[1])
+    number = lambda name: zlib.crc32(name.encode()) % quality.FEATURES
+    bin_of = lambda share: 0 if share <= 0 else max(1, 12 + math.floor(math.log2(share)))
+    got = {r.doc_id: r for r in quality.score_documents(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        text, data = r.text, r.text.encode()
+        words = text.lower().split()
+        bare = {w.strip(".,;:!?\"'()[]{}*&%$#|-_<>/\\+=~`^@") for w in words}
+        found = {number(b) for b in bare} | {number("stem " + b[:5]) for b in bare if len(b) > 5}
+        n = max(1, len(data))
+        found |= {number(f"has {c} {bin_of(data.count(c) / n)}") for c in range(33, 127) if not chr(c).isalnum() and data.count(c)}
+        shares = {"capitals": sum(65 <= c < 91 for c in data) / n, "digits": sum(48 <= c < 58 for c in data) / n, "lines": data.count(10) / n}
+        found |= {number(f"{k} {bin_of(x)}") for k, x in shares.items()}
+        found |= {number(f"distinct {int(10 * len(set(words)) / max(1, len(words)))}"), number(f"length {int(math.log2(n))}"), number(f"word size {min(20, int(n / max(1, len(words))))}")}
+        s = sum(float(weights[i]) for i in found)
+        tail = [1 / (1 + math.exp(-(s - t))) for t in (cuts[0], cuts[0] + math.exp(cuts[1]))]
+        x = got[r.doc_id]
+        assert abs(x.expected_grade - sum(tail)) < 1e-4 and abs(x.p_good - tail[1]) < 1e-4 and abs(x.p_toxic - 1 + tail[0]) < 1e-4 and x.keep == (x.p_good >= 0.5)
+
+
+def test_quality_of_few_labels(spark):
+    """A dozen labels still tell documents apart."""
+    docs, labels = graded_corpus(spark, 60)
+    got = {r.doc_id: r.keep for r in quality.score_documents(docs, labels.where("doc_id < 15")).collect()}
+    assert 0 < sum(got.values()) < 60 and sum(got[i] == (i % 5 > 1) for i in range(15)) >= 13
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x " * 50_000)], "doc_id long, text string")
     none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
@@ -290,9 +324,41 @@ def test_pipeline(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "suffix-array dedup", "benchmark decontamination", "mixing sources"]
 
 
+def test_pipeline_run(spark, sf):
+    """The whole of run() against brute force; only the classifier's tails are taken from the operator, which test_quality_scores checks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r.doc_id for r in quality.score_documents(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("keep").collect()}
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect() if r.doc_id in good}
+    groups = brute.components([(d, t) for d, (t, _) in rows.items()], 5, "0.8")
+    rows = {d: x for d, x in rows.items() if groups[d][1] == d}
+    cut = {d: t for d, t in brute.without_repeats((d, t) for d, (t, _) in rows.items()).items() if not (rows[d][0] or "").strip() or t.strip()}
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = {d for d, x in brute.contamination(cut.items(), items).items() if not x[4]}
+    taken = {d: x for d, x in brute.mixed([(d, cut[d], rows[d][1]) for d in clean]).items() if x[3]}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert {d: (r.size, r.source_size, r.taken) for d, r in got.items()} == {d: (x[0], x[1], x[3]) for d, x in taken.items()} and len(got) > 20
+    assert all(r.text == cut[d] and r.n_chars == len(r.text) and abs(r.target - taken[d][2]) < 1e-6 for d, r in got.items())
+
+
 def test_pipeline_stages_cases(spark, sf):
+    """Empty tables, nulls, empty texts, rows that repeat an id with equal and with differing texts, extra columns with clashing names."""
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "a b c d e f", "en", "s", 11), (3, "", "en", "s", 0)], empty.schema)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    words = lambda k: " ".join(f"word{k}n{i}" for i in range(60))
+    odd = [(1, None), (1, None), (None, words(1)), (3, ""), (4, words(2)), (4, item), (None, item), (None, words(3)), (5, words(1) + " end"), (6, words(4)), (6, words(4)), (6, words(5))]
+    names = ["size", "taken", "target", "version", "component", "runs", "row", "key", "grade", "f", "__had", "keep"]
+    odd = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in odd], empty.schema).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
-        assert stage(spark, odd, sf).count() <= 4
+        assert stage(spark, odd, sf).columns[: len(odd.columns)] == odd.columns
+    everything = rows(odd)
+    assert set(rows(corpus_pipeline.quality_stage(spark, odd, sf))) <= set(everything)
+    near = [(1, None), (3, ""), (4, words(2)), (4, item), (None, words(3)), (5, words(1) + " end"), (6, words(4)), (6, words(5))]
+    assert rows(corpus_pipeline.near_copies_stage(spark, odd, sf)) == sorted(near, key=str)
+    assert rows(corpus_pipeline.benchmark_stage(spark, odd, sf)) == [x for x in everything if x[1] != item]
+    cut = rows(corpus_pipeline.repeats_stage(spark, odd, sf))
+    assert (None, words(1)) in cut and (5, words(1) + " end") not in cut and [x for x in cut if x[0] in (1, 3)] == [(1, None), (1, None), (3, "")]
+    mixed = corpus_pipeline.mix_stage(spark, odd, sf)
+    assert mixed.columns == [*odd.columns, "mix_size", "source_size", "mix_target", "mix_taken"]
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= set(everything) - {(1, None), (3, "")} and mixed.agg(F.sum("mix_taken")).first()[0] > 400

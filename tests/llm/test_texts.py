@@ -1,5 +1,6 @@
 """Operators on texts against brute force, and their cases: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
+import collections
 import hashlib
 import random
 import time
@@ -151,22 +152,73 @@ def test_jaccard_blocks_and_cases(spark, docs, rows, empty, monkeypatch):
     assert got == brute.components([r[:2] for r in rows])
     assert jaccard_join.jaccard_components(empty).count() == 0
     some = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "q")], "doc_id long, text string")
-    assert sorted(str(r.component_id) for r in jaccard_join.jaccard_components(some).collect()) == ["9", "None", "None", "None"]
+    assert sorted(str(r.component_id) for r in jaccard_join.jaccard_components(some).collect()) == ["4", "4", "4", "9"]
 
 
-def test_jaccard_null_ids(spark):
-    """Documents without an id inside groups of near copies; each text without one is a node of its own."""
+def test_jaccard_repeated_and_null_ids(spark):
+    """Rows of one id or none with differing texts are nodes of their own; a component has its smallest id, if any."""
     near = lambda seed: [" ".join([*(f"w{seed}x{i}" for i in range(100)), *(["end"] * k)]) for k in range(4)]
-    a, b, c = near(1), near(2), near(3)
-    rows = [(-900, a[0]), (5, a[1]), (7, a[2]), (-900, a[0]), (-800, b[0]), (9, b[1]), (-700, "alone here now"), (11, c[0]), (12, c[1]), (-600, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id"))).coalesce(1)
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard_join.jaccard_components(df).collect())
+    a, b, c, d = near(1), near(2), near(3), near(4)
+    rows = [(None, a[0]), (5, a[1]), (7, a[2]), (None, a[0]), (None, b[0]), (9, b[1]), (None, "alone here now"), (11, c[0]), (12, c[1]), (None, None)]
+    rows += [(30, d[0]), (30, b[2]), (30, c[2]), (30, d[0]), (None, "other words stand here"), (None, "other words stand here"), (40, ""), (40, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     want = brute.components([(i, t) for i, (_, t) in enumerate(rows)])
-    name = lambda i: str(rows[i][0] if rows[i][0] > 0 else None)
-    assert got == sorted((name(i), n, name(k), links) for i, (n, k, links) in want.items())
+    ids = {}
+    for i, (_, k, _) in want.items():
+        ids[k] = min([x for x in (ids.get(k), rows[i][0]) if x is not None], default=None)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == sorted((str(rows[i][0]), n, str(ids[k]), links) for i, (n, k, links) in want.items())
     assert sum(g[3] for g in got) > 10
 
 
+def test_jaccard_on_a_table(spark, sf):
+    """Every link of a larger table against all pairs of its sets."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(brute.shingles(r.text, 3)) for r in docs.collect()}
+    got = by_id(jaccard_join.jaccard_components(docs), "component_id", "n_links")
+    links = collections.Counter()
+    ids = sorted(sets)
+    for i, x in enumerate(ids):
+        for y in ids[i + 1 :]:
+            n = len(sets[x] & sets[y])
+            if n and 10 * n >= 9 * (len(sets[x]) + len(sets[y]) - n):
+                links[x] += 1
+                links[y] += 1
+                assert got[x][0] == got[y][0]
+    assert {d: n for d, (_, n) in got.items() if n} == dict(links) and len(links) > 50
+
+
+def test_compare_against_pairs():
+    """Sets with frequent and rare shingles in common, as near copies have."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    for seed in range(30):
+        base = r.integers(1, 1 << 60, 60).astype(np.uint64)
+        sets = []
+        for _ in range(25):
+            keep = base[r.random(60) > r.choice([0, 0.03, 0.1, 0.8])]
+            sets.append(np.unique(np.r_[keep, r.integers(1, 40, int(r.integers(0, 6))).astype(np.uint64)]) if seed % 3 else np.unique(r.integers(1, 30, 20).astype(np.uint64)))
+        doc, block, side, copies = np.arange(25) * 10, r.integers(0, 2, 25), r.integers(0, 2, 25), r.integers(1, 4, 25)
+        for within in (True, False):
+            a, b, n = jaccard_join.compare(doc, block, side, copies, sets, within, 9, 10)
+            linked = {(i, j) for i in range(25) for j in range(25) if i != j and not (side[i] and side[j]) and (within or block[i] != block[j]) and 10 * len(np.intersect1d(sets[i], sets[j])) >= 9 * len(np.union1d(sets[i], sets[j]))}
+            want = {int(doc[i]): int(sum(copies[j] for x, j in linked if x == i)) for i in {i for i, _ in linked}}
+            assert {int(x): int(m) for x, m in zip(a, n) if m} == want
+            root = {int(x): int(x) for x in doc}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[find(x)] = find(y)
+            groups = {x: find(x) for x in root}
+            assert all(groups[doc[i]] == groups[doc[j]] for i, j in linked)
+            assert sum(x != y for x, y in zip(a, b)) <= 24
+
+
 def test_signatures_meet():
     """Every pair at the threshold shares a signature, whatever its sizes."""
     from fractions import Fraction
