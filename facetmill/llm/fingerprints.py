@@ -43,17 +43,28 @@ def short(leaves):
     return F.transform(leaves, lambda p: F.transform(p, lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int")))
 
 
-def grown(leaves):
-    """The tree over leaves of 64 bits: struct (leaves, paragraphs, sections, root)."""
-    paragraphs = F.transform(leaves, lambda p: F.xxhash64(p))
-    n = F.ceil(F.size(leaves) / F.lit(PER_SECTION)).cast("int")
-    sections = lambda nodes: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice(nodes, i * PER_SECTION + 1, PER_SECTION)))
-    root = lambda nodes: F.substring(F.sha2(F.array_join(F.transform(nodes, lambda h: h.cast("string")), ";"), 256), 1, 32)
-    return F.struct(short(leaves).alias("leaves"), paragraphs.alias("paragraphs"), sections(paragraphs).alias("sections"), root(sections(paragraphs)).alias("root"))
+def nodes(leaves):
+    """The paragraphs' nodes over leaves of 64 bits."""
+    return F.transform(leaves, lambda p: F.xxhash64(p))
 
 
-def tree(text):
-    return grown(hashed(text))
+def section_nodes(paragraphs):
+    n = F.ceil(F.size(paragraphs) / F.lit(PER_SECTION)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice(paragraphs, i * PER_SECTION + 1, PER_SECTION)))
+
+
+def root_of(sections):
+    return F.substring(F.sha2(F.array_join(F.transform(sections, lambda h: h.cast("string")), ";"), 256), 1, 32)
+
+
+def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the tree of a text column: struct (leaves, paragraphs, sections, root).  Each level is a column first, so that it is worked out once."""
+    level = {k: f"__{name}_{k}" for k in ("hashed", "leaves", "paragraphs", "sections", "root")}
+    df = df.withColumn(level["hashed"], hashed(F.col(text)))
+    df = df.withColumns({level["leaves"]: short(F.col(level["hashed"])), level["paragraphs"]: nodes(F.col(level["hashed"]))})
+    df = df.withColumn(level["sections"], section_nodes(F.col(level["paragraphs"])))
+    df = df.withColumn(level["root"], root_of(F.col(level["sections"])))
+    return df.withColumn(name, F.struct(*[F.col(level[k]).alias(k) for k in ("leaves", "paragraphs", "sections", "root")])).drop(*level.values())
 
 
 def spelled(t):
@@ -129,14 +140,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.col("next_id").alias("doc_id"), F.col("next_version").alias("version"), F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.floor(F.col("n_chars") / 3).cast("int").alias("take")
     )
     # both joins take the same columns by the same key, so Spark shuffles the texts once
-    given = rows.join(asked, ["doc_id", "version"]).select("_d", "_v", "take", F.substring(F.col("text"), F.lit(1), F.col("take")).alias("tail"), tree(F.col("text")).alias("t"))
-    given = given.select(F.col("_d").alias("doc_id"), F.col("_v").alias("version"), "take", "tail", F.flatten("t.leaves").alias("next_leaves"), F.col("t.root").alias("next_root"))
+    given = rows.join(asked, ["doc_id", "version"]).select("_d", "_v", "take", F.substring(F.col("text"), F.lit(1), F.col("take")).alias("tail"), "text")
+    given = with_tree(given, "text", "t").select(F.col("_d").alias("doc_id"), F.col("_v").alias("version"), "take", "tail", F.flatten("t.leaves").alias("next_leaves"), F.col("t.root").alias("next_root"))
     if keys.agg(F.max("copies")).first()[0] not in (None, 1):  # a neighbour that stands in several equal rows gives the same each time
         given = given.dropDuplicates(["doc_id", "version"])
     both = rows.join(given, ["doc_id", "version"]).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("take")).cast("int")), F.col("tail"))
     both = both.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "text", edited.alias("edited"), "next_leaves", "next_root")
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_leaves", "next_root", tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"))
+    both = with_tree(with_tree(both, "text", "a"), "edited", "b").withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited")
     both = both.select("*", F.flatten("a.leaves").alias("la"), F.flatten("b.leaves").alias("lb"), differing_blocks(F.col("a"), F.col("b")).alias("differing"))
     first = F.get("differing", F.lit(0))
     return both.select(

@@ -303,7 +303,7 @@ def test_differing_blocks(spark):
     changed = [x if i != 9 else x.replace("number 9", "number x") for i, x in enumerate(lines)]
     longer = [*lines, "one more", ""]
     df = spark.createDataFrame([("\n".join(lines), "\n".join(x)) for x in (changed, longer, lines)], "a string, b string")
-    fp = df.select(*[fingerprints.spelled(fingerprints.tree(F.col(c))).alias(c) for c in "ab"])
+    fp = fingerprints.with_tree(fingerprints.with_tree(df, "a", "x"), "b", "y").select(fingerprints.spelled(F.col("x")).alias("a"), fingerprints.spelled(F.col("y")).alias("b"))
     got = [[tuple(x) for x in r.d] for r in fp.select(fingerprints.differing_blocks(fingerprints.parsed(F.col("a")), fingerprints.parsed(F.col("b"))).alias("d")).collect()]
     assert got == [[(1, 9, 3)], [(2, 20, 0), (2, 20, 1), (2, 21, 0)], []]
     assert got == [brute.differing(brute.merkle("\n".join(lines)), brute.merkle("\n".join(x))) for x in (changed, longer, lines)]
