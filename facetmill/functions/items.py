@@ -1,4 +1,7 @@
-"""Items: one `column___value` string for each non-null cell."""
+"""Items: one `column___value` string for each non-null cell.
+
+Names that hold the separator or end in an underscore are escaped inside items, so that an item always names its column.
+"""
 
 from __future__ import annotations
 
@@ -15,16 +18,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def item_prefix(column: str) -> str:
+    """The column's part of an item; underscores that could be read as the separator, and backslashes, get a backslash."""
+    name = column.replace("\\", "\\\\")
+    return (name.replace("_", "\\_") if SEP in name or name.endswith("_") else name) + SEP
+
+
 def item(column: str) -> Column:
-    return F.when(quoted(column).isNotNull(), F.concat(F.lit(column + SEP), quoted(column).cast("string")))
+    return F.when(quoted(column).isNotNull(), F.concat(F.lit(item_prefix(column)), quoted(column).cast("string")))
 
 
 def item_column(c: Column) -> Column:
-    return F.substring_index(c, SEP, 1)
+    """The column of an item, as it is named in the table."""
+    name = F.substring_index(c, SEP, 1)
+    return F.when(name.contains("\\"), F.regexp_replace(name, r"\\(.)", "$1")).otherwise(name)
 
 
 def item_value(c: Column) -> Column:
-    return F.substring(c, F.length(item_column(c)) + len(SEP) + 1, F.length(c))
+    return F.substring(c, F.length(F.substring_index(c, SEP, 1)) + len(SEP) + 1, F.length(c))
 
 
 def literal_map(values: dict[str, float]) -> Column:

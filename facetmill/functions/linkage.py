@@ -4,17 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_ITEMSETS = 5_000
-
-
 def average_linkage(ids: np.ndarray, distance: np.ndarray) -> list[tuple[int, int, int, float, int]]:
     """Merges (step, left, right, distance, size); clusters are named by their smallest id, ties merge the smallest names first.
 
-    distance: square matrix in the order of the sorted ids.
+    distance: square matrix in the order of the sorted ids.  Each cluster's least distance is kept and only looked for anew where a
+    merge takes it away, so that k itemsets take about k * k steps and k * k numbers of memory.
     """
     k = len(ids)
-    if k > MAX_ITEMSETS:
-        raise ValueError(f"{k} itemsets are too many to link at once (at most {MAX_ITEMSETS}): raise min_support or lower max_collection")
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     size = np.ones(k, int)
@@ -28,11 +24,15 @@ def average_linkage(ids: np.ndarray, distance: np.ndarray) -> list[tuple[int, in
         j = int(np.flatnonzero(alive & (d[i] <= low + 1e-12))[0])
         i, j = min(i, j), max(i, j)
         out.append((step, int(ids[i]), int(ids[j]), float(d[i, j]), int(size[i] + size[j])))
+        lost = alive & ((nearest == d[i]) | (nearest == d[j]))
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         size[i] += size[j]
         alive[j] = False
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
-        nearest = d.min(axis=1)
+        nearest = np.minimum(nearest, d[i])
+        lost[i] = True
+        nearest[lost] = d[lost].min(axis=1)
+        nearest[j] = np.inf
     return out

@@ -20,6 +20,11 @@ SLACK = 1e-12  # for the inclusive cut
 LINKAGE = "step int, left int, right int, distance double, size int"
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast the mined result only up to a counted number of rows; beyond it Spark shuffles as usual."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def columns_of(items):
     return F.array_distinct(F.transform(items, item_column))
 
@@ -39,7 +44,7 @@ def overlaps_in_rows(matched: DataFrame) -> DataFrame:
 
 def pairwise_similarity(itemsets: DataFrame, members: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
     """(i, j, col_similarity, row_similarity, similarity, distance) of every pair i < j, also of those without a common row."""
-    o = (row_overlaps(members) if overlaps is None else overlaps).cache()
+    o = row_overlaps(members) if overlaps is None else overlaps
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("n"))
     s = itemsets.select("itemset_id", columns_of(F.col("items")).alias("cols")).join(own, F.col("itemset_id") == F.col("id"), "left").select("itemset_id", "cols", F.coalesce("n", F.lit(0)).alias("n"))
     a, b = s.select(*[F.col(c).alias(f"{c}_a") for c in s.columns]), s.select(*[F.col(c).alias(f"{c}_b") for c in s.columns])
@@ -135,7 +140,7 @@ def constant_columns_across_clusters(assign: DataFrame, cells: DataFrame) -> Dat
 
 def cluster_coverage(assign: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, row_coverage, row_coverage_percent): distinct rows of the cluster, and their share of the rows of any itemset."""
-    covered = members.join(F.broadcast(assign.select("itemset_id", "cluster")), "itemset_id").select("cluster", "row_id").distinct()  # the mined result
+    covered = members.join(small(assign.select("itemset_id", "cluster")), "itemset_id").select("cluster", "row_id").distinct()
     total = members.select("row_id").distinct().agg(F.count(F.lit(1)).alias("total"))
     return covered.groupBy("cluster").agg(F.count(F.lit(1)).alias("row_coverage")).crossJoin(F.broadcast(total)).select("cluster", "row_coverage", (F.col("row_coverage") / F.col("total")).alias("row_coverage_percent"))
 
@@ -208,8 +213,8 @@ def cluster_report(clusters: DataFrame, constants: DataFrame, itemsets: DataFram
 
 def cluster_overlap(assign: DataFrame, members: DataFrame) -> DataFrame:
     """(i, j, jaccard) of the row sets of all pairs of clusters, the diagonal included."""
-    rows = members.join(F.broadcast(assign), "itemset_id").select(F.col("cluster").alias("itemset_id"), "row_id").distinct()  # the mined result
-    o = row_overlaps(rows).cache()
+    rows = members.join(small(assign), "itemset_id").select(F.col("cluster").alias("itemset_id"), "row_id").distinct()
+    o = row_overlaps(rows)
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("n"))
     names = assign.select("cluster").distinct().join(own, F.col("cluster") == F.col("id"), "left").select("cluster", F.coalesce("n", F.lit(0)).alias("n"))
     a, b = names.select(F.col("cluster").alias("a"), F.col("n").alias("na")), names.select(F.col("cluster").alias("b"), F.col("n").alias("nb"))

@@ -7,7 +7,9 @@ are counted all in one aggregate.  When a level has too many candidates for that
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetmill.functions.items import SEP, item, item_column, item_key, item_value, literal_map, quoted
-from facetmill.operators.prepare import _plain, apply_buckets, normalize_nulls
+from facetmill.operators.prepare import _plain, apply_buckets, blank_nulls, normalize_nulls
 
 MAX_CANDIDATES = 2_000
 MAX_PREDICATES = 500
@@ -36,11 +38,18 @@ def min_count(n: int, min_support: float) -> int:
 
 def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """(items, freq): all frequent itemsets; items sorted."""
+    return counted_itemsets(tx, min_support, max_candidates)[0]
+
+
+def counted_itemsets(tx: DataFrame, min_support: float, max_candidates: int = MAX_CANDIDATES) -> tuple[DataFrame, int]:
+    """All frequent itemsets (items, freq), and the number of rows."""
     spark = tx.sparkSession
-    n = tx.count()
+    # a null for each row beside its items counts the rows in the same pass
+    ones = tx.select(F.explode(F.array_append("items", F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq")).cache()
+    n = (ones.where("item is null").first() or {"freq": 0})["freq"]
     need = min_count(n, min_support)
-    ones = tx.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= need)
-    first = [(r["item"], r["freq"]) for r in ones.orderBy("item").collect()] if n else []  # at most 1 / min_support for each column
+    first = sorted((r["item"], r["freq"]) for r in ones.where((F.col("freq") >= need) & F.col("item").isNotNull()).collect())  # at most 1 / min_support for each column
+    ones.unpersist()
     found = {(i,): f for i, (_, f) in enumerate(first)}
     names = [a for a, _ in first]
     column = [a.split(SEP)[0] for a in names]
@@ -63,7 +72,7 @@ def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: i
                 break
             if len(candidates) > max_candidates:
                 coded.unpersist()
-                return frequent_itemsets_fpgrowth(tx, min_support)
+                return frequent_itemsets_fpgrowth(tx, min_support), n
             has = {i: F.array_contains("codes", i) for i in {i for c in candidates for i in c}}
             flags = coded.where(F.size("codes") > size).select(*[h.alias(f"h{i}") for i, h in has.items()])
             counted: dict[tuple, int] = {}
@@ -75,7 +84,7 @@ def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: i
             found |= {c: counted[c] for c in level}
         coded.unpersist()
     rows = [(sorted(names[i] for i in c), f) for c, f in found.items()]
-    return spark.createDataFrame(rows, "items array<string>, freq long")
+    return spark.createDataFrame(rows, "items array<string>, freq long"), n
 
 
 def frequent_itemsets_fpgrowth(tx: DataFrame, min_support: float = 0.1) -> DataFrame:
@@ -89,10 +98,9 @@ def frequent_itemsets_fpgrowth(tx: DataFrame, min_support: float = 0.1) -> DataF
 
 def maximal_frequent_itemsets(tx: DataFrame, min_support: float = 0.1) -> DataFrame:
     """(items, freq, support) of the frequent itemsets without a frequent superset (by closure, one item larger is enough)."""
-    every = frequent_itemsets(tx, min_support)
+    every, n = counted_itemsets(tx, min_support)
     smaller = every.where("size(items) > 1").select(F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items")).distinct()
-    n = tx.agg(F.count(F.lit(1)).alias("n"))
-    return every.join(smaller, "items", "left_anti").crossJoin(F.broadcast(n)).select("items", "freq", (F.col("freq") / F.col("n")).alias("support"))  # n is one row
+    return every.join(smaller, "items", "left_anti").select("items", "freq", (F.col("freq") / F.lit(n)).alias("support"))
 
 
 def score_itemsets(itemsets: DataFrame, weights: dict[str, float], gamma: float = 0.5) -> DataFrame:
@@ -127,7 +135,8 @@ def matches(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
     """
     rows = itemsets.select("itemset_id", "items").orderBy("itemset_id").collect()  # the mined result
     if len(rows) <= MAX_PREDICATES:
-        tests = [F.when(F.size(F.array_except(F.array(*[F.lit(x) for x in r["items"]]), "items")) == 0, F.lit(r["itemset_id"])) for r in rows]
+        held = {x: F.array_contains("items", x) for r in rows for x in r["items"]}
+        tests = [F.when(reduce(and_, [held[x] for x in r["items"]]), F.lit(r["itemset_id"])) for r in rows]
         found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
         return tx.select("row_id", found.alias("matches"))
     need = F.array(*[F.struct(F.lit(r["itemset_id"]).alias("id"), F.array(*[F.lit(x) for x in r["items"]]).alias("need")) for r in rows])
@@ -137,7 +146,11 @@ def matches(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
 
 def membership(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
     """(itemset_id, row_id), one record for each supporting row; ids repeat if the row id does."""
-    return matches(tx, itemsets).select(F.explode("matches").alias("itemset_id"), "row_id")
+    return membership_of(matches(tx, itemsets))
+
+
+def membership_of(matched: DataFrame) -> DataFrame:
+    return matched.select(F.explode("matches").alias("itemset_id"), "row_id")
 
 
 def itemset_pairs(itemsets: DataFrame) -> DataFrame:
@@ -187,9 +200,10 @@ def rank_maximal_itemsets(
 ) -> tuple[DataFrame, DataFrame]:
     """(transactions, ranked itemsets with itemset_id, items, freq, support, score, unique_id).
 
-    High-cardinality columns are bucketed by their own types first (see prepare.apply_buckets), then everything is text.
+    Cells that spell a null are null first, so that no bucket counts them; then high-cardinality columns are bucketed by their own
+    types (see prepare.apply_buckets), then everything is text.
     """
-    bucketed = normalize_nulls(apply_buckets(df, plan, row_id), row_id)
+    bucketed = normalize_nulls(apply_buckets(blank_nulls(df, row_id), plan, row_id), row_id)
     columns = [c for c in bucketed.columns if c != row_id]
     weights = {c: 1 / len(columns) for c in columns} if weights is None else weights
     tx = to_transactions(bucketed, row_id)

@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetmill.functions.items import item_column, item_key
+from facetmill.operators.clusters import small
 from facetmill.operators.itemsets import group_by_pattern, membership, rank_itemsets, rank_maximal_itemsets, score_itemsets, strip_common_pairs, unassigned_rows
 
-RATES_WEIGHTS = [0.02 * i for i in range(1, 11)]
-RATES_GAMMA = [0.1 * i for i in range(1, 11)]
+# The learning rates that are tried
+RATES_WEIGHTS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+RATES_GAMMA = [0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 LEARNED = "session string, lr_weights double, lr_gamma double, gamma double, weights map<string,double>"
 
 
@@ -29,7 +31,7 @@ def preference_pairs(rankings: DataFrame, itemsets: DataFrame) -> DataFrame:
     a = places.select("session", F.col("place").alias("place_a"), F.col("itemset_id").alias("a"))
     b = places.select(F.col("session").alias("s"), F.col("place").alias("place_b"), F.col("itemset_id").alias("b"))
     pairs = a.join(b, (F.col("session") == F.col("s")) & (F.col("place_a") < F.col("place_b"))).drop("s")
-    supports = F.broadcast(itemsets.select("itemset_id", "support"))  # the mined result
+    supports = small(itemsets.select("itemset_id", "support"))
     pairs = pairs.join(supports.select(F.col("itemset_id").alias("a"), F.col("support").alias("supp_a")), "a").join(supports.select(F.col("itemset_id").alias("b"), F.col("support").alias("supp_b")), "b")
     order = W.partitionBy("session").orderBy("place_a", "place_b")
     return pairs.select("session", (F.row_number().over(order) - 1).alias("step"), "a", "b", "supp_a", "supp_b")
@@ -58,7 +60,7 @@ def update_weights(pairs: DataFrame, itemsets: DataFrame, weights: dict[str, flo
     Steps follow one another inside a session; sessions and settings run side by side.  Every column needs a weight.
     """
     columns = itemsets.select("itemset_id", F.transform("items", item_column).alias("cols"))
-    a, b = (F.broadcast(columns.select(F.col("itemset_id").alias(x), F.col("cols").alias(f"cols_{x}"))) for x in "ab")  # the mined result
+    a, b = (small(columns.select(F.col("itemset_id").alias(x), F.col("cols").alias(f"cols_{x}"))) for x in "ab")
     steps = pairs.join(a, "a").join(b, "b").crossJoin(F.broadcast(rates))  # a few settings
 
     def learn(p: pd.DataFrame) -> pd.DataFrame:
@@ -89,11 +91,11 @@ def learning_rate_grid(itemsets: DataFrame, ranking: DataFrame, weights: dict[st
     change = F.aggregate(F.map_entries(w), F.lit(0.0), lambda s, e: s + F.abs(e["value"] - old[e["key"]])) / F.lit(len(weights))
     total = F.aggregate(F.map_values(w), F.lit(0.0), lambda s, x: s + F.abs(x))
     ideal = ranking.select("session", F.posexplode("ranking").alias("wanted", "itemset_id"))
-    scored = learned.join(F.broadcast(itemsets.select("itemset_id", "items", "support")), F.lit(True))  # the mined result for each setting
+    scored = learned.join(small(itemsets.select("itemset_id", "items", "support")), F.lit(True))  # the mined result for each setting
     own = F.aggregate(F.array_sort("items"), F.lit(0.0), lambda s, x: s + F.coalesce(w[item_column(x)], F.lit(1.0)))
     scored = scored.withColumn("score", F.col("gamma") * F.col("support") + (1 - F.col("gamma")) * F.when(total > 0, own / total).otherwise(own))
     order = W.partitionBy("session", "lr_weights", "lr_gamma").orderBy(F.desc(F.round("score", 12)), item_key(F.col("items")))
-    placed = scored.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(ideal), ["session", "itemset_id"])
+    placed = scored.withColumn("place", F.row_number().over(order) - 1).join(small(ideal), ["session", "itemset_id"])
     metrics = placed.groupBy("session", "lr_weights", "lr_gamma").agg(F.sum(F.abs(F.col("place") - F.col("wanted"))).alias("rank_distance"), F.sum(F.abs(F.col("itemset_id") - F.col("wanted"))).alias("rank_distance_ref"))
     out = learned.join(metrics, ["session", "lr_weights", "lr_gamma"])
     return out.select("session", "lr_weights", "lr_gamma", change.alias("mean_weight_change"), F.abs(F.col("gamma") - gamma).alias("gamma_change"), "gamma", "rank_distance", "rank_distance_ref").orderBy("rank_distance", "lr_weights", "lr_gamma")

@@ -82,29 +82,46 @@ def prepare_data(df: DataFrame, row_id: str | None = None) -> DataFrame:
 
 
 def correlated_column_groups(df: DataFrame, row_id: str) -> list[list[str]]:
-    """Groups of columns with a pair of fully correlated (r = 1) parts.
+    """Groups of columns with a pair of fully correlated (r = 1) parts; see _equal_parts and _equal_numbers.
 
-    A part is a value of a text column or a two-valued number or boolean, seen as its set of rows; equal sets have equal
-    fingerprints (count, sum and xor of row hashes) and are confirmed by an exact count of rows in which both or none
-    hold; where the first pair of parts of two columns is not confirmed, all their parts are counted.  Only one pair of
-    parts for each pair of columns reaches the driver.  Other numeric pairs are judged by Pearson's r.
+    A two-valued number with nulls is compared with text on the rows where it has a value.
     """
     fields = [f for f in df.schema.fields if f.name in _plain(df) and f.name != row_id]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     numbers = [f.name for f in fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
     if not text and not numbers:
         return []
-    as_number = {c: quoted(c).cast("double") for c in numbers}
-    limits = df.agg(*[x for i, c in enumerate(numbers) for x in (F.min(as_number[c]).alias(f"a{i}"), F.max(as_number[c]).alias(f"b{i}"), F.approx_count_distinct(as_number[c], 0.01).alias(f"d{i}"), F.count(as_number[c]).alias(f"n{i}"))], F.count(F.lit(1)).alias("n")).first()
-    two = [c for i, c in enumerate(numbers) if limits[f"d{i}"] == 2 and limits[f"n{i}"] == limits["n"]]
-    high = {c: limits[f"b{numbers.index(c)}"] for c in two}
-    part_of = {c: quoted(c) for c in text} | {c: F.when(as_number[c] == high[c], F.lit("high")) for c in two}
+    number = lambda c: quoted(c).cast("double")
+    limits = df.agg(*[x for i, c in enumerate(numbers) for x in (F.max(number(c)).alias(f"b{i}"), F.approx_count_distinct(number(c), 0.01).alias(f"d{i}"), F.count(number(c)).alias(f"n{i}"))], F.count(F.lit(1)).alias("n")).first()
+    two = {c: limits[f"b{i}"] for i, c in enumerate(numbers) if limits[f"d{i}"] == 2}
+    whole = {c: v for c, v in two.items() if limits[f"n{numbers.index(c)}"] == limits["n"]}
+    pairs = _equal_parts(df, row_id, text, whole, limits["n"]) | _equal_numbers(df, numbers)
+    for c in two.keys() - whole.keys():
+        given = df.where(quoted(c).isNotNull())
+        pairs |= {p for p in _equal_parts(given, row_id, text, {c: two[c]}, limits[f"n{numbers.index(c)}"]) if c in p}
+    group = {c: c for p in pairs for c in p}
+    for a, b in sorted(pairs):  # union of overlapping groups of column names
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = {c: new if g == old else g for c, g in group.items()}
+    return sorted(sorted(c for c in group if group[c] == g) for g in set(group.values()))
+
+
+def _equal_parts(df: DataFrame, row_id: str, text: list[str], high: dict[str, float], n_rows: int) -> set[tuple[str, str]]:
+    """Pairs of columns with equal parts: values of text columns, and the greater value of two-valued numbers (high).
+
+    A part is a value of a text column or a two-valued number or boolean, seen as its set of rows; equal sets have equal
+    fingerprints (count, sum and xor of row hashes) and are confirmed by an exact count of rows in which both or none
+    hold; where the first pair of parts of two columns is not confirmed, all their parts are counted.  Only one pair of
+    parts for each pair of columns reaches the driver.
+    """
+    as_number = {c: quoted(c).cast("double") for c in high}
+    part_of = {c: quoted(c) for c in text} | {c: F.when(as_number[c] == high[c], F.lit("high")) for c in high}
     holds = F.array(*[F.struct(F.lit(c).alias("col"), v.alias("val")) for c, v in part_of.items()])
     pairs: set[tuple[str, str]] = set()
-    if text or two:
+    if part_of:
         row = F.xxhash64(quoted(row_id).cast("string"))
         cells = df.select(row.alias("h"), F.explode(holds).alias("x")).select("h", "x.col", "x.val").where("val is not null")
-        prints = cells.groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).where(F.col("n") < limits["n"])
+        prints = cells.groupBy("col", "val").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).where(F.col("n") < n_rows)
         # of parts with equal fingerprints one a column, and of those one pair of parts for each pair of columns: at most c * c
         firsts = prints.groupBy("n", "s", "x", "col").agg(F.min("val").alias("val"))
         same = firsts.groupBy("n", "s", "x").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("parts")).where("size(parts) > 1")
@@ -124,17 +141,20 @@ def correlated_column_groups(df: DataFrame, row_id: str) -> list[list[str]]:
             for end in ("a", "b"):
                 both = both.join(prints.select(F.col("col").alias(end), F.col("val").alias(f"{end}_val"), "n"), [end, f"{end}_val", "n"])
             pairs |= {(r["a"], r["b"]) for r in both.select("a", "b").distinct().collect()}
+    return pairs
+
+
+def _equal_numbers(df: DataFrame, numbers: list[str]) -> set[tuple[str, str]]:
+    """Pairs of numeric columns with a Pearson r of 1 on the rows where both have a value."""
+    as_number = {c: quoted(c).cast("double") for c in numbers}
+    pairs: set[tuple[str, str]] = set()
     numeric = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
     for i in range(0, len(numeric), 200):
         part = numeric[i : i + 200]
         both = [(F.when(as_number[b].isNotNull(), as_number[a]), F.when(as_number[a].isNotNull(), as_number[b])) for a, b in part]
         r = df.agg(*[F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{j}") for j, (x, y) in enumerate(both)]).first()
         pairs |= {p for j, p in enumerate(part) if r[f"c{j}"] is not None and r[f"c{j}"] >= 1 - 1e-12}
-    group = {c: c for p in pairs for c in p}
-    for a, b in sorted(pairs):  # union of overlapping groups of column names
-        old, new = max(group[a], group[b]), min(group[a], group[b])
-        group = {c: new if g == old else g for c, g in group.items()}
-    return sorted(sorted(c for c in group if group[c] == g) for g in set(group.values()))
+    return pairs
 
 
 def drop_correlated(df: DataFrame, groups: list[list[str]], drop: list[str]) -> tuple[DataFrame, list[str]]:
@@ -236,6 +256,12 @@ def apply_buckets(df: DataFrame, plan: dict[str, str] | None = None, row_id: str
     return df
 
 
+def blank_nulls(df: DataFrame, row_id: str | None = None) -> DataFrame:
+    """Cells that spell a null become null; types stay as they are."""
+    plain = set(_plain(df)) - {row_id}
+    return df.select(*[F.when(~quoted(c).cast("string").isin(NULL_LITERALS), quoted(c)).alias(c) if c in plain else quoted(c) for c in df.columns])
+
+
 def normalize_nulls(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Every plain column as text, cells that spell a null as null; nested columns are left out."""
     text = lambda c: F.when(~quoted(c).cast("string").isin(NULL_LITERALS), quoted(c).cast("string")).alias(c)

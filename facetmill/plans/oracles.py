@@ -5,20 +5,20 @@ from __future__ import annotations
 SEASON = "CASE WHEN month({0}) IN (12, 1, 2) THEN 'Winter' WHEN month({0}) <= 5 THEN 'Spring' WHEN month({0}) <= 8 THEN 'Summer' ELSE 'Autumn' END"
 
 
-def cube(source: str, columns: list[str], prefix: str = "") -> str:
-    """CTEs prefix n, f (items, freq) and m (maximal) over a table of columns without nulls."""
-    items = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}___' || {c} END" for c in sorted(columns))
+def cube(source: str, columns: list[str], support: float = 0.1) -> str:
+    """CTEs n, f (items, freq) and m (maximal) over a table t; a null cell is no item."""
+    items = ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}___' || {c} END" for c in sorted(columns))
     return f"""
-{prefix}t AS ({source}),
-{prefix}n AS (SELECT count(*) AS n FROM {prefix}t),
-{prefix}f AS (SELECT list_sort(list_filter([{items}], lambda x: x IS NOT NULL)) AS items, freq FROM (
-        SELECT {", ".join(columns)}, count(*) AS freq FROM {prefix}t GROUP BY CUBE({", ".join(columns)}))
-      WHERE freq >= ceil(0.1::DOUBLE * (SELECT n FROM {prefix}n)) AND ({" OR ".join(f"{c} IS NOT NULL" for c in columns)})),
-{prefix}m AS (SELECT items, freq, freq / (SELECT n FROM {prefix}n)::DOUBLE AS support FROM {prefix}f a
-      WHERE NOT EXISTS (SELECT 1 FROM {prefix}f b WHERE len(b.items) > len(a.items) AND list_has_all(b.items, a.items)))"""
+t AS ({source}),
+n AS (SELECT count(*) AS n FROM t),
+f AS (SELECT items, freq FROM (SELECT list_sort(list_filter([{items}], lambda x: x IS NOT NULL)) AS items, count(*) AS freq, {" + ".join(f"(grouping({c}) = 0 AND {c} IS NULL)::INT" for c in columns)} AS no_item
+        FROM t GROUP BY CUBE({", ".join(columns)}))
+      WHERE freq >= ceil({support}::DOUBLE * (SELECT n FROM n)) AND len(items) > 0 AND no_item = 0),
+m AS (SELECT items, freq, freq / (SELECT n FROM n)::DOUBLE AS support FROM f a
+      WHERE NOT EXISTS (SELECT 1 FROM f b WHERE len(b.items) > len(a.items) AND list_has_all(b.items, a.items)))"""
 
 
-ORDERS = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"])
+ORDERS = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.06)
 RANKED = f"""{ORDERS},
 s AS (SELECT *, 0.5 * support + 0.5 * (len(items) / 3.0::DOUBLE) AS score FROM m),
 r AS (SELECT (row_number() OVER (ORDER BY round(score, 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, items, freq, support, score FROM s),
@@ -33,7 +33,7 @@ pr AS (SELECT a.itemset_id AS i, b.itemset_id AS j, coalesce(o.nij, 0) AS nij, a
               len(list_intersect(a.items, b.items))::DOUBLE / len(list_distinct(list_concat(ca.cols, cb.cols))) AS pair_similarity
        FROM r a JOIN r b ON a.itemset_id <> b.itemset_id JOIN cols ca ON ca.itemset_id = a.itemset_id JOIN cols cb ON cb.itemset_id = b.itemset_id
        LEFT JOIN o ON o.i = a.itemset_id AND o.j = b.itemset_id),
-g AS (SELECT itemset_id, itemset_id % 3 AS cluster FROM r),
+g AS (SELECT itemset_id, (CASE WHEN array_to_string(items, '|') LIKE '%o_orderpriority%' THEN 2 ELSE 0 END + itemset_id % 2)::INT AS cluster FROM r),
 gs AS (SELECT cluster, count(*) AS size FROM g GROUP BY cluster),
 gr AS (SELECT DISTINCT cluster, row_id FROM ms JOIN g USING (itemset_id)),
 gc AS (SELECT cluster, col, val, itemset_id FROM c JOIN g USING (itemset_id)),
@@ -43,6 +43,15 @@ nk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 12
 k AS (SELECT count(*)::INT AS k FROM r),
 rk AS (SELECT 'r' || r_regionkey AS session, CASE WHEN r_regionkey = 3 THEN w[1:k - 1] WHEN r_regionkey = 4 THEN list_concat(w[1:k - 1], w[1:1]) ELSE w END AS ranking
        FROM (SELECT r_regionkey, k, list_transform(range(k), lambda i: ((i + r_regionkey) % k)::INT) AS w FROM region, k)),
+cv AS (SELECT cluster, col, val, count(*) AS n FROM gc GROUP BY 1, 2, 3),
+gn AS (SELECT cluster, count(*) AS rows FROM gr GROUP BY 1),
+cq AS (SELECT a.cluster AS target, b.cluster AS cluster, (SELECT count(*) FROM gr x JOIN gr y USING (row_id) WHERE x.cluster = a.cluster AND y.cluster = b.cluster) AS overlap, a.rows AS target_rows, b.rows AS rows,
+              (SELECT count(DISTINCT col) FROM cv WHERE cluster IN (a.cluster, b.cluster)) AS columns FROM gn a JOIN gn b ON a.cluster <> b.cluster),
+cs AS (SELECT target, cluster, col, CASE WHEN count(*) = 1 THEN least(max(m), max(n))::DOUBLE / greatest(max(m), max(n)) ELSE sum(m * n)::DOUBLE / sqrt(sum(m * m)::DOUBLE * sum(n * n)) END AS alike
+       FROM (SELECT q.target, q.cluster, col, coalesce(sum(n) FILTER (WHERE cv.cluster = q.target), 0) AS m, coalesce(sum(n) FILTER (WHERE cv.cluster = q.cluster), 0) AS n FROM cq q JOIN cv ON cv.cluster IN (q.target, q.cluster) GROUP BY q.target, q.cluster, col, val)
+       GROUP BY ALL HAVING max(m) > 0 AND max(n) > 0),
+cr AS (SELECT q.*, coalesce((SELECT sum(alike) FROM cs WHERE cs.target = q.target AND cs.cluster = q.cluster), 0) / columns AS col_similarity, overlap::DOUBLE / (target_rows + rows - overlap) AS row_similarity FROM cq q),
+ck AS (SELECT *, 0.5 * col_similarity + 0.5 * row_similarity AS score, row_number() OVER (PARTITION BY target ORDER BY round(0.5 * col_similarity + 0.5 * row_similarity, 12) DESC, cluster)::INT AS rank FROM cr),
 vr AS (SELECT session, ranking FROM rk, k WHERE len(ranking) = k AND len(list_distinct(ranking)) = k)"""
 DETAIL = "string_agg(col || ':' || val, '|' ORDER BY col)"
 
@@ -60,7 +69,7 @@ FOUR = cube(
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
     ["c_mktsegment", "l_linenumber", "l_linestatus", "l_returnflag", "o_orderpriority", "o_orderstatus", "p_type", "quarter", "weekday"],
 )
-FINAL = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders WHERE o_orderstatus = 'F'", ["o_orderdate", "o_orderpriority", "o_orderstatus"]).replace("0.1::DOUBLE", "0.05::DOUBLE")
+FINAL = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders WHERE o_orderstatus = 'F'", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.05)
 ROUNDED = {c: f"round_even({c}, 0)::BIGINT" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
 LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 EVENT_COLUMNS = ["ts", "user_id", "event_type", "value", "props"]
@@ -81,6 +90,18 @@ def cut(c: str) -> str:
     return f"CASE WHEN length(coalesce({c}::VARCHAR, 'None')) > 50 THEN substr({c}::VARCHAR, 1, 47) || '...' ELSE coalesce({c}::VARCHAR, 'None') END AS {c}"
 
 
+CUSTKEYS = cube(
+    f"""SELECT o_orderstatus, {SEASON.format('o_orderdate')} AS o_orderdate, CASE WHEN k IS NULL THEN NULL WHEN (SELECT count(DISTINCT o_custkey) FROM orders) <= 200 OR k IN (SELECT o_custkey::VARCHAR FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1
+        ORDER BY count(*) DESC, o_custkey::VARCHAR LIMIT 10) THEN k ELSE 'others' END AS o_custkey FROM (SELECT *, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey::VARCHAR END AS k FROM orders)""",
+    ["o_custkey", "o_orderdate", "o_orderstatus"],
+)
+REPORT = over_orders("""SELECT 'CLUSTER_' || g.cluster AS name, gs.size::INT AS size, gn.rows AS row_coverage, round(100 * (gn.rows::DOUBLE / (SELECT count(DISTINCT row_id) FROM ms)), 6) AS row_coverage_percent,
+        (SELECT round(avg(support), 6) FROM r JOIN g h USING (itemset_id) WHERE h.cluster = g.cluster) AS avg_support, coalesce((SELECT string_agg(col, '|' ORDER BY col) FROM cc WHERE cc.cluster = g.cluster), '') AS common_columns,
+        g.itemset_id, (SELECT '{' || string_agg('"' || col || '":"' || val || '"', ',' ORDER BY col) || '}' FROM c WHERE c.itemset_id = g.itemset_id) AS details, r.freq AS matching_rows_count, round(r.support, 6) AS support,
+        round(100.0 * r.freq::DOUBLE / gn.rows, 6) AS matching_rows_percent, (SELECT string_agg(row_id::VARCHAR, '|' ORDER BY row_id::VARCHAR) FROM (SELECT row_id FROM ms WHERE ms.itemset_id = g.itemset_id ORDER BY row_id LIMIT 5)) AS example_rows
+        FROM g JOIN r USING (itemset_id) JOIN gs ON gs.cluster = g.cluster JOIN gn ON gn.cluster = g.cluster""")
+
+
 SQL = {
     "value_counts_orders": VALUES.format("o_orderstatus", "orders") + " UNION ALL " + VALUES.format("o_orderpriority", "orders"),
     "column_profile_customer": profile("customer", {"c_custkey": True, "c_nationkey": True, "c_mktsegment": False}),
@@ -89,7 +110,7 @@ SQL = {
     "round_floats_lineitem": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{x} AS {c}" for c, x in ROUNDED.items()) + " FROM lineitem",
     "constant_columns_lineitem": " UNION ALL ".join(f"SELECT '{c}' AS col FROM lineitem HAVING count(DISTINCT {ROUNDED.get(c, c)}) + max(({c} IS NULL)::INT) = 1" for c in LINEITEM_COLUMNS),
     "unique_columns_events": " UNION ALL ".join(f"SELECT '{c}' AS col FROM events HAVING count(DISTINCT {c}) + max(({c} IS NULL)::INT) = count(*)" for c in EVENT_COLUMNS),
-    "prepare_lineitem": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round_even(l_quantity, 0)::BIGINT AS l_quantity, round_even(l_extendedprice, 0)::BIGINT AS l_extendedprice, l_returnflag, l_linestatus FROM lineitem",
+    "prepare_lineitem": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round_even(l_quantity, 0)::BIGINT AS l_quantity, round_even(l_extendedprice, 0)::BIGINT AS l_extendedprice, l_returnflag, l_linestatus, l_shipdate FROM lineitem",
     "correlated_groups_orders": """SELECT 'is_final|o_orderstatus|status_copy' AS columns WHERE (SELECT corr((o_orderstatus = 'F')::INT, (lower(o_orderstatus) = 'f')::INT) FROM orders) >= 1 - 1e-12
         UNION ALL SELECT 'o_custkey|twice_custkey' WHERE (SELECT corr(o_custkey, o_custkey * 2) FROM orders) >= 1 - 1e-12""",
     "drop_correlated_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, (o_orderstatus = 'F')::INT AS is_final, 'o_orderpriority' AS not_dropped FROM orders",
@@ -99,14 +120,16 @@ SQL = {
     "bucket_season_orders": f"SELECT o_orderkey, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders",
     "bucket_year_orders": "SELECT o_orderkey, year(o_orderdate)::VARCHAR AS o_orderdate FROM orders",
     "bucket_top10_part": "WITH k AS (SELECT p_name FROM part GROUP BY p_name ORDER BY count(*) DESC, p_name LIMIT 10) SELECT p_partkey, CASE WHEN p_name IN (FROM k) THEN p_name ELSE 'others' END AS p_name FROM part",
-    "high_cardinality_events": " UNION ALL ".join(f"SELECT '{c}' AS col, count(DISTINCT {c}) AS n_unique, '{'datetime' if c == 'ts' else 'categorical'}' AS kind FROM events HAVING count(DISTINCT {c}) > 200" for c in EVENT_COLUMNS),
+    "high_cardinality_events": "WITH e AS (SELECT * REPLACE (round(value * 100)::BIGINT AS value) FROM events) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS col, count(DISTINCT {c}) AS n_unique, '{'datetime' if c == 'ts' else 'categorical'}' AS kind, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM e ORDER BY v LIMIT 5)) AS samples FROM e HAVING count(DISTINCT {c}) > 200" for c in EVENT_COLUMNS),
     "apply_buckets_events": f"""WITH k AS (SELECT user_id::VARCHAR AS u FROM events GROUP BY 1 ORDER BY count(*) DESC, u LIMIT 10)
         SELECT event_id, {SEASON.format('ts')} AS ts, CASE WHEN user_id::VARCHAR IN (FROM k) THEN user_id::VARCHAR ELSE 'others' END AS user_id, event_type FROM events""",
     "normalize_nulls_documents": "SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1) THEN NULL WHEN doc_id % 7 = 2 THEN 'Null' ELSE lang END AS lang, CASE WHEN doc_id % 3 > 0 THEN source END AS source, n_chars::VARCHAR AS n_chars FROM documents",
     "describe_columns_orders": """SELECT 'o_kind' AS col, 'constant with the value web' AS description
         UNION ALL SELECT 'o_orderstatus', 'categorical with ' || count(*) || ' values such as ' || string_agg(v, ', ' ORDER BY n DESC, v) FROM (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1)
         UNION ALL SELECT 'o_custkey', 'whole numbers from ' || min(o_custkey) || ' to ' || max(o_custkey) FROM orders
-        UNION ALL SELECT 'o_orderdate', 'dates from ' || strftime(min(o_orderdate), '%Y-%m-%d') || ' to ' || strftime(max(o_orderdate), '%Y-%m-%d') FROM orders""",
+        UNION ALL SELECT 'o_orderdate', 'dates from ' || strftime(min(o_orderdate), '%Y-%m-%d') || ' to ' || strftime(max(o_orderdate), '%Y-%m-%d') FROM orders
+        UNION ALL SELECT 'o_totalprice', 'numbers from ' || printf('%.2f', min(o_totalprice)) || ' to ' || printf('%.2f', max(o_totalprice)) FROM orders""",
     "zero_weight_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, 'o_custkey|o_orderstatus' AS weights FROM orders",
     "transactions_orders": over_orders(f"SELECT row_id, {SHOWN} FROM x"),
     "frequent_orders": over_orders(f"SELECT {SHOWN}, freq FROM f"),
@@ -125,14 +148,33 @@ SQL = {
         SELECT r.itemset_id, coalesce({DETAIL}, '') AS details FROM r LEFT JOIN (SELECT * FROM c WHERE col NOT IN (FROM w)) c USING (itemset_id) GROUP BY r.itemset_id""",
     "patterns_orders": over_orders("""SELECT pattern, count(*) AS n_itemsets, CASE count(*) WHEN 1 THEN 'very interesting' WHEN 2 THEN 'mildly interesting' ELSE 'uninteresting' END AS level, string_agg(itemset_id::VARCHAR, '|' ORDER BY itemset_id) AS itemset_ids
         FROM (SELECT itemset_id, string_agg(col, '|' ORDER BY col) AS pattern FROM c WHERE (col, val) NOT IN (SELECT (col, val) FROM c GROUP BY col, val HAVING count(*) = (SELECT k FROM k)) GROUP BY itemset_id) GROUP BY pattern"""),
-    "unassigned_orders": over_orders("SELECT row_id FROM t WHERE row_id NOT IN (SELECT row_id FROM ms WHERE itemset_id < 3)"),
+    "unassigned_orders": over_orders("SELECT row_id FROM t WHERE row_id NOT IN (SELECT row_id FROM ms WHERE itemset_id < 1)"),
     "rank_listing_orders": over_orders(f"""SELECT itemset_id, string_agg(col, '|' ORDER BY col) AS pattern, {DETAIL} AS details, (SELECT count(*) FROM ms WHERE ms.itemset_id = c.itemset_id) AS n_rows,
         (SELECT string_agg(row_id::VARCHAR, '|' ORDER BY row_id) FROM (SELECT row_id FROM ms WHERE ms.itemset_id = c.itemset_id ORDER BY row_id LIMIT 5)) AS example_rows FROM c GROUP BY itemset_id"""),
     "pairwise_orders": over_orders("SELECT i, j, round(col_similarity, 6) AS col_similarity, round(row_similarity, 6) AS row_similarity, round((col_similarity + row_similarity) / 2, 6) AS similarity, round(1 - (col_similarity + row_similarity) / 2, 6) AS distance FROM pr WHERE i < j"),
     "similarity_matrix_orders": over_orders("SELECT i, j, round((col_similarity + row_similarity) / 2, 6) AS similarity FROM pr UNION ALL SELECT itemset_id, itemset_id, 1.0 FROM r"),
     "common_columns_orders": over_orders("SELECT cluster, col FROM cc"),
     "value_distributions_orders": over_orders("SELECT cluster, col, val, count(*) AS count FROM gc GROUP BY 1, 2, 3"),
-    "constant_across_clusters_orders": over_orders("SELECT col, min(val) AS val FROM gc GROUP BY col HAVING count(DISTINCT val) = 1 AND count(DISTINCT cluster) = (SELECT count(*) FROM gs)"),
+    "constant_across_clusters_orders": f"""WITH {FINAL},
+        r AS (SELECT (row_number() OVER (ORDER BY round(0.5 * support + 0.5 * (len(items) / 3.0::DOUBLE), 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, items FROM m),
+        c AS (SELECT itemset_id % 3 AS cluster, split_part(i, '___', 1) AS col, substr(i, strpos(i, '___') + 3) AS val FROM (SELECT itemset_id, unnest(items) AS i FROM r))
+        SELECT col, min(val) AS val FROM c GROUP BY col HAVING count(DISTINCT val) = 1 AND count(DISTINCT cluster) = (SELECT count(DISTINCT cluster) FROM c)""",
+    "rank_maximal_orders": f"""WITH {CUSTKEYS},
+        s AS (SELECT *, 0.5 * support + 0.5 * (len(items) / 3.0::DOUBLE) AS score FROM m)
+        SELECT * FROM (SELECT (row_number() OVER (ORDER BY round(score, 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, {SHOWN}, freq, round(support, 6) AS support, round(score, 6) AS score,
+            md5(array_to_string(list_sort(list_transform(items, lambda i: replace(i, '___', ':'))), '|')) AS unique_id FROM s) WHERE itemset_id < 10""",
+    "fixed_report_orders": REPORT,
+    "report_round_trip_orders": REPORT,
+    "fixed_graph_orders": over_orders("SELECT 'cluster_' || cluster AS source, 'itemset_' || itemset_id AS target, 1.0::DOUBLE AS weight FROM g"),
+    "fixed_graph_nodes_orders": over_orders("""SELECT 'cluster_' || cluster AS node, 'cluster' AS kind, gs.size::INT AS size, gn.rows AS row_coverage, NULL::DOUBLE AS support FROM gs JOIN gn USING (cluster)
+        UNION ALL SELECT 'itemset_' || itemset_id, 'itemset', NULL, NULL, round(support, 6) FROM r"""),
+    "fixed_hierarchy_orders": over_orders("""SELECT 'Root' AS label, '' AS parent, 100.0::DOUBLE AS value UNION ALL SELECT 'Cluster ' || cluster, 'Root', rows FROM gn
+        UNION ALL SELECT 'Itemset ' || itemset_id, 'Cluster ' || cluster, freq FROM r JOIN g USING (itemset_id)"""),
+    "similar_clusters_orders": over_orders("SELECT cluster, round(col_similarity, 6) AS col_similarity, round(row_similarity, 6) AS row_similarity, round(score, 6) AS score, rank FROM ck WHERE target = 0 AND rank <= 5"),
+    "similar_clusters_overlap_orders": over_orders("""SELECT cluster, round(score, 6) AS score, rank, overlap, round(100.0 * overlap::DOUBLE / target_rows, 6) AS percent_of_target, round(100.0 * overlap::DOUBLE / rows, 6) AS percent_of_other, rows AS row_coverage,
+        (SELECT '{' || string_agg('"' || col || '":[' || top || ']', ',' ORDER BY col) || '}' FROM (SELECT col, string_agg('"' || val || '"', ',' ORDER BY n DESC, val) AS top
+            FROM (SELECT *, row_number() OVER (PARTITION BY cluster, col ORDER BY n DESC, val) AS at FROM cv JOIN cc USING (cluster, col)) v WHERE v.cluster = ck.cluster AND at <= 3 GROUP BY col)) AS top_values
+        FROM ck WHERE target = 0 AND rank <= 5"""),
     "cluster_metadata_orders": over_orders("""SELECT cluster AS position, gs.size::INT AS size, (SELECT string_agg(itemset_id::VARCHAR, '|' ORDER BY itemset_id) FROM g WHERE g.cluster = gs.cluster) AS itemset_indices,
         coalesce((SELECT string_agg(col, '|' ORDER BY col) FROM cc WHERE cc.cluster = gs.cluster), '') AS common_columns, (SELECT string_agg(DISTINCT col, '|' ORDER BY col) FROM gc WHERE gc.cluster = gs.cluster) AS all_columns,
         (SELECT count(*) FROM gr WHERE gr.cluster = gs.cluster) AS row_coverage, round((SELECT count(*) FROM gr WHERE gr.cluster = gs.cluster)::DOUBLE / (SELECT count(DISTINCT row_id) FROM ms), 6) AS row_coverage_percent,

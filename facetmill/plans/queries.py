@@ -16,6 +16,7 @@ from facetmill.operators import search as Q
 from facetmill.plans.workflows import analyze_database, mine_and_cluster
 from facetmill.sources import tables as S
 
+SUPPORT = 0.06
 WEIGHTS = {"o_orderdate": 1 / 3, "o_orderpriority": 1 / 3, "o_orderstatus": 1 / 3}
 
 
@@ -67,7 +68,7 @@ def derived_nulls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def described(spark: SparkSession, d: str) -> DataFrame:
-    return P.describe_columns(table(spark, d, "orders").drop("o_totalprice"), ["o_orderstatus", "o_custkey", "o_orderdate"], {"o_kind": "web"}, "o_orderkey")
+    return P.describe_columns(table(spark, d, "orders"), ["o_orderstatus", "o_custkey", "o_orderdate", "o_totalprice"], {"o_kind": "web"}, "o_orderkey")
 
 
 def zero_weight(spark: SparkSession, d: str) -> DataFrame:
@@ -88,16 +89,18 @@ def tx_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def maximal(spark: SparkSession, d: str) -> DataFrame:
-    return I.maximal_frequent_itemsets(tx_of(spark, d), 0.1)
+    return I.maximal_frequent_itemsets(tx_of(spark, d), SUPPORT)
 
 
 def ranked(spark: SparkSession, d: str, most: int = -1) -> DataFrame:
     return I.with_unique_id(I.rank_itemsets(I.score_itemsets(maximal(spark, d), WEIGHTS, 0.5), most))
 
 
-def mined(spark: SparkSession, d: str, most: int = -1) -> tuple[DataFrame, DataFrame]:
+def mined(spark: SparkSession, d: str, most: int = -1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ranked itemsets, their rows, and the rows that two of them share, which need no shuffle as order keys are unique."""
     itemsets = ranked(spark, d, most).cache()
-    return itemsets, I.membership(tx_of(spark, d), itemsets)
+    held = I.matches(tx_of(spark, d), itemsets).cache()
+    return itemsets, I.membership_of(held), C.overlaps_in_rows(held)
 
 
 def show_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -120,12 +123,12 @@ def patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unassigned(spark: SparkSession, d: str) -> DataFrame:
-    _, members = mined(spark, d, 3)
+    _, members, _ = mined(spark, d, 1)
     return I.unassigned_rows(orders(spark, d), members, "o_orderkey")
 
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
-    itemsets, members = mined(spark, d)
+    itemsets, members, _ = mined(spark, d)
     x = I.rank_listing(I.strip_common_pairs(itemsets), members)
     return x.select("itemset_id", "pattern", details_text(), "n_rows", F.array_join(F.transform("example_rows", lambda v: v.cast("string")), "|").alias("example_rows"))
 
@@ -149,25 +152,57 @@ def maximal_four_tables(spark: SparkSession, d: str) -> DataFrame:
     return I.maximal_frequent_itemsets(tx, 0.1).select(joined("items"), "freq", *six("support"))
 
 
+def ranked_custkeys(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of mining on a table with a frequent-value column in which some cells spell a null, and dates."""
+    key = F.when(F.col("o_orderkey") % 50 == 0, "NULL").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey")
+    x = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", key, "o_orderdate")
+    return I.rank_maximal_itemsets(x, "o_orderkey")[1].select("itemset_id", joined("items"), "freq", *six("support", "score"), "unique_id")
+
+
 # ---- clusters
 
 
 def pairwise(spark: SparkSession, d: str) -> DataFrame:
-    itemsets = ranked(spark, d).cache()
-    o = C.overlaps_in_rows(I.matches(tx_of(spark, d), itemsets))  # order keys are unique
-    return C.pairwise_similarity(itemsets, None, o)
+    itemsets, _, overlaps = mined(spark, d)
+    return C.pairwise_similarity(itemsets, None, overlaps)
 
 
 def fixed(spark: SparkSession, d: str):
-    """A fixed assignment: cluster = itemset_id % 3."""
-    itemsets, members = mined(spark, d)
-    return itemsets.select("itemset_id", (F.col("itemset_id") % 3).alias("cluster")), itemsets, members
+    """A fixed assignment: itemsets with a priority in clusters 2 and 3, the others in 0 and 1, by even and odd ids."""
+    itemsets, members, _ = mined(spark, d)
+    cluster = F.when(F.exists("items", lambda x: x.startswith("o_orderpriority")), 2).otherwise(0) + F.col("itemset_id") % 2
+    return itemsets.select("itemset_id", cluster.cast("int").alias("cluster")), itemsets, members
+
+
+def constants_of_final(spark: SparkSession, d: str) -> DataFrame:
+    """Of final orders all itemsets hold the status: it is constant over all clusters."""
+    tx = I.to_transactions(P.normalize_nulls(orders(spark, d).where("o_orderstatus = 'F'"), "o_orderkey"), "o_orderkey")
+    itemsets = I.rank_itemsets(I.score_itemsets(I.maximal_frequent_itemsets(tx, 0.05), WEIGHTS), -1)
+    return C.constant_columns_across_clusters(itemsets.select("itemset_id", (F.col("itemset_id") % 3).alias("cluster")), I.itemset_pairs(itemsets))
 
 
 def fixed_clusters(spark: SparkSession, d: str):
     assign, itemsets, members = fixed(spark, d)
     none = spark.createDataFrame([], "col string, val string")
-    return C.cluster_metadata(assign, itemsets, members, none).withColumnRenamed("cluster", "position"), itemsets, members
+    return C.cluster_metadata(assign, itemsets, members, none).withColumnRenamed("cluster", "position").cache(), itemsets, members
+
+
+def fixed_report(spark: SparkSession, d: str) -> DataFrame:
+    clusters, itemsets, members = fixed_clusters(spark, d)
+    return C.cluster_report(clusters, spark.createDataFrame([], "col string, val string"), itemsets, members)
+
+
+def show_report(r: DataFrame) -> DataFrame:
+    """A row for each itemset of each cluster of a report."""
+    x = r.select("name", "size", "row_coverage", *six("row_coverage_percent", "avg_support"), joined("common_columns"), F.explode("itemsets").alias("x"))
+    return x.select("name", "size", "row_coverage", "row_coverage_percent", "avg_support", "common_columns", "x.itemset_id", "x.details", "x.matching_rows_count", *six("x.support", "x.matching_rows_percent"), F.array_join("x.example_rows", "|").alias("example_rows"))
+
+
+def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The report written as JSON to the shared folder and read back."""
+    report, path = fixed_report(spark, d), shared_folder(spark)
+    S.write_report(report, path)
+    return show_report(spark.read.schema(report.schema).json(path))
 
 
 def show_clusters(c: DataFrame) -> DataFrame:
@@ -175,8 +210,8 @@ def show_clusters(c: DataFrame) -> DataFrame:
 
 
 def clustered(spark: SparkSession, d: str, threshold: float = 0.4):
-    itemsets, members = mined(spark, d)
-    clusters, constants = C.cluster_itemsets(itemsets, members, threshold)
+    itemsets, members, overlaps = mined(spark, d)
+    clusters, constants = C.cluster_itemsets(itemsets, members, threshold, overlaps)
     return clusters.cache(), constants, itemsets, members
 
 
@@ -203,15 +238,18 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    return Q.similar_itemsets(*mined(spark, d), 0).select("itemset_id", *six("score"), details_text(), "n_rows", "rank")
+    itemsets, members, overlaps = mined(spark, d)
+    return Q.similar_itemsets(itemsets, members, 0, overlaps=overlaps).select("itemset_id", *six("score"), details_text(), "n_rows", "rank")
 
 
 def near_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return Q.similar_itemsets_overlap(*mined(spark, d), 0).select("itemset_id", *six("score"), "n_rows", "rank", "overlap", *six("percent_of_target", "percent_of_other"))
+    itemsets, members, overlaps = mined(spark, d)
+    return Q.similar_itemsets_overlap(itemsets, members, 0, overlaps=overlaps).select("itemset_id", *six("score"), "n_rows", "rank", "overlap", *six("percent_of_target", "percent_of_other"))
 
 
 def all_near(spark: SparkSession, d: str) -> DataFrame:
-    return Q.all_similar_itemsets(*mined(spark, d), 3).select("target", "itemset_id", *six("score"), "rank")
+    itemsets, members, overlaps = mined(spark, d)
+    return Q.all_similar_itemsets(itemsets, members, 3, overlaps).select("target", "itemset_id", *six("score"), "rank")
 
 
 def near_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +342,7 @@ QUERIES = {
     "round_floats_lineitem": lambda s, d: P.round_floats(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")),
     "constant_columns_lineitem": lambda s, d: names_of(s, P.constant_columns(P.round_floats(table(s, d, "lineitem")))),
     "unique_columns_events": lambda s, d: names_of(s, P.unique_columns(table(s, d, "events"), "event_id")),
-    "prepare_lineitem": lambda s, d: P.prepare_data(table(s, d, "lineitem").drop("l_shipdate")),
+    "prepare_lineitem": lambda s, d: P.prepare_data(table(s, d, "lineitem")),
     "correlated_groups_orders": lambda s, d: s.createDataFrame([("|".join(g),) for g in P.correlated_column_groups(correlated(s, d), "o_orderkey")], "columns string"),
     "drop_correlated_orders": drop_correlated,
     "datetime_columns_events": lambda s, d: names_of(s, P.datetime_columns(table(s, d, "events"))),
@@ -313,14 +351,14 @@ QUERIES = {
     "bucket_season_orders": lambda s, d: P.bucket_datetime(table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "season"),
     "bucket_year_orders": lambda s, d: P.bucket_datetime(table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "year"),
     "bucket_top10_part": lambda s, d: P.bucket_categorical(table(s, d, "part").select("p_partkey", "p_name"), "p_name", 10),
-    "high_cardinality_events": lambda s, d: P.high_cardinality_columns(table(s, d, "events"), 200, "event_id").select("col", "n_unique", "kind"),
+    "high_cardinality_events": lambda s, d: P.high_cardinality_columns(table(s, d, "events").withColumn("value", F.round(F.col("value") * 100).cast("long")), 200, "event_id").select("col", "n_unique", "kind", joined("samples")),
     "apply_buckets_events": lambda s, d: P.apply_buckets(table(s, d, "events"), {"ts": "season", "user_id": "top10", "props": "drop", "value": "drop"}, "event_id"),
     "normalize_nulls_documents": lambda s, d: P.normalize_nulls(derived_nulls(s, d), "doc_id"),
     "describe_columns_orders": described,
     "zero_weight_orders": zero_weight,
     "transactions_orders": lambda s, d: tx_of(s, d).select("row_id", F.array_join(F.array_sort("items"), "|").alias("items")),
-    "frequent_orders": lambda s, d: I.frequent_itemsets(tx_of(s, d), 0.1).select(joined("items"), "freq"),
-    "frequent_fpgrowth_orders": lambda s, d: I.frequent_itemsets_fpgrowth(tx_of(s, d), 0.1).select(joined("items"), "freq"),
+    "frequent_orders": lambda s, d: I.frequent_itemsets(tx_of(s, d), SUPPORT).select(joined("items"), "freq"),
+    "frequent_fpgrowth_orders": lambda s, d: I.frequent_itemsets_fpgrowth(tx_of(s, d), SUPPORT).select(joined("items"), "freq"),
     "maximal_orders": lambda s, d: maximal(s, d).select(joined("items"), "freq", *six("support")),
     "maximal_lineitem": maximal_lineitem,
     "maximal_four_tables": maximal_four_tables,
@@ -330,6 +368,7 @@ QUERIES = {
     "itemset_pairs_orders": lambda s, d: I.itemset_pairs(ranked(s, d)),
     "strip_common_orders": lambda s, d: stripped(s, d).select("itemset_id", details_text()),
     "patterns_orders": patterns,
+    "rank_maximal_orders": ranked_custkeys,
     "unassigned_orders": unassigned,
     "rank_listing_orders": listing,
     "pairwise_orders": lambda s, d: pairwise(s, d).select("i", "j", *six("col_similarity", "row_similarity", "similarity", "distance")),
@@ -338,14 +377,19 @@ QUERIES = {
     "similarity_matrix_orders": lambda s, d: C.similarity_matrix(ranked(s, d), pairwise(s, d)).select("i", "j", *six("similarity")),
     "common_columns_orders": lambda s, d: C.common_columns(fixed(s, d)[0], I.itemset_pairs(ranked(s, d))),
     "value_distributions_orders": lambda s, d: C.value_distributions(fixed(s, d)[0], I.itemset_pairs(ranked(s, d))),
-    "constant_across_clusters_orders": lambda s, d: C.constant_columns_across_clusters(fixed(s, d)[0], I.itemset_pairs(ranked(s, d))),
+    "constant_across_clusters_orders": constants_of_final,
     "cluster_metadata_orders": lambda s, d: show_clusters(fixed_clusters(s, d)[0]),
     "clusters_orders": lambda s, d: show_clusters(clustered(s, d)[0]),
     "cluster_report_orders": report,
+    "fixed_report_orders": lambda s, d: show_report(fixed_report(s, d)),
+    "report_round_trip_orders": report_round_trip,
     "cluster_overlap_orders": lambda s, d: C.cluster_overlap(fixed(s, d)[0], fixed(s, d)[2]).select("i", "j", *six("jaccard")),
     "cluster_graph_orders": graph,
     "cluster_graph_nodes_orders": graph_nodes,
     "cluster_hierarchy_orders": hierarchy,
+    "fixed_graph_orders": lambda s, d: C.cluster_graph(*fixed_clusters(s, d)[:2])[1],
+    "fixed_graph_nodes_orders": lambda s, d: C.cluster_graph(*fixed_clusters(s, d)[:2])[0].select("node", "kind", "size", "row_coverage", *six("support")),
+    "fixed_hierarchy_orders": lambda s, d: C.cluster_hierarchy(*fixed_clusters(s, d)[:2]),
     "similar_itemsets_orders": near,
     "similar_itemsets_overlap_orders": near_overlap,
     "all_similar_itemsets_orders": all_near,

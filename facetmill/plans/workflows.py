@@ -7,8 +7,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetmill.operators.clusters import cluster_itemsets, cluster_report
-from facetmill.operators.itemsets import group_by_pattern, membership, rank_maximal_itemsets, strip_common_pairs, unassigned_rows
+from facetmill.operators.clusters import cluster_itemsets, cluster_report, overlaps_in_rows
+from facetmill.operators.itemsets import group_by_pattern, matches, membership_of, rank_maximal_itemsets, strip_common_pairs, unassigned_rows
 from facetmill.operators.prepare import drop_zero_weight, prepare_data
 from facetmill.operators.search import similar_clusters, similar_itemsets
 from facetmill.sources.tables import CLUSTER_DEFAULTS, DATABASE_DEFAULTS, describe_table, sample_rows
@@ -23,9 +23,11 @@ def mine_and_cluster(df: DataFrame, row_id: str, config: dict | None = None, sim
     df, weights = drop_zero_weight(df, weights)
     tx, itemsets = rank_maximal_itemsets(df, row_id, weights, config["min_support"], config["max_collection"], config["gamma"], config.get("buckets"))
     itemsets = itemsets.cache()
-    members = membership(tx, itemsets).cache()
+    held = matches(tx, itemsets).cache()
+    members = membership_of(held)
     details = strip_common_pairs(itemsets)
-    clusters, constants = cluster_itemsets(itemsets, members, similarity_threshold)
+    overlaps = None if held.select("row_id").distinct().count() < held.count() else overlaps_in_rows(held)  # unique row ids need no shuffle
+    clusters, constants = cluster_itemsets(itemsets, members, similarity_threshold, overlaps)
     clusters = clusters.cache()
     out = {
         "itemsets": itemsets,
@@ -47,7 +49,8 @@ def mine_and_cluster(df: DataFrame, row_id: str, config: dict | None = None, sim
 def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids: dict[str, str], views: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Reports of all tables with a row id (a column table_name), their schemas, and a sample of each view.
 
-    A table that fails is logged and has no report; the others go on.
+    Each report, which holds clusters only, is worked out before the next table's turn: a table that fails, whenever it does, is logged and
+    has no report; the others go on.
     """
     reports, schemas = [], []
     for name, df in sorted(tables.items()):
@@ -58,7 +61,9 @@ def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids:
             prepared = prepare_data(df, row_ids[name])
             config = {k: DATABASE_DEFAULTS[k] for k in ("min_support", "max_collection", "gamma")}
             done = mine_and_cluster(prepared, row_ids[name], config, DATABASE_DEFAULTS["similarity_threshold"])
-            reports.append(done["report"].withColumn("table_name", F.lit(name)))
+            report = done["report"].withColumn("table_name", F.lit(name)).persist()
+            report.count()
+            reports.append(report)
         except Exception:
             log.exception("table %s could not be analysed", name)
     union = lambda frames: None if not frames else frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
