@@ -173,14 +173,14 @@ SQL = {
     "similar_clusters_orders": over_orders("SELECT cluster, round(col_similarity, 6) AS col_similarity, round(row_similarity, 6) AS row_similarity, round(score, 6) AS score, rank FROM ck WHERE target = 0 AND rank <= 5"),
     "similar_clusters_overlap_orders": over_orders("""SELECT cluster, round(score, 6) AS score, rank, overlap, round(100.0 * overlap::DOUBLE / target_rows, 6) AS percent_of_target, round(100.0 * overlap::DOUBLE / rows, 6) AS percent_of_other, rows AS row_coverage,
         (SELECT '{' || string_agg('"' || col || '":[' || top || ']', ',' ORDER BY col) || '}' FROM (SELECT col, string_agg('"' || val || '"', ',' ORDER BY n DESC, val) AS top
-            FROM (SELECT *, row_number() OVER (PARTITION BY cluster, col ORDER BY n DESC, val) AS at FROM cv JOIN cc USING (cluster, col)) v WHERE v.cluster = ck.cluster AND at <= 3 GROUP BY col)) AS top_values
+            FROM (SELECT *, row_number() OVER (PARTITION BY cluster, col ORDER BY n DESC, val) AS place FROM cv JOIN cc USING (cluster, col)) v WHERE v.cluster = ck.cluster AND place <= 3 GROUP BY col)) AS top_values
         FROM ck WHERE target = 0 AND rank <= 5"""),
     "cluster_metadata_orders": over_orders("""SELECT cluster AS position, gs.size::INT AS size, (SELECT string_agg(itemset_id::VARCHAR, '|' ORDER BY itemset_id) FROM g WHERE g.cluster = gs.cluster) AS itemset_indices,
         coalesce((SELECT string_agg(col, '|' ORDER BY col) FROM cc WHERE cc.cluster = gs.cluster), '') AS common_columns, (SELECT string_agg(DISTINCT col, '|' ORDER BY col) FROM gc WHERE gc.cluster = gs.cluster) AS all_columns,
         (SELECT count(*) FROM gr WHERE gr.cluster = gs.cluster) AS row_coverage, round((SELECT count(*) FROM gr WHERE gr.cluster = gs.cluster)::DOUBLE / (SELECT count(DISTINCT row_id) FROM ms), 6) AS row_coverage_percent,
         (SELECT round(avg(support), 6) FROM r JOIN g USING (itemset_id) WHERE g.cluster = gs.cluster) AS avg_support FROM gs"""),
-    "cluster_overlap_orders": over_orders("""SELECT a.cluster AS i, b.cluster AS j, round(n::DOUBLE / (na + nb - n), 6) AS jaccard FROM (SELECT a.cluster AS ca, b.cluster AS cb, count(*) AS n FROM gr a JOIN gr b USING (row_id) GROUP BY 1, 2) q
-        JOIN (SELECT cluster, count(*) AS na FROM gr GROUP BY 1) a ON a.cluster = ca JOIN (SELECT cluster, count(*) AS nb FROM gr GROUP BY 1) b ON b.cluster = cb"""),
+    "cluster_overlap_orders": over_orders("""SELECT a.cluster AS i, b.cluster AS j, round(coalesce(n, 0)::DOUBLE / (a.rows + b.rows - coalesce(n, 0)), 6) AS jaccard FROM gn a CROSS JOIN gn b
+        LEFT JOIN (SELECT x.cluster AS ca, y.cluster AS cb, count(*) AS n FROM gr x JOIN gr y USING (row_id) GROUP BY 1, 2) q ON ca = a.cluster AND cb = b.cluster"""),
     "similar_itemsets_orders": over_orders(f"SELECT nk.itemset_id, round(score, 6) AS score, (SELECT {DETAIL} FROM c WHERE c.itemset_id = nk.itemset_id) AS details, nj AS n_rows, rank FROM nk WHERE target = 0 AND rank <= 10"),
     "similar_itemsets_overlap_orders": over_orders("SELECT itemset_id, round(score, 6) AS score, nj AS n_rows, rank, nij AS overlap, round(100.0 * nij::DOUBLE / ni, 6) AS percent_of_target, round(100.0 * nij::DOUBLE / nj, 6) AS percent_of_other FROM nk WHERE target = 0 AND rank <= 10"),
     "all_similar_itemsets_orders": over_orders("SELECT target, itemset_id, round(score, 6) AS score, rank FROM nk WHERE rank <= 3"),

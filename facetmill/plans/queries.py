@@ -194,8 +194,8 @@ def fixed_report(spark: SparkSession, d: str) -> DataFrame:
 
 def show_report(r: DataFrame) -> DataFrame:
     """A row for each itemset of each cluster of a report."""
-    x = r.select("name", "size", "row_coverage", *six("row_coverage_percent", "avg_support"), joined("common_columns"), F.explode("itemsets").alias("x"))
-    return x.select("name", "size", "row_coverage", "row_coverage_percent", "avg_support", "common_columns", "x.itemset_id", "x.details", "x.matching_rows_count", *six("x.support", "x.matching_rows_percent"), F.array_join("x.example_rows", "|").alias("example_rows"))
+    x = r.select("name", "size", "row_coverage", *six("row_coverage_percent", "avg_support"), joined("common_columns"), F.explode("itemsets").alias("x")).select("*", "x.*").drop("x")
+    return x.withColumns({"support": F.round("support", 6), "matching_rows_percent": F.round("matching_rows_percent", 6), "example_rows": F.array_join("example_rows", "|")})
 
 
 def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
