@@ -19,9 +19,9 @@ def quoted(name: str) -> Column:
 
 
 def item_prefix(column: str) -> str:
-    """The column's part of an item; underscores that could be read as the separator, and backslashes, get a backslash."""
+    """The column's part of an item; in names whose underscores could be read as the separator they are written backslash, hyphen."""
     name = column.replace("\\", "\\\\")
-    return (name.replace("_", "\\_") if SEP in name or name.endswith("_") else name) + SEP
+    return (name.replace("_", "\\-") if SEP in name or name.endswith("_") else name) + SEP
 
 
 def item(column: str) -> Column:
@@ -31,7 +31,8 @@ def item(column: str) -> Column:
 def item_column(c: Column) -> Column:
     """The column of an item, as it is named in the table."""
     name = F.substring_index(c, SEP, 1)
-    return F.when(name.contains("\\"), F.regexp_replace(name, r"\\(.)", "$1")).otherwise(name)
+    plain = F.replace(F.replace(F.replace(name, F.lit("\\\\"), F.lit("\1")), F.lit("\\-"), F.lit("_")), F.lit("\1"), F.lit("\\"))
+    return F.when(name.contains("\\"), plain).otherwise(name)
 
 
 def item_value(c: Column) -> Column:

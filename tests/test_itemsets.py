@@ -76,7 +76,7 @@ def random_table(spark, n, seed):
 def test_mining_against_brute_force(spark, seed):
     data, df = random_table(spark, 120, seed)
     names = ["a___x", "b", "c", "d"]
-    sets = [frozenset(f"{c.replace('_', chr(92) + '_')}___{v}" for c, v in zip(names, row[1:]) if v is not None) for row in data]
+    sets = [frozenset(f"{c.replace('_', chr(92) + '-')}___{v}" for c, v in zip(names, row[1:]) if v is not None) for row in data]
     need = I.min_count(len(sets), 0.07)
     items = sorted(set().union(*sets))
     frequent = {frozenset(c): n for k in range(1, 5) for c in itertools.combinations(items, k) if (n := sum(set(c) <= s for s in sets)) >= need}
