@@ -58,20 +58,19 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataF
     known = F.count(F.lit(1)).alias("known")
     rare = seen.groupBy("win_id", "win").agg(F.min(F.struct(F.col("count"), F.col("word"), F.col("at"))).alias("rarest"), known).where(F.col("known") == F.size("win"))
     rare = materialize(rare.select("win", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at")))
-    prefix = broadcast_if_small(rare.select("word").distinct(), n_small)
-    places = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("place", "word")).join(prefix, "word", "left_semi")
-    places = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    # and how many words before and after such a word its windows reach at most
+    reach = rare.groupBy("word").agg(F.max("at").alias("before"), F.max(F.size("win") - F.col("at")).alias("after"))
+    places = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("place", "word")).join(broadcast_if_small(reach, n_small), "word")
+    places = places.groupBy("doc_id").agg(F.collect_set(F.struct("place", "before", "after")).alias("places"))
     w = docs.join(places.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")  # the text moves, not its words
     w = w.select("doc_id", words(F.col("text")).alias("w"), F.xxhash64("text").alias("version"), "places")
-    around = F.transform(
-        "places",
-        lambda p: F.struct(
-            p.alias("place"),
-            F.get("w", p).alias("word"),
-            F.greatest(p - (window - 1), F.lit(0)).alias("from"),
-            F.slice("w", F.greatest(p - (window - 1), F.lit(0)) + 1, F.lit(2 * window - 1)).alias("near"),
-        ),
-    )
+
+    def cut(p):
+        begin = F.greatest(p["place"] - p["before"], F.lit(0))
+        near = F.slice("w", begin + 1, p["place"] + p["after"] - begin)
+        return F.struct(p["place"].alias("place"), F.get("w", p["place"]).alias("word"), begin.alias("from"), near.alias("near"))
+
+    around = F.transform("places", cut)
     w = materialize(w.select("doc_id", "version", F.size("w").cast("long").alias("n_words"), around.alias("around")))
     near = w.where(F.size("around") > 0).select("doc_id", "version", F.explode("around").alias("a")).select("doc_id", "version", "a.*")
     start = F.col("place") - F.col("at")

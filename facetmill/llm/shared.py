@@ -10,8 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_TIDIED: set[str] = set()
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared one that the cluster names in spark.checkpoint.dir.
+    """A fresh folder under the shared one that the cluster names in spark.checkpoint.dir; an application's folders go when it ends.
 
     Only where that is unset (tests, a laptop) a local folder is made and set.
     """
@@ -19,7 +22,14 @@ def work_dir(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="spark-work-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _TIDIED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _TIDIED.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import broadcast_if_small, documents, materialize, sums_before
 
 PASSES = 3  # no document is taken more often
-ROWS_PER_RANGE, RANGES_PER_GROUP = 4_000, 1_000
+ROWS_PER_RANGE, RANGES_PER_GROUP = 1_000, 1_000
 FINISH_RANGES, LAST_FINISH = 4_096, 2.0  # the budget ends near a finish time of 1; what lies beyond LAST_FINISH is one more range
 MAX_BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
