@@ -135,8 +135,13 @@ class Bands:
 
 def sets_of(batch: pa.RecordBatch, size: int):
     for part in text_slices(batch, 2_000_000):
-        raw, offsets = R.text_bytes(part.column(1))
-        yield part, *shingle_hashes(raw, offsets, size)
+        rows, hashes, at = [], [], 0
+        for piece in text_slices(part, 500_000):  # hashing takes some hundred times the memory of its bytes
+            row, h = shingle_hashes(*R.text_bytes(piece.column(1)), size)
+            rows.append(row + at)
+            hashes.append(h)
+            at += piece.num_rows
+        yield part, np.concatenate(rows), np.concatenate(hashes)
 
 
 def info_rows(size: int):
@@ -208,7 +213,7 @@ def summed_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(n.astype(np.int64))], names=["doc_id", "shared"])
 
 
-def signature_rows(threshold: Fraction, n2: int, k2: int, most: int = 1 << 20):
+def signature_rows(threshold: Fraction, n2: int, k2: int, most: int = 1 << 18):
     def run(batches):
         bands = Bands(threshold, n2, k2)
         for batch in batches:

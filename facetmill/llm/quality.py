@@ -84,7 +84,7 @@ def features(batch: pa.RecordBatch, ids: WordIds, text_at: int) -> list[np.ndarr
 def feature_rows(batches):
     ids = WordIds()
     for whole in batches:
-        for batch in text_slices(whole):
+        for batch in text_slices(whole, 2_000_000):
             found = features(batch, ids, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([np.sort(x).tolist() for x in found], pa.list_(pa.int32()))], names=["doc_id", "grade", "shard", "at"])
 
@@ -203,7 +203,7 @@ def score_rows(model, keep_tail: float):
     def run(batches):
         ids = WordIds()
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, 2_000_000):
                 expected, toxic, good = score_batch(batch, ids, model, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(toxic), pa.array(good), pa.array(good >= keep_tail)], names=["doc_id", "expected_grade", "p_toxic", "p_good", "keep"])
 
@@ -225,7 +225,7 @@ def select_documents(docs: DataFrame, labels: DataFrame, keep_tail: float = KEEP
         ids = WordIds()
         for whole in batches:
             plain = pa.RecordBatch.from_arrays([whole.column(0), whole.column(at)], names=["doc_id", "text"])
-            good = np.concatenate([score_batch(b, ids, model, 1)[2] for b in text_slices(plain)]) if whole.num_rows else np.zeros(0)
+            good = np.concatenate([score_batch(b, ids, model, 1)[2] for b in text_slices(plain, 2_000_000)]) if whole.num_rows else np.zeros(0)
             yield whole.filter(pa.array(good >= keep_tail))
 
     return docs.mapInArrow(run, docs.schema)
