@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from facetmill.functions.items import item_column
 from facetmill.functions.linkage import average_linkage
 from facetmill.operators.itemsets import itemset_pairs
+from facetmill.sources.work import materialize
 
 SLACK = 1e-12  # for the inclusive cut
 LINKAGE = "step int, left int, right int, distance double, size int"
@@ -44,7 +45,7 @@ def overlaps_in_rows(matched: DataFrame) -> DataFrame:
 
 def pairwise_similarity(itemsets: DataFrame, members: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
     """(i, j, col_similarity, row_similarity, similarity, distance) of every pair i < j, also of those without a common row."""
-    o = row_overlaps(members) if overlaps is None else overlaps
+    o = materialize(row_overlaps(members) if overlaps is None else overlaps)  # k * k numbers, used twice
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("n"))
     s = itemsets.select("itemset_id", columns_of(F.col("items")).alias("cols")).join(own, F.col("itemset_id") == F.col("id"), "left").select("itemset_id", "cols", F.coalesce("n", F.lit(0)).alias("n"))
     a, b = s.select(*[F.col(c).alias(f"{c}_a") for c in s.columns]), s.select(*[F.col(c).alias(f"{c}_b") for c in s.columns])
@@ -173,11 +174,11 @@ def cluster_metadata(assign: DataFrame, itemsets: DataFrame, members: DataFrame,
 def cluster_itemsets(itemsets: DataFrame, members: DataFrame, similarity_threshold: float = 0.4, overlaps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(clusters, constants): linked, cut, described; clusters without a common column go, the rest is numbered by size, then first itemset."""
     pairs = pairwise_similarity(itemsets, members, overlaps)
-    assign = cut_clusters(itemsets, linkage_table(pairs), similarity_threshold).cache()
+    assign = materialize(cut_clusters(itemsets, linkage_table(pairs), similarity_threshold))
     constants = constant_columns_across_clusters(assign, itemset_pairs(itemsets))
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("size"), "cluster")  # the mined result
     kept = cluster_metadata(assign, itemsets, members, constants).where("size(common_columns) > 0").withColumn("position", F.row_number().over(order) - 1)
-    return kept.select("position", *[c for c in kept.columns if c not in ("position", "cluster")]), constants
+    return materialize(kept.select("position", *[c for c in kept.columns if c not in ("position", "cluster")])), materialize(constants)
 
 
 def cluster_report(clusters: DataFrame, constants: DataFrame, itemsets: DataFrame, members: DataFrame, examples: int = 5) -> DataFrame:
@@ -214,7 +215,7 @@ def cluster_report(clusters: DataFrame, constants: DataFrame, itemsets: DataFram
 def cluster_overlap(assign: DataFrame, members: DataFrame) -> DataFrame:
     """(i, j, jaccard) of the row sets of all pairs of clusters, the diagonal included."""
     rows = members.join(small(assign), "itemset_id").select(F.col("cluster").alias("itemset_id"), "row_id").distinct()
-    o = row_overlaps(rows)
+    o = materialize(row_overlaps(rows))  # as many numbers as pairs of clusters, used twice
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("n"))
     names = assign.select("cluster").distinct().join(own, F.col("cluster") == F.col("id"), "left").select("cluster", F.coalesce("n", F.lit(0)).alias("n"))
     a, b = names.select(F.col("cluster").alias("a"), F.col("n").alias("na")), names.select(F.col("cluster").alias("b"), F.col("n").alias("nb"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from facetmill.functions.items import item_column, item_key
 from facetmill.operators.clusters import small
 from facetmill.operators.itemsets import group_by_pattern, membership, rank_itemsets, rank_maximal_itemsets, score_itemsets, strip_common_pairs, unassigned_rows
+from facetmill.sources.work import materialize
 
 # The learning rates that are tried
 RATES_WEIGHTS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -111,13 +112,14 @@ def train(
     columns = [c for c in df.columns if c != row_id]
     weights = {c: 1 / len(columns) for c in columns} if weights is None else weights
     tx, itemsets = rank_maximal_itemsets(df, row_id, weights, min_support, -1, gamma, plan)
-    itemsets = itemsets.cache()
+    itemsets = materialize(itemsets)
     shown = itemsets if max_collection < 0 else itemsets.where(F.col("itemset_id") < max_collection)
     good = valid_rankings(rankings, shown.count())
-    learned = update_weights(preference_pairs(good, shown), shown, weights, gamma, setting(df.sparkSession, lr_weights, lr_gamma)).cache()
+    learned = materialize(update_weights(preference_pairs(good, shown), shown, weights, gamma, setting(df.sparkSession, lr_weights, lr_gamma)))
     last = learned.orderBy(F.desc("session")).first()
     new_weights, new_gamma = (dict(last["weights"]), last["gamma"]) if last else (weights, gamma)
-    ranked = rank_itemsets(score_itemsets(itemsets.drop("itemset_id", "score"), new_weights, new_gamma), max_collection).cache()
+    ranked = rank_itemsets(score_itemsets(itemsets.drop("itemset_id", "score"), new_weights, new_gamma), max_collection)
+    ranked = materialize(ranked)
     members = membership(tx, ranked)
     details = strip_common_pairs(ranked)
     config = df.sparkSession.createDataFrame([(new_weights, min_support, max_collection, new_gamma, lr_weights, lr_gamma)], "weights map<string,double>, min_support double, max_collection int, gamma double, lr_weights double, lr_gamma double")

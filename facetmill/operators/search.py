@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from facetmill.operators.clusters import columns_of, row_overlaps, small
 from facetmill.operators.itemsets import itemset_pairs, items_to_map
+from facetmill.sources.work import materialize
 
 
 def _measured(itemsets: DataFrame, members: DataFrame, target: int | None, overlaps: DataFrame | None = None) -> DataFrame:
@@ -15,7 +16,7 @@ def _measured(itemsets: DataFrame, members: DataFrame, target: int | None, overl
 
     overlaps: as from clusters.overlaps_in_rows, which needs no shuffle where row ids are unique.
     """
-    o = row_overlaps(members) if overlaps is None else overlaps
+    o = materialize(row_overlaps(members) if overlaps is None else overlaps)  # k * k numbers, used twice
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("n"))
     s = itemsets.select("itemset_id", F.array_distinct("items").alias("items")).join(own, F.col("itemset_id") == F.col("id"), "left").select("itemset_id", "items", F.coalesce("n", F.lit(0)).alias("n"))
     a = s.select(F.col("itemset_id").alias("target"), F.col("items").alias("items_a"), F.col("n").alias("n_a"))
@@ -76,7 +77,7 @@ def _cluster_measure(clusters: DataFrame, itemsets: DataFrame, members: DataFram
     summed = c.groupBy("cluster").agg(F.sum(one).alias("sum"))
     target = clusters.where(F.col("position") == cluster_id).select(F.col("all_columns").alias("mine"))
     union = clusters.where(F.col("position") != cluster_id).crossJoin(F.broadcast(target)).select(F.col("position").alias("cluster"), F.size(F.array_union("all_columns", "mine")).alias("columns"))  # one row
-    o = row_overlaps(_cluster_rows(clusters, members))
+    o = materialize(row_overlaps(_cluster_rows(clusters, members)))  # as many numbers as pairs of clusters, used twice
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("own"))
     rows = o.where(F.col("i") != F.col("j")).where((F.col("i") == cluster_id) | (F.col("j") == cluster_id)).select(F.when(F.col("i") == cluster_id, F.col("j")).otherwise(F.col("i")).alias("cluster"), "nij")
     t = own.where(F.col("id") == cluster_id).select(F.col("own").alias("target_rows"))

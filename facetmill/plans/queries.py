@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from facetmill.operators import prepare as P
 from facetmill.operators import search as Q
 from facetmill.plans.workflows import analyze_database, mine_and_cluster
 from facetmill.sources import tables as S
+from facetmill.sources.work import materialize, work_dir
 
 SUPPORT = 0.06
 WEIGHTS = {"o_orderdate": 1 / 3, "o_orderpriority": 1 / 3, "o_orderstatus": 1 / 3}
@@ -98,7 +96,7 @@ def ranked(spark: SparkSession, d: str, most: int = -1) -> DataFrame:
 
 def mined(spark: SparkSession, d: str, most: int = -1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The ranked itemsets, their rows, and the rows that two of them share, which need no shuffle as order keys are unique."""
-    itemsets = ranked(spark, d, most).cache()
+    itemsets = materialize(ranked(spark, d, most))
     held = I.matches(tx_of(spark, d), itemsets).cache()
     return itemsets, I.membership_of(held), C.overlaps_in_rows(held)
 
@@ -184,7 +182,7 @@ def constants_of_final(spark: SparkSession, d: str) -> DataFrame:
 def fixed_clusters(spark: SparkSession, d: str):
     assign, itemsets, members = fixed(spark, d)
     none = spark.createDataFrame([], "col string, val string")
-    return C.cluster_metadata(assign, itemsets, members, none).withColumnRenamed("cluster", "position").cache(), itemsets, members
+    return materialize(C.cluster_metadata(assign, itemsets, members, none).withColumnRenamed("cluster", "position")), itemsets, members
 
 
 def fixed_report(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +198,7 @@ def show_report(r: DataFrame) -> DataFrame:
 
 def report_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The report written as JSON to the shared folder and read back."""
-    report, path = fixed_report(spark, d), shared_folder(spark)
+    report, path = fixed_report(spark, d), work_dir(spark)
     S.write_report(report, path)
     return show_report(spark.read.schema(report.schema).json(path))
 
@@ -212,7 +210,7 @@ def show_clusters(c: DataFrame) -> DataFrame:
 def clustered(spark: SparkSession, d: str, threshold: float = 0.4):
     itemsets, members, overlaps = mined(spark, d)
     clusters, constants = C.cluster_itemsets(itemsets, members, threshold, overlaps)
-    return clusters.cache(), constants, itemsets, members
+    return clusters, constants, itemsets, members
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +276,7 @@ def valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preferences(spark: SparkSession, d: str):
-    itemsets = ranked(spark, d).cache()
+    itemsets = materialize(ranked(spark, d))
     k = itemsets.count()
     return L.preference_pairs(L.valid_rankings(rankings(spark, d, k), k), itemsets), itemsets
 
@@ -289,7 +287,7 @@ def learned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
-    itemsets = ranked(spark, d).cache()
+    itemsets = materialize(ranked(spark, d))
     k = itemsets.count()
     return L.learning_rate_grid(itemsets, rankings(spark, d, k).where("session = 'r1'"), WEIGHTS)
 
@@ -303,15 +301,10 @@ def trained(spark: SparkSession, d: str) -> DataFrame:
 # ---- sources and workflows
 
 
-def shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-config-")
-    return f"{root.rstrip('/')}/config/{uuid.uuid4().hex}"
-
-
 def config_round_trip(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "orders").count()
     row = ("orders", {"o_orderstatus": 0.5}, 0.1, -1, 0.7, 0.12, 0.8)
-    path = shared_folder(spark)
+    path = work_dir(spark)
     S.save_config(spark.createDataFrame([row], S.CONFIG), path)
     back = S.load_config(spark, path, "orders", table(spark, d, "orders").columns)
     return spark.createDataFrame([(k, v, n) for k, v in sorted(back["weights"].items())], "col string, weight double, n_rows long")

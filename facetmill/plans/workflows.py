@@ -12,25 +12,29 @@ from facetmill.operators.itemsets import group_by_pattern, matches, membership_o
 from facetmill.operators.prepare import drop_zero_weight, prepare_data
 from facetmill.operators.search import similar_clusters, similar_itemsets
 from facetmill.sources.tables import CLUSTER_DEFAULTS, DATABASE_DEFAULTS, describe_table, sample_rows
+from facetmill.sources.work import materialize
 
 log = logging.getLogger(__name__)
 
 
 def mine_and_cluster(df: DataFrame, row_id: str, config: dict | None = None, similarity_threshold: float = 0.4, near_itemset: int | None = None, near_cluster: int | None = None) -> dict[str, DataFrame]:
-    """Mine, strip, group, cluster and report one table; searches on demand.  config as from load_config."""
+    """Mine, strip, group, cluster and report one table; searches on demand.  config as from load_config.
+
+    `held`, the itemsets that each row holds, is cached: unpersist it when the result is no longer needed.
+    """
     config = CLUSTER_DEFAULTS | (config or {})
     weights = config.get("weights") or {c: 1 / max(1, len(df.columns) - 1) for c in df.columns if c != row_id}
     df, weights = drop_zero_weight(df, weights)
     tx, itemsets = rank_maximal_itemsets(df, row_id, weights, config["min_support"], config["max_collection"], config["gamma"], config.get("buckets"))
-    itemsets = itemsets.cache()
+    itemsets = materialize(itemsets)
     held = matches(tx, itemsets).cache()
     members = membership_of(held)
     details = strip_common_pairs(itemsets)
     overlaps = None if held.select("row_id").distinct().count() < held.count() else overlaps_in_rows(held)  # unique row ids need no shuffle
     clusters, constants = cluster_itemsets(itemsets, members, similarity_threshold, overlaps)
-    clusters = clusters.cache()
     out = {
         "itemsets": itemsets,
+        "held": held,
         "members": members,
         "details": details,
         "patterns": group_by_pattern(details),
@@ -61,9 +65,8 @@ def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids:
             prepared = prepare_data(df, row_ids[name])
             config = {k: DATABASE_DEFAULTS[k] for k in ("min_support", "max_collection", "gamma")}
             done = mine_and_cluster(prepared, row_ids[name], config, DATABASE_DEFAULTS["similarity_threshold"])
-            report = done["report"].withColumn("table_name", F.lit(name)).persist()
-            report.count()
-            reports.append(report)
+            reports.append(materialize(done["report"].withColumn("table_name", F.lit(name))))
+            done["held"].unpersist()
         except Exception:
             log.exception("table %s could not be analysed", name)
     union = lambda frames: None if not frames else frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])

@@ -12,6 +12,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "3g")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-test-"))
