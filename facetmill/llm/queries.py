@@ -1,8 +1,8 @@
-"""The registered queries of the ten training-data operators, and their SQL where SQL can say it."""
+"""The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html_text, jaccard_join, language_id, quality, source_mix, suffix_dedup, token_counts, url_filter
+from . import decontaminate, fingerprints, html_text, importance, jaccard_join, language_id, quality, source_mix, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_fingerprints": fingerprints.query,
     "op10_token_counts": token_counts.query,
+    "op12_importance": importance.query,
 }
 
 ORACLES = {
     "op3_source_mix": source_mix.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op12_importance": importance.ORACLE,
 }
