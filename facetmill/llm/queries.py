@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, fingerprints, html_text, importance, jaccard_join, language_id, quality, source_mix, suffix_dedup, token_counts, url_filter
+from . import conversations, decontaminate, fingerprints, html_text, importance, jaccard_join, language_id, minhash, quality, source_mix, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_fingerprints": fingerprints.query,
     "op10_token_counts": token_counts.query,
+    "op11_minhash": minhash.query,
     "op12_importance": importance.query,
     "op13_conversations": conversations.query,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op3_source_mix": source_mix.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_minhash": minhash.ORACLE,
     "op12_importance": importance.ORACLE,
     "op13_conversations": conversations.ORACLE,
 }
