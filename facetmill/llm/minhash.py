@@ -199,14 +199,14 @@ def columns_of(table: pa.Table):
     return grp, doc, size, label, packed, [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
 
 
-def blocks(batches):
-    """Bounded tables of consecutive rows."""
+def blocks(batches, most: int):
+    """Tables of at most so many consecutive rows, and about BLOCK_SHINGLES shingles."""
     held, rows, weight = [], 0, 0
     for batch in batches:
         size = batch.column(batch.schema.get_field_index("n")).to_numpy()
         begin = 0
         for i in range(batch.num_rows):
-            if rows and (rows >= BLOCK_SETS or weight + size[i] > BLOCK_SHINGLES):
+            if rows and (rows >= most or weight + size[i] > BLOCK_SHINGLES):
                 if i > begin:
                     held.append(batch.slice(begin, i - begin))
                 yield pa.Table.from_batches(held)
@@ -219,7 +219,7 @@ def blocks(batches):
         yield pa.Table.from_batches(held)
 
 
-def block_rows(threshold: Fraction):
+def block_rows(threshold: Fraction, most: int):
     """Compare within blocks of a range: each row with its label (the least doc_id of what is joined to it).
 
     edge: the group reaches an end of the block, so it may go on in another one; only such rows keep their sets.  hub: of its label the row
@@ -228,7 +228,7 @@ def block_rows(threshold: Fraction):
 
     def run(batches):
         part = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(blocks(batches)):
+        for k, table in enumerate(blocks(batches, most)):
             grp, doc, size, _, packed, sets = columns_of(table)
             _, joined, degree = linked_pairs(grp, doc, size, packed, sets, threshold)
             root = np.array([joined.find(i) for i in range(len(doc))])
@@ -245,12 +245,15 @@ def block_rows(threshold: Fraction):
     return run
 
 
-def placed_rows(batches):
+def placed_rows(most: int):
     """Rows with the number of their block, in the order of the range."""
-    part = TaskContext.get().partitionId() << 32
-    for k, table in enumerate(blocks(batches)):
-        for batch in table.append_column("block", pa.array(np.full(table.num_rows, part + k))).combine_chunks().to_batches():
-            yield batch
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        for k, table in enumerate(blocks(batches, most)):
+            yield from table.append_column("block", pa.array(np.full(table.num_rows, part + k))).combine_chunks().to_batches()
+
+    return run
 
 
 def cross_rows(threshold: Fraction):
@@ -267,7 +270,7 @@ def cross_rows(threshold: Fraction):
     return run
 
 
-def joined_in_groups(sets: DataFrame, threshold: Fraction) -> DataFrame:
+def joined_in_groups(sets: DataFrame, threshold: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(node, component) of all sets that links join with another; sets: (grp, doc_id, n, packed, shingles)."""
     n = partitions(sets.sparkSession)
     edges = []
@@ -275,7 +278,7 @@ def joined_in_groups(sets: DataFrame, threshold: Fraction) -> DataFrame:
     def compared(rows: DataFrame) -> DataFrame:
         by = ["grp", "n", "doc_id"]
         dealt = rows.select("grp", "doc_id", "n", F.col("doc_id").alias("label"), "packed", "shingles").repartitionByRange(n, *by).sortWithinPartitions(*by)
-        out = materialize(dealt.mapInArrow(block_rows(threshold), BLOCK))
+        out = materialize(dealt.mapInArrow(block_rows(threshold, block_sets), BLOCK))
         edges.append(out.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
         return out
 
@@ -309,7 +312,7 @@ def joined_in_groups(sets: DataFrame, threshold: Fraction) -> DataFrame:
     dealt = materialize(rest.select("grp", "doc_id", "n", "packed", "shingles").join(labels, "doc_id").select("grp", "doc_id", "n", "label", "packed", "shingles"))
     by = ["grp", "label", "n", "doc_id"]
     dealt = dealt.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    placed = materialize(dealt.mapInArrow(placed_rows, "grp long, doc_id long, n long, label long, packed binary, shingles binary, block long"))
+    placed = materialize(dealt.mapInArrow(placed_rows(block_sets), "grp long, doc_id long, n long, label long, packed binary, shingles binary, block long"))
     meta = materialize(placed.groupBy("grp", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("n0"), F.max("n").alias("n1")))
     a, b = (meta.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "l0", "l1", "n0", "n1")]) for x in "ab")
     t = threshold
@@ -322,7 +325,7 @@ def joined_in_groups(sets: DataFrame, threshold: Fraction) -> DataFrame:
     return connected_components(every.unionByName(materialize(crossed)))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: str = "0.85", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: str = "0.85", id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept: the row has the smallest id of its component."""
     t = Fraction(threshold)
     n = partitions(docs.sparkSession)
@@ -341,7 +344,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: str = "0.85", id
     texts = texts.dropDuplicates(["doc_id"]) if odd else texts
     candidates = texts.join(able, texts["doc_id"] == able["rep"]).select("doc_id", "text", "grp", "n", "packed")
     sets = materialize(candidates.mapInArrow(set_rows(words), "doc_id long, grp long, n long, packed binary, shingles binary"))
-    found = joined_in_groups(sets, t)
+    found = joined_in_groups(sets, t, block_sets)
 
     ends = classes.join(found, classes["rep"] == found["node"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     plain = info.select(*KEY, "doc_id", "n_shingles", "s1", "s2")
