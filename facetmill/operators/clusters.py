@@ -1,7 +1,7 @@
 """Clusters of itemsets: pairwise similarity, average linkage, flat clusters and what describes them.
 
-Row-level work (which rows two itemsets share) is one pass with a count for each pair of itemsets; everything else
-works on the mined result.
+Row-level work (which rows two itemsets or clusters share, how many rows a cluster covers) is one pass with sums in each task; everything else
+works on the mined result.  Where row ids are unique, give the rows with the itemsets that they hold (itemsets.matches) as members: then nothing is shuffled by row id.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from facetmill.functions.incidence import PAIRS, pair_counts
 from facetmill.functions.items import item_column
 from facetmill.functions.linkage import average_linkage
-from facetmill.operators.itemsets import itemset_pairs
+from facetmill.operators.itemsets import has_matches, itemset_pairs, supporting_rows
 from facetmill.sources.work import materialize
 
 SLACK = 1e-12  # for the inclusive cut
@@ -31,16 +32,26 @@ def columns_of(items):
 
 
 def row_overlaps(members: DataFrame) -> DataFrame:
-    """(i, j, nij) for i <= j: how many distinct row ids two itemsets share; nii is the itemset's own number."""
-    own = members.groupBy("row_id").agg(F.array_sort(F.collect_set("itemset_id")).alias("ids"))  # at most k ids for a row
-    both = F.expr("flatten(transform(ids, (a, n) -> transform(slice(ids, n + 1, size(ids)), b -> struct(a as i, b as j))))")
-    return own.select(F.explode(both).alias("p")).groupBy("p.i", "p.j").agg(F.count(F.lit(1)).alias("nij"))
+    """(i, j, nij) for i <= j: how many distinct row ids two itemsets share; nii is the itemset's own number.  members as for has_matches."""
+    if has_matches(members):
+        return overlaps_in_rows(members)
+    return overlaps_in_rows(members.groupBy("row_id").agg(F.collect_set("itemset_id").alias("matches")))  # at most k ids for a row
 
 
 def overlaps_in_rows(matched: DataFrame) -> DataFrame:
-    """The same from (row_id, matches) when row ids are unique: no shuffle by row id."""
-    both = F.expr("flatten(transform(m, (a, n) -> transform(slice(m, n + 1, size(m)), b -> struct(a as i, b as j))))")
-    return matched.select(F.array_sort(F.array_distinct("matches")).alias("m")).select(F.explode(both).alias("p")).groupBy("p.i", "p.j").agg(F.count(F.lit(1)).alias("nij"))
+    """The same from (row_id, matches) when row ids are unique: each task multiplies the matrix of its rows and itemsets with itself, and no pair of a row is written out."""
+    counted = matched.select(F.col("matches").cast("array<int>").alias("matches")).mapInArrow(pair_counts, PAIRS)
+    return counted.groupBy("i", "j").agg(F.sum("n").alias("nij"))
+
+
+def clusters_in_rows(assign: DataFrame, held: DataFrame) -> DataFrame:
+    """(row_id, matches): of rows with the itemsets that they hold, the clusters of these, each once; worked out in the row."""
+    cluster = {r["itemset_id"]: r["cluster"] for r in assign.select("itemset_id", "cluster").collect()}  # the mined result
+    if not cluster:
+        return held.select("row_id", F.array().cast("array<int>").alias("matches"))
+    by_id = ",".join(str(cluster.get(i, "")) for i in range(max(cluster) + 1))  # a cluster for each place, none for itemsets of no cluster
+    table = F.split(F.lit(by_id), ",").try_cast("array<int>")
+    return held.select("row_id", F.array_distinct(F.array_compact(F.transform("matches", lambda m: F.get(table, m)))).alias("matches"))
 
 
 def pairwise_similarity(itemsets: DataFrame, members: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
@@ -62,7 +73,10 @@ def pairwise_similarity(itemsets: DataFrame, members: DataFrame, overlaps: DataF
 
 
 def linkage_table(pairs: DataFrame, group: str = "table_name") -> DataFrame:
-    """(step, left, right, distance, size) of average linkage; pairs of many tables (a column `group`) are linked at once."""
+    """(step, left, right, distance, size) of average linkage; pairs of many tables (a column `group`) are linked at once.
+
+    A table's k itemsets take k * k doubles and their k * k / 2 pairs in one task: 3 GB and as much again for k = 20,000; mine fewer, or rank and keep the first, beyond that.
+    """
     grouped = group in pairs.columns
 
     def link(p: pd.DataFrame) -> pd.DataFrame:
@@ -140,10 +154,16 @@ def constant_columns_across_clusters(assign: DataFrame, cells: DataFrame) -> Dat
 
 
 def cluster_coverage(assign: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, row_coverage, row_coverage_percent): distinct rows of the cluster, and their share of the rows of any itemset."""
-    covered = members.join(small(assign.select("itemset_id", "cluster")), "itemset_id").select("cluster", "row_id").distinct()
-    total = members.select("row_id").distinct().agg(F.count(F.lit(1)).alias("total"))
-    return covered.groupBy("cluster").agg(F.count(F.lit(1)).alias("row_coverage")).crossJoin(F.broadcast(total)).select("cluster", "row_coverage", (F.col("row_coverage") / F.col("total")).alias("row_coverage_percent"))
+    """(cluster, row_coverage, row_coverage_percent): distinct rows of the cluster, and their share of the rows of any itemset; members as for has_matches."""
+    if has_matches(members):
+        rows = clusters_in_rows(assign, members.select("row_id", "matches"))
+        counts = rows.select(F.explode("matches").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("row_coverage"))
+        total = members.where(F.size("matches") > 0).agg(F.count(F.lit(1)).alias("total"))
+    else:
+        covered = members.join(small(assign.select("itemset_id", "cluster")), "itemset_id").select("cluster", "row_id").distinct()
+        counts = covered.groupBy("cluster").agg(F.count(F.lit(1)).alias("row_coverage"))
+        total = members.select("row_id").distinct().agg(F.count(F.lit(1)).alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("cluster", "row_coverage", (F.col("row_coverage") / F.col("total")).alias("row_coverage_percent"))  # total is one row
 
 
 def cluster_metadata(assign: DataFrame, itemsets: DataFrame, members: DataFrame, constants: DataFrame) -> DataFrame:
@@ -172,9 +192,13 @@ def cluster_metadata(assign: DataFrame, itemsets: DataFrame, members: DataFrame,
 
 
 def cluster_itemsets(itemsets: DataFrame, members: DataFrame, similarity_threshold: float = 0.4, overlaps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clusters, constants): linked, cut, described; clusters without a common column go, the rest is numbered by size, then first itemset."""
+    """(clusters, constants): linked, cut and described, see describe_clusters."""
     pairs = pairwise_similarity(itemsets, members, overlaps)
-    assign = materialize(cut_clusters(itemsets, linkage_table(pairs), similarity_threshold))
+    return describe_clusters(itemsets, members, materialize(cut_clusters(itemsets, linkage_table(pairs), similarity_threshold)))
+
+
+def describe_clusters(itemsets: DataFrame, members: DataFrame, assign: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clusters, constants): clusters without a common column go, the rest is numbered by size, then first itemset."""
     constants = constant_columns_across_clusters(assign, itemset_pairs(itemsets))
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("size"), "cluster")  # the mined result
     kept = cluster_metadata(assign, itemsets, members, constants).where("size(common_columns) > 0").withColumn("position", F.row_number().over(order) - 1)
@@ -186,10 +210,8 @@ def cluster_report(clusters: DataFrame, constants: DataFrame, itemsets: DataFram
     ids = clusters.select("position", "row_coverage", F.explode("itemset_indices").alias("itemset_id"))
     cells = itemset_pairs(itemsets).join(constants, "col", "left_anti")
     details = cells.groupBy("itemset_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "val")))).alias("details"))
-    first = W.partitionBy("itemset_id").orderBy("row_id")
-    some = members.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= examples).groupBy("itemset_id").agg(F.array_sort(F.collect_list(F.col("row_id").cast("string"))).alias("example_rows"))
-    counts = members.groupBy("itemset_id").agg(F.count(F.lit(1)).alias("rows"))
-    rows = ids.join(itemsets.select("itemset_id", "support"), "itemset_id").join(details, "itemset_id", "left").join(counts, "itemset_id", "left").join(some, "itemset_id", "left")
+    support = supporting_rows(members, examples).select("itemset_id", F.col("n_rows").alias("rows"), F.array_sort(F.col("example_rows").cast("array<string>")).alias("example_rows"))
+    rows = ids.join(itemsets.select("itemset_id", "support"), "itemset_id").join(details, "itemset_id", "left").join(support, "itemset_id", "left")
     percent = F.when(F.col("row_coverage") > 0, 100 * F.col("rows") / F.col("row_coverage")).otherwise(0.0)
     nested = rows.groupBy("position").agg(
         F.array_sort(
@@ -212,10 +234,16 @@ def cluster_report(clusters: DataFrame, constants: DataFrame, itemsets: DataFram
     )
 
 
+def cluster_row_overlaps(assign: DataFrame, members: DataFrame) -> DataFrame:
+    """row_overlaps of clusters instead of itemsets; members as for has_matches."""
+    if has_matches(members):
+        return overlaps_in_rows(clusters_in_rows(assign, members))
+    return row_overlaps(members.join(small(assign), "itemset_id").select(F.col("cluster").alias("itemset_id"), "row_id").distinct())
+
+
 def cluster_overlap(assign: DataFrame, members: DataFrame) -> DataFrame:
     """(i, j, jaccard) of the row sets of all pairs of clusters, the diagonal included."""
-    rows = members.join(small(assign), "itemset_id").select(F.col("cluster").alias("itemset_id"), "row_id").distinct()
-    o = materialize(row_overlaps(rows))  # as many numbers as pairs of clusters, used twice
+    o = materialize(cluster_row_overlaps(assign, members))  # as many numbers as pairs of clusters, used twice
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("n"))
     names = assign.select("cluster").distinct().join(own, F.col("cluster") == F.col("id"), "left").select("cluster", F.coalesce("n", F.lit(0)).alias("n"))
     a, b = names.select(F.col("cluster").alias("a"), F.col("n").alias("na")), names.select(F.col("cluster").alias("b"), F.col("n").alias("nb"))

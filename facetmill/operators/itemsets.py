@@ -1,8 +1,7 @@
 """Maximal frequent itemsets over `column___value` items: mining, scores, ranks, supporting rows, patterns.
 
-Mining counts level by level in DataFrames: a row keeps only the codes of its frequent items; pairs are counted by
-groupBy with map-side combination; from level 3 on the candidates, which come from the small result of the level before,
-are counted all in one aggregate.  When a level has too many candidates for that, Spark's FP-growth takes over.
+Mining counts level by level: a row keeps only the codes of its frequent items; each task counts pairs and candidates over
+batches of its rows (functions.incidence) and gives one number for each.  When a level has too many candidates for that, Spark's FP-growth takes over.
 """
 
 from __future__ import annotations
@@ -11,16 +10,19 @@ from functools import reduce
 from itertools import combinations
 from operator import and_
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from facetmill.functions.incidence import COUNTS, PAIRS, index_rows, pair_counts, set_counts
 from facetmill.functions.items import SEP, item, item_column, item_key, item_value, literal_map, quoted
 from facetmill.operators.prepare import _plain, apply_buckets, blank_nulls, normalize_nulls
 
 MAX_CANDIDATES = 2_000
-MAX_PREDICATES = 500
+MAX_PREDICATES = 64
+FEW = 500  # candidates that are counted together with the unions of their groups
 
 
 def to_transactions(df: DataFrame, row_id: str) -> DataFrame:
@@ -41,50 +43,76 @@ def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: i
     return counted_itemsets(tx, min_support, max_candidates)[0]
 
 
+class Counted:
+    """Rows as codes of their frequent items, read from the input once, and counts of sets of these codes.
+
+    Codes stand in the order of rising frequency, so that what is common comes last.
+    """
+
+    def __init__(self, tx: DataFrame, min_support: float):
+        self.tx = tx.persist(StorageLevel.MEMORY_AND_DISK)  # for two passes: items, then codes
+        # a null for each row beside its items counts the rows in the same pass
+        ones = self.tx.select(F.explode(F.array_append("items", F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq")).cache()
+        self.n = (ones.where("item is null").first() or {"freq": 0})["freq"]
+        self.need = min_count(self.n, min_support)
+        first = ones.where((F.col("freq") >= self.need) & F.col("item").isNotNull()).collect()  # at most 1 / min_support for each column
+        ones.unpersist()
+        first = sorted((r["freq"], r["item"]) for r in first)
+        self.names, self.freq = [x for _, x in first], [f for f, _ in first]
+        self.column = [x.split(SEP)[0] for x in self.names]
+        self.coded = None
+        if len(first) > 1:
+            code = F.create_map(*[F.lit(x) for i, a in enumerate(self.names) for x in (a, i)])
+            coded = self.tx.select(F.array_compact(F.transform("items", lambda x: code[x])).alias("codes")).where("size(codes) > 1")
+            self.coded = coded.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """Frequent pairs of codes."""
+        if self.coded is None:
+            return {}
+        both = self.coded.mapInArrow(pair_counts, PAIRS).where("i < j").groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= self.need)
+        return {(r["i"], r["j"]): r["n"] for r in both.collect()}  # frequent ones only
+
+    def sets(self, candidates: list[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
+        """The number of rows that hold each candidate."""
+        if not candidates:
+            return {}
+        least = min(map(len, candidates))
+        counts = self.coded.where(F.size("codes") >= least).mapInArrow(set_counts(candidates, len(self.names)), COUNTS).groupBy("place").agg(F.sum("n").alias("n")).collect()  # one for each candidate
+        got = {r["place"]: r["n"] for r in counts}
+        return {c: got.get(k, 0) for k, c in enumerate(candidates)}
+
+    def close(self) -> None:
+        for df in (self.tx, self.coded):
+            if df is not None:
+                df.unpersist()
+
+    def frame(self, found: dict[tuple[int, ...], int]) -> DataFrame:
+        rows = [(sorted(self.names[i] for i in c), f) for c, f in found.items()]
+        return self.tx.sparkSession.createDataFrame(rows, "items array<string>, freq long")
+
+
 def counted_itemsets(tx: DataFrame, min_support: float, max_candidates: int = MAX_CANDIDATES) -> tuple[DataFrame, int]:
     """All frequent itemsets (items, freq), and the number of rows."""
-    spark = tx.sparkSession
-    # a null for each row beside its items counts the rows in the same pass
-    ones = tx.select(F.explode(F.array_append("items", F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq")).cache()
-    n = (ones.where("item is null").first() or {"freq": 0})["freq"]
-    need = min_count(n, min_support)
-    first = sorted((r["item"], r["freq"]) for r in ones.where((F.col("freq") >= need) & F.col("item").isNotNull()).collect())  # at most 1 / min_support for each column
-    ones.unpersist()
-    found = {(i,): f for i, (_, f) in enumerate(first)}
-    names = [a for a, _ in first]
-    column = [a.split(SEP)[0] for a in names]
-    level = list(found)
-    if len(first) > 1:
-        code = F.create_map(*[F.lit(x) for i, a in enumerate(names) for x in (a, i)])
-        coded = tx.select(F.array_sort(F.array_compact(F.transform("items", lambda x: code[x]))).alias("codes")).where("size(codes) > 1").cache()
-        both = F.expr("flatten(transform(codes, (a, i) -> transform(slice(codes, i + 2, size(codes)), b -> struct(a, b))))")
-        pairs = coded.select(F.explode(both).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= need).collect()  # frequent ones only
-        level = sorted((r["p"]["a"], r["p"]["b"]) for r in pairs)
-        found |= {(r["p"]["a"], r["p"]["b"]): r["freq"] for r in pairs}
+    data = Counted(tx, min_support)
+    try:
+        found = {(i,): f for i, f in enumerate(data.freq)} | data.pairs()
+        level = sorted(c for c in found if len(c) == 2)
         while level:
             known, size = set(level), len(level[0])
             starts: dict[tuple, list[tuple]] = {}
             for s in level:
                 starts.setdefault(s[:-1], []).append(s)
             candidates = [a + (b[-1],) for group in starts.values() for a, b in combinations(sorted(group), 2)]
-            candidates = [c for c in candidates if len({column[i] for i in c}) == size + 1 and all(c[:i] + c[i + 1 :] in known for i in range(size + 1))]
-            if not candidates:
-                break
+            candidates = [c for c in candidates if len({data.column[i] for i in c}) == size + 1 and all(c[:i] + c[i + 1 :] in known for i in range(size + 1))]
             if len(candidates) > max_candidates:
-                coded.unpersist()
-                return frequent_itemsets_fpgrowth(tx, min_support), n
-            has = {i: F.array_contains("codes", i) for i in {i for c in candidates for i in c}}
-            flags = coded.where(F.size("codes") > size).select(*[h.alias(f"h{i}") for i, h in has.items()])
-            counted: dict[tuple, int] = {}
-            for at in range(0, len(candidates), 400):
-                part = candidates[at : at + 400]
-                row = flags.agg(*[F.count_if(F.expr(" and ".join(f"h{i}" for i in c))).alias(f"c{j}") for j, c in enumerate(part)]).first()
-                counted |= {c: row[f"c{j}"] for j, c in enumerate(part)}
-            level = sorted(c for c in candidates if counted[c] >= need)
+                return frequent_itemsets_fpgrowth(tx, min_support), data.n
+            counted = data.sets(candidates)
+            level = sorted(c for c in candidates if counted[c] >= data.need)
             found |= {c: counted[c] for c in level}
-        coded.unpersist()
-    rows = [(sorted(names[i] for i in c), f) for c, f in found.items()]
-    return spark.createDataFrame(rows, "items array<string>, freq long"), n
+        return data.frame(found), data.n
+    finally:
+        data.close()
 
 
 def frequent_itemsets_fpgrowth(tx: DataFrame, min_support: float = 0.1) -> DataFrame:
@@ -96,11 +124,87 @@ def frequent_itemsets_fpgrowth(tx: DataFrame, min_support: float = 0.1) -> DataF
     return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= min_count(n, min_support))
 
 
-def maximal_frequent_itemsets(tx: DataFrame, min_support: float = 0.1) -> DataFrame:
-    """(items, freq, support) of the frequent itemsets without a frequent superset (by closure, one item larger is enough)."""
-    every, n = counted_itemsets(tx, min_support)
+def maximal_frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+    """(items, freq, support) of the frequent itemsets without a frequent superset.
+
+    Looked for by groups of a head and the items that may follow it.  Before the members of a group are counted, the union of its head and the most
+    frequent followers, one a column, is: if that is frequent and the whole group, none of its subsets needs to be looked at, nor any other group that lies in
+    it.  So tables with columns that go together do not enumerate all their subsets.  With too many candidates FP-growth takes over.
+    """
+    data = Counted(tx, min_support)
+    try:
+        found = _maximal(data, max_candidates)
+        if found is not None:
+            return data.frame(found).select("items", "freq", (F.col("freq") / F.lit(data.n)).alias("support"))
+    finally:
+        data.close()
+    every = frequent_itemsets_fpgrowth(tx, min_support)  # by closure, one item larger is enough
     smaller = every.where("size(items) > 1").select(F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items")).distinct()
-    return every.join(smaller, "items", "left_anti").select("items", "freq", (F.col("freq") / F.lit(n)).alias("support"))
+    return every.join(smaller, "items", "left_anti").select("items", "freq", (F.col("freq") / F.lit(data.n)).alias("support"))
+
+
+def _maximal(data: Counted, max_candidates: int) -> dict[tuple[int, ...], int] | None:
+    """Maximal sets of codes with their counts; None if a level has too many candidates."""
+    pairs = data.pairs()
+    after: dict[int, list[int]] = {i: [] for i in range(len(data.names))}
+    for a, b in sorted(pairs):
+        after[a].append(b)
+    found: dict[tuple[int, ...], int] = {}
+    supersets = Supersets()
+    groups = [((i,), data.freq[i], after[i]) for i in after]
+    known = dict(pairs)
+
+    def record(s: tuple[int, ...], n: int) -> None:
+        if s not in found:
+            found[s] = n
+            supersets.add(s)
+
+    def union(head, tail):
+        best = {data.column[t]: t for t in tail}  # the last, most frequent one of each column
+        return tuple(sorted({*head, *best.values()}))
+
+    while groups:
+        groups = [g for g in groups if not supersets.cover((*g[0], *g[2]))]
+        unions = {union(h, t) for h, _, t in groups if len(t) > 1} - known.keys()
+        members = {(*h, t) for h, _, tail in groups for t in tail} - known.keys()
+        together = len(unions) + len(members) <= FEW
+        if max(len(unions), len(members)) > max_candidates:
+            return None
+        counted = data.sets(sorted(unions | members if together else unions))
+        known |= counted
+        for s in unions:
+            if known[s] >= data.need:
+                record(s, known[s])
+        groups = [g for g in groups if not supersets.cover((*g[0], *g[2]))]
+        if not together:
+            known |= data.sets(sorted({(*h, t) for h, _, tail in groups for t in tail} - known.keys()))
+        deeper = []
+        for head, n, tail in groups:
+            follow = [t for t in tail if known[(*head, t)] >= data.need]
+            if not follow:
+                record(head, n)
+            for k, t in enumerate(follow):
+                deeper.append(((*head, t), known[(*head, t)], [u for u in follow[k + 1 :] if (t, u) in pairs]))
+        groups = deeper
+    return {s: n for s, n in found.items() if not supersets.cover(s, proper=True)}
+
+
+class Supersets:
+    """Which recorded sets hold a given one, by the recorded sets of each code."""
+
+    def __init__(self):
+        self.by_code: dict[int, set[int]] = {}
+        self.size: list[int] = []
+
+    def add(self, s: tuple[int, ...]) -> None:
+        for i in s:
+            self.by_code.setdefault(i, set()).add(len(self.size))
+        self.size.append(len(s))
+
+    def cover(self, s: tuple[int, ...], proper: bool = False) -> bool:
+        lists = sorted((self.by_code.get(i, set()) for i in s), key=len)
+        held = set.intersection(*lists) if lists else set()
+        return any(self.size[k] > len(s) for k in held) if proper else bool(held)
 
 
 def score_itemsets(itemsets: DataFrame, weights: dict[str, float], gamma: float = 0.5) -> DataFrame:
@@ -131,7 +235,7 @@ def with_unique_id(itemsets: DataFrame) -> DataFrame:
 def matches(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
     """(row_id, matches): the ids of the itemsets that each row holds, as an array in the row; no shuffle of the table.
 
-    Few itemsets become predicates of one projection; many are looked up from the broadcast mined result.
+    Up to MAX_PREDICATES itemsets become predicates of one projection; more of them an inverted index over items, which each task asks with the items of its rows.
     """
     rows = itemsets.select("itemset_id", "items").orderBy("itemset_id").collect()  # the mined result
     if len(rows) <= MAX_PREDICATES:
@@ -139,9 +243,15 @@ def matches(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
         tests = [F.when(reduce(and_, [held[x] for x in r["items"]]), F.lit(r["itemset_id"])) for r in rows]
         found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
         return tx.select("row_id", found.alias("matches"))
-    need = F.array(*[F.struct(F.lit(r["itemset_id"]).alias("id"), F.array(*[F.lit(x) for x in r["items"]]).alias("need")) for r in rows])
-    fits = F.filter(need, lambda s: F.size(F.array_except(s["need"], "items")) == 0)
-    return tx.select("row_id", F.transform(fits, lambda s: s["id"]).alias("matches"))
+    names = sorted({x for r in rows for x in r["items"]})
+    place = {x: i for i, x in enumerate(names)}
+    sets = [tuple(sorted(place[x] for x in r["items"])) for r in rows]
+    return tx.select("row_id", "items").mapInArrow(index_rows(names, sets, [r["itemset_id"] for r in rows]), f"row_id {tx.schema['row_id'].dataType.simpleString()}, matches array<int>")
+
+
+def has_matches(rows: DataFrame) -> bool:
+    """Whether rows are (row_id, matches), one for each row id, or (itemset_id, row_id).  The first form needs no shuffle by row id."""
+    return "matches" in rows.columns
 
 
 def membership(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
@@ -182,16 +292,27 @@ def group_by_pattern(details: DataFrame) -> DataFrame:
 
 
 def unassigned_rows(df: DataFrame, members: DataFrame, row_id: str) -> DataFrame:
-    """(row_id): row ids in no ranked itemset."""
+    """(row_id): row ids in no ranked itemset; members as for has_matches."""
+    if has_matches(members):
+        return members.where(F.size("matches") == 0).select("row_id")
     return df.select(quoted(row_id).alias("row_id")).distinct().join(members.select("row_id").distinct(), "row_id", "left_anti")
 
 
+def supporting_rows(members: DataFrame, examples: int = 5) -> DataFrame:
+    """(itemset_id, n_rows, example_rows): the number of rows and the smallest row ids; members as for has_matches.
+
+    Each task keeps the first few rows of an itemset only (Spark's window group limit), so what is shuffled is bounded by itemsets and tasks.
+    """
+    each, once = (membership_of(members),) * 2 if has_matches(members) else (members, members.distinct())
+    counts = each.groupBy("itemset_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    first = W.partitionBy("itemset_id").orderBy("row_id")
+    some = once.withColumn("r", F.row_number().over(first)).where(F.col("r") <= examples).groupBy("itemset_id").agg(F.array_sort(F.collect_list("row_id")).alias("example_rows"))
+    return counts.join(some, "itemset_id")
+
+
 def rank_listing(details: DataFrame, members: DataFrame, examples: int = 5) -> DataFrame:
     """(itemset_id, pattern, details, n_rows, example_rows) for a reviewer; the smallest row ids are the examples."""
-    first = W.partitionBy("itemset_id").orderBy("row_id")
-    counts = members.groupBy("itemset_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    some = members.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= examples).groupBy("itemset_id").agg(F.array_sort(F.collect_list("row_id")).alias("example_rows"))
-    out = details.join(counts, "itemset_id", "left").join(some, "itemset_id", "left")
+    out = details.join(supporting_rows(members, examples), "itemset_id", "left")
     return out.select("itemset_id", F.array_join(F.array_sort(F.map_keys("details")), "|").alias("pattern"), "details", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "example_rows")
 
 

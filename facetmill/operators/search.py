@@ -1,4 +1,4 @@
-"""Nearest itemsets and nearest clusters."""
+"""Nearest itemsets and nearest clusters; members everywhere as for itemsets.has_matches."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetmill.operators.clusters import columns_of, row_overlaps, small
+from facetmill.operators.clusters import cluster_row_overlaps, columns_of, row_overlaps, small
 from facetmill.operators.itemsets import itemset_pairs, items_to_map
 from facetmill.sources.work import materialize
 
@@ -57,11 +57,6 @@ def all_similar_itemsets(itemsets: DataFrame, members: DataFrame, top_n: int = 1
     return _best(_measured(itemsets, members, None, overlaps), top_n, "target", "itemset_id").select("target", "itemset_id", "score", "rank")
 
 
-def _cluster_rows(clusters: DataFrame, members: DataFrame) -> DataFrame:
-    ids = clusters.select(F.col("position").alias("cluster"), F.explode("itemset_indices").alias("itemset_id"))
-    return members.join(small(ids), "itemset_id").select(F.col("cluster").alias("itemset_id"), "row_id").distinct()
-
-
 def _cluster_measure(clusters: DataFrame, itemsets: DataFrame, members: DataFrame, cluster_id: int) -> DataFrame:
     """Of every other cluster: likeness of the value counts of all columns of both clusters, and of the row sets."""
     ids = clusters.select(F.col("position").alias("cluster"), F.explode("itemset_indices").alias("itemset_id"))
@@ -77,7 +72,7 @@ def _cluster_measure(clusters: DataFrame, itemsets: DataFrame, members: DataFram
     summed = c.groupBy("cluster").agg(F.sum(one).alias("sum"))
     target = clusters.where(F.col("position") == cluster_id).select(F.col("all_columns").alias("mine"))
     union = clusters.where(F.col("position") != cluster_id).crossJoin(F.broadcast(target)).select(F.col("position").alias("cluster"), F.size(F.array_union("all_columns", "mine")).alias("columns"))  # one row
-    o = materialize(row_overlaps(_cluster_rows(clusters, members)))  # as many numbers as pairs of clusters, used twice
+    o = materialize(cluster_row_overlaps(ids.select("itemset_id", "cluster"), members))  # as many numbers as pairs of clusters, used twice
     own = o.where("i = j").select(F.col("i").alias("id"), F.col("nij").alias("own"))
     rows = o.where(F.col("i") != F.col("j")).where((F.col("i") == cluster_id) | (F.col("j") == cluster_id)).select(F.when(F.col("i") == cluster_id, F.col("j")).otherwise(F.col("i")).alias("cluster"), "nij")
     t = own.where(F.col("id") == cluster_id).select(F.col("own").alias("target_rows"))

@@ -95,10 +95,14 @@ def ranked(spark: SparkSession, d: str, most: int = -1) -> DataFrame:
 
 
 def mined(spark: SparkSession, d: str, most: int = -1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The ranked itemsets, their rows, and the rows that two of them share, which need no shuffle as order keys are unique."""
+    """The ranked itemsets, the rows with the itemsets that they hold, and the rows that two of them share; order keys are unique, so nothing is shuffled by them."""
     itemsets = materialize(ranked(spark, d, most))
-    held = I.matches(tx_of(spark, d), itemsets).cache()
-    return itemsets, I.membership_of(held), C.overlaps_in_rows(held)
+    held = materialize(I.matches(tx_of(spark, d), itemsets))
+    return itemsets, held, C.overlaps_in_rows(held)
+
+
+def membership(spark: SparkSession, d: str) -> DataFrame:
+    return I.membership(tx_of(spark, d), materialize(ranked(spark, d)))
 
 
 def show_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +125,8 @@ def patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unassigned(spark: SparkSession, d: str) -> DataFrame:
-    _, members, _ = mined(spark, d, 1)
-    return I.unassigned_rows(orders(spark, d), members, "o_orderkey")
+    _, held, _ = mined(spark, d, 1)
+    return I.unassigned_rows(orders(spark, d), held, "o_orderkey")
 
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
@@ -282,8 +286,9 @@ def preferences(spark: SparkSession, d: str):
 
 
 def learned(spark: SparkSession, d: str) -> DataFrame:
-    pairs, itemsets = preferences(spark, d)
-    return L.update_weights(pairs, itemsets, WEIGHTS, 0.5, L.setting(spark)).select("session", *six("gamma"), F.to_json("weights").alias("weights"))
+    itemsets = materialize(ranked(spark, d))
+    k = itemsets.count()
+    return L.update_weights(L.valid_rankings(rankings(spark, d, k), k), itemsets, WEIGHTS, 0.5, L.setting(spark)).select("session", *six("gamma"), F.to_json("weights").alias("weights"))
 
 
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -357,7 +362,7 @@ QUERIES = {
     "maximal_four_tables": maximal_four_tables,
     "scored_orders": lambda s, d: I.score_itemsets(maximal(s, d), WEIGHTS, 0.5).select(joined("items"), *six("score")),
     "ranked_orders": show_ranked,
-    "membership_orders": lambda s, d: mined(s, d)[1],
+    "membership_orders": membership,
     "itemset_pairs_orders": lambda s, d: I.itemset_pairs(ranked(s, d)),
     "strip_common_orders": lambda s, d: stripped(s, d).select("itemset_id", details_text()),
     "patterns_orders": patterns,

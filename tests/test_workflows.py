@@ -1,4 +1,4 @@
-"""Learning, clustering and whole workflows against plain Python versions."""
+"""Learning, groups of itemsets and whole workflows against plain Python versions."""
 
 import itertools
 import math
@@ -109,7 +109,7 @@ def test_learning_by_hand(spark):
     _, itemsets = I.rank_maximal_itemsets(df, "id", start, 0.1, -1, 0.7)
     itemsets = itemsets.cache()
     good = L.valid_rankings(rankings, k)
-    got = L.update_weights(L.preference_pairs(good, itemsets), itemsets, start, 0.7, L.setting(spark)).first()
+    got = L.update_weights(good, itemsets, start, 0.7, L.setting(spark)).first()
     w, gamma = learnt(want, ranking, start, 0.7, 0.12, 0.8)
     assert abs(got.gamma - gamma) < 1e-9 and all(abs(got.weights[c] - w[c]) < 1e-9 for c in COLUMNS)
     # the grid of learning rates
