@@ -7,12 +7,11 @@ probability below 3e-9.  Bands join candidates to groups (a star for each key, t
 
 Inside a group pairs are estimated by counting equal 4-bit lanes, e = (equal / 256 - 1/16) / (1 - 1/16), which takes out the lanes that
 agree by chance.  Pairs whose estimate is less than CERTAIN standard errors below the threshold are confirmed on their full sets, most alike first,
-and only while nothing has joined them yet.  The sets are dealt by ranges of (group, size), so that a group of any size is many
-blocks of at most BLOCK_SETS sets:
+and only while nothing has joined them yet.  A group of more than BLOCK_SETS sets is dealt by a hash into blocks of about as many, of like size:
 
     1  pairs within each block; the sets of a block that links join get one label
     2  of each label of an unfinished group the set that is like most others, again in blocks, until that joins no more
-    3  blocks sorted by (group, label); pairs of blocks only where labels differ and sizes allow a link
+    3  blocks of one label each as far as possible; pairs of blocks only where labels differ and sizes allow a link
 
 So a large group of near copies, whose blocks have one label after step 2, is compared with what is not linked to it, not with
 itself; no link that could join two components is left out.
@@ -30,8 +29,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rolling as R
@@ -45,7 +44,6 @@ BANDS = HASHES // ROWS
 CERTAIN = 5.5  # standard errors
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 INFO = "doc_id long, __id long, __version long, n_shingles long, s1 long, s2 long, packed binary, bands binary"
-BLOCK = "grp long, doc_id long, n long, label long, block long, edge boolean, hub boolean, packed binary, shingles binary"
 U32 = np.uint32
 _LANES = U(0x1111111111111111)
 
@@ -194,135 +192,133 @@ def linked_pairs(grp, label, size, packed, sets, threshold: Fraction):
 
 
 def columns_of(table: pa.Table):
-    grp, doc, size, label = (table.column(c).to_numpy().astype(np.int64) for c in ("grp", "doc_id", "n", "label"))
+    grp, doc, size = (table.column(c).to_numpy() for c in ("grp", "doc_id", "n"))
     packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), U).reshape(-1, HASHES * LOW_BITS // 64)
-    return grp, doc, size, label, packed, [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
+    return grp, doc, size, packed, [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
 
 
-def blocks(batches, most: int):
-    """Tables of at most so many consecutive rows, and about BLOCK_SHINGLES shingles."""
-    held, rows, weight = [], 0, 0
+def whole_groups(batches, n_key: int, most: int):
+    """Tables of consecutive whole groups of sorted rows, of about so many rows where there are as many."""
+    held, rows, last = [], 0, None
     for batch in batches:
-        size = batch.column(batch.schema.get_field_index("n")).to_numpy()
-        begin = 0
-        for i in range(batch.num_rows):
-            if rows and (rows >= most or weight + size[i] > BLOCK_SHINGLES):
-                if i > begin:
-                    held.append(batch.slice(begin, i - begin))
-                yield pa.Table.from_batches(held)
-                held, rows, weight, begin = [], 0, 0, i
-            rows += 1
-            weight += size[i]
-        if batch.num_rows > begin:
-            held.append(batch.slice(begin))
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_key)]
+        new = np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])
+        new[0] = tuple(k[0] for k in keys) != last
+        last = tuple(k[-1] for k in keys)
+        at, starts = 0, np.flatnonzero(new)
+        while True:
+            cut = starts[np.searchsorted(starts, max(at + most - rows, at + (not held))) :]
+            if not len(cut):
+                break
+            held.append(batch.slice(at, cut[0] - at))
+            yield pa.Table.from_batches(held)
+            held, rows, at = [], 0, int(cut[0])
+        held.append(batch.slice(at))
+        rows += batch.num_rows - at
     if held:
         yield pa.Table.from_batches(held)
 
 
 def block_rows(threshold: Fraction, most: int):
-    """Compare within blocks of a range: each row with its label (the least doc_id of what is joined to it).
-
-    edge: the group reaches an end of the block, so it may go on in another one; only such rows keep their sets.  hub: of its label the row
-    that is like most others.
-    """
+    """Compare within blocks: each row with its label (the least doc_id of what is joined to it); hub: of its label the row that is like most others."""
 
     def run(batches):
-        part = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(blocks(batches, most)):
-            grp, doc, size, _, packed, sets = columns_of(table)
-            _, joined, degree = linked_pairs(grp, doc, size, packed, sets, threshold)
+        for table in whole_groups(batches, 2, most):
+            grp, doc, size, packed, sets = columns_of(table)
+            part = table.column("block").to_numpy()
+            block = np.cumsum(np.r_[True, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])])
+            _, joined, degree = linked_pairs(block, doc, size, packed, sets, threshold)
             root = np.array([joined.find(i) for i in range(len(doc))])
             label = doc.copy()
             np.minimum.at(label, root, doc)
             label = label[root]
-            edge = (grp == grp[0]) | (grp == grp[-1])
             order = np.lexsort([doc, -degree, label])
             hub = np.zeros(len(doc), bool)
             hub[order[np.r_[True, label[order][1:] != label[order][:-1]]]] = True
-            keep = lambda c: pa.array([x if u else None for x, u in zip(table.column(c).to_pylist(), edge)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(doc), pa.array(size), pa.array(label), pa.array(np.full(len(doc), part + k)), pa.array(edge), pa.array(hub), keep("packed"), keep("shingles")], names=[x.split()[0] for x in BLOCK.split(", ")])
-
-    return run
-
-
-def placed_rows(most: int):
-    """Rows with the number of their block, in the order of the range."""
-
-    def run(batches):
-        part = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(blocks(batches, most)):
-            yield from table.append_column("block", pa.array(np.full(table.num_rows, part + k))).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(doc), pa.array(label), pa.array(hub)], names=["grp", "doc_id", "label", "hub"])
 
     return run
 
 
 def cross_rows(threshold: Fraction):
-    """Compare what has different labels in a pair of blocks: edges."""
+    """Compare what has different labels in a pair of blocks: edges between labels."""
 
     def run(batches):
         for _, table in groups_of(batches, 2):
-            grp, doc, size, label, packed, sets = columns_of(table)
+            grp, _, size, packed, sets = columns_of(table)
+            label = table.column("label").to_numpy()
             edges, _, _ = linked_pairs(grp, label, size, packed, sets, threshold)
             if edges:
                 a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(label[a]), pa.array(label[b])], names=["a", "b"])
 
     return run
 
 
 def joined_in_groups(sets: DataFrame, threshold: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(node, component) of all sets that links join with another; sets: (grp, doc_id, n, packed, shingles)."""
+    """(node, component) of all sets; sets: (grp, doc_id, n, packed, shingles)."""
     n = partitions(sets.sparkSession)
-    edges = []
-
-    def compared(rows: DataFrame) -> DataFrame:
-        by = ["grp", "n", "doc_id"]
-        dealt = rows.select("grp", "doc_id", "n", F.col("doc_id").alias("label"), "packed", "shingles").repartitionByRange(n, *by).sortWithinPartitions(*by)
-        out = materialize(dealt.mapInArrow(block_rows(threshold, block_sets), BLOCK))
-        edges.append(out.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
-        return out
-
-    def apart(rows: DataFrame, *columns: str) -> DataFrame:
-        """Groups that differ in each of these columns."""
-        tests = [F.min(c) != F.max(c) for c in columns]
-        return rows.groupBy("grp").agg(reduce(lambda x, y: x & y, tests).alias("apart")).where("apart").select("grp")
-
-    first = compared(sets)
-    rest = first.where("edge")
-    unfinished = materialize(apart(rest, "block", "label"))
-    hubs = materialize(rest.where("hub").join(unfinished, "grp", "left_semi"))
-    left = hubs.count()
-    if not left:
-        return edges[0].toDF("node", "component").unionByName(edges[0].select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-    while left:  # each turn but the last at least halves the hubs
-        out = compared(hubs)
-        again = out.where("edge and hub")
-        hubs = materialize(again.join(apart(out.where("edge"), "block", "label"), "grp", "left_semi"))
+    # sets of one band, or of two that follow one another, may link, others never
+    band = F.floor(F.log("n") / F.lit(-float(np.log(float(threshold))) * 1.0001)).cast("long")
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / block_sets), F.ceil(shingles / BLOCK_SHINGLES))
+
+    def compared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(grp, doc_id, label, hub), and the groups of several blocks: one of at most block_sets rows is one block, a larger one has blocks of each band, dealt by a hash."""
+        rows = rows.select("grp", "doc_id", "n", band.alias("band"), "packed", "shingles")
+        counts = rows.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+        by_group = W.partitionBy("grp")  # as many rows as bands
+        whole = (F.sum("rows").over(by_group) <= block_sets) & (F.sum("weight").over(by_group) <= BLOCK_SHINGLES)
+        counts = materialize(counts.select("grp", "band", whole.alias("whole"), blocks(F.col("rows"), F.col("weight")).alias("blocks")))
+        block = F.when(F.col("whole"), F.lit(-1)).otherwise(F.shiftleft("band", 32) + F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).cast("long")
+        placed = rows.join(counts, ["grp", "band"]).select("grp", block.alias("block"), "doc_id", "n", "packed", "shingles")
+        dealt = placed.repartition(n, "grp", "block").sortWithinPartitions("grp", "block", "doc_id")
+        out = materialize(dealt.mapInArrow(block_rows(threshold, block_sets), "grp long, doc_id long, label long, hub boolean"))
+        return out, counts.where("not whole").select("grp").distinct()
+
+    first, parted = compared(sets)
+    labels = first.select("doc_id", "label")
+    if parted.isEmpty():
+        return labels.toDF("node", "component")
+    rest = materialize(first.join(parted, "grp", "left_semi"))
+    edges, hubs, left = [labels], rest, None
+    while True:  # each turn but the last at least halves the hubs
+        open_groups = hubs.groupBy("grp").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("grp")
+        hubs = materialize(hubs.where("hub").join(open_groups, "grp", "left_semi").select("doc_id"))
         now = hubs.count()
-        if 2 * now > left:
+        if not now or left is not None and 2 * now > left:
             break
         left = now
-    every = reduce(DataFrame.unionByName, edges)
+        out, parted = compared(sets.join(hubs, "doc_id", "left_semi"))
+        edges.append(out.select("doc_id", "label"))
+        hubs = out.join(parted, "grp", "left_semi")
+    found = labels if len(edges) == 1 else connected_components(reduce(DataFrame.unionByName, edges).toDF("a", "b")).toDF("doc_id", "label")
+    named = materialize(labels.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")))
 
     # what still has several labels: blocks of one label each as far as possible, compared where labels differ
-    found = connected_components(every)
-    labels = rest.join(unfinished, "grp", "left_semi").join(found, rest["doc_id"] == found["node"], "left").select("grp", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    labels = materialize(labels)
-    labels = labels.join(apart(labels, "label"), "grp", "left_semi").select("doc_id", "label")
-    dealt = materialize(rest.select("grp", "doc_id", "n", "packed", "shingles").join(labels, "doc_id").select("grp", "doc_id", "n", "label", "packed", "shingles"))
-    by = ["grp", "label", "n", "doc_id"]
-    dealt = dealt.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    placed = materialize(dealt.mapInArrow(placed_rows(block_sets), "grp long, doc_id long, n long, label long, packed binary, shingles binary, block long"))
-    meta = materialize(placed.groupBy("grp", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("n0"), F.max("n").alias("n1")))
-    a, b = (meta.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "l0", "l1", "n0", "n1")]) for x in "ab")
-    t = threshold
-    differ = ~((F.col("l0_a") == F.col("l1_a")) & (F.col("l0_b") == F.col("l1_b")) & (F.col("l0_a") == F.col("l0_b")))
-    fits = (F.col("n1_a") * t.denominator >= F.col("n0_b") * t.numerator) & (F.col("n1_b") * t.denominator >= F.col("n0_a") * t.numerator)
-    pairs = a.join(b, "grp").where((F.col("block_a") <= F.col("block_b")) & differ & fits).select(F.col("block_a").alias("b1"), F.col("block_b").alias("b2")).distinct()  # blocks, not rows
-    ends = pairs.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    rows = sets.join(rest.select("doc_id"), "doc_id", "left_semi").join(named, "doc_id")
+    rows = rows.select("grp", "doc_id", "n", band.alias("band"), "label", "packed", "shingles")
+    counts = materialize(rows.groupBy("grp", "band", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight")).withColumn("own", F.col("rows") >= block_sets // 2))
+    open_groups = counts.groupBy("grp").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("grp")
+    own = counts.where("own").select("grp", "band", "label", blocks(F.col("rows"), F.col("weight")).alias("own_blocks"))
+    mixed = counts.where("not own").groupBy("grp", "band").agg(blocks(F.sum("rows"), F.sum("weight")).alias("mixed_blocks"))
+    rows = rows.join(open_groups, "grp", "left_semi").join(own, ["grp", "band", "label"], "left").join(mixed, ["grp", "band"], "left")
+    own_block = F.xxhash64("grp", "band", "label", F.pmod(F.xxhash64("doc_id"), F.col("own_blocks")))
+    block = F.when(F.col("own_blocks").isNotNull(), own_block).otherwise(F.xxhash64("grp", "band", F.pmod(F.xxhash64("label"), F.col("mixed_blocks"))))
+    placed = materialize(rows.select("grp", "band", block.alias("block"), "doc_id", "n", "label", "packed", "shingles"))
+    meta = materialize(placed.groupBy("grp", "band", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1")))
+    a, b = (meta.select("grp", *[F.col(c).alias(f"{c}_{x}") for c in ("band", "block", "l0", "l1")]) for x in "ab")
+    after = (F.col("band_a") + 1 == F.col("band_b")) | (F.col("band_a") == F.col("band_b")) & (F.col("block_a") <= F.col("block_b"))
+    differ = F.least("l0_a", "l0_b") != F.greatest("l1_a", "l1_b")
+    pairs = a.join(b, "grp").where(after & differ).select(F.col("block_a").alias("b1"), F.col("block_b").alias("b2"))  # blocks, not rows
+    ends = pairs.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block")).distinct()
     met = placed.join(ends, "block").select("b1", "b2", "grp", "doc_id", "n", "label", "packed", "shingles")
-    crossed = met.repartition(n, "b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(cross_rows(threshold), "a long, b long")
-    return connected_components(every.unionByName(materialize(crossed)))
+    crossed = materialize(met.repartition(n, "b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(cross_rows(threshold), "a long, b long"))
+    if crossed.isEmpty():
+        return named.toDF("node", "component")
+    joined = connected_components(crossed)
+    return named.join(joined, named["label"] == joined["node"], "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: str = "0.85", id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
