@@ -6,9 +6,7 @@ batches of its rows (functions.incidence) and gives one number for each.  When a
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
-from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
@@ -21,7 +19,6 @@ from facetmill.functions.items import SEP, item, item_column, item_key, item_val
 from facetmill.operators.prepare import _plain, apply_buckets, blank_nulls, normalize_nulls
 
 MAX_CANDIDATES = 2_000
-MAX_PREDICATES = 64
 FEW = 500  # candidates that are counted together with the unions of their groups
 
 
@@ -235,14 +232,9 @@ def with_unique_id(itemsets: DataFrame) -> DataFrame:
 def matches(tx: DataFrame, itemsets: DataFrame) -> DataFrame:
     """(row_id, matches): the ids of the itemsets that each row holds, as an array in the row; no shuffle of the table.
 
-    Up to MAX_PREDICATES itemsets become predicates of one projection; more of them an inverted index over items, which each task asks with the items of its rows.
+    Each task asks an inverted index over items (functions.incidence) with the items of its rows, whatever the number of itemsets.
     """
     rows = itemsets.select("itemset_id", "items").orderBy("itemset_id").collect()  # the mined result
-    if len(rows) <= MAX_PREDICATES:
-        held = {x: F.array_contains("items", x) for r in rows for x in r["items"]}
-        tests = [F.when(reduce(and_, [held[x] for x in r["items"]]), F.lit(r["itemset_id"])) for r in rows]
-        found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
-        return tx.select("row_id", found.alias("matches"))
     names = sorted({x for r in rows for x in r["items"]})
     place = {x: i for i, x in enumerate(names)}
     sets = [tuple(sorted(place[x] for x in r["items"])) for r in rows]

@@ -102,6 +102,46 @@ REPORT = over_orders("""SELECT 'CLUSTER_' || g.cluster AS name, gs.size::INT AS
         FROM g JOIN r USING (itemset_id) JOIN gs ON gs.cluster = g.cluster JOIN gn ON gn.cluster = g.cluster""")
 
 
+def steps(source: str, itemsets: str) -> str:
+    """CTEs of learning: the places of each valid session (source: session, ranking), its pairs in order, and `learnt`, the weights and gamma after each step.
+
+    settings(lr_w, lr_g, start, in_a_row) must exist; in a row: all sessions are one, by name.
+    """
+    w = ["wd", "wp", "ws"]  # date, priority, status
+    total = " + ".join(f"abs({x})" for x in w)
+    own = lambda side: "(" + " + ".join(f"CASE WHEN {side}_{x} THEN {x} ELSE 0 END" for x in w) + ")"
+    moved = ", ".join(f"{x} - lr_w * (1 - gamma) / total * slope * ((a_{x})::INT - (b_{x})::INT) AS {x}" for x in w)
+    has = ", ".join(f"array_to_string({t}.items, '|') LIKE '%o_order{c}%' AS {s}_{x}" for t, s in (("ra", "a"), ("rb", "b")) for x, c in zip(w, ("date", "priority", "status")))
+    return f"""
+pl AS (SELECT session, unnest(ranking) AS i, unnest(range(len(ranking))) AS place FROM {source}),
+sp AS (SELECT x.session, row_number() OVER (PARTITION BY CASE WHEN (SELECT any_value(in_a_row) FROM settings) THEN '' ELSE x.session END ORDER BY x.session, x.place, y.place) AS step, ra.support AS sa, rb.support AS sb, {has}
+       FROM pl x JOIN pl y ON x.session = y.session AND x.place < y.place JOIN {itemsets} ra ON ra.itemset_id = x.i JOIN {itemsets} rb ON rb.itemset_id = y.i),
+learnt AS (SELECT CASE WHEN in_a_row THEN '' ELSE session END AS session, lr_w, lr_g, in_a_row, 0::BIGINT AS step, start AS gamma, 1.0::DOUBLE / 3 AS wd, 1.0::DOUBLE / 3 AS wp, 1.0::DOUBLE / 3 AS ws FROM settings, (SELECT DISTINCT session FROM pl) GROUP BY ALL
+      UNION ALL
+      SELECT session, lr_w, lr_g, in_a_row, step, least(1.0, greatest(0.0, gamma - lr_g * slope * ((sa - ca) - (sb - cb)))), {moved}
+      FROM (SELECT *, -1 / (1 + exp(least(700.0, gamma * (sa - sb) + (1 - gamma) * (ca - cb)))) AS slope
+            FROM (SELECT l.session, lr_w, lr_g, in_a_row, sp.step, sa, sb, gamma, wd, wp, ws, {total} AS total, {own('a')} / ({total}) AS ca, {own('b')} / ({total}) AS cb, {", ".join(f"{s}_{x}" for s in "ab" for x in w)}
+                  FROM learnt l JOIN sp ON sp.step = l.step + 1 AND (in_a_row OR sp.session = l.session)))),
+last AS (SELECT * FROM learnt QUALIFY row_number() OVER (PARTITION BY session, lr_w, lr_g ORDER BY step DESC) = 1)"""
+
+
+def learning(settings: str, source: str = "vr") -> str:
+    return f"WITH RECURSIVE settings AS ({settings}), {RANKED}, {steps(source, 'r')}"
+
+
+ONE_SETTING = "SELECT 0.12::DOUBLE AS lr_w, 0.8::DOUBLE AS lr_g, {}::DOUBLE AS start, {} AS in_a_row"
+OWN_WEIGHT = "CASE WHEN array_to_string(items, '|') LIKE '%o_orderdate%' THEN wd ELSE 0 END + CASE WHEN array_to_string(items, '|') LIKE '%o_orderpriority%' THEN wp ELSE 0 END + CASE WHEN array_to_string(items, '|') LIKE '%o_orderstatus%' THEN ws ELSE 0 END"
+# training mines at a support of 0.1 and ranks at gamma 0.7
+TRAINED = f"""WITH RECURSIVE settings AS ({ONE_SETTING.format(0.7, 'true')}),
+{cube(f"SELECT o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.1)},
+r AS (SELECT (row_number() OVER (ORDER BY round(0.7 * support + (1 - 0.7::DOUBLE) * (len(items) / 3.0::DOUBLE), 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, items, freq, support FROM m),
+k AS (SELECT count(*)::INT AS k FROM r),
+vr AS (SELECT 'r' || r_regionkey AS session, list_transform(range(k), lambda i: ((i + r_regionkey) % k)::INT) AS ranking FROM region, k WHERE r_regionkey < 3),
+{steps('vr', 'r')}"""
+MANY_COLUMNS = ["o_orderpriority", "o_orderstatus", "season", "weekday", "year"]
+MANY = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS season, dayname(o_orderdate) AS weekday, year(o_orderdate)::VARCHAR AS year FROM orders", MANY_COLUMNS, 0.005)
+
+
 SQL = {
     "value_counts_orders": VALUES.format("o_orderstatus", "orders") + " UNION ALL " + VALUES.format("o_orderpriority", "orders"),
     "column_profile_customer": profile("customer", {"c_custkey": True, "c_nationkey": True, "c_mktsegment": False}),
@@ -188,6 +228,23 @@ SQL = {
     "preference_pairs_orders": over_orders("""SELECT session, (row_number() OVER (PARTITION BY session ORDER BY pa, pb) - 1)::INT AS step, a, b, round(ra.support, 6) AS supp_a, round(rb.support, 6) AS supp_b
         FROM (SELECT session, unnest(ranking) AS a, unnest(range(len(ranking))) AS pa FROM vr) JOIN (SELECT session, unnest(ranking) AS b, unnest(range(len(ranking))) AS pb FROM vr) USING (session)
         JOIN r ra ON ra.itemset_id = a JOIN r rb ON rb.itemset_id = b WHERE pa < pb"""),
-    "list_tables_small": "SELECT unnest(['nation', 'region']) AS name, 'view' AS kind",
+    "membership_many_orders": f"""WITH {MANY},
+        r AS (SELECT (row_number() OVER (ORDER BY round(0.5 * support + 0.5 * (len(items) * 0.2::DOUBLE), 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, items FROM m),
+        x AS (SELECT row_id, [{", ".join(f"'{c}___' || {c}" for c in MANY_COLUMNS)}] AS items FROM t)
+        SELECT r.itemset_id, x.row_id FROM r JOIN x ON list_has_all(x.items, r.items)""",
+    "maximal_copies_orders": over_orders("""SELECT array_to_string(list_sort(flatten(list_transform(items, lambda x: CASE WHEN x LIKE 'o_orderstatus%' THEN list_transform(range(12), lambda i: 'status' || lpad(i::VARCHAR, 2, '0') || substr(x, 14)) ELSE [x] END))), '|') AS items,
+        freq, round(support, 6) AS support FROM m"""),
+    "update_weights_orders": learning(ONE_SETTING.format(0.5, "false")) + " SELECT session, round(gamma, 6) AS gamma, round(wd, 6) AS o_orderdate, round(wp, 6) AS o_orderpriority, round(ws, 6) AS o_orderstatus FROM last",
+    "learning_rate_grid_orders": learning("SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS lr_w, g AS lr_g, 0.7::DOUBLE AS start, false AS in_a_row FROM (SELECT unnest([0.01, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS g)", "(SELECT * FROM vr WHERE session = 'r1')")
+    + f""", gs2 AS (SELECT l.*, r.itemset_id, row_number() OVER (PARTITION BY lr_w, lr_g ORDER BY round(gamma * support + (1 - gamma) * (({OWN_WEIGHT}) / (abs(wd) + abs(wp) + abs(ws))), 9) DESC, array_to_string(items, '|')) - 1 AS place FROM last l, r)
+        SELECT 'r1' AS session, lr_w AS lr_weights, lr_g AS lr_gamma, round((abs(any_value(wd) - 1.0::DOUBLE / 3) + abs(any_value(wp) - 1.0::DOUBLE / 3) + abs(any_value(ws) - 1.0::DOUBLE / 3)) / 3, 6) AS mean_weight_change,
+        round(abs(any_value(gamma) - 0.7), 6) AS gamma_change, round(any_value(gamma), 6) AS gamma, sum(abs(gs2.place - pl.place))::BIGINT AS rank_distance, sum(abs(itemset_id - pl.place))::BIGINT AS rank_distance_ref FROM gs2 JOIN pl ON pl.i = gs2.itemset_id GROUP BY lr_w, lr_g""",
+    "train_orders": TRAINED + f""" SELECT (row_number() OVER (ORDER BY round(score, 9) DESC, items) - 1)::INT AS itemset_id, items, freq, round(support, 6) AS support, round(score, 6) AS score
+        FROM (SELECT array_to_string(items, '|') AS items, freq, support, gamma * support + (1 - gamma) * (({OWN_WEIGHT}) / (abs(wd) + abs(wp) + abs(ws))) AS score FROM r, last)""",
+    "train_save_load_orders": TRAINED + """ SELECT 'orders' AS table_name, unnest(['o_orderdate', 'o_orderpriority', 'o_orderstatus']) AS col, unnest([round(wd, 6), round(wp, 6), round(ws, 6)]) AS weight, round(gamma, 6) AS gamma, 0.1::DOUBLE AS min_support, -1::INT AS max_collection FROM last
+        UNION ALL SELECT 'customer', 'c_mktsegment', 0.25, 0.6, 0.2, 3""",
+    "config_two_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS col, round(count(DISTINCT {c})::DOUBLE / count(*), 6) AS weight FROM {t}" for t, c in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_mktsegment"), ("customer", "c_nationkey"), ("part", "p_brand"), ("part", "p_type"))),
+    "report_two_tables": f"SELECT q.*, table_name FROM ({REPORT}) q, (SELECT unnest(['orders', 'again']) AS table_name) WHERE table_name = 'orders' OR name = 'CLUSTER_0'",
+    "list_tables_small": "SELECT name, kind, count_if(kind = 'table') OVER ()::INT AS n_tables, count_if(kind = 'view') OVER ()::INT AS n_views, n_rows FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, 'table' AS kind, (SELECT count(*) FROM {t}) AS n_rows" for t in ("region", "nation", "orders", "events")) + " UNION ALL SELECT unnest(['final_orders', 'places']), 'view', NULL)",
     "config_round_trip_orders": "SELECT name AS col, CASE name WHEN 'o_orderstatus' THEN 0.5 ELSE 1.0::DOUBLE / (SELECT count(*) FROM pragma_table_info('orders')) END AS weight, (SELECT count(*) FROM orders) AS n_rows FROM pragma_table_info('orders')",
 }

@@ -105,6 +105,28 @@ def membership(spark: SparkSession, d: str) -> DataFrame:
     return I.membership(tx_of(spark, d), materialize(ranked(spark, d)))
 
 
+def order_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with season, weekday and year of their date: several hundred maximal itemsets at a low support."""
+    x = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", *[F.col("o_orderdate").alias(c) for c in ("season", "weekday", "year")])
+    for column, kind in (("season", "season"), ("weekday", "day_of_week"), ("year", "year")):
+        x = P.bucket_datetime(x, column, kind)
+    return I.to_transactions(x, "o_orderkey")
+
+
+def membership_many(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all itemsets of a low support."""
+    tx = order_facets(spark, d)
+    weights = {c: 0.2 for c in ("o_orderstatus", "o_orderpriority", "season", "weekday", "year")}
+    return I.membership(tx, materialize(I.rank_itemsets(I.score_itemsets(I.maximal_frequent_itemsets(tx, 0.005), weights, 0.5), -1)))
+
+
+def maximal_copies(spark: SparkSession, d: str) -> DataFrame:
+    """A dense table: the status of an order stands in twelve columns, which level by level would be 4,096 subsets."""
+    copies = [F.col("o_orderstatus").alias(f"status{i:02d}") for i in range(12)]
+    tx = I.to_transactions(orders(spark, d).select("o_orderkey", "o_orderpriority", "o_orderdate", *copies), "o_orderkey")
+    return I.maximal_frequent_itemsets(tx, SUPPORT).select(joined("items"), "freq", *six("support"))
+
+
 def show_ranked(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d).select("itemset_id", joined("items"), "freq", *six("support", "score"), "unique_id")
 
@@ -288,21 +310,39 @@ def preferences(spark: SparkSession, d: str):
 def learned(spark: SparkSession, d: str) -> DataFrame:
     itemsets = materialize(ranked(spark, d))
     k = itemsets.count()
-    return L.update_weights(L.valid_rankings(rankings(spark, d, k), k), itemsets, WEIGHTS, 0.5, L.setting(spark)).select("session", *six("gamma"), F.to_json("weights").alias("weights"))
+    return L.update_weights(L.valid_rankings(rankings(spark, d, k), k), itemsets, WEIGHTS, 0.5, L.setting(spark)).select("session", *six("gamma"), *shown_weights())
+
+
+def shown_weights():
+    return [F.round(F.col("weights")[c], 6).alias(c) for c in sorted(WEIGHTS)]
 
 
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
     itemsets = materialize(ranked(spark, d))
     k = itemsets.count()
-    return L.learning_rate_grid(itemsets, rankings(spark, d, k).where("session = 'r1'"), WEIGHTS)
+    grid = L.learning_rate_grid(itemsets, rankings(spark, d, k).where("session = 'r1'"), WEIGHTS)
+    return grid.select("session", "lr_weights", "lr_gamma", *six("mean_weight_change", "gamma_change", "gamma"), "rank_distance", "rank_distance_ref")
 
 
 def trained(spark: SparkSession, d: str) -> DataFrame:
-    k = ranked(spark, d).count()
-    out = L.train(orders(spark, d), "o_orderkey", rankings(spark, d, k), WEIGHTS)
+    out = L.train(orders(spark, d), "o_orderkey", rankings(spark, d, trained_itemsets(spark, d)), WEIGHTS, unique_ids=True)
     return out["itemsets"].select("itemset_id", joined("items"), "freq", *six("support", "score"))
 
 
+def trained_itemsets(spark: SparkSession, d: str) -> int:
+    return I.rank_maximal_itemsets(orders(spark, d), "o_orderkey", WEIGHTS, 0.1, -1, 0.7)[1].count()
+
+
+def train_save_load(spark: SparkSession, d: str) -> DataFrame:
+    """What training saves for orders, loaded again, beside a configuration that was there before and must stay."""
+    path = work_dir(spark)
+    S.save_config(spark.createDataFrame([("customer", {"c_mktsegment": 0.25}, 0.2, 3, 0.6, 0.1, 0.2)], S.CONFIG), path)
+    L.train(orders(spark, d), "o_orderkey", rankings(spark, d, trained_itemsets(spark, d)), WEIGHTS, table_name="orders", path=path, unique_ids=True)
+    loaded = [S.load_config(spark, path, name, columns, "cluster") for name, columns in (("orders", sorted(WEIGHTS)), ("customer", ["c_mktsegment"]))]
+    rows = [(x["table_name"], c, w, x["gamma"], x["min_support"], x["max_collection"]) for x in loaded for c, w in sorted(x["weights"].items())]
+    return spark.createDataFrame(rows, "table_name string, col string, weight double, gamma double, min_support double, max_collection int").withColumns({c: F.round(c, 6) for c in ("weight", "gamma")})
+
+
 # ---- sources and workflows
 
 
@@ -315,10 +355,38 @@ def config_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, v, n) for k, v in sorted(back["weights"].items())], "col string, weight double, n_rows long")
 
 
+def config_two_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations of three tables saved in turn, one of them twice; each weight is the share of the column's distinct values."""
+    path = work_dir(spark)
+    names = {"orders": ["o_orderstatus", "o_orderpriority"], "customer": ["c_mktsegment", "c_nationkey"], "part": ["p_brand", "p_type"]}
+    for name, columns in [("orders", ["o_orderstatus"]), *names.items()]:
+        n = table(spark, d, name).agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(c) for c in columns]).first()
+        S.save_config(spark.createDataFrame([(name, {c: n[c] / n["n"] for c in columns}, 0.1, -1, 0.7, 0.12, 0.8)], S.CONFIG), path)
+    rows = [(name, c, w) for name, columns in names.items() for c, w in S.load_config(spark, path, name, columns, "cluster")["weights"].items()]
+    return spark.createDataFrame(rows, "table_name string, col string, weight double").withColumn("weight", F.round("weight", 6))
+
+
+def report_two_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of two tables in one folder; the second is written again with its first cluster only, and the first stays."""
+    report, path = materialize(fixed_report(spark, d)), work_dir(spark)
+    named = lambda r, name: r.withColumn("table_name", F.lit(name))
+    for part in (named(report, "orders"), named(report, "again"), named(report.where("name = 'CLUSTER_0'"), "again")):
+        S.write_report(part, path)
+    back = spark.read.schema(named(report, "").schema).json(path)
+    shown = [show_report(back.where(F.col("table_name") == name)).withColumn("table_name", F.lit(name)) for name in ("orders", "again")]
+    return shown[0].unionByName(shown[1])
+
+
 def listed_tables(spark: SparkSession, d: str) -> DataFrame:
-    for name in ("region", "nation"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    return S.list_tables(spark).where("name in ('region', 'nation')")
+    """Given tables saved in a database of their own, with two views over them; the catalog's counts."""
+    path = work_dir(spark)
+    database = f"listed_{path[-8:]}"
+    tables = {n: table(spark, d, n) for n in ("region", "nation", "orders", "events")}
+    views = {"final_orders": f"SELECT * FROM {database}.orders WHERE o_orderstatus = 'F'", "places": f"SELECT n_name, r_name FROM {database}.nation JOIN {database}.region ON n_regionkey = r_regionkey"}
+    S.save_database(spark, database, tables, views, path)
+    found = S.list_tables(spark, database).collect()  # a row for each table
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return spark.createDataFrame([tuple(r) for r in found], "name string, kind string, n_tables int, n_views int, n_rows long")
 
 
 def whole_table(spark: SparkSession, d: str) -> DataFrame:
@@ -363,6 +431,8 @@ QUERIES = {
     "scored_orders": lambda s, d: I.score_itemsets(maximal(s, d), WEIGHTS, 0.5).select(joined("items"), *six("score")),
     "ranked_orders": show_ranked,
     "membership_orders": membership,
+    "membership_many_orders": membership_many,
+    "maximal_copies_orders": maximal_copies,
     "itemset_pairs_orders": lambda s, d: I.itemset_pairs(ranked(s, d)),
     "strip_common_orders": lambda s, d: stripped(s, d).select("itemset_id", details_text()),
     "patterns_orders": patterns,
@@ -400,6 +470,9 @@ QUERIES = {
     "train_orders": trained,
     "list_tables_small": listed_tables,
     "config_round_trip_orders": config_round_trip,
+    "config_two_tables": config_two_tables,
+    "report_two_tables": report_two_tables,
+    "train_save_load_orders": train_save_load,
     "mine_and_cluster_customer": whole_table,
     "analyze_database_small": whole_database,
 }
