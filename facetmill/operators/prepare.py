@@ -5,9 +5,9 @@ All statistics of a table come from a few aggregate passes; only numbers for eac
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +67,8 @@ def unique_columns(df: DataFrame, row_id: str | None = None) -> list[str]:
     near = [c for i, c in enumerate(columns) if about[f"c{i}"] + 1 >= 0.8 * n]
     if not near or n == 0:
         return []
-    counts = {r["col"]: r["d"] for r in value_counts(df, near).groupBy("col").agg(F.count(F.lit(1)).alias("d")).collect()}
-    return [c for c in near if counts.get(c) == n]
+    counts, nulls = distinct_counts(df, near), df.agg(*[F.max(quoted(c).isNull().cast("int")).alias(f"c{i}") for i, c in enumerate(near)]).first()
+    return [c for i, c in enumerate(near) if counts[c] + nulls[f"c{i}"] == n]
 
 
 def drop_unique_columns(df: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -310,26 +310,78 @@ def drop_zero_weight(df: DataFrame, weights: dict[str, float]) -> tuple[DataFram
     return df.select(*[quoted(c) for c in df.columns if c not in zero]), {c: w for c, w in weights.items() if c not in zero}
 
 
-def column_profile(df: DataFrame, top: int = 5) -> DataFrame:
-    """A row for each column: rows, nulls, distinct, min, max, mean, stddev (numbers) and the most frequent values."""
+TRACKED, CANDIDATES, FEW_VALUES = 10_000, 64, 2_000  # values that the frequent-items sketch of a column holds; that are counted again; up to which all are counted
+PROFILE = "col string, n_rows long, n_nulls long, n_distinct long, min_value string, max_value string, mean double, stddev double, quantiles array<double>, histogram array<long>, top_values array<string>"
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact numbers of distinct non-null values; what is shuffled of a cell are two hashes of 96 bits in all, not its text."""
+    if not columns:
+        return {}
+    hashes = lambda c: F.when(quoted(c).isNotNull(), F.struct(F.xxhash64(quoted(c).cast("string")).alias("h"), F.hash(quoted(c).cast("string")).alias("g")))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), hashes(c).alias("x")) for i, c in enumerate(columns)])
+    each = df.select(F.explode(cells).alias("c")).select("c.i", "c.x").where("x is not null").groupBy("i", "x").agg(F.lit(1).alias("one"))
+    found = {r["i"]: r["n"] for r in each.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each column
+    return {c: found.get(i, 0) for i, c in enumerate(columns)}
+
+
+def column_profile(df: DataFrame, top: int = 5, bins: int = 10, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """A row for each column: rows, nulls, distinct, min, max, the most frequent values (ties by value) and, of numbers, mean, stddev, quantiles and a histogram.
+
+    One aggregate pass gives exact moments and ends and mergeable sketches: distinct counts, frequent items, quantiles (approximate, the only
+    figures that stay so).  A second one counts exactly: the values of columns with few of them, the candidates of the frequent-items sketch of the others, and the bins
+    of equal width between the ends.  A column whose candidates cannot be told from what the sketch left out is undecided; only such a column's values
+    are shuffled as text, and if no value repeats not even they.
+    """
     fields = [f for f in df.schema.fields if f.name in set(_plain(df))]
-    number = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
+    spark = df.sparkSession
     if not fields:
-        return df.sparkSession.createDataFrame([], "col string, n_rows long, n_nulls long, n_distinct long, min_value string, max_value string, mean double, stddev double, top_values array<string>")
-    one = lambda f: F.struct(
-        F.lit(f.name).alias("col"),
-        F.count(F.lit(1)).alias("n_rows"),
-        (F.count(F.lit(1)) - F.count(quoted(f.name))).alias("n_nulls"),
-        F.min(quoted(f.name)).cast("string").alias("min_value"),
-        F.max(quoted(f.name)).cast("string").alias("max_value"),
-        (F.avg(quoted(f.name)) if f.name in number else F.lit(None).cast("double")).cast("double").alias("mean"),
-        (F.stddev_samp(quoted(f.name)) if f.name in number else F.lit(None).cast("double")).alias("stddev"),
-    )
-    stats = df.agg(F.array(*[one(f) for f in fields]).alias("all")).select(F.explode("all").alias("x")).select("x.*")
-    values = value_counts(df, [f.name for f in fields]).where("val is not null")
-    order = W.partitionBy("col").orderBy(F.desc("count"), "val")
-    distinct = values.groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct"))
-    most = values.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top)
-    most = most.groupBy("col").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "val", "count"))), lambda x: F.concat(x["val"], F.lit(":"), x["count"].cast("string"))).alias("top_values"))
-    joined = reduce(lambda a, b: a.join(b, "col", "left"), [stats, distinct, most])
-    return joined.select("col", "n_rows", "n_nulls", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"), "min_value", "max_value", "mean", "stddev", F.coalesce("top_values", F.array().cast("array<string>")).alias("top_values"))
+        return spark.createDataFrame([], PROFILE)
+    names = [f.name for f in fields]
+    number = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
+    text = lambda c: quoted(c).cast("string")
+    as_double = lambda c: F.nanvl(quoted(c).cast("double"), F.lit(None))
+
+    def first_pass(i: int, c: str) -> list[Column]:
+        numbers = [F.avg(quoted(c)), F.stddev_samp(quoted(c)), F.min(as_double(c)), F.max(as_double(c)), F.percentile_approx(as_double(c), list(shares), 10_000)] if c in number else [F.lit(None)] * 5
+        common = [F.count(quoted(c)), F.min(quoted(c)).cast("string"), F.max(quoted(c)).cast("string"), F.approx_count_distinct(text(c), 0.02), F.call_function("approx_top_k", text(c), F.lit(CANDIDATES), F.lit(TRACKED))]
+        return [x.alias(f"{k}{i}") for k, x in zip(("count", "low", "high", "about", "often", "mean", "stddev", "from", "to", "quantiles"), common + numbers)]
+
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(names) for x in first_pass(i, c)]).first()
+    n = seen["n"]
+    few = {c for i, c in enumerate(names) if seen[f"about{i}"] <= FEW_VALUES}
+    likely = {c: {x["item"]: x["count"] for x in seen[f"often{i}"] or [] if x["item"] is not None} for i, c in enumerate(names) if c not in few}
+
+    # exact counts of values, candidates and bins in one pass
+    def bin_of(i: int, c: str) -> Column:
+        low, high = seen[f"from{i}"], seen[f"to{i}"]
+        return F.least(F.floor((as_double(c) - F.lit(low)) * bins / F.lit(high - low)), F.lit(bins - 1)).cast("string")
+
+    binned = {c: i for i, c in enumerate(names) if c in number and seen[f"from{i}"] is not None and seen[f"from{i}"] < seen[f"to{i}"] and math.isfinite(seen[f"to{i}"] - seen[f"from{i}"])}
+    values = [(f"v{i}", text(c) if c in few else F.when(text(c).isin(sorted(likely[c])), text(c))) for i, c in enumerate(names)] + [(f"b{i}", bin_of(i, c)) for c, i in binned.items()]
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("val")) for k, v in values]))
+    counted: dict[str, dict[str, int]] = {k: {} for k, _ in values}
+    for r in df.select(cells.alias("x")).select("x.*").where("val is not null").groupBy("kind", "val").agg(F.count(F.lit(1)).alias("n")).collect():  # at most about FEW_VALUES for each column
+        counted[r["kind"]][r["val"]] = r["n"]
+    best = lambda counts: sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:top]
+
+    def decided(i: int, c: str) -> bool:
+        """Whether each value outside the candidates is rarer than the last of the best."""
+        exact, last = best(counted[f"v{i}"]), min(likely[c].values(), default=0) if len(likely[c]) >= CANDIDATES else 0
+        return len(exact) == top and exact[-1][1] > max(last, 3.5 * n / TRACKED)
+
+    many = distinct_counts(df, sorted(likely))
+    rows = []
+    for i, c in enumerate(names):
+        exact = counted[f"v{i}"]
+        distinct = len(exact) if c in few else many[c]
+        if c in few or decided(i, c):
+            most = best(exact)
+        elif distinct == seen[f"count{i}"]:  # no value repeats: the first ones
+            most = [(r["val"], 1) for r in df.select(text(c).alias("val")).where("val is not null").orderBy("val").limit(top).collect()]
+        else:
+            most = [(r["val"], r["count"]) for r in value_counts(df, [c]).where("val is not null").orderBy(F.desc("count"), "val").limit(top).collect()]
+        histogram = [counted[f"b{i}"].get(str(b), 0) for b in range(bins)] if c in binned else None
+        mean, spread = (None if seen[f"{k}{i}"] is None else float(seen[f"{k}{i}"]) for k in ("mean", "stddev"))
+        rows.append((c, n, n - seen[f"count{i}"], distinct, seen[f"low{i}"], seen[f"high{i}"], mean, spread, seen[f"quantiles{i}"], histogram, [f"{v}:{k}" for v, k in most]))
+    return spark.createDataFrame(rows, PROFILE)

@@ -86,6 +86,16 @@ def profile(table: str, columns: dict[str, bool]) -> str:
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") q(col, n_rows, n_nulls, n_distinct, min_value, max_value, mean, stddev, top_values)"
 
 
+def distribution(table: str, columns: dict[str, tuple[str, bool]]) -> str:
+    """columns: name -> (text form as Spark writes it, whether it is a number)."""
+    parts = []
+    for c, (said, number) in columns.items():
+        bins = f"(SELECT string_agg(n::VARCHAR, '|' ORDER BY b) FROM (SELECT b, (SELECT count(*) FROM {table}, (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM {table}) WHERE least(floor(({c}::DOUBLE - lo) * 10 / (hi - lo)), 9) = b) AS n FROM range(10) q(b)))" if number else "NULL"
+        top = f"(SELECT string_agg(val || ':' || n, '|' ORDER BY n DESC, val) FROM (SELECT {said} AS val, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, val LIMIT 5))"
+        parts.append(f"SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}), {bins}, {top} FROM {table}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") q(col, n_rows, n_nulls, n_distinct, histogram, top_values)"
+
+
 def cut(c: str) -> str:
     return f"CASE WHEN length(coalesce({c}::VARCHAR, 'None')) > 50 THEN substr({c}::VARCHAR, 1, 47) || '...' ELSE coalesce({c}::VARCHAR, 'None') END AS {c}"
 
@@ -145,6 +155,8 @@ MANY = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEAS
 SQL = {
     "value_counts_orders": VALUES.format("o_orderstatus", "orders") + " UNION ALL " + VALUES.format("o_orderpriority", "orders"),
     "column_profile_customer": profile("customer", {"c_custkey": True, "c_nationkey": True, "c_mktsegment": False}),
+    "column_distributions_lineitem": "WITH x AS (SELECT * REPLACE (nullif(l_linenumber, 7) AS l_linenumber) FROM lineitem) "
+    + distribution("x", {c: (f"{c}::VARCHAR", c not in ("l_returnflag", "l_shipdate")) for c in ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", "l_linenumber")}),
     "describe_part": "SELECT (row_number() OVER () - 1)::INT AS position, name, CASE type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(type) END AS type, false AS not_null, (SELECT count(*) FROM part) AS row_count FROM pragma_table_info('part')",
     "sample_rows_pages": f"SELECT {cut('page_id')}, {cut('url')}, {cut('html')} FROM (SELECT * FROM pages ORDER BY page_id LIMIT 10)",
     "round_floats_lineitem": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{x} AS {c}" for c, x in ROUNDED.items()) + " FROM lineitem",

@@ -79,6 +79,13 @@ def profiled(spark: SparkSession, d: str) -> DataFrame:
     return p.select("col", "n_rows", "n_nulls", "n_distinct", "min_value", "max_value", *six("mean", "stddev"), joined("top_values"))
 
 
+def distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Profile of lineitem's numbers and texts with the histograms; l_shipdate and l_extendedprice have many values."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate", F.expr("nullif(l_linenumber, 7)").alias("l_linenumber"))
+    p = P.column_profile(x)
+    return p.select("col", "n_rows", "n_nulls", "n_distinct", F.array_join(F.transform("histogram", lambda v: v.cast("string")), "|").alias("histogram"), joined("top_values"))
+
+
 # ---- itemsets of orders
 
 
@@ -403,6 +410,7 @@ def whole_database(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "value_counts_orders": lambda s, d: P.value_counts(table(s, d, "orders"), ["o_orderstatus", "o_orderpriority"]),
     "column_profile_customer": profiled,
+    "column_distributions_lineitem": distributions,
     "describe_part": lambda s, d: S.describe_table(table(s, d, "part")),
     "sample_rows_pages": lambda s, d: S.sample_rows(table(s, d, "pages"), key="page_id"),
     "round_floats_lineitem": lambda s, d: P.round_floats(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")),
