@@ -25,7 +25,6 @@ are ignored.
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -258,7 +257,7 @@ def cross_rows(threshold: Fraction):
 
 
 def joined_in_groups(sets: DataFrame, threshold: Fraction, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(node, component) of all sets; sets: (grp, doc_id, n, packed, shingles)."""
+    """(node, component), its least node, of all sets; sets: (grp, doc_id, n, packed, shingles)."""
     n = partitions(sets.sparkSession)
     # sets of one band, or of two that follow one another, may link, others never
     band = F.floor(F.log("n") / F.lit(-float(np.log(float(threshold))) * 1.0001)).cast("long")
@@ -282,19 +281,19 @@ def joined_in_groups(sets: DataFrame, threshold: Fraction, block_sets: int = BLO
     if parted.isEmpty():
         return labels.toDF("node", "component")
     rest = materialize(first.join(parted, "grp", "left_semi"))
-    edges, hubs, left = [labels], rest, None
+    named, hubs, left = labels, rest, None
     while True:  # each turn but the last at least halves the hubs
         open_groups = hubs.groupBy("grp").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("grp")
-        hubs = materialize(hubs.where("hub").join(open_groups, "grp", "left_semi").select("doc_id"))
+        hubs = materialize(hubs.where("hub").join(open_groups, "grp", "left_semi").select("doc_id", "label"))
         now = hubs.count()
         if not now or left is not None and 2 * now > left:
             break
         left = now
         out, parted = compared(sets.join(hubs, "doc_id", "left_semi"))
-        edges.append(out.select("doc_id", "label"))
+        # a label becomes that of its hub
+        renamed = hubs.withColumnRenamed("label", "old").join(out.select("doc_id", F.col("label").alias("new")), "doc_id").select("old", "new")
+        named = materialize(named.join(renamed, named["label"] == renamed["old"], "left").select("doc_id", F.coalesce("new", "label").alias("label")))
         hubs = out.join(parted, "grp", "left_semi")
-    found = labels if len(edges) == 1 else connected_components(reduce(DataFrame.unionByName, edges).toDF("a", "b")).toDF("doc_id", "label")
-    named = materialize(labels.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")))
 
     # what still has several labels: blocks of one label each as far as possible, compared where labels differ
     rows = sets.join(rest.select("doc_id"), "doc_id", "left_semi").join(named, "doc_id")
@@ -315,10 +314,11 @@ def joined_in_groups(sets: DataFrame, threshold: Fraction, block_sets: int = BLO
     ends = pairs.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block")).distinct()
     met = placed.join(ends, "block").select("b1", "b2", "grp", "doc_id", "n", "label", "packed", "shingles")
     crossed = materialize(met.repartition(n, "b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(cross_rows(threshold), "a long, b long"))
-    if crossed.isEmpty():
-        return named.toDF("node", "component")
-    joined = connected_components(crossed)
-    return named.join(joined, named["label"] == joined["node"], "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "label").alias("component"))
+    if not crossed.isEmpty():
+        joined = connected_components(crossed)
+        named = materialize(named.join(joined, named["label"] == joined["node"], "left").select("doc_id", F.coalesce("component", "label").alias("label")))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component"))  # a label may be any of its sets
+    return named.join(least, "label").select(F.col("doc_id").alias("node"), "component")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: str = "0.85", id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
