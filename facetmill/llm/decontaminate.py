@@ -41,7 +41,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The documents' keys with their number of words, and (row, start, n, item_id) of each window found in them."""
+    """The documents' keys with their number of words, and (row, start, n, item_id) of each window found in them; docs: (doc_id, version, text), none null but the text."""
     wins = materialize(item_windows(items, window))
     vocabulary = wins.select(F.explode("win").alias("word")).distinct()
     n_small = MAX_BROADCAST_ROWS
@@ -60,10 +60,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataF
     rare = materialize(rare.select("win", F.col("rarest.word").alias("word"), F.col("rarest.at").alias("at")))
     # and how many words before and after such a word its windows reach at most
     reach = rare.groupBy("word").agg(F.max("at").alias("before"), F.max(F.size("win") - F.col("at")).alias("after"))
-    places = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("place", "word")).join(broadcast_if_small(reach, n_small), "word")
-    places = places.groupBy("doc_id").agg(F.collect_set(F.struct("place", "before", "after")).alias("places"))
-    w = docs.join(places.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")  # the text moves, not its words
-    w = w.select("doc_id", words(F.col("text")).alias("w"), F.xxhash64("text").alias("version"), "places")
+    places = docs.select("doc_id", "version", F.posexplode(words(F.col("text"))).alias("place", "word")).join(broadcast_if_small(reach, n_small), "word")
+    places = places.groupBy("doc_id", "version").agg(F.collect_set(F.struct("place", "before", "after")).alias("places"))
+    w = docs.join(places, ["doc_id", "version"], "left")  # the text moves, not its words
+    w = w.select("doc_id", words(F.col("text")).alias("w"), "version", "places")
 
     def cut(p):
         begin = F.greatest(p["place"] - p["before"], F.lit(0))
@@ -88,7 +88,7 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 def judged_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """judge() with the version of each row, xxhash64 of its text, which tells rows of one doc_id apart."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     sizes, found = hits(docs, items.select("item_id", "text"), window)
     key = ["doc_id", "version"]
     found = materialize(found)
