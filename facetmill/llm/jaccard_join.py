@@ -10,8 +10,8 @@ some n2 - k2 subparts.  The hash of the contents of each choice of n2 - k2 subpa
 sufficiently similar sets share one.
 
 What shares a signature is joined to a candidate group (a star for each signature, then connected components).  The
-sets of a group that are of like size are compared exactly, in blocks of bounded size; each pair of blocks is a group of
-rows of its own, so a large group is split.  Links give the components.
+sets of a group that are of like size are compared exactly, in blocks of bounded size and, as far as there are tasks for
+them, of some hundred sets; each pair of blocks is a group of rows of its own, so a large group is split.  Links give the components.
 
 Hot groups: equal sets are one class, represented by its smallest node; a signature is reduced to one row for each
 input batch before the shuffle; within a pair of blocks, shingles that most sets have are compared by the sets that lack them, so
@@ -39,7 +39,7 @@ from .rolling import U
 from .shared import NO_ID, documents, materialize, partitions, with_row_key
 from .suffix_dedup import text_slices
 
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 200
 INFO = "doc_id long, __id long, __version long, n_shingles long, s1 long, s2 long"
 SHINGLES = "part int, slice long, docs binary, owners binary, hashes binary"
 KEY = ["__id", "__version"]
@@ -408,7 +408,10 @@ def joined_rows(docs: DataFrame, words: int = 3, threshold: str = "0.9", n2: int
     band = F.floor(F.log(F.length("shingles") / F.lit(8)) / F.lit(width)).cast("int")
     sides = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("side")), F.struct((band - 1).alias("band"), F.lit(1).alias("side"))))
     members = sets.join(groups, sets["doc_id"] == groups["node"]).select("component", "doc_id", "copies", "shingles", sides.alias("x")).select("*", "x.band", "x.side").where("band >= 0")
-    sizes = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.min("side").alias("low"), F.ceil(F.sum(F.length("shingles")) / F.lit(8 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    # so many blocks that a pair of them is one of enough tasks and bounded in size; a set goes to as many tasks as there are blocks
+    by_rows = F.least(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_SETS)), F.lit(math.ceil(math.sqrt(2 * n))))
+    by_size = F.ceil(F.sum(F.length("shingles")) / F.lit(8 * BLOCK_SHINGLES))
+    sizes = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("m"), F.min("side").alias("low"), F.greatest(by_rows, by_size).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     placed = members.join(sizes.where("m > 1 and low = 0"), ["component", "band"]).select("component", "band", "side", "doc_id", "copies", "blocks", block, "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -421,7 +424,8 @@ def joined_rows(docs: DataFrame, words: int = 3, threshold: str = "0.9", n2: int
     counts = links.where("n > 0").groupBy("a").agg(F.sum("n").alias("n_links"))
     ends = classes.join(found, classes["rep"] == found["node"], "left").join(counts, classes["rep"] == counts["a"], "left")
     ends = ends.select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = info.join(ends, ["s1", "s2"], "left").select(*KEY, "n_shingles", F.coalesce("component_id", info["doc_id"]).alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = info.where("n_shingles > 0").join(ends, ["s1", "s2"]).select(*KEY, "n_shingles", F.col("component_id").alias("component"), F.col("n_links").cast("long").alias("n_links"))
+    out = out.unionByName(info.where("n_shingles = 0").select(*KEY, "n_shingles", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("n_links")))
     if not odd:
         return out.withColumn("component_id", F.col("component"))
     out = materialize(out)

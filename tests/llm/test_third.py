@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetmill.llm import conversations, importance, minhash
+from facetmill.llm import conversations, decontaminate, importance, jaccard_join, minhash, source_mix
 
 from . import brute
 from .test_texts import SCHEMA, by_id, clashing, corpus
@@ -311,3 +311,54 @@ def test_composed_segments():
             pieces += conversations.rewritten(lines[at : at + len(p)], share, state)
             at += len(p)
         assert pieces == conversations.rewritten(lines, best[1])
+
+
+# ---- more of earlier operators: long texts, and many rows of one id
+
+
+def long_rows(seed):
+    """Texts of 4,000 to 20,000 words, some of them near copies."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(3_000)]
+    base = [[r.choice(words) for _ in range(n)] for n in (4_000, 9_000, 20_000)]
+    out = []
+    for b in base:
+        for share in (0, 0.005, 0.02, 0.2):
+            out.append(" ".join("changed" if r.random() < share else w for w in b))
+    return [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(out)]
+
+
+def test_long_texts(spark):
+    rows = long_rows(3)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert by_id(jaccard_join.jaccard_components(docs), "n_shingles", "component_id", "n_links") == brute.components([r[:2] for r in rows])
+    assert by_id(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == near_copies(rows)
+    got = by_id(source_mix.mix(docs), "size", "source_size", "target", "taken")
+    want = brute.mixed([(d, t, s) for d, t, _, s, _ in rows])
+    assert {d: (x[0], x[1], round(x[2], 6), x[3]) for d, x in got.items()} == {d: (x[0], x[1], round(x[2], 6), x[3]) for d, x in want.items()}
+    cut = lambda d, a, n: " ".join(rows[d][1].split()[a : a + n])
+    items = [(1, cut(2, 3_500, 40)), (2, cut(4, 8_990, 13)), (3, "w7"), (4, cut(8, 19_000, 900)), (5, "w1 w2 w3 nowhere")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert by_id(decontaminate.judge(docs, table), *columns) == brute.contamination([r[:2] for r in rows], items)
+
+
+def test_many_rows_without_an_id(spark):
+    """Each row tries the places of its own text only."""
+    r = random.Random(5)
+    texts = [" ".join(f"v{r.randrange(40)}" for _ in range(40)) for _ in range(10_000)]
+    items = [(1, " ".join(texts[3].split()[5:18])), (2, "v7"), (3, " ".join(texts[9].split()[:20])), (4, None)]
+    docs = spark.createDataFrame([(None if i % 5 else 77, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.judge(docs, table).collect())
+    assert got == Counter(brute.contamination(list(enumerate(texts)), items).values())
+
+
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    """A group of near copies in blocks of a few sets: same links."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join("x" + str(r.randrange(9)) if r.random() < 0.01 else w for w in base)) for i in range(40)] + [(50, None), (51, " "), (52, "\t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(jaccard_join.jaccard_components(df), "n_shingles", "component_id", "n_links") == brute.components(rows)
