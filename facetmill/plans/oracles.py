@@ -19,10 +19,13 @@ m AS (SELECT items, freq, freq / (SELECT n FROM n)::DOUBLE AS support FROM f a
 
 
 ORDERS = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.06)
-RANKED = f"""{ORDERS},
-s AS (SELECT *, 0.5 * support + 0.5 * (len(items) / 3.0::DOUBLE) AS score FROM m),
+def mined(source: str, columns: list[str], support: float, gamma: float) -> str:
+    """CTEs of one table with a row_id: r (ranked itemsets, equal weights), ms (their rows), c (their cells), pr (pairs)."""
+    items = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}___' || {c} END" for c in sorted(columns))
+    return f"""{cube(source, columns, support)},
+s AS (SELECT *, {gamma} * support + (1 - {gamma}::DOUBLE) * (len(items) / {float(len(columns))}::DOUBLE) AS score FROM m),
 r AS (SELECT (row_number() OVER (ORDER BY round(score, 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, items, freq, support, score FROM s),
-x AS (SELECT row_id, ['o_orderdate___' || o_orderdate, 'o_orderpriority___' || o_orderpriority, 'o_orderstatus___' || o_orderstatus] AS items FROM t),
+x AS (SELECT row_id, list_filter([{items}], lambda y: y IS NOT NULL) AS items FROM t),
 ms AS (SELECT r.itemset_id, x.row_id FROM r JOIN x ON list_has_all(x.items, r.items)),
 c AS (SELECT itemset_id, split_part(i, '___', 1) AS col, substr(i, strpos(i, '___') + 3) AS val FROM (SELECT itemset_id, unnest(items) AS i FROM r)),
 cols AS (SELECT itemset_id, list(DISTINCT col) AS cols FROM c GROUP BY itemset_id),
@@ -32,12 +35,32 @@ pr AS (SELECT a.itemset_id AS i, b.itemset_id AS j, coalesce(o.nij, 0) AS nij, a
               coalesce(o.nij, 0)::DOUBLE / (a.freq + b.freq - coalesce(o.nij, 0)) AS row_similarity,
               len(list_intersect(a.items, b.items))::DOUBLE / len(list_distinct(list_concat(ca.cols, cb.cols))) AS pair_similarity
        FROM r a JOIN r b ON a.itemset_id <> b.itemset_id JOIN cols ca ON ca.itemset_id = a.itemset_id JOIN cols cb ON cb.itemset_id = b.itemset_id
-       LEFT JOIN o ON o.i = a.itemset_id AND o.j = b.itemset_id),
-g AS (SELECT itemset_id, (CASE WHEN array_to_string(items, '|') LIKE '%o_orderpriority%' THEN 2 ELSE 0 END + itemset_id % 2)::INT AS cluster FROM r),
-gs AS (SELECT cluster, count(*) AS size FROM g GROUP BY cluster),
+       LEFT JOIN o ON o.i = a.itemset_id AND o.j = b.itemset_id)"""
+
+
+#: What describes clusters g (itemset_id, cluster).
+GROUPS = """gs AS (SELECT cluster, count(*) AS size FROM g GROUP BY cluster),
 gr AS (SELECT DISTINCT cluster, row_id FROM ms JOIN g USING (itemset_id)),
 gc AS (SELECT cluster, col, val, itemset_id FROM c JOIN g USING (itemset_id)),
-cc AS (SELECT cluster, col FROM gc JOIN gs USING (cluster) GROUP BY cluster, col, size HAVING count(DISTINCT itemset_id) = size),
+cc AS (SELECT cluster, col FROM gc JOIN gs USING (cluster) GROUP BY cluster, col, size HAVING count(DISTINCT itemset_id) = size)"""
+FIXED = """g AS (SELECT itemset_id, (CASE WHEN array_to_string(items, '|') LIKE '%o_orderpriority%' THEN 2 ELSE 0 END + itemset_id % 2)::INT AS cluster FROM r)"""
+#: Average linkage, a merge a step: assign has the cluster of each itemset; ties merge the smallest names first.  g: cut at a similarity of 0.4.
+LINKED = """pd AS (SELECT list({'i': i, 'j': j, 'd': 1 - (col_similarity + row_similarity) / 2}) AS pairs FROM pr WHERE i < j),
+ln AS (SELECT 0 AS step, (SELECT list(itemset_id ORDER BY itemset_id) FROM r) AS assign, 0 AS l, 0 AS r, 0.0::DOUBLE AS d, 0::BIGINT AS size
+       UNION ALL
+       SELECT step, list_transform(assign, lambda x: CASE WHEN x = b THEN a ELSE x END), a, b, d, len(list_filter(assign, lambda x: x = a OR x = b))
+       FROM (SELECT * FROM (SELECT step + 1 AS step, assign, least(assign[p.i + 1], assign[p.j + 1]) AS a, greatest(assign[p.i + 1], assign[p.j + 1]) AS b, avg(p.d) AS d
+             FROM (SELECT step, assign, unnest(pairs) AS p FROM ln, pd) WHERE assign[p.i + 1] <> assign[p.j + 1] GROUP BY ALL)
+             QUALIFY row_number() OVER (ORDER BY round(d, 11), a, b) = 1)),
+ct AS (SELECT assign FROM ln WHERE step = 0 OR d <= 0.6 + 1e-12 ORDER BY step DESC LIMIT 1),
+g AS (SELECT unnest(range(len(assign)))::INT AS itemset_id, unnest(assign)::INT AS cluster FROM ct)"""
+#: Constant columns over all clusters, and the clusters that have another common column, in order.
+KEPT = """kc AS (SELECT col, min(val) AS val FROM gc GROUP BY col HAVING count(DISTINCT val) = 1 AND count(DISTINCT cluster) = (SELECT count(DISTINCT cluster) FROM g)),
+co AS (SELECT cluster, col FROM cc WHERE col NOT IN (SELECT col FROM kc)),
+kp AS (SELECT cluster, size, (row_number() OVER (ORDER BY size DESC, cluster) - 1)::INT AS position FROM gs WHERE cluster IN (SELECT cluster FROM co))"""
+RANKED = f"""{mined(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.06, 0.5)},
+{FIXED},
+{GROUPS},
 nr AS (SELECT i AS target, j AS itemset_id, 0.5 * pair_similarity + 0.5 * row_similarity AS score, nij, ni, nj FROM pr),
 nk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(score, 12) DESC, itemset_id)::INT AS rank FROM nr),
 k AS (SELECT count(*)::INT AS k FROM r),
@@ -56,6 +79,26 @@ vr AS (SELECT session, ranking FROM rk, k WHERE len(ranking) = k AND len(list_di
 DETAIL = "string_agg(col || ':' || val, '|' ORDER BY col)"
 
 
+def clustered(source: str, columns: list[str], support: float, gamma: float, sql: str) -> str:
+    return f"WITH RECURSIVE {mined(source, columns, support, gamma)}, {LINKED}, {GROUPS}, {KEPT} {sql}"
+
+
+def clustered_orders(sql: str) -> str:
+    return clustered(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.06, 0.5, sql)
+
+
+COVERED = "(SELECT count(*) FROM gr WHERE gr.cluster = kp.cluster)"
+SHOWN_CLUSTERS = f"""SELECT position, size::INT AS size, (SELECT string_agg(itemset_id::VARCHAR, '|' ORDER BY itemset_id) FROM g WHERE g.cluster = kp.cluster) AS itemset_indices, (SELECT string_agg(col, '|' ORDER BY col) FROM co WHERE co.cluster = kp.cluster) AS common_columns,
+        (SELECT string_agg(DISTINCT col, '|' ORDER BY col) FROM gc WHERE gc.cluster = kp.cluster) AS all_columns, {COVERED} AS row_coverage, round({COVERED}::DOUBLE / (SELECT count(DISTINCT row_id) FROM ms), 6) AS row_coverage_percent,
+        (SELECT round(avg(support), 6) FROM r JOIN g USING (itemset_id) WHERE g.cluster = kp.cluster) AS avg_support FROM kp"""
+CLUSTER_REPORT = f"""SELECT 'CLUSTER_' || position AS name, kp.size::INT AS size, {COVERED} AS row_coverage, round(100 * ({COVERED}::DOUBLE / (SELECT count(DISTINCT row_id) FROM ms)), 6) AS row_coverage_percent,
+        (SELECT round(avg(support), 6) FROM r JOIN g h USING (itemset_id) WHERE h.cluster = kp.cluster) AS avg_support, (SELECT string_agg(col, '|' ORDER BY col) FROM co WHERE co.cluster = kp.cluster) AS common_columns,
+        g.itemset_id, (SELECT '{{' || string_agg('"' || col || '":"' || val || '"', ',' ORDER BY col) || '}}' FROM c WHERE c.itemset_id = g.itemset_id AND col NOT IN (SELECT col FROM kc)) AS details, r.freq AS matching_rows_count, round(r.support, 6) AS support,
+        round(100.0 * r.freq::DOUBLE / {COVERED}, 6) AS matching_rows_percent, (SELECT string_agg(row_id::VARCHAR, '|' ORDER BY row_id::VARCHAR) FROM (SELECT row_id FROM ms WHERE ms.itemset_id = g.itemset_id ORDER BY row_id LIMIT 5)) AS example_rows,
+        coalesce((SELECT string_agg(col || ':' || val, '|' ORDER BY col) FROM kc), '') AS constant_columns
+        FROM kp JOIN g ON g.cluster = kp.cluster JOIN r USING (itemset_id)"""
+
+
 def over_orders(sql: str) -> str:
     return f"WITH {RANKED} {sql}"
 
@@ -205,6 +248,16 @@ SQL = {
         (SELECT string_agg(row_id::VARCHAR, '|' ORDER BY row_id) FROM (SELECT row_id FROM ms WHERE ms.itemset_id = c.itemset_id ORDER BY row_id LIMIT 5)) AS example_rows FROM c GROUP BY itemset_id"""),
     "pairwise_orders": over_orders("SELECT i, j, round(col_similarity, 6) AS col_similarity, round(row_similarity, 6) AS row_similarity, round((col_similarity + row_similarity) / 2, 6) AS similarity, round(1 - (col_similarity + row_similarity) / 2, 6) AS distance FROM pr WHERE i < j"),
     "similarity_matrix_orders": over_orders("SELECT i, j, round((col_similarity + row_similarity) / 2, 6) AS similarity FROM pr UNION ALL SELECT itemset_id, itemset_id, 1.0 FROM r"),
+    "linkage_orders": clustered_orders("SELECT (step - 1)::INT AS step, l::INT AS left, r::INT AS right, round(d, 6) AS distance, size::INT AS size FROM ln WHERE step > 0"),
+    "cut_clusters_orders": clustered_orders("SELECT itemset_id, cluster FROM g"),
+    "clusters_orders": clustered_orders(SHOWN_CLUSTERS),
+    "cluster_report_orders": clustered_orders(CLUSTER_REPORT),
+    "cluster_graph_orders": clustered_orders("SELECT 'cluster_' || position AS source, 'itemset_' || itemset_id AS target, 1.0::DOUBLE AS weight FROM kp JOIN g USING (cluster)"),
+    "cluster_graph_nodes_orders": clustered_orders(f"""SELECT 'cluster_' || position AS node, 'cluster' AS kind, size::INT AS size, {COVERED} AS row_coverage, NULL::DOUBLE AS support FROM kp
+        UNION ALL SELECT 'itemset_' || itemset_id, 'itemset', NULL, NULL, round(support, 6) FROM r JOIN g USING (itemset_id) JOIN kp USING (cluster)"""),
+    "cluster_hierarchy_orders": clustered_orders(f"""SELECT 'Root' AS label, '' AS parent, 100.0::DOUBLE AS value UNION ALL SELECT 'Cluster ' || position, 'Root', {COVERED} FROM kp
+        UNION ALL SELECT 'Itemset ' || itemset_id, 'Cluster ' || position, freq FROM r JOIN g USING (itemset_id) JOIN kp USING (cluster)"""),
+    "mine_and_cluster_customer": clustered("SELECT c_custkey AS row_id, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer", ["c_mktsegment", "c_nationkey"], 0.03, 0.7, SHOWN_CLUSTERS),
     "common_columns_orders": over_orders("SELECT cluster, col FROM cc"),
     "value_distributions_orders": over_orders("SELECT cluster, col, val, count(*) AS count FROM gc GROUP BY 1, 2, 3"),
     "constant_across_clusters_orders": f"""WITH {FINAL},

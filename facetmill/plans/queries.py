@@ -247,7 +247,9 @@ def clustered(spark: SparkSession, d: str, threshold: float = 0.4):
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
-    return C.cluster_report(*clustered(spark, d)).select("name", "size", "row_coverage", *six("row_coverage_percent", "avg_support"), joined("common_columns"), F.to_json("itemsets").alias("itemsets"), F.to_json("constant_columns").alias("constant_columns"))
+    r = C.cluster_report(*clustered(spark, d))
+    constants = F.array_join(F.transform(F.map_entries(F.coalesce("constant_columns", F.expr("cast(map() as map<string,string>)"))), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), "|")
+    return show_report(r).join(r.select("name", constants.alias("constant_columns")), "name")
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +259,7 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     clusters, _, itemsets, _ = clustered(spark, d)
-    return C.cluster_graph(clusters, itemsets)[0]
+    return C.cluster_graph(clusters, itemsets)[0].select("node", "kind", "size", "row_coverage", *six("support"))
 
 
 def hierarchy(spark: SparkSession, d: str) -> DataFrame:
