@@ -34,8 +34,10 @@ MAX_LABELLED = 24_000
 SHARDS, ROUNDS, PASSES = 8, 5, 4
 FEATURES = 1 << 17
 MIN_DOCUMENTS = 4  # a feature in fewer labelled documents gets no weight
-MIN_Z = 4.0  # nor one whose documents' mean grade lies within so many standard errors of the overall mean;
-MOST_TELLING = 16  # where no feature passes, as with few labels, so many that lie farthest from it get one
+# nor one whose documents' mean grade lies within some standard errors of the overall mean, from 2.5 of them with 250 labels to 4 with 2,500;
+LEAST_Z, MOST_Z, FEW_LABELS = 2.5, 4.0, 250
+MOST_TELLING = 16  # where fewer features pass, so many that lie farthest from it get one
+STEPS = 24  # gradient steps of a shard in a round at least: few rows are passed more often
 STEM = 5
 KEEP_TAIL = 0.5
 GRADES = 3
@@ -152,6 +154,20 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
+def least_z(n: int) -> float:
+    """Standard errors that a feature needs with n labels: few labels cannot show much, many show chance effects among many features."""
+    return float(np.clip(LEAST_Z + (MOST_Z - LEAST_Z) * np.log10(max(n, 1) / FEW_LABELS), LEAST_Z, MOST_Z))
+
+
+def shards_of(n: int, batch_rows: int = 64) -> int:
+    """One for each batch of labelled rows, SHARDS at most."""
+    return max(1, min(SHARDS, n // batch_rows))
+
+
+def passes_of(n: int, batch_rows: int = 64) -> int:
+    return max(PASSES, -(-STEPS // -(-n // (shards_of(n) * batch_rows))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
     """(weights, cuts) from at most about `most` labelled documents, or None without any."""
     spark = docs.sparkSession
@@ -160,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
     if not n:
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = grades.where(draw < int((1 << 30) * min(1.0, most / n))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int"))
+    sample = grades.where(draw < int((1 << 30) * min(1.0, most / n))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards_of(min(n, most)))).cast("int"))
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # at most about `most` rows of 20 bytes
     rows = materialize(taught.select("doc_id", "text", "grade", "shard").mapInArrow(feature_rows, "doc_id long, grade int, shard int, at array<int>"))
     share = {r.grade: r["count"] for r in rows.groupBy("grade").count().collect()}
@@ -172,15 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
     told = rows.select("grade", F.explode("at").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.avg("grade").alias("mean"))
     told = told.where(F.col("n") >= min(MIN_DOCUMENTS, total)).select("f", (F.abs(F.col("mean") - mean) * F.sqrt("n")).alias("z"))
     useful = np.zeros(FEATURES, bool)
-    found = told.where(F.col("z") >= MIN_Z * spread).select("f").collect()  # at most FEATURES numbers
-    found = found or told.where("z > 0").orderBy(F.round("z", 9).desc(), "f").limit(MOST_TELLING).collect()
+    found = told.where(F.col("z") >= least_z(total) * spread).select("f").collect()  # at most FEATURES numbers
+    found = found if len(found) >= MOST_TELLING else told.where("z > 0").orderBy(F.round("z", 9).desc(), "f").limit(MOST_TELLING).collect()
     useful[[r.f for r in found]] = True
     above = [min(1 - 1e-3, max(1e-3, sum(share.get(g, 0) for g in range(k, GRADES)) / total)) for k in (1, 2)]
     t = [-np.log(p / (1 - p)) for p in above]
     weights, cuts = np.zeros(FEATURES, np.float32), np.array([t[0], np.log(max(t[1] - t[0], 0.05))])
     by_shard = rows.repartition(SHARDS, "shard")
     for turn in range(ROUNDS):
-        own = by_shard.mapInArrow(shard_passes(weights, cuts, useful, turn), "shard long, n long, w binary, cut binary").collect()  # SHARDS rows
+        own = by_shard.mapInArrow(shard_passes(weights, cuts, useful, turn, passes_of(total)), "shard long, n long, w binary, cut binary").collect()  # SHARDS rows
         own.sort(key=lambda r: r.shard)
         n_all = sum(r.n for r in own)
         weights = (sum(np.frombuffer(r.w, np.float32).astype(np.float64) * r.n for r in own) / n_all).astype(np.float32)

@@ -90,6 +90,21 @@ def test_quality_of_few_labels(spark):
     assert 0 < sum(got.values()) < 60 and sum(got[i] == (i % 5 > 1) for i in range(15)) >= 13
 
 
+def test_quality_of_given_labels(spark, sf):
+    """Held-out thirds of the few labels of a small table: most good documents stay, most others go."""
+    folder = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {}
+    for part in range(3):
+        out = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == part
+        scores = quality.score_documents(docs, labels.where(~out))
+        for r in scores.join(quality.graded(labels.where(out)), "doc_id").groupBy("grade").agg(F.sum(F.col("keep").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")).collect():
+            a, b = kept.get(r.grade, (0, 0))
+            kept[r.grade] = (a + r.kept, b + r.n)
+    shares = {g: a / b for g, (a, b) in kept.items()}
+    assert sum(b for _, b in kept.values()) == labels.count() and shares[2] >= 0.95 and shares[1] <= 0.5 and shares[0] <= 0.5, kept
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x " * 50_000)], "doc_id long, text string")
     none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
