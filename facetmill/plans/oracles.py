@@ -19,11 +19,11 @@ m AS (SELECT items, freq, freq / (SELECT n FROM n)::DOUBLE AS support FROM f a
 
 
 ORDERS = cube(f"SELECT o_orderkey AS row_id, o_orderstatus, o_orderpriority, {SEASON.format('o_orderdate')} AS o_orderdate FROM orders", ["o_orderdate", "o_orderpriority", "o_orderstatus"], 0.06)
-def mined(source: str, columns: list[str], support: float, gamma: float) -> str:
-    """CTEs of one table with a row_id: r (ranked itemsets, equal weights), ms (their rows), c (their cells), pr (pairs)."""
+def mined(source: str, columns: list[str], support: float, gamma: float, k: str | None = None) -> str:
+    """CTEs of one table with a row_id: r (ranked itemsets, equal weights, k of them), ms (their rows), c (their cells), pr (pairs)."""
     items = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}___' || {c} END" for c in sorted(columns))
     return f"""{cube(source, columns, support)},
-s AS (SELECT *, {gamma} * support + (1 - {gamma}::DOUBLE) * (len(items) / {float(len(columns))}::DOUBLE) AS score FROM m),
+s AS (SELECT *, {gamma} * support + (1 - {gamma}::DOUBLE) * (len(items) / ({k or len(columns)})::DOUBLE) AS score FROM m),
 r AS (SELECT (row_number() OVER (ORDER BY round(score, 9) DESC, array_to_string(items, '|')) - 1)::INT AS itemset_id, items, freq, support, score FROM s),
 x AS (SELECT row_id, list_filter([{items}], lambda y: y IS NOT NULL) AS items FROM t),
 ms AS (SELECT r.itemset_id, x.row_id FROM r JOIN x ON list_has_all(x.items, r.items)),
@@ -79,8 +79,30 @@ vr AS (SELECT session, ranking FROM rk, k WHERE len(ranking) = k AND len(list_di
 DETAIL = "string_agg(col || ':' || val, '|' ORDER BY col)"
 
 
-def clustered(source: str, columns: list[str], support: float, gamma: float, sql: str) -> str:
-    return f"WITH RECURSIVE {mined(source, columns, support, gamma)}, {LINKED}, {GROUPS}, {KEPT} {sql}"
+def clustered(source: str, columns: list[str], support: float, gamma: float, sql: str, k: str | None = None) -> str:
+    return f"WITH RECURSIVE {mined(source, columns, support, gamma, k)}, {LINKED}, {GROUPS}, {KEPT} {sql}"
+
+
+def prepared(table: str, row_id: str, columns: dict[str, str]) -> tuple[str, str]:
+    """The table as analysis prepares it (constant and all-unique columns are null, more than 200 values become seasons or the top ten), and how many columns stay.
+
+    columns: name -> text, float or date.
+    """
+    cells, stay = [], []
+    for c, kind in columns.items():
+        raw = f"round_even({c}, 0)::BIGINT" if kind == "float" else c
+        text, n = f"({raw})::VARCHAR", f"(SELECT count(DISTINCT {raw}) FROM {table})"
+        gone = f"(SELECT count(DISTINCT {raw}) + max(({raw} IS NULL)::INT) IN (1, count(*)) FROM {table})"
+        top = f"CASE WHEN {text} IN (SELECT v FROM (SELECT {text} AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 10)) THEN {text} WHEN {c} IS NOT NULL THEN 'others' END"
+        cells.append(f"CASE WHEN {gone} THEN NULL WHEN {n} > 200 THEN {SEASON.format(c) if kind == 'date' else top} ELSE {text} END AS {c}")
+        stay.append(f"(NOT {gone})::INT")
+    return f"SELECT {row_id} AS row_id, {', '.join(cells)} FROM {table}", " + ".join(stay)
+
+
+def analysed(table: str, row_id: str, columns: dict[str, str]) -> str:
+    source, k = prepared(table, row_id, columns)
+    shown = f"SELECT '{table}' AS table_name, 'CLUSTER_' || position AS name, size::INT AS size, {COVERED} AS row_coverage, round(100 * ({COVERED}::DOUBLE / (SELECT count(DISTINCT row_id) FROM ms)), 6) AS row_coverage_percent, (SELECT round(avg(support), 6) FROM r JOIN g USING (itemset_id) WHERE g.cluster = kp.cluster) AS avg_support FROM kp"
+    return f"SELECT * FROM ({clustered(source, list(columns), 0.1, 0.5, shown, k)})"
 
 
 def clustered_orders(sql: str) -> str:
@@ -206,9 +228,19 @@ SQL = {
     "constant_columns_lineitem": " UNION ALL ".join(f"SELECT '{c}' AS col FROM lineitem HAVING count(DISTINCT {ROUNDED.get(c, c)}) + max(({c} IS NULL)::INT) = 1" for c in LINEITEM_COLUMNS),
     "unique_columns_events": " UNION ALL ".join(f"SELECT '{c}' AS col FROM events HAVING count(DISTINCT {c}) + max(({c} IS NULL)::INT) = count(*)" for c in EVENT_COLUMNS),
     "prepare_lineitem": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round_even(l_quantity, 0)::BIGINT AS l_quantity, round_even(l_extendedprice, 0)::BIGINT AS l_extendedprice, l_returnflag, l_linestatus, l_shipdate FROM lineitem",
-    "correlated_groups_orders": """SELECT 'is_final|o_orderstatus|status_copy' AS columns WHERE (SELECT corr((o_orderstatus = 'F')::INT, (lower(o_orderstatus) = 'f')::INT) FROM orders) >= 1 - 1e-12
-        UNION ALL SELECT 'o_custkey|twice_custkey' WHERE (SELECT corr(o_custkey, o_custkey * 2) FROM orders) >= 1 - 1e-12""",
+    "correlated_groups_orders": """WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, lower(o_orderstatus) AS status_copy, (o_orderstatus = 'F')::INT AS is_final, o_custkey * 2 AS twice_custkey FROM orders),
+        v AS (SELECT o_orderkey, unnest(['o_orderstatus', 'o_orderpriority', 'status_copy', 'is_final']) AS col, unnest([o_orderstatus, o_orderpriority, status_copy, CASE WHEN is_final = 1 THEN 'high' END]) AS val FROM o),
+        parts AS (SELECT col, val, list(o_orderkey ORDER BY o_orderkey) AS rows FROM v WHERE val IS NOT NULL GROUP BY 1, 2 HAVING count(*) < (SELECT count(*) FROM o)),
+        num AS (SELECT corr(o_custkey, twice_custkey) AS a, corr(o_custkey, is_final) AS b, corr(twice_custkey, is_final) AS c FROM o),
+        p AS (SELECT x.col AS a, y.col AS b FROM parts x JOIN parts y ON x.rows = y.rows AND x.col < y.col
+              UNION SELECT 'o_custkey', 'twice_custkey' FROM num WHERE a >= 1 - 1e-12 UNION SELECT 'is_final', 'o_custkey' FROM num WHERE b >= 1 - 1e-12 UNION SELECT 'is_final', 'twice_custkey' FROM num WHERE c >= 1 - 1e-12),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y)
+        SELECT DISTINCT columns FROM (SELECT x, string_agg(y, '|' ORDER BY y) AS columns FROM reach GROUP BY x)""",
     "drop_correlated_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, (o_orderstatus = 'F')::INT AS is_final, 'o_orderpriority' AS not_dropped FROM orders",
+    "prepared_columns_lineitem": " UNION ALL ".join(f"SELECT '{c}' AS col FROM lineitem HAVING count(DISTINCT {ROUNDED.get(c, c)}) + max(({c} IS NULL)::INT) NOT IN (1, count(*))" for c in LINEITEM_COLUMNS),
+    "datetime_columns_text_orders": "WITH x AS (SELECT strftime(o_orderdate, '%Y/%m/%d') AS slashes, strftime(o_orderdate, '%d-%m-%Y') AS day_first, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END AS half, o_orderpriority AS no_date, o_custkey::VARCHAR AS number FROM orders)"
+    + " UNION ALL ".join(f" SELECT '{c}' AS col WHERE (SELECT greatest(" + ", ".join(f"avg((try_strptime({c}, '{f}') IS NOT NULL)::INT)" for f in ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S")) + ") FROM x) > 0.8" for c in ("slashes", "day_first", "half", "no_date", "number")),
     "datetime_columns_events": "SELECT name AS col FROM pragma_table_info('events') WHERE type LIKE 'TIMESTAMP%'",
     "bucket_time_of_day_events": "SELECT event_id, CASE WHEN hour(ts) BETWEEN 6 AND 11 THEN 'Morning' WHEN hour(ts) BETWEEN 12 AND 17 THEN 'Afternoon' WHEN hour(ts) BETWEEN 18 AND 21 THEN 'Evening' ELSE 'Night' END AS ts FROM events",
     "bucket_day_of_week_orders": "SELECT o_orderkey, dayname(o_orderdate) AS o_orderdate FROM orders",
@@ -257,6 +289,15 @@ SQL = {
         UNION ALL SELECT 'itemset_' || itemset_id, 'itemset', NULL, NULL, round(support, 6) FROM r JOIN g USING (itemset_id) JOIN kp USING (cluster)"""),
     "cluster_hierarchy_orders": clustered_orders(f"""SELECT 'Root' AS label, '' AS parent, 100.0::DOUBLE AS value UNION ALL SELECT 'Cluster ' || position, 'Root', {COVERED} FROM kp
         UNION ALL SELECT 'Itemset ' || itemset_id, 'Cluster ' || position, freq FROM r JOIN g USING (itemset_id) JOIN kp USING (cluster)"""),
+    "analyze_database_small": " UNION ALL ".join(
+        analysed(t, key, columns)
+        for t, key, columns in (
+            ("orders", "o_orderkey", {"o_custkey": "text", "o_orderstatus": "text", "o_totalprice": "float", "o_orderdate": "date", "o_orderpriority": "text"}),
+            ("part", "p_partkey", {"p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "text", "p_retailprice": "float"}),
+            ("customer", "c_custkey", {"c_name": "text", "c_nationkey": "text", "c_acctbal": "float", "c_mktsegment": "text"}),
+            ("labels", "doc_id", {"quality": "text", "toxic": "text"}),
+        )
+    ),
     "mine_and_cluster_customer": clustered("SELECT c_custkey AS row_id, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer", ["c_mktsegment", "c_nationkey"], 0.03, 0.7, SHOWN_CLUSTERS),
     "common_columns_orders": over_orders("SELECT cluster, col FROM cc"),
     "value_distributions_orders": over_orders("SELECT cluster, col, val, count(*) AS count FROM gc GROUP BY 1, 2, 3"),

@@ -58,6 +58,15 @@ def drop_correlated(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("not_dropped", F.lit("|".join(unknown)))
 
 
+def text_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates as texts of two forms, every other cell a date, and texts that are none."""
+    x = table(spark, d, "orders")
+    day = F.col("o_orderdate")
+    half = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    x = x.select(F.date_format(day, "yyyy/MM/dd").alias("slashes"), F.date_format(day, "dd-MM-yyyy").alias("day_first"), half.alias("half"), F.col("o_orderpriority").alias("no_date"), F.col("o_custkey").cast("string").alias("number"))
+    return names_of(spark, P.datetime_columns(x))
+
+
 def derived_nulls(spark: SparkSession, d: str) -> DataFrame:
     """documents with null literals in lang and real nulls in source."""
     x = table(spark, d, "documents")
@@ -421,6 +430,8 @@ QUERIES = {
     "prepare_lineitem": lambda s, d: P.prepare_data(table(s, d, "lineitem")),
     "correlated_groups_orders": lambda s, d: s.createDataFrame([("|".join(g),) for g in P.correlated_column_groups(correlated(s, d), "o_orderkey")], "columns string"),
     "drop_correlated_orders": drop_correlated,
+    "prepared_columns_lineitem": lambda s, d: names_of(s, P.prepare_data(table(s, d, "lineitem")).columns),
+    "datetime_columns_text_orders": text_dates,
     "datetime_columns_events": lambda s, d: names_of(s, P.datetime_columns(table(s, d, "events"))),
     "bucket_time_of_day_events": lambda s, d: P.bucket_datetime(table(s, d, "events").select("event_id", "ts"), "ts", "time_of_day"),
     "bucket_day_of_week_orders": lambda s, d: P.bucket_datetime(table(s, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "day_of_week"),

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from facetmill.plans import oracles
 from facetmill.plans.queries import QUERIES
 
-SLOW = {"maximal_four_tables", "analyze_database_small", "learning_rate_grid_orders"}
+SLOW = {"maximal_four_tables"}
 
 
 @pytest.fixture(scope="module")
