@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
 _TIDIED: set[str] = set()
 
 
@@ -17,6 +19,8 @@ def work_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            log.warning("spark.checkpoint.dir is unset: work tables go to a folder of the driver, which executors on other machines do not see")
         root = tempfile.mkdtemp(prefix="spark-work-")
         spark.sparkContext.setCheckpointDir(root)
     folder = f"{root.rstrip('/')}/tables/{spark.sparkContext.applicationId}"
