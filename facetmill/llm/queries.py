@@ -21,7 +21,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op3_source_mix": source_mix.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op11_minhash": minhash.ORACLE,
     "op12_importance": importance.ORACLE,

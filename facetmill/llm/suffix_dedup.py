@@ -473,3 +473,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir))
+
+
+#: All windows by their md5 and first place; covered bytes as runs of starts.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(n - 99)) AS s, x FROM d WHERE n >= 100),
+h AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 200)) AS h FROM p),
+f AS (SELECT h, min((doc_id, s)) AS first FROM h GROUP BY h HAVING count(*) > 1),
+t AS (SELECT doc_id, s FROM h JOIN f USING (h) WHERE (doc_id, s) > first),
+g AS (SELECT doc_id, s, (s > coalesce(lag(s) OVER w, -1000) + 100)::INT AS head FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+r AS (SELECT doc_id, sum(head) OVER (PARTITION BY doc_id ORDER BY s) AS run, s FROM g),
+u AS (SELECT doc_id, run, min(s) AS low, max(s) + 100 AS high FROM r GROUP BY 1, 2),
+k AS (SELECT u.doc_id, high - low AS cut, substr(x, 2 * coalesce(lag(high) OVER w, 0) + 1, 2 * (low - coalesce(lag(high) OVER w, 0))) AS before, CASE WHEN lead(low) OVER w IS NULL THEN substr(x, 2 * high + 1) ELSE '' END AS after, low
+      FROM u JOIN d USING (doc_id) WINDOW w AS (PARTITION BY u.doc_id ORDER BY low)),
+z AS (SELECT doc_id, sum(cut)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(before || after, '' ORDER BY low) AS kept FROM k GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN z USING (doc_id)
+"""
