@@ -6,8 +6,9 @@ point to one verdict with sufficient confidence become rules, unless a part of t
 
 Mining stays bounded by method, whatever the URLs look like.  Tokens below the support can be in no rule.  A token that always stands beside
 one verdict is a rule, and every combination with it is beaten by it, so it needs no further mining.  What is left of a URL
-is cut into overlapping stretches of WINDOW tokens in the URL's order, which FP-growth mines: the tokens of a rule stand within WINDOW undecided tokens of each
-other, and a stretch has at most 2 ** WINDOW combinations.  The combinations found are then counted on the whole URLs.
+is cut into overlapping stretches of WINDOW tokens in the URL's order, which FP-growth mines: a stretch has at most 2 ** WINDOW combinations.
+Pairs of undecided tokens are counted over whole URLs, so only a rule of three tokens or more needs them within WINDOW undecided tokens of each other.
+All combinations found are then counted on the whole URLs.
 
 Matching.  An inverted index posts each rule under its rarest token; a URL looks up its tokens, and a rule fits if
 the URL has all its tokens.  Of several the most confident wins, then the one with more support, then more tokens, then
@@ -90,7 +91,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return decided
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / n_stretches)).fit(stretches)
     rest = F.array_sort(F.filter("items", lambda x: ~x.startswith(VERDICT)))
-    combinations = materialize(model.freqItemsets.where(F.exists("items", lambda x: x.startswith(VERDICT))).select(rest.alias("antecedent")).where("size(antecedent) > 0").distinct())
+    mined = model.freqItemsets.where(F.exists("items", lambda x: x.startswith(VERDICT))).select(rest.alias("antecedent")).where("size(antecedent) > 0")
+    # pairs of undecided tokens, however far apart in the URL
+    both = F.expr("flatten(transform(t, (a, i) -> transform(slice(t, i + 2, size(t)), b -> array_sort(array(a, b)))))")
+    pairs = left.select("verdict", F.explode(both).alias("antecedent")).groupBy("antecedent", "verdict").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("antecedent")
+    combinations = materialize(mined.unionByName(pairs).distinct())
     # counted exactly, on whole URLs
     index = post(combinations, single.select("token", F.col("all").alias("count")))
     looked = rows.select("tokens", "verdict", F.explode("tokens").alias("token")).join(broadcast_if_small(index, MAX_RULES_BROADCAST), "token")

@@ -289,6 +289,18 @@ def test_mining_takes_long_paths(spark):
     assert got == {1: "allow", 2: "allow", 3: "allow"} and time.time() - began < 60
 
 
+def test_pairs_of_tokens_far_apart(spark):
+    """Two undecided tokens that point to a verdict together only, with thirty undecided ones between them."""
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        first, last = r.choice("ab"), r.choice("yz")
+        middle = [f"m{k}{r.randrange(2)}" for k in range(30)]
+        rows.append(([first, *middle, last], "block" if (first, last) == ("a", "z") else r.choice(["allow", "allow", "block"])))
+    rules = {tuple(x.antecedent): (x.verdict, x.confidence) for x in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.95, 5).collect()}
+    assert rules[("a", "z")] == ("block", 1.0)
+
+
 def test_url_verdicts_by_hand(spark):
     """Which mined rule judges each URL, against all rules tried on all URLs."""
     r = random.Random(5)
