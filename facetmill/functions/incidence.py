@@ -29,6 +29,11 @@ def matrix(row: np.ndarray, number: np.ndarray, rows: int, width: int) -> np.nda
     return out
 
 
+def weights(part: pa.RecordBatch) -> np.ndarray:
+    """How many rows each row stands for: a second column, else one."""
+    return part.column(1).to_numpy(zero_copy_only=False).astype(np.int64) if part.num_columns > 1 else np.ones(part.num_rows, np.int64)
+
+
 def slices(batch: pa.RecordBatch, rows: int):
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
@@ -42,7 +47,7 @@ def _pairs(names_a: np.ndarray, names_b: np.ndarray, product: np.ndarray) -> pa.
 
 
 def pair_counts(batches):
-    """How many rows hold both numbers, for i <= j, by a product of each batch's matrix with itself.
+    """How many rows hold both numbers, for i <= j, by a product of each batch's matrix with itself; rows as in weights.
 
     Up to DENSE numbers are summed over the task; where greater ones occur, each batch gives its own counts, in tiles of bounded size.
     """
@@ -52,6 +57,9 @@ def pair_counts(batches):
             row, number = flat(part.column(0))
             if not len(number):
                 continue
+            count = weights(part)
+            exact = np.float32 if count.sum() < 2**24 else np.float64  # whole numbers below 2 ** 24, 2 ** 53
+            count = count.astype(exact)[:, None]
             names, index = np.unique(number, return_inverse=True)
             if names[-1] < DENSE:
                 size = int(names[-1]) + 1
@@ -60,7 +68,7 @@ def pair_counts(batches):
                     grown[: len(total), : len(total)] = total
                     total = grown
                 held = matrix(row, index, part.num_rows, len(names))
-                total[np.ix_(names, names)] += held.T @ held  # whole numbers below 2 ** 24: exact
+                total[np.ix_(names, names)] += held.T.astype(exact) @ (held * count)
                 continue
             for s in range(0, len(names), 1_024):
                 one = (index >= s) & (index < s + 1_024)
@@ -68,7 +76,7 @@ def pair_counts(batches):
                 for t in range(s, len(names), 1_024):
                     two = (index >= t) & (index < t + 1_024)
                     right = matrix(row[two], index[two] - t, part.num_rows, min(1_024, len(names) - t))
-                    yield _pairs(names[s : s + 1_024], names[t : t + 1_024], left.T @ right)
+                    yield _pairs(names[s : s + 1_024], names[t : t + 1_024], left.T.astype(exact) @ (right * count))
     if len(total):
         names = np.arange(len(total))
         for s in range(0, len(total), 512):
@@ -76,16 +84,16 @@ def pair_counts(batches):
 
 
 def set_counts(sets: list[tuple[int, ...]], width: int):
-    """How many rows hold all numbers of each set (numbers below width)."""
+    """How many rows hold all numbers of each set (numbers below width); rows as in weights."""
 
     def run(batches):
         index = SetIndex(sets, width)
         total = np.zeros(len(sets), np.int64)
         for batch in batches:
             for part in slices(batch, index.rows):
-                row, number = flat(part.column(0))
-                for _, places, hits in index.hits(row, number, part.num_rows):
-                    total[places] += hits.sum(axis=0)
+                (row, number), count = flat(part.column(0)), weights(part)
+                for some_rows, places, hits in index.hits(row, number, part.num_rows):
+                    total[places] += count[some_rows] @ hits
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["place", "n"])
 
@@ -112,7 +120,9 @@ class SetIndex:
 
     def hits(self, row: np.ndarray, number: np.ndarray, rows: int):
         """(rows, places of sets, whether each of these rows holds each of these sets)."""
-        held = matrix(row, number, rows, self.width)
+        return self.hits_of(matrix(row, number, rows, self.width))
+
+    def hits_of(self, held: np.ndarray):
         for first, places, columns, need, size in self.under:
             some = np.flatnonzero(held[:, first])
             if len(some):
@@ -120,7 +130,10 @@ class SetIndex:
 
 
 def index_rows(names: list[str], sets: list[tuple[int, ...]], ids: list[int]):
-    """(row_id, matches) of rows (row_id, items): the ids of the sets whose items a row holds; sets are of places in names."""
+    """(row_id, matches) of rows (row_id, items): the ids of the sets whose items a row holds; sets are of places in names.
+
+    Rows of a batch with the same of these items are looked up once.
+    """
 
     def run(batches):
         index, known, own = SetIndex(sets, len(names)), pa.array(names), np.array(ids, np.int32)
@@ -130,10 +143,22 @@ def index_rows(names: list[str], sets: list[tuple[int, ...]], ids: list[int]):
                 row = np.repeat(np.arange(part.num_rows), items.value_lengths().to_numpy(zero_copy_only=False))
                 code = pc.index_in(items.flatten(), value_set=known.cast(items.type.value_type))
                 there = code.is_valid().to_numpy(zero_copy_only=False)
-                found = [(some[i], places[j]) for some, places, hit in index.hits(row[there], code.drop_null().to_numpy(), part.num_rows) for i, j in [np.nonzero(hit)]]
+                held, like = distinct_rows(matrix(row[there], code.drop_null().to_numpy(), part.num_rows, len(names)))
+                found = [(some[i], places[j]) for some, places, hit in index.hits_of(held) for i, j in [np.nonzero(hit)]]
                 at, place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 order = np.lexsort([own[place], at])
-                offsets = np.searchsorted(at[order], np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[place[order]]))], names=["row_id", "matches"])
+                offsets = np.searchsorted(at[order], np.arange(len(held) + 1)).astype(np.int32)
+                matches = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[place[order]]))
+                yield pa.RecordBatch.from_arrays([part.column(0), matches.take(pa.array(like))], names=["row_id", "matches"])
 
     return run
+
+
+def distinct_rows(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of a matrix of zeros and ones, and for each row its place among them."""
+    if not held.shape[1]:
+        return held[:1], np.zeros(len(held), np.int64)
+    bits = np.packbits(held.astype(bool), axis=1)
+    key = bits.view(np.dtype((np.void, bits.shape[1]))).ravel()
+    _, first, like = np.unique(key, return_index=True, return_inverse=True)
+    return held[first], like.ravel()

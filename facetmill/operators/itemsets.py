@@ -1,7 +1,7 @@
 """Maximal frequent itemsets over `column___value` items: mining, scores, ranks, supporting rows, patterns.
 
-Mining counts level by level: a row keeps only the codes of its frequent items; each task counts pairs and candidates over
-batches of its rows (functions.incidence) and gives one number for each.  When a level has too many candidates for that, Spark's FP-growth takes over.
+Mining counts level by level: a row keeps only the codes of its frequent items, rows with the same codes become one with a count, and each task counts pairs and
+candidates over batches of these (functions.incidence) and gives one number for each.  When a level has too many candidates for that, Spark's FP-growth takes over.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from facetmill.functions.incidence import COUNTS, PAIRS, index_rows, pair_counts, set_counts
 from facetmill.functions.items import SEP, item, item_column, item_key, item_value, literal_map, quoted
 from facetmill.operators.prepare import _plain, apply_buckets, blank_nulls, normalize_nulls
+from facetmill.sources.work import materialize
 
 MAX_CANDIDATES = 2_000
 FEW = 500  # candidates that are counted together with the unions of their groups
@@ -41,19 +42,17 @@ def frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: i
 
 
 class Counted:
-    """Rows as codes of their frequent items, read from the input once, and counts of sets of these codes.
+    """Rows as codes of their frequent items, each different set of codes once with its number of rows, and counts of sets of these codes.
 
-    Codes stand in the order of rising frequency, so that what is common comes last.
+    Codes stand in the order of rising frequency, so that what is common comes last.  stored: tx is read from a work table, and is not persisted.
     """
 
-    def __init__(self, tx: DataFrame, min_support: float):
-        self.tx = tx.persist(StorageLevel.MEMORY_AND_DISK)  # for two passes: items, then codes
-        # a null for each row beside its items counts the rows in the same pass
-        ones = self.tx.select(F.explode(F.array_append("items", F.lit(None).cast("string"))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq")).cache()
-        self.n = (ones.where("item is null").first() or {"freq": 0})["freq"]
+    def __init__(self, tx: DataFrame, min_support: float, stored: bool = False):
+        self.tx, self.stored = tx if stored else tx.persist(StorageLevel.MEMORY_AND_DISK), stored  # for two passes: items, then codes
+        self.n = self.tx.count()
         self.need = min_count(self.n, min_support)
-        first = ones.where((F.col("freq") >= self.need) & F.col("item").isNotNull()).collect()  # at most 1 / min_support for each column
-        ones.unpersist()
+        ones = self.tx.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
+        first = ones.where(F.col("freq") >= self.need).collect()  # at most 1 / min_support for each column
         first = sorted((r["freq"], r["item"]) for r in first)
         self.names, self.freq = [x for _, x in first], [f for f, _ in first]
         self.column = [x.split(SEP)[0] for x in self.names]
@@ -61,7 +60,8 @@ class Counted:
         if len(first) > 1:
             code = F.create_map(*[F.lit(x) for i, a in enumerate(self.names) for x in (a, i)])
             coded = self.tx.select(F.array_compact(F.transform("items", lambda x: code[x])).alias("codes")).where("size(codes) > 1")
-            self.coded = coded.persist(StorageLevel.MEMORY_AND_DISK)
+            # columns have few frequent values: rows with the same codes are one row from here on
+            self.coded = materialize(coded.groupBy("codes").agg(F.count(F.lit(1)).alias("n")))
 
     def pairs(self) -> dict[tuple[int, int], int]:
         """Frequent pairs of codes."""
@@ -80,9 +80,8 @@ class Counted:
         return {c: got.get(k, 0) for k, c in enumerate(candidates)}
 
     def close(self) -> None:
-        for df in (self.tx, self.coded):
-            if df is not None:
-                df.unpersist()
+        if not self.stored:
+            self.tx.unpersist()
 
     def frame(self, found: dict[tuple[int, ...], int]) -> DataFrame:
         rows = [(sorted(self.names[i] for i in c), f) for c, f in found.items()]
@@ -121,14 +120,14 @@ def frequent_itemsets_fpgrowth(tx: DataFrame, min_support: float = 0.1) -> DataF
     return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").where(F.col("freq") >= min_count(n, min_support))
 
 
-def maximal_frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+def maximal_frequent_itemsets(tx: DataFrame, min_support: float = 0.1, max_candidates: int = MAX_CANDIDATES, stored: bool = False) -> DataFrame:
     """(items, freq, support) of the frequent itemsets without a frequent superset.
 
     Looked for by groups of a head and the items that may follow it.  Before the members of a group are counted, the union of its head and the most
     frequent followers, one a column, is: if that is frequent and the whole group, none of its subsets needs to be looked at, nor any other group that lies in
-    it.  So tables with columns that go together do not enumerate all their subsets.  With too many candidates FP-growth takes over.
+    it.  So tables with columns that go together do not enumerate all their subsets.  With too many candidates FP-growth takes over.  stored: see Counted.
     """
-    data = Counted(tx, min_support)
+    data = Counted(tx, min_support, stored)
     try:
         found = _maximal(data, max_candidates)
         if found is not None:
@@ -319,6 +318,6 @@ def rank_maximal_itemsets(
     bucketed = normalize_nulls(apply_buckets(blank_nulls(df, row_id), plan, row_id), row_id)
     columns = [c for c in bucketed.columns if c != row_id]
     weights = {c: 1 / len(columns) for c in columns} if weights is None else weights
-    tx = to_transactions(bucketed, row_id)
-    ranked = rank_itemsets(score_itemsets(maximal_frequent_itemsets(tx, min_support), weights, gamma), max_collection)
+    tx = materialize(to_transactions(bucketed, row_id))  # read for items, codes and matches
+    ranked = rank_itemsets(score_itemsets(maximal_frequent_itemsets(tx, min_support, stored=True), weights, gamma), max_collection)
     return tx, with_unique_id(ranked).select("itemset_id", "items", "freq", "support", "score", "unique_id")

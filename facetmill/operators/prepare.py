@@ -6,6 +6,7 @@ All statistics of a table come from a few aggregate passes; only numbers for eac
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,17 +37,35 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def round_floats(df: DataFrame) -> DataFrame:
     """Float columns to bigint, halves to even; NaN becomes null."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    return df.select(*[F.bround(F.nanvl(quoted(c), F.lit(None)), 0).cast("bigint").alias(c) if c in floats else quoted(c) for c in df.columns])
+    return df.select(*[F.rint(F.nanvl(quoted(c), F.lit(None))).cast("bigint").alias(c) if c in floats else quoted(c) for c in df.columns])
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """Columns with exactly one distinct value, null counted as a value; min, max and the number of nulls decide."""
+    """Columns with exactly one distinct value, null counted as a value; min, max and the number of nulls decide.
+
+    Least and greatest values, of texts those of their hashes, rule most columns out; the texts of the others are compared where equal ends do not settle it.
+    """
     columns = _plain(df)
     if not columns:
         return []
     text = lambda c: quoted(c).cast("string")
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(columns) for x in (F.count(text(c)).alias(f"k{i}"), F.min(text(c)).eqNullSafe(F.max(text(c))).alias(f"s{i}"))]).first()
-    return [c for i, c in enumerate(columns) if stats["n"] > 0 and stats[f"s{i}"] and stats[f"k{i}"] in (0, stats["n"])]
+    kind = {c: df.schema[c].dataType for c in columns}
+    by_value = {c for c in columns if isinstance(kind[c], (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))}
+    ends = lambda c: [f(quoted(c)).cast("string") if c in by_value else f(F.xxhash64(text(c))) for f in (F.min, F.max)]
+    same = lambda c: (lambda a, b: a.eqNullSafe(b))(*ends(c))
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(columns) for x in (F.count(quoted(c)).alias(f"k{i}"), same(c).alias(f"s{i}"))]).first()
+    n = stats["n"]
+    found = {c for i, c in enumerate(columns) if n > 0 and (stats[f"k{i}"] == 0 or stats[f"s{i}"] and stats[f"k{i}"] == n)}
+    open_ = [c for i, c in enumerate(columns) if c in found and stats[f"k{i}"] and not _text_by_value(kind[c])]
+    if open_:
+        texts = df.agg(*[(F.min(text(c)) == F.max(text(c))).alias(f"s{i}") for i, c in enumerate(open_)]).first()
+        found -= {c for i, c in enumerate(open_) if not texts[f"s{i}"]}
+    return [c for c in columns if c in found]
+
+
+def _text_by_value(kind: T.DataType) -> bool:
+    """Whether values are equal if and only if their texts are, and can be counted as they are: not so -0.0 and 0.0, or the hour that a clock shows twice."""
+    return isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampNTZType, T.DecimalType))
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
@@ -209,13 +228,32 @@ def bucket_datetime(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.select(*[out.alias(column) if x == column else quoted(x) for x in df.columns])
 
 
+def frequent_values(df: DataFrame, most: dict[str, int]) -> dict[str, list[str]]:
+    """For each column its so many most frequent values as text, ties by value; all are counted in one job, in which a column's counts read that column only."""
+    if not most:
+        return {}
+
+    def best(c: str, n: int) -> DataFrame:
+        key = quoted(c) if _text_by_value(df.schema[c].dataType) else quoted(c).cast("string")
+        counts = df.select(key.alias("val")).where("val is not null").groupBy("val").count()
+        return counts.select(F.lit(c).alias("col"), F.col("val").cast("string").alias("val"), "count").orderBy(F.desc("count"), "val").limit(n)
+
+    found: dict[str, list[str]] = {c: [] for c in most}
+    for r in reduce(DataFrame.unionByName, [best(c, n) for c, n in most.items()]).collect():  # at most n values of a column
+        found[r["col"]].append(r["val"])
+    return found
+
+
 def bucket_categorical(df: DataFrame, column: str, keep_top_n: int = KEEP_TOP_N) -> DataFrame:
     """Keep the N most frequent values (ties by value); others become `others`, null stays null."""
-    c = quoted(column).cast("string")
-    top = df.where(c.isNotNull()).groupBy(c.alias("_top")).count().orderBy(F.desc("count"), "_top").limit(keep_top_n).select("_top")
-    joined = df.join(F.broadcast(top), c == F.col("_top"), "left")  # keep_top_n rows
-    out = F.when(c.isNull(), F.lit(None)).when(F.col("_top").isNotNull(), c).otherwise("others")
-    return joined.select(*[out.alias(column) if x == column else quoted(x) for x in df.columns])
+    return _kept(df, column, frequent_values(df, {column: keep_top_n})[column])
+
+
+def _kept(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    c, kind = quoted(column).cast("string"), df.schema[column].dataType
+    among = quoted(column).isin([F.lit(v).cast(kind) for v in values]) if _text_by_value(kind) else c.isin(values)
+    out = F.when(c.isNull(), F.lit(None)).when(among, c).otherwise("others")
+    return df.select(*[out.alias(column) if x == column else quoted(x) for x in df.columns])
 
 
 def high_cardinality_columns(df: DataFrame, threshold: int = HIGH_CARDINALITY, row_id: str | None = None) -> DataFrame:
@@ -237,34 +275,54 @@ def high_cardinality_columns(df: DataFrame, threshold: int = HIGH_CARDINALITY, r
 
 
 def default_plan(df: DataFrame, threshold: int = HIGH_CARDINALITY, row_id: str | None = None) -> dict[str, str]:
-    found = high_cardinality_columns(df, threshold, row_id).select("col", "kind").collect()  # a row for each column
-    return {r["col"]: "season" if r["kind"] == "datetime" else "top10" for r in found}
+    """season or top10 for each column that high_cardinality_columns gives.
+
+    An approximate count decides for columns far from the threshold; only those near it, which have few values, are counted exactly.
+    """
+    columns = [c for c in _plain(df) if c != row_id]
+    if not columns:
+        return {}
+    about = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    near = [c for i, c in enumerate(columns) if 0.8 * threshold < about[f"c{i}"] <= 2 * threshold]
+    counts = value_counts(df, near).where("val is not null").groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect() if near else []  # a row for each column
+    found = {r["col"] for r in counts if r["n"] > threshold} | {c for i, c in enumerate(columns) if about[f"c{i}"] > 2 * threshold}
+    return {c: "season" if is_datetime_column(df, c) else "top10" for c in columns if c in found}
 
 
 def apply_buckets(df: DataFrame, plan: dict[str, str] | None = None, row_id: str | None = None, threshold: int = HIGH_CARDINALITY) -> DataFrame:
     """plan: column -> time_of_day, day_of_week, season, year, top10, top20, top50, top100 or drop; else the default plan."""
     plan = default_plan(df, threshold, row_id) if plan is None else plan
+    tops = ("top10", "top20", "top50", "top100")
+    for column, kind in plan.items():
+        if kind != "drop" and kind not in BUCKETS and kind not in tops:
+            raise ValueError(f"unknown bucket {kind!r} for {column}")
+    values = frequent_values(df, {c: int(kind[3:]) for c, kind in plan.items() if kind in tops})
     for column, kind in plan.items():
         if kind == "drop":
             df = df.drop(column)
         elif kind in BUCKETS:
             df = bucket_datetime(df, column, kind)
-        elif kind in ("top10", "top20", "top50", "top100"):
-            df = bucket_categorical(df, column, int(kind[3:]))
         else:
-            raise ValueError(f"unknown bucket {kind!r} for {column}")
+            df = _kept(df, column, values[column])
     return df
 
 
+def _may_spell_null(df: DataFrame, column: str) -> bool:
+    """Not whole numbers, decimals, booleans, dates and times: their texts need not be looked at."""
+    kind = df.schema[column].dataType
+    return not (_text_by_value(kind) or isinstance(kind, T.TimestampType))
+
+
 def blank_nulls(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Cells that spell a null become null; types stay as they are."""
-    plain = set(_plain(df)) - {row_id}
+    plain = {c for c in _plain(df) if c != row_id and _may_spell_null(df, c)}
     return df.select(*[F.when(~quoted(c).cast("string").isin(NULL_LITERALS), quoted(c)).alias(c) if c in plain else quoted(c) for c in df.columns])
 
 
 def normalize_nulls(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Every plain column as text, cells that spell a null as null; nested columns are left out."""
-    text = lambda c: F.when(~quoted(c).cast("string").isin(NULL_LITERALS), quoted(c).cast("string")).alias(c)
+    spelled = lambda c: F.when(~quoted(c).cast("string").isin(NULL_LITERALS), quoted(c).cast("string"))
+    text = lambda c: (spelled(c) if _may_spell_null(df, c) else quoted(c).cast("string")).alias(c)
     return df.select(*[quoted(c) if c == row_id else text(c) for c in _plain(df)])
 
 

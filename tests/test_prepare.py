@@ -87,3 +87,12 @@ def test_empty_table(table):
     empty = table.where("false")
     assert P.constant_columns(empty) == [] and P.unique_columns(empty) == [] and P.prepare_data(empty).count() == 0
     assert P.correlated_column_groups(empty, "id") == []
+
+
+def test_constants_by_text(spark, monkeypatch):
+    """Equal ends settle whole numbers and dates; of the rest the texts do, also where hashes of texts meet."""
+    rows = [(0.0, "a", 5, dt.datetime(2021, 1, 5), "c", float("nan")), (-0.0, "b", 5, dt.datetime(2021, 1, 5), "c", float("nan"))]
+    df = spark.createDataFrame(rows, "zero double, t string, k int, at timestamp, c string, nan double")
+    assert P.constant_columns(df) == ["k", "at", "c", "nan"]
+    monkeypatch.setattr(P.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    assert P.constant_columns(df) == ["k", "at", "c", "nan"]

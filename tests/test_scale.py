@@ -284,3 +284,45 @@ def test_profile_by_sketches(spark, monkeypatch):
     assert all(abs(a - b) <= 3 for a, b in zip(got["g"].quantiles, np.quantile(g, [0.25, 0.5, 0.75])))
     assert P.distinct_counts(df, ["u", "c", "e"]) == {"u": n, "c": 3, "e": 0}
     assert P.column_profile(df.where("false")).select("n_rows", "n_distinct").distinct().collect() == [(0, 0)]
+
+
+def test_equal_rows_are_counted_once(spark):
+    """Levels are counted over the different sets of frequent codes, each with its number of rows."""
+    rows = [(i, "xy"[i % 2], "pq"[i % 3 == 0], f"u{i}") for i in range(600)]
+    tx = I.to_transactions(spark.createDataFrame(rows, "id int, a string, b string, c string"), "id")
+    data = I.Counted(tx, 0.1)
+    try:
+        coded = data.coded.collect()
+        assert len(coded) == 4 and sum(r["n"] for r in coded) == data.n == 600
+        code = {x: i for i, x in enumerate(data.names)}
+        pair = tuple(sorted((code["a___x"], code["b___q"])))
+        assert data.pairs()[pair] == data.sets([pair])[pair] == sum(1 for r in rows if r[1:3] == ("x", "q"))
+    finally:
+        data.close()
+
+
+def test_weighted_counts_beyond_float(monkeypatch):
+    """Rows that stand for many: sums above 2 ** 24 stay exact."""
+    for dense in (4_096, 2):
+        monkeypatch.setattr(incidence, "DENSE", dense)
+        batch = pa.RecordBatch.from_arrays([pa.array([[3, 5], [3, 5], [5]], pa.list_(pa.int32())), pa.array([2**24 + 1, 2**30 + 3, 7])], names=["codes", "n"])
+        got = collections.Counter()
+        for part in incidence.pair_counts([batch]):
+            for i, j, n in zip(*(c.to_pylist() for c in part.columns)):
+                got[i, j] += n
+        both = 2**24 + 2**30 + 4
+        assert got == {(3, 3): both, (3, 5): both, (5, 5): both + 7}
+        assert [b.column(1).to_pylist() for b in incidence.set_counts([(3, 5)], 6)([batch])] == [[both]]
+
+
+def test_buckets_without_joins(spark, monkeypatch):
+    """Bucketing joins nothing to the table, and no text of a column with very many values is counted to plan it."""
+    df = spark.range(3_000).select("id", (F.col("id") % 1_000).alias("n"), F.concat(F.lit("t"), F.col("id") % 900).alias("t"))
+    with monkeypatch.context() as m:
+        m.setattr(P, "value_counts", None)
+        assert P.default_plan(df, 200, "id") == {"n": "top10", "t": "top10"}
+    out = P.apply_buckets(df, {"n": "top10", "t": "top10"}, "id")
+    assert "Join" not in plan_of(out)
+    assert {r.n for r in out.collect()} == {"others", *(str(x) for x in sorted(map(str, range(1_000)))[:10])}
+    edge = spark.range(3_000).select("id", (F.col("id") % 200).alias("at"), (F.col("id") % 201).alias("over"))
+    assert P.default_plan(edge, 200, "id") == {"over": "top10"}
