@@ -59,7 +59,7 @@ class Counted:
         self.coded = None
         if len(first) > 1:
             code = F.create_map(*[F.lit(x) for i, a in enumerate(self.names) for x in (a, i)])
-            coded = self.tx.select(F.array_compact(F.transform("items", lambda x: code[x])).alias("codes")).where("size(codes) > 1")
+            coded = self.tx.select(F.array_compact(F.transform("items", lambda x: code[x])).alias("codes"))  # a filter here would work the codes out twice
             # columns have few frequent values: rows with the same codes are one row from here on
             self.coded = materialize(coded.groupBy("codes").agg(F.count(F.lit(1)).alias("n")))
 

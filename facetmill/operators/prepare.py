@@ -252,7 +252,7 @@ def bucket_categorical(df: DataFrame, column: str, keep_top_n: int = KEEP_TOP_N)
 def _kept(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     c, kind = quoted(column).cast("string"), df.schema[column].dataType
     among = quoted(column).isin([F.lit(v).cast(kind) for v in values]) if _text_by_value(kind) else c.isin(values)
-    out = F.when(c.isNull(), F.lit(None)).when(among, c).otherwise("others")
+    out = F.when(quoted(column).isNull(), F.lit(None)).when(among, c).otherwise("others")
     return df.select(*[out.alias(column) if x == column else quoted(x) for x in df.columns])
 
 
