@@ -68,8 +68,8 @@ def _text_by_value(kind: T.DataType) -> bool:
     return isinstance(kind, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampNTZType, T.DecimalType))
 
 
-def drop_constant_columns(df: DataFrame) -> DataFrame:
-    found = set(constant_columns(df))
+def drop_constant_columns(df: DataFrame, row_id: str | None = None) -> DataFrame:
+    found = set(constant_columns(df)) - {row_id}
     return df.select(*[quoted(c) for c in df.columns if c not in found])
 
 
@@ -96,8 +96,8 @@ def drop_unique_columns(df: DataFrame, row_id: str | None = None) -> DataFrame:
 
 
 def prepare_data(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """Round floats, drop constant columns, then drop all-unique ones."""
-    return drop_unique_columns(drop_constant_columns(round_floats(df)), row_id)
+    """Round floats, drop constant columns, then drop all-unique ones; row_id stays, also that of a single row."""
+    return drop_unique_columns(drop_constant_columns(round_floats(df), row_id), row_id)
 
 
 def correlated_column_groups(df: DataFrame, row_id: str) -> list[list[str]]:

@@ -414,7 +414,7 @@ def whole_table(spark: SparkSession, d: str) -> DataFrame:
 
 def whole_database(spark: SparkSession, d: str) -> DataFrame:
     names = {"orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey", "labels": "doc_id"}
-    out = analyze_database(spark, {n: table(spark, d, n) for n in names}, names)
+    out = analyze_database(spark, {n: table(spark, d, n) for n in names}, names, strict=True)
     return out["reports"].select("table_name", "name", "size", "row_coverage", *six("row_coverage_percent", "avg_support"))
 
 

@@ -64,8 +64,11 @@ def mine_and_cluster(df: DataFrame, row_id: str, config: dict | None = None, sim
     return out
 
 
-def side_by_side(spark: SparkSession, work: dict[str, Callable[[], T]], most: int = 4) -> dict[str, T]:
-    """Results of functions that run Spark jobs, at most so many at once, each in a scheduler pool of its name; what fails is logged and left out."""
+def side_by_side(spark: SparkSession, work: dict[str, Callable[[], T]], most: int = 4, failed: dict[str, Exception] | None = None) -> dict[str, T]:
+    """Results of functions that run Spark jobs, at most so many at once, each in a scheduler pool of its name.
+
+    What fails is logged and left out; failed, where given, gets its exception by name.
+    """
 
     def run(name: str, do: Callable[[], T]) -> T:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
@@ -77,16 +80,19 @@ def side_by_side(spark: SparkSession, work: dict[str, Callable[[], T]], most: in
         for name, future in begun.items():
             try:
                 done[name] = future.result()
-            except Exception:
+            except Exception as e:
                 log.exception("table %s could not be analysed", name)
+                if failed is not None:
+                    failed[name] = e
     return done
 
 
-def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids: dict[str, str], views: dict[str, DataFrame] | None = None, unique_ids: bool | None = None, most: int = 4) -> dict[str, DataFrame]:
-    """Reports of all tables with a row id (a column table_name), their schemas, and a sample of each view.
+def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids: dict[str, str], views: dict[str, DataFrame] | None = None, unique_ids: bool | None = None, most: int = 4, strict: bool = False) -> dict[str, DataFrame]:
+    """Reports of all tables with a row id (a column table_name), their schemas, a sample of each view, and failures (table_name, error).
 
     Tables are mined side by side, at most so many at once; their itemsets are linked and cut in one job for all, a group for each
-    table; then the reports, which hold clusters only, are worked out side by side again.  A table that fails, whenever it does, is logged and has no report; the others go on.
+    table; then the reports, which hold clusters only, are worked out side by side again.  A table that fails, whenever it does, is logged, has no report and stands in failures;
+    the others go on.  With strict it is an error that names all failed tables and holds their exceptions: reports are of all tables or there are none.
     With spark.scheduler.mode=FAIR the tables share the executors evenly.
     """
     config = {k: DATABASE_DEFAULTS[k] for k in ("min_support", "max_collection", "gamma")}
@@ -98,7 +104,15 @@ def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids:
         found["pairs"] = materialize(own(pairwise_similarity(found["itemsets"], found["rows"], found["overlaps"]), name))
         return found
 
-    mined = side_by_side(spark, {n: partial(mine, n) for n in sorted(tables) if n in row_ids}, most)
+    failed: dict[str, Exception] = {}
+
+    def all_of(work: dict[str, Callable[[], T]]) -> dict[str, T]:
+        done = side_by_side(spark, work, most, failed)
+        if strict and failed:
+            raise ExceptionGroup(f"tables could not be analysed: {', '.join(sorted(failed))}", list(failed.values()))
+        return done
+
+    mined = all_of({n: partial(mine, n) for n in sorted(tables) if n in row_ids})
     reports = {}
     if mined:
         link = linkage_table(union([x["pairs"] for x in mined.values()]))
@@ -111,10 +125,11 @@ def analyze_database(spark: SparkSession, tables: dict[str, DataFrame], row_ids:
             clusters, constants = describe_clusters(x["itemsets"], x["rows"], assign)
             return materialize(own(cluster_report(clusters, constants, x["itemsets"], x["rows"]), name))
 
-        reports = side_by_side(spark, {n: partial(report, n) for n in mined}, most)
+        reports = all_of({n: partial(report, n) for n in mined})
     schemas = [own(describe_table(df), name) for name, df in sorted(tables.items())]
     samples = {name: sample_rows(df) for name, df in (views or {}).items()}
-    return {"reports": union(list(reports.values())), "schemas": union(schemas), "views": samples}
+    failures = spark.createDataFrame([(n, f"{type(e).__name__}: {e}") for n, e in sorted(failed.items())], "table_name string, error string")
+    return {"reports": union(list(reports.values())), "schemas": union(schemas), "views": samples, "failures": failures}
 
 
 def union(frames: list[DataFrame]) -> DataFrame | None:

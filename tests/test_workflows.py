@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from facetmill.operators import clusters as C
 from facetmill.operators import itemsets as I
 from facetmill.operators import learn as L
 from facetmill.operators import prepare as P
+from facetmill.plans import workflows
+from facetmill.plans.queries import QUERIES
 from facetmill.plans.workflows import analyze_database, mine_and_cluster
 
 COLUMNS = ["a", "b", "c"]
@@ -140,6 +143,41 @@ def test_database_goes_on_after_a_failing_table(spark):
     assert out["schemas"].where("table_name = 'four'").count() == 3 and out["views"]["view"].count() == 10
 
 
+def test_failures_of_a_database_are_told(spark, monkeypatch):
+    """Tables that fail stand in failures, or with strict in an error, whether rows or reports fail."""
+    good = spark.createDataFrame(rows_of(5), "id int, a string, b string, c string")
+    late = good.withColumn("b", F.when(F.col("id") == 79, F.raise_error(F.lit("broken"))).otherwise(F.col("b")))
+    ids = {n: "id" for n in ("one", "two")}
+    assert analyze_database(spark, {"one": good, "two": good}, ids, strict=True)["failures"].isEmpty()
+    out = analyze_database(spark, {"one": good, "two": late}, ids)
+    assert [(r.table_name, "broken" in r.error) for r in out["failures"].collect()] == [("two", True)] and out["reports"].select("table_name").distinct().count() == 1
+    with pytest.raises(ExceptionGroup, match="analysed: two$") as told:
+        analyze_database(spark, {"one": good, "two": late}, ids, strict=True)
+    assert "broken" in str(told.value.exceptions[0])
+    report, broken = workflows.cluster_report, threading.Lock()  # the first report to come fails
+    monkeypatch.setattr(workflows, "cluster_report", lambda *a: report(*a) if not broken.acquire(blocking=False) else 1 / 0)
+    with pytest.raises(ExceptionGroup, match="analysed: (one|two)$"):
+        analyze_database(spark, {"one": good, "two": good}, ids, strict=True)
+    broken.release()
+    out = analyze_database(spark, {"one": good, "two": good}, ids)
+    (left,) = [r.table_name for r in out["failures"].collect()]
+    assert {r.table_name for r in out["reports"].collect()} == set(ids) - {left}
+
+
+def test_query_of_a_database_needs_all_tables(spark, sf, tmp_path):
+    """Without the labels' key, or with a balance that no whole number holds, there is no result that lacks a table's rows; a table of one row has no clusters and is no failure."""
+    tables = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "part", "customer", "labels")}
+
+    def rows(folder, **other):
+        for n, df in (tables | other).items():
+            df.coalesce(1).write.parquet(f"{tmp_path}/{folder}/{n}.parquet")
+        return {r.table_name for r in QUERIES["analyze_database_small"](spark, f"{tmp_path}/{folder}").collect()}
+
+    with pytest.raises(ExceptionGroup, match="analysed: customer, labels$"):
+        rows("broken", labels=tables["labels"].drop("doc_id"), customer=tables["customer"].withColumn("c_acctbal", F.when(F.col("c_custkey") > 1, F.col("c_acctbal")).otherwise(float("inf"))))
+    assert rows("one", labels=tables["labels"].limit(1)) == {"orders", "part", "customer"}
+
+
 def test_names_with_the_separator(spark):
     names = ["a___x", "b_", "c\\d", "__", "e f.g", "_h"]
     df = spark.createDataFrame([(1, "v___w", "_u", "\\_", "___", "z", "")], ", ".join(["id int", *[f"`{n}` string" for n in names]]))
